@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii_crf, secret_scan, sentencepiece_bpe, token_store
+from . import pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, token_store
 from .textkit import shared_dir
 
 
@@ -27,6 +27,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, store, token_store.document_keys(docs))
 
 
+def op4_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mcd.assess(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -43,6 +47,7 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
+    "op4_quality_mcd": op4_quality_mcd,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_crf": op10_pii_crf,
