@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, token_store
+from . import pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, token_store
 from .textkit import shared_dir
 
 
@@ -31,6 +31,10 @@ def op4_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -48,9 +52,12 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_quality_mcd": op4_quality_mcd,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_crf": op10_pii_crf,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": substring_dedup.SQL,
+}
