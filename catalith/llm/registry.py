@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, token_store
+from . import partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, token_store
 from .textkit import shared_dir
 
 
@@ -39,6 +39,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_mcd": op4_quality_mcd,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_partenum_join": op8_partenum_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_crf": op10_pii_crf,
 }
