@@ -36,7 +36,7 @@ from .wordcache import WordCache
 
 SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("n", "<i8"), ("offset", "<i8")])
 #: Keys in a bucket of the index, and keys that share a displacement, on average.
-BUCKET_KEYS, GROUP_KEYS = 16_384, 4
+BUCKET_KEYS, GROUP_KEYS = 16_384, 2
 #: Bytes of text in a shard.
 SHARD_TEXT_BYTES = 16 << 20
 
