@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, token_store
+from . import partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store
 from .textkit import shared_dir
 
 
@@ -35,6 +35,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_quality_mcd": op4_quality_mcd,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_template_decontam": op6_template_decontam,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_partenum_join": op8_partenum_join,
     "op9_secret_scan": op9_secret_scan,
@@ -65,4 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.SQL,
+    "op6_template_decontam": template_decontam.SQL,
+    "op8_partenum_join": partenum_join.SQL,
 }
