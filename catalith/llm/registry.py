@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store
+from . import partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store, warc
 from .textkit import shared_dir
 
 
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.index(spark, path)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = token_store.write_store(docs, vocabulary("word_bpe_49k.json"), shared_dir(spark, "tokens"), end_id=2)
@@ -58,6 +64,7 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_token_store": op3_token_store,
     "op4_quality_mcd": op4_quality_mcd,
     "op5_substring_dedup": op5_substring_dedup,
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op6_template_decontam": template_decontam.SQL,
     "op8_partenum_join": partenum_join.SQL,
