@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store, warc
+from . import html_extract, partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store, warc
 from .textkit import shared_dir
 
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -64,6 +68,7 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_warc": op2_warc,
     "op3_token_store": op3_token_store,
     "op4_quality_mcd": op4_quality_mcd,
