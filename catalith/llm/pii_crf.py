@@ -333,25 +333,38 @@ def find_spans(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span
     return out
 
 
-def scan(docs: DataFrame, model: Crf | None = None, redacted: bool = False) -> DataFrame:
-    """Per document (doc_id, text): counts per kind, base_sha256 and all spans.
+def redact_documents(docs: DataFrame, model: Crf | None = None) -> DataFrame:
+    """The table with every span in ``text`` replaced by its kind; n_chars, if there, follows.  Narrow: no shuffle."""
+    model = model or default_model()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        found = find_spans([t or "" for t in texts], model)
+        clean = [None if t is None else redact(t, base + extra) for t, (base, extra) in zip(texts, found, strict=True)]
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        columns["text"] = pa.array(clean, pa.string())
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in clean], columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return map_slices(docs, run, docs.schema)
+
+
+def scan(docs: DataFrame, model: Crf | None = None) -> DataFrame:
+    """Per document (doc_id, text): counts per kind, base_sha256 and all spans.  Narrow: no shuffle.
 
-    With ``redacted``, also the text with every span replaced.  Narrow: no shuffle.
     The trained model goes to the tasks with the function; its size does not depend on the data.
     """
     model = model or default_model()
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_crf long, base_sha256 string, spans string"
-    schema += ", redacted string" if redacted else ""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, rows = batch.column("text").to_pylist(), []
         for text, (base, extra) in zip(texts, find_spans([t or "" for t in texts], model), strict=True):
             row = [sum(s[0] == k for s in base) for k in KINDS[:4]]
             row += [len(extra), digest(base, KINDS), joined(base + extra, KINDS)]
-            if redacted:
-                row.append(None if text is None else redact(text, base + extra))
             rows.append(row)
-        kinds = [pa.int64()] * 5 + [pa.string()] * (2 + redacted)
+        kinds = [pa.int64()] * 5 + [pa.string()] * 2
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[f.split()[0] for f in schema.split(", ")])
 

@@ -136,7 +136,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -
 
 
 def map_slices(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text"
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, text: str = "text"
 ) -> DataFrame:
     """``mapInArrow`` over bounded slices; ``function`` sees one slice at a time."""
 
