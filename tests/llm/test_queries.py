@@ -1,0 +1,44 @@
+"""Registered queries against their SQL on the smallest tables, and the pipeline against its operators."""
+
+import os
+
+import duckdb
+import pytest
+
+from catalith.llm import registry
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in ("documents", "pages", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_sql(spark, duck, name):
+    cursor = duck.execute(registry.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    want = sorted(map(str, cursor.fetchall()))
+    assert sorted(str(tuple(r[c] for c in columns)) for r in registry.QUERIES[name](spark, DATA).collect()) == want
+
+
+def test_pipeline_stages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = registry.table(spark, DATA, "documents")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    counts = [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        if k < 4:
+            assert out.columns == docs.columns
+        counts.append(out.count())
+        docs = out
+    assert counts == sorted(counts, reverse=True) and counts[3] == counts[4] == counts[5] > 0
+    final = {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert final == {r["doc_id"] for r in docs.collect()}
