@@ -14,8 +14,8 @@ more mark the few windows around them, which are then compared whole.
 Documents are dealt to chunks of about ``CHUNK_BYTES`` of text by a hash of doc_id.
 A chunk sends each distinct hash once, so a passage held by a third of all documents
 makes a row per chunk, not per document.  Three passes over the chunks share one
-shuffle of the texts: anchors, candidate windows (least and greatest doc_id in the
-chunk), removal.
+shuffle of the texts: anchors, candidate windows (with the least doc_id in the chunk),
+removal.
 
 Edge cases: a null or empty text has no words and is returned with zeros; a null
 doc_id sorts before all others; rows with equal doc_ids do not remove each other's
@@ -85,7 +85,9 @@ def _hash_column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _chunk_windows(table: pa.Table, shared: pa.Table) -> pa.Table:
-    """Distinct windows of a chunk that hold a shared anchor, with their least and greatest doc_id."""
+    """Distinct windows of a chunk that hold a shared anchor: hash, least doc_id, and twice the chunk plus
+    whether several documents of the chunk have it.  Rows are in order of documents, so that a shuffle's
+    compression finds the same numbers beside each other."""
     empty = np.zeros(0, dtype=np.uint64)
     h, least, greatest = empty, empty.view(np.int64), empty.view(np.int64)
     if table.num_rows and shared.num_rows:
@@ -100,8 +102,9 @@ def _chunk_windows(table: pa.Table, shared: pa.Table) -> pa.Table:
         picked = np.cumsum(near)[start] > 0
         h, least, greatest = _by_hash(window[picked], _doc_ids(table)[words.row[start[picked]]])
     chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-    columns = {"w": signed(h), "chunk": pa.array(np.full(len(h), chunk, dtype=np.int64)), "least": pa.array(least), "greatest": pa.array(greatest)}
-    return pa.table(columns)
+    order = np.argsort(least, kind="stable")
+    code = chunk * 2 + (least != greatest)
+    return pa.table({"w": signed(h[order]), "code": pa.array(code[order].astype(np.int64)), "least": pa.array(least[order])})
 
 
 def _chunk_removal(table: pa.Table, repeated: pa.Table) -> pa.Table:
@@ -148,10 +151,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         found.select("h", "code", F.count(F.lit(1)).over(same).alias("chunks"))
         .filter((F.col("chunks") > 1) | (F.col("code") % 2 == 1))
         .select("h", F.shiftright("code", 1).alias("chunk"))
+        .sortWithinPartitions("chunk")
     )
-    windows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_chunk_windows, "w long, chunk long, least long, greatest long")
+    windows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_chunk_windows, "w long, code long, least long")
     source = F.min("least").over(Window.partitionBy("w"))
-    repeated = windows.withColumn("source", source).filter(F.col("greatest") > F.col("source")).select("chunk", "w", "source")
+    repeated = windows.withColumn("source", source).filter((F.col("least") > F.col("source")) | (F.col("code") % 2 == 1))
+    repeated = repeated.select(F.shiftright("code", 1).alias("chunk"), "w", "source").sortWithinPartitions("chunk", "source")
     return dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_chunk_removal, _SCHEMA)
 
 
