@@ -169,7 +169,7 @@ def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(h)
     groups = max(1, -(-n // GROUP_KEYS))
-    group = (h % np.uint64(groups)).astype(np.int64)
+    group = _group(h, groups)
     sizes = np.bincount(group, minlength=groups)
     order, begin = np.argsort(group, kind="stable"), np.cumsum(sizes) - sizes
     displacement, slot = np.zeros(groups, dtype="<i8"), np.zeros(n, dtype=np.int64)
@@ -198,6 +198,11 @@ def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return displacement, slot
 
 
+def _group(h: np.ndarray, groups: int) -> np.ndarray:
+    """Group of a key, from other bits than its bucket's remainder."""
+    return (((h * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+
+
 def _slots(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     x = (h >> np.uint64(16)) + (d + np.uint64(1)) * ((h << np.uint64(1)) | np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -217,7 +222,7 @@ class Bucket:
 
     def find(self, h: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, slot records) of keys; a key that was not stored fails its fingerprint."""
-        d = self.displacement[(h % np.uint64(len(self.displacement))).astype(np.int64)]
+        d = self.displacement[_group(h, len(self.displacement))]
         to = np.where(d < 0, -1 - d, _slots(h, np.maximum(d, 0).astype(np.uint64), len(self.slots)))
         records = self.slots[to]
         return records["fingerprint"] == fingerprint, records

@@ -66,6 +66,9 @@ def test_perfect_hash_is_minimal(n):
     h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
     _, slots = token_store.perfect_hash(h)
     assert sorted(slots.tolist()) == list(range(n))
+    # Keys of one bucket share a remainder.
+    _, slots = token_store.perfect_hash(h // np.uint64(12) * np.uint64(12) + np.uint64(5))
+    assert sorted(slots.tolist()) == list(range(n))
 
 
 # ------------------------------------------------------------ op4
