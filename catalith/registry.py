@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .sources.tables import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; ``sql`` is over the domain views."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE_SQL[name] = with_views(sql)
+        return function
+
+    return add
+
+
+from . import queries  # noqa: E402, F401
