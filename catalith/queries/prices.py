@@ -141,9 +141,6 @@ def store_subset_stats(spark, d):
     return grouped.filter("lowest between 100000 and 3000000")
 
 
-_ORDER = [F.col("updated"), F.col("order_id"), F.col("line"), F.col("store_id"), F.col("price"), F.col("original")]
-
-
 def nested(spark, d):
     return O.nested(view(spark, d, "offers"), ["updated", "order_id", "line", "store_id", "price", "original"])
 

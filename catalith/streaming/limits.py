@@ -55,13 +55,10 @@ def anchored_windows(events: DataFrame, seconds: int, limit: int = C.SEARCH_LIMI
 
 
 def anchored_window_stream(events: DataFrame, seconds: int, limit: int = C.SEARCH_LIMIT, count_denied: bool = True) -> DataFrame:
-    """The same over a stream: one window per source is kept as state and expires when idle."""
+    """The same over a stream: one window start and count per source is kept as state."""
     window = seconds * 1_000_000
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = (key[0], *state.get) if state.exists else (None, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         micros = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64).tolist()
@@ -70,11 +67,10 @@ def anchored_window_stream(events: DataFrame, seconds: int, limit: int = C.SEARC
             row, held = _place(key[0], event_id, at, held, window, limit, count_denied)
             out.append((key[0], event_id, pd.Timestamp(at, unit="us"), pd.Timestamp(row[0], unit="us"), row[1], row[2]))
         state.update(held[1:])
-        state.setTimeoutDuration(max(1000, 2 * seconds * 1000))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in _OUT.split(", ")])
 
     grouped = events.select("source", "event_id", "ts").groupBy("source")
-    return grouped.applyInPandasWithState(step, _OUT, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return grouped.applyInPandasWithState(step, _OUT, "start long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
