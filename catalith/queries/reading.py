@@ -275,7 +275,7 @@ def tracked_products(spark, d):
 
 @query("region_hierarchy", "SELECT r_name AS parent, n_name AS child, CAST(2 AS BIGINT) AS depth FROM region JOIN nation ON n_regionkey = r_regionkey")
 def region_hierarchy(spark, d):
-    joined = raw(spark, d, "nation").join(F.broadcast(raw(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = raw(spark, d, "nation").join(raw(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"), F.lit(2).cast("long").alias("depth"))
 
 
