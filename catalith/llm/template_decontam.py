@@ -50,13 +50,22 @@ def _slot(word: Column, before: Column, raw_before: Column) -> Column:
     )
 
 
+def _plain_slot(word: Column, raw_before: Column) -> Column:
+    """The canonical form where the text has no digit: nothing but names can be a slot."""
+    low, starts = F.lower(word), raw_before.isNull() | raw_before.rlike(r"[.!?:]$")
+    return F.when(word == low, word).when(word.rlike(_NAME) & ~starts, F.lit("<name>")).otherwise(low)
+
+
 def _windows(table: DataFrame, key: str) -> DataFrame:
     """(key, h, at, slots) of every window; slots are the values behind its placeholders, in order."""
     raw = F.filter(F.split(F.coalesce("text", F.lit("")), _SPACE), lambda w: w != "")
-    step = table.select(F.col(key), raw.alias("raw"))
-    step = step.select(key, "raw", F.transform("raw", lambda w: F.regexp_replace(w, _EDGES, "")).alias("bare"))
+    step = table.select(F.col(key), raw.alias("raw"), F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)).alias("digits"))
+    bare = F.transform("raw", lambda w: F.when(w.rlike(r"^\p{L}+$"), w).otherwise(F.regexp_replace(w, _EDGES, "")))
+    step = step.select(key, "raw", "digits", bare.alias("bare"))
     before = lambda name, i: F.when(i > 0, F.col(name)[i - 1])
-    canon = F.transform("bare", lambda w, i: _slot(w, before("bare", i), before("raw", i)))
+    canon = F.when(F.col("digits"), F.transform("bare", lambda w, i: _slot(w, before("bare", i), before("raw", i)))).otherwise(
+        F.transform("bare", lambda w, i: _plain_slot(w, before("raw", i)))
+    )
     step = step.filter(F.size("bare") >= WIDTH).select(key, "bare", canon.alias("canon"))
     step = step.select(key, "bare", "canon", F.exists("canon", lambda c: c.startswith("<")).alias("slotted"))
     places = F.sequence(F.lit(0), F.size("canon") - WIDTH)
