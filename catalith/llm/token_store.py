@@ -58,13 +58,28 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], dtype=self.width).tobytes()
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        self.mark = min(special, default=None)
         self.cache = WordCache(self._encode, limit=500_000)
 
     def _encode(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of each word; words go in by the hundred, parted by a special token, which the library never merges."""
         texts = [w.decode() for w in words]
-        for at in range(0, len(texts), 10_000):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False):
-                yield np.array(e.ids, dtype=self.width).tobytes()
+        size = 500 if self.mark else 1
+        runs = [texts[at : at + size] for at in range(0, len(texts), size)]
+        joined = [self.mark[1].join(run) for run in runs] if self.mark else texts
+        for run, encoded in zip(runs, self._batches(joined), strict=True):
+            ids = np.array(encoded.ids, dtype=self.width)
+            cut = np.flatnonzero(ids == self.mark[0]) if self.mark else np.zeros(0, dtype=np.int64)
+            if len(cut) == len(run) - 1:
+                begin, end = np.r_[0, cut + 1], np.r_[cut, len(ids)]
+                yield from (ids[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+            else:  # a word holds the special token itself
+                yield from (np.array(e.ids, dtype=self.width).tobytes() for e in self._batches(run))
+
+    def _batches(self, texts: list[str]):
+        for at in range(0, len(texts), 64):
+            yield from self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").encode().split() for t in texts]

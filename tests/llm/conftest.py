@@ -21,7 +21,7 @@ def edge_rows():
         texts.append(" ".join(near))
     for _ in range(24):  # a passage that many documents share
         texts.append(" ".join(words(r, 20) + passage + words(r, 25)))
-    texts += ["Ünïcode ▁ text\x00 with 漢字 and 😀\r\nlines\x0b here", "A B C D E F", "a b c d e f", "\n".join(["same line here"] * 4)]
+    texts += ["Ünïcode ▁ text\x00 with 漢字 and 😀\r\nlines\x0b here", "A B C D E F", "a b c d e f", "x<|startoftext|>y <|endoftext|> don't STOP,now! 12.5", "\n".join(["same line here"] * 4)]
     texts += [" ".join(words(r, r.randint(1, 90))) for _ in range(30)]
     rows = [(k, t, "en" if k % 2 else None, f"src{k % 3}", None, "x", 1, 2) for k, t in enumerate(texts)]
     return [*rows, rows[7], (None, "text of a row without an id", None, None, None, None, None, None)]
