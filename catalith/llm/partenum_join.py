@@ -14,16 +14,15 @@ links reach.
    in at most k = (x + y) / 7 features, which touch at most k parts, and n is chosen so
    that the larger set has well over k non-empty parts: at least one of them is equal
    in both.
-3. *Candidates.*  Signatures held by up to ``BUCKET`` classes give their pairs.  Larger
-   buckets are common passages or large groups of near copies: they give each class a
-   pair with the least class only.  Such a bucket loses nothing for a set that has over
-   k other non-empty parts, as one of those is equal in any partner too; groups in which
-   even those are shared are tied together through the least classes of their many
-   buckets.
-4. *Filter.*  The same count is a bound: a pair must agree in at least as many parts
-   as the larger set has in small buckets, less k.
-5. *Check.*  Remaining pairs are checked on the sets themselves, the most promising pair
-   of each class first; pairs already inside one component are skipped.
+3. *Prefixes.*  All sets rank the signatures of a band alike, by the number of classes that
+   hold them.  Two sets that link differ in at most k parts, so the rarest signature they
+   share is among the k + 1 rarest of each: a class stays in those buckets only, and a
+   class with over k signatures of its own in none.
+4. *Candidates.*  Buckets of up to ``BUCKET`` classes give their pairs.  Classes that larger
+   buckets tie together (common passages, large groups of near copies) are one *crowd*;
+   a crowd is dealt to blocks, and every two blocks are compared in full, by products of
+   their incidence matrices, of which only degrees and a spanning forest come back.
+5. *Check.*  Every pair of small buckets is checked on the sets themselves.
 
 Edge cases: null texts and texts without words have size 0 and are components of their
 own; repeated rows are members of one class; texts of any length are used whole.
@@ -40,8 +39,10 @@ from .components import components
 from .textkit import Words, cut, map_slices, mix64, signed, split_words, text_buffer
 
 WIDTH = 5
-#: Classes in a bucket that is paired in full.
-BUCKET = 16
+#: Classes in a bucket that is paired row by row; classes and features in a block of a crowd.
+BUCKET, BLOCK, BLOCK_FEATURES = 16, 256, 1 << 19
+#: Columns of an incidence matrix that are multiplied at once.
+_COLUMNS = 4096
 #: Features in a part, on average, for the largest sets of a band, by the band's upper edge.
 _PARTS = ((64, 1 / 16), (256, 1.5), (None, 2.5))
 
@@ -114,6 +115,14 @@ def signatures(row: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def spare_parts(row: np.ndarray, up: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each signature: how many of its set's in the same band are outside the k + 1 rarest."""
+    edges = band_edges(int(size.max(initial=1)))
+    largest = np.minimum(4 * size[row] // 3, edges[np.searchsorted(edges, size)[row] + up])
+    parts = np.bincount(row * 2 + up, minlength=2 * len(size))[row * 2 + up]
+    return np.maximum(parts - (size[row] + largest) // 7 - 1, 0)
+
+
 def _signature_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Signature rows of the distinct sets of a slice; copies sign once."""
     _, row, shingle = shingle_sets(batch)
@@ -122,9 +131,9 @@ def _signature_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     first[np.unique(s1, return_index=True)[1]] = True
     pick = first[row]
     row, up, signature = signatures(row[pick], shingle[pick], size)
-    own = np.bincount(row[up == 0], minlength=batch.num_rows)
+    spare = spare_parts(row, up, size)
     return pa.RecordBatch.from_arrays(
-        [signed(signature), signed(s1[row]), pa.array((own[row] * 2 + up).astype(np.int32))], names=["sig", "s1", "code"]
+        [signed(signature), signed(s1[row]), pa.array((spare * 2 + up).astype(np.int32))], names=["sig", "s1", "code"]
     )
 
 
@@ -137,27 +146,77 @@ def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def candidates(signed_sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes a < b with the number of small buckets they share, parts per class).
+    """(pairs of classes a < b in small buckets, links between the classes of each large bucket).
 
-    ``signed_sets``: sig, s1 (class), code (twice the non-empty parts of the set in its own
-    band, plus 1 for a signature in the band above).  Two signatures from the band above
-    need no bucket: their sets meet in their own band.
+    ``signed_sets``: sig, s1 (class), code (twice the spare parts of the set in the band,
+    plus 1 for a signature in the band above).  Two signatures from the band above need no
+    bucket: their sets meet in their own band.
     """
     same = Window.partitionBy("sig")
     up = F.pmod("code", F.lit(2))
-    met = signed_sets.select("*", *(f("s1").over(same).alias(n) for n, f in (("lo", F.min), ("hi", F.max))), F.min(up).over(same).alias("own"))
-    met = met.filter("lo <> hi and own = 0").select("sig", "s1", "code", "lo").distinct()
-    met = cut(met.select("*", F.count(F.lit(1)).over(same).alias("held")))
-    large, small = met.filter(F.col("held") > BUCKET), met.filter(F.col("held") <= BUCKET)
-    stars = large.filter("s1 <> lo").select(F.col("lo").alias("a"), F.col("s1").alias("b"), F.lit(0).alias("shared"))
-    parts = met.filter(up == 0).groupBy("s1").agg(
-        F.max(F.shiftright("code", 1)).alias("parts"), F.count_if(F.col("held") > BUCKET).alias("crowded")
-    )
-    grouped = small.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("s1", up.alias("up")))).alias("m"))
+    bounds = [f("s1").over(same).alias(n) for n, f in (("lo", F.min), ("hi", F.max))]
+    met = signed_sets.select("*", *bounds, F.min(up).over(same).alias("own"))
+    met = met.filter("lo <> hi and own = 0").select("sig", "s1", "code").distinct()
+    met = met.select("*", F.count(F.lit(1)).over(same).alias("held"))
+    # Signatures that no other class holds are the rarest, so the spare ones are the most held.
+    place = F.row_number().over(Window.partitionBy("s1", "code").orderBy(F.desc("held"), F.desc("sig")))
+    rare = met.withColumn("place", place).filter(F.col("place") > F.shiftright("code", 1)).select("sig", "s1", up.alias("up"))
+    bucket = [F.count(F.lit(1)).over(same).alias("held"), F.min("s1").over(same).alias("lo"), F.min("up").over(same).alias("own")]
+    rare = cut(rare.select("*", *bucket).filter("held > 1 and own = 0"))
+    tied = rare.filter(F.col("held") > BUCKET).filter("s1 <> lo").select(F.col("lo").alias("a"), F.col("s1").alias("b"))
+    grouped = rare.filter(F.col("held") <= BUCKET).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("s1", "up"))).alias("m"))
     ones = grouped.select("m", F.posexplode("m").alias("i", "x"))
     twos = ones.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")).filter("x.up = 0 or y.up = 0")
-    pairs = twos.select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b"), F.lit(1).alias("shared"))
-    return pairs.union(stars).groupBy("a", "b").agg(F.sum("shared").alias("shared")), parts
+    return twos.select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b")).distinct(), tied
+
+
+def linked_matrix(first: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """Which of the sets ``shingle[first[i]:first[i + 1]]`` link with which others."""
+    size = np.diff(first)
+    column, row = np.unique(shingle, return_inverse=True)[1], np.repeat(np.arange(len(size)), size)
+    shared = np.bincount(column)[column] > 1
+    column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(size), len(size)), dtype=np.float32)  # counts are exact below 2**24
+    for at in range(0, int(column.max(initial=-1)) + 1, _COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + _COLUMNS])
+        held = np.zeros((len(size), _COLUMNS), dtype=np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += held @ held.T
+    count = both.astype(np.int64)
+    link = 100 * count >= 75 * (size[:, None] + size[None, :] - count)
+    np.fill_diagonal(link, False)
+    return link
+
+
+def _block_pair(table: pa.Table) -> pa.Table:
+    """(s1, tie, degree) of the classes of two blocks: the least linked class reached inside, and links not seen elsewhere."""
+    s1, block = (table.column(c).to_numpy() for c in ("s1", "block"))
+    sets = table.column("shingles").combine_chunks()
+    first = np.r_[0, np.cumsum(sets.value_lengths().to_numpy())]
+    link = linked_matrix(first, sets.flatten().to_numpy())
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        link &= block[:, None] != block[None, :]
+    label = np.arange(len(s1))
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], len(s1)).min(1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pa.table({"s1": s1, "tie": s1[label], "degree": link.sum(1).astype(np.int64)})
+
+
+def _crowd_links(crowds: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s1, tie, degree) rows of every two blocks of each crowd (s1, crowd)."""
+    sized = crowds.join(classes.select("s1", "size"), "s1")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_FEATURES)).cast("int")
+    dealt = sized.join(sized.groupBy("crowd").agg(blocks.alias("blocks")), "crowd")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "s1", "block")
+    return dealt.join(sets, "s1").groupBy("crowd", "i", "j").applyInArrow(_block_pair, "s1 long, tie long, degree long")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,26 +232,21 @@ def link_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     members = cut(map_slices(docs, _digest_rows, "doc_id long, size long, s1 long, s2 long"))
     classes = cut(members.filter("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")))
-    pairs, parts = candidates(map_slices(docs, _signature_rows, "sig long, s1 long, code int"))
-    facts = classes.join(parts, "s1", "left").na.fill(0, ["parts", "crowded"])
-    side = lambda c: facts.select(F.col("s1").alias(c), F.struct("size", "parts", "crowded").alias(f"f{c}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    x, y = F.least("fa", "fb"), F.greatest("fa", "fb")  # structs compare by size first
-    agree = y["parts"] - y["crowded"] - F.floor((x["size"] + y["size"]) / 7)
-    pairs = cut(pairs.filter((4 * x["size"] >= 3 * y["size"]) & (F.col("shared") >= agree)).select("a", "b", "shared"))
-    # Sets of the classes that are in a pair, from the texts of one document each.
-    wanted = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct().join(classes, "s1")
+    pairs, tied = candidates(map_slices(docs, _signature_rows, "sig long, s1 long, code int"))
+    crowds = cut(components(tied).select(F.col("node").alias("s1"), F.col("component").alias("crowd")))
+    side = lambda c: classes.select(F.col("s1").alias(c), F.col("size").alias(f"size_{c}"))
+    crowd = lambda c: crowds.select(F.col("s1").alias(c), F.col("crowd").alias(f"crowd_{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+    # Pairs inside a crowd are compared there.
+    pairs = pairs.join(crowd("a"), "a", "left").join(crowd("b"), "b", "left")
+    pairs = cut(pairs.filter("crowd_a is null or crowd_b is null or crowd_a <> crowd_b").select("a", "b"))
+    # Sets of the classes to compare, from the texts of one document each.
+    wanted = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).union(crowds.select("s1")).distinct().join(classes, "s1")
     texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = map_slices(texts, _set_rows, "s1 long, shingles array<long>").join(wanted.select("s1"), "s1", "left_semi")
     sets = cut(sets.groupBy("s1").agg(F.first("shingles").alias("shingles")))
-    # The most promising pair of each class first; then what is still between components.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = cut(_checked(best, sets))
-    joined = components(links)
-    label = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}"))
-    between = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    between = between.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    links = cut(links.union(_checked(between, sets)).distinct())
+    checked, crowded = cut(_checked(pairs, sets)), cut(_crowd_links(crowds, classes, sets))
+    links = checked.union(crowded.filter("s1 <> tie").select(F.col("tie").alias("a"), F.col("s1").alias("b")))
     final = components(links)
     labelled = classes.join(final.withColumnRenamed("node", "s1"), "s1", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", F.col("s1")))

@@ -247,6 +247,32 @@ def test_linked_sets_share_a_signature(size):
         assert set(sig[(rows == 0) & (up == 0)]) & set(sig[rows == 1])
 
 
+def linked(texts):
+    """(component, number of linked distinct sets) of each text, by all pairs."""
+    sets = [shingles(t) for t in texts]
+    near = [{frozenset(y) for y in sets if y != x and 100 * len(x & y) >= 75 * len(x | y)} for x in sets]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if frozenset(sets[j]) in near[i] or sets[j] == x:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {k: [(root[k], len(near[k]))] for k in range(len(sets))}
+
+
+def test_partenum_join_in_large_buckets(spark):
+    """A passage of 200 long-tailed documents and a few short-tailed ones: only the latter link."""
+    new = iter(range(10**6))
+    tail = lambda n: " ".join(f"t{next(new)}" for _ in range(n))
+    texts = []
+    for p in range(3):
+        passage = " ".join(f"p{p}x{k}" for k in range(38))
+        texts += [f"{passage} {tail(13)}" for _ in range(200)] + [f"{passage} {tail(2)}" for _ in range(2)]
+    got = by_id(partenum_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "component_id")
+    want = linked(texts)
+    assert got == {k: [(c,)] for k, [(c, _)] in want.items()} and sum(n for [(_, n)] in want.values()) == 6
+
+
 # ------------------------------------------------------------ op9, op10
 
 
