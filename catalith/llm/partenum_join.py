@@ -22,7 +22,8 @@ links reach.
    buckets tie together (common passages, large groups of near copies) are one *crowd*;
    a crowd is dealt to blocks, and every two blocks are compared in full, by products of
    their incidence matrices, of which only degrees and a spanning forest come back.
-5. *Check.*  Every pair of small buckets is checked on the sets themselves.
+5. *Check.*  Every pair of small buckets is checked on the sets themselves, so ``n_links`` is
+   the number of other classes (distinct sets) that a document's set links with.
 
 Edge cases: null texts and texts without words have size 0 and are components of their
 own; repeated rows are members of one class; texts of any length are used whole.
@@ -251,7 +252,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     labelled = classes.join(final.withColumnRenamed("node", "s1"), "s1", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", F.col("s1")))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = checked.select(F.explode(F.array("a", "b")).alias("s1"), F.lit(1).cast("long").alias("degree")).union(crowded.select("s1", "degree"))
+    degree = degree.groupBy("s1").agg(F.sum("degree").alias("n_links"))
     known = cut(labelled.join(least, "component").join(degree, "s1", "left").select("s1", "s2", "component_id", "n_links"))
     out = members.join(known, ["s1", "s2"], "left")
     return out.select(

@@ -268,9 +268,19 @@ def test_partenum_join_in_large_buckets(spark):
     for p in range(3):
         passage = " ".join(f"p{p}x{k}" for k in range(38))
         texts += [f"{passage} {tail(13)}" for _ in range(200)] + [f"{passage} {tail(2)}" for _ in range(2)]
-    got = by_id(partenum_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "component_id")
+    got = by_id(partenum_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "component_id", "n_links")
     want = linked(texts)
-    assert got == {k: [(c,)] for k, [(c, _)] in want.items()} and sum(n for [(_, n)] in want.values()) == 6
+    assert got == want and sum(n for [(_, n)] in want.values()) == 6
+
+
+def test_partenum_join_counts_all_links(spark):
+    """Near copies in more than one block, whose chains leave most pairs unlinked or link them all."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:k], f"x{n}", *words[k + 1 :]]) for n in range(4) for k in range(0, 120, 2)]
+    texts += [" ".join(f"w{k}" for k in range(s, s + 100)) for s in range(500, 800, 3)] + [texts[0], texts[0]]
+    texts += [" ".join([*words[:40], f"y{n}", *words[41:]]) for n in range(80)]
+    got = by_id(partenum_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "component_id", "n_links")
+    assert got == linked(texts)
 
 
 # ------------------------------------------------------------ op9, op10
