@@ -3,8 +3,8 @@
 Everything is DataFrame and SQL functions.  One pass over the texts gives the counts
 of each document; four transformed statistics follow, on an integer grid of 1/64, so
 that every sum below is exact and the verdicts do not depend on the order of rows.
-Per language and source (or per language, or over all, where there are fewer than
-``MIN_GROUP`` documents) the estimates start from coordinate medians and median
+Per language and source the estimates (where there are fewer than ``MIN_GROUP`` usable
+documents, those of all documents of the language, or else of all documents) start from coordinate medians and median
 deviations and are concentrated: the share ``H`` of documents nearest by Mahalanobis
 distance gives the next mean and covariance.  A document is rejected if its distance
 under the last estimates exceeds ``CUTOFF``.
@@ -110,14 +110,15 @@ def _statistics(counts: DataFrame) -> DataFrame:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds g: language and source, or language alone, or all, with enough documents for an estimate."""
+    """Adds g, the finest level (source, language or all) with enough documents for an estimate, and levels, all three."""
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     stats = stats.withColumns({"g2": F.concat_ws("\x1f", part("lang"), part("source")), "g1": part("lang")})
     usable = stats.filter(~F.col("base_failed"))
     large = lambda c: usable.groupBy(c).count().filter(F.col("count") >= MIN_GROUP).select(c, F.lit(True).alias(f"ok_{c}"))
     stats = stats.join(large("g2"), "g2", "left").join(large("g1"), "g1", "left")
     group = F.when(F.col("ok_g2"), F.concat(F.lit("s"), F.col("g2"))).when(F.col("ok_g1"), F.concat(F.lit("l"), F.col("g1")))
-    return stats.withColumn("g", F.coalesce(group, F.lit("*"))).drop("g1", "g2", "ok_g1", "ok_g2")
+    levels = F.array(F.concat(F.lit("s"), F.col("g2")), F.concat(F.lit("l"), F.col("g1")), F.lit("*"))
+    return stats.withColumns({"g": F.coalesce(group, F.lit("*")), "levels": levels}).drop("g1", "g2", "ok_g1", "ok_g2")
 
 
 def _with_factor(estimates: DataFrame, scale: float) -> DataFrame:
@@ -182,7 +183,9 @@ def assess(docs: DataFrame) -> DataFrame:
     numbers per document and aggregates them per group with partial aggregation.
     """
     stats = cut(_grouped(cut(_statistics(base_counts(docs)))))
-    usable = stats.filter(~F.col("base_failed")).select("g", *(f"z{i}" for i in range(_P)))
+    # Each document counts at every level that some document is judged by.
+    usable = stats.filter(~F.col("base_failed")).select(F.explode("levels").alias("g"), *(f"z{i}" for i in range(_P)))
+    usable = cut(usable.join(stats.select("g").distinct(), "g", "left_semi"))
     estimates = cut(_with_factor(_start(usable), 1.0))
     for _ in range(STEPS):
         estimates = cut(_with_factor(_concentrated(_measured(usable, estimates)), CONSISTENCY))

@@ -119,6 +119,16 @@ def test_quality_rejects_symbol_junk_and_matches_numpy(spark):
     assert np.allclose(distance(), [x["distance2"] for _, x in sorted(out.items())], rtol=1e-6, atol=1e-9)
 
 
+def test_quality_small_groups_use_all_documents_of_the_wider_level(spark):
+    """One junk document that is alone in its source, or in its language, beside large sources."""
+    r = np.random.default_rng(6)
+    text = lambda junk=False: " ".join("".join(r.choice(list("abcdefgh"), r.integers(3, 8))) + "###" * junk for _ in range(60))
+    rows = [(k, text(), "en" if k % 2 else "de", "big") for k in range(200)]
+    rows += [(200, text(True), "en", "alone"), (201, text(), "en", "other"), (202, text(True), "fr", "lone"), (203, text(), "it", "lone")]
+    out = {x["doc_id"]: x for x in quality_mcd.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(k for k, x in out.items() if not x["kept"]) == [200, 202]
+
+
 # ------------------------------------------------------------ op5
 
 
