@@ -6,14 +6,18 @@ typed placeholders.  Windows of ``WIDTH`` canonical words of the documents are
 hash-joined with those of the benchmark, so a question with other numbers or names
 still matches.  A match counts only if its slots are consistent: along one alignment of
 document and item, equal values in the item stand against equal values in the document.
+Where they do not, the alignment still counts for its copied runs: windows whose values
+are all the same, if a run of them has a window without slots or ``2 * WIDTH`` words.
 
 Returns one row per document and item that match: doc_id, item_id, n_windows (distinct
 windows of the item found), n_slots (distinct slot values compared), exact (no value
 differs), first_word (of the match, from 0).
 
-Edge cases: null or empty texts and texts shorter than a window match nothing; windows
-with fewer than ``LITERAL`` plain words are ignored on the benchmark's side; repeated
-documents each have their rows; an empty benchmark gives an empty result.
+Edge cases: null or empty texts match nothing; windows with fewer than ``LITERAL`` plain
+words match by their bare words, not by placeholders; an item shorter than a window
+matches whole, anywhere in a document, and one of fewer than ``LITERAL`` words a document
+that is nothing else; repeated documents each have their rows; an empty benchmark gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -74,31 +78,94 @@ def _windows(table: DataFrame, key: str) -> DataFrame:
     window = lambda i: F.struct(
         F.xxhash64(*(F.col("canon")[i + k] for k in range(WIDTH))).alias("h"), i.alias("at"), slots(i).alias("slots")
     )
-    return step.select(key, F.explode(F.transform(places, window)).alias("w")).select(key, "w.h", "w.at", "w.slots")
+    # Windows of mostly placeholders are hashed by their bare words.
+    bare_hash = lambda w: F.xxhash64(F.lit("bare"), *(F.lower(F.col("bare")[w["at"] + k]) for k in range(WIDTH)))
+    dense = lambda w: F.struct(
+        F.when(F.size(w["slots"]) > WIDTH - LITERAL, bare_hash(w)).otherwise(w["h"]).alias("h"), w["at"].alias("at"), w["slots"].alias("slots")
+    )
+    step = step.select(key, "bare", "slotted", F.transform(places, window).alias("w"))
+    step = step.select(key, F.explode(F.when(F.col("slotted"), F.transform("w", dense)).otherwise(F.col("w"))).alias("w"))
+    return step.select(key, "w.h", "w.at", "w.slots")
+
+
+def _bare_words(table: DataFrame, key: str) -> DataFrame:
+    raw = F.filter(F.split(F.coalesce("text", F.lit("")), _SPACE), lambda w: w != "")
+    return table.select(key, F.transform(raw, lambda w: F.lower(F.regexp_replace(w, _EDGES, ""))).alias("bare"))
+
+
+def _short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """Rows of the items that are shorter than a window; None if there are none."""
+    items = _bare_words(benchmark, "item_id").filter(F.size("bare").between(1, WIDTH - 1) & F.exists("bare", lambda w: w != ""))
+    lengths = sorted(r["n"] for r in items.select(F.size("bare").alias("n")).distinct().collect())  # seven at most
+    if not lengths:
+        return None
+    items = items.select("item_id", F.concat_ws(" ", "bare").alias("run"))
+    n_words = F.size("bare")
+
+    def runs(n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(0), n_words - n), lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.slice("bare", i + 1, n)).alias("run")))
+        fits = n_words >= n if n >= LITERAL else n_words == n
+        return F.when(fits, some).otherwise(F.array().cast("array<struct<at:int,run:string>>"))
+
+    found = _bare_words(docs, "doc_id").select("doc_id", F.explode(F.concat(*(runs(n) for n in lengths))).alias("w"))
+    met = found.select("doc_id", "w.at", "w.run").join(items, "run").groupBy("doc_id", "item_id").agg(F.min("at").cast("long").alias("first_word"))
+    one = lambda n: F.lit(n).cast("long")
+    return met.select("doc_id", "item_id", one(1).alias("n_windows"), one(0).alias("n_slots"), F.lit(True).alias("exact"), "first_word")
+
+
+def _copied(same: Column) -> Column:
+    """Of windows without a changed value, by item_at, those in runs that are evidence by themselves."""
+    start = F.array().cast("array<struct<lo:int,hi:int,plain:boolean>>")
+
+    def merge(runs: Column, w: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        plain = F.size(w["pairs"]) == 0
+        run = lambda lo, p: F.array(F.struct(lo.alias("lo"), w["item_at"].alias("hi"), p.alias("plain")))
+        touches = F.coalesce(w["item_at"] - last["hi"] <= WIDTH, F.lit(False))
+        return F.when(touches, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), run(last["lo"], last["plain"] | plain))).otherwise(
+            F.concat(runs, run(w["item_at"], plain))
+        )
+
+    runs = F.filter(F.aggregate(F.array_sort(same), start, merge), lambda r: r["plain"] | (r["hi"] - r["lo"] >= WIDTH))
+    return F.filter(same, lambda w: F.exists(runs, lambda r: (w["item_at"] >= r["lo"]) & (w["item_at"] <= r["hi"])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents (doc_id, text) that hold windows of benchmark items (item_id, text)."""
-    plain = lambda slots: WIDTH - F.coalesce(F.size(slots), F.lit(0))
     items = _windows(benchmark, "item_id").select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    items = items.filter(plain(F.when(F.col("item_slots").isNotNull(), F.col("item_slots"))) >= LITERAL)
     met = _windows(docs, "doc_id").join(items, "h")
     none = F.array().cast("array<string>")
-    pairs = F.arrays_zip(F.coalesce("item_slots", none).alias("item"), F.coalesce("slots", none).alias("doc"))
+    # Windows met by bare words have the item's values.
+    values = F.when(F.size("item_slots") > WIDTH - LITERAL, F.col("item_slots")).otherwise(F.coalesce("slots", none))
+    pairs = F.arrays_zip(F.coalesce("item_slots", none).alias("item"), values.alias("doc"))
     met = met.select("doc_id", "item_id", "at", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    same = F.forall("pairs", lambda p: p["item"] == p["doc"])
     aligned = met.groupBy("doc_id", "item_id", "shift").agg(
         F.collect_set("item_at").alias("places"),
         F.min("at").alias("first_word"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.collect_set(F.when(same, F.struct("item_at", "pairs"))).alias("same"),
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
-    aligned = aligned.filter(F.size(values) == F.size("pairs"))  # each item value has one document value
-    return aligned.groupBy("doc_id", "item_id").agg(
+    consistent = F.size(values) == F.size("pairs")  # each item value has one document value
+    aligned = aligned.select("*", consistent.alias("ok"), F.when(~consistent, _copied(F.col("same"))).alias("copied"))
+    aligned = aligned.filter(F.col("ok") | (F.size("copied") > 0))
+    copied_places = F.transform("copied", lambda w: w["item_at"])
+    aligned = aligned.select(
+        "doc_id",
+        "item_id",
+        F.when(F.col("ok"), F.col("places")).otherwise(copied_places).alias("places"),
+        F.when(F.col("ok"), F.col("first_word")).otherwise(F.array_min(copied_places) + F.col("shift")).alias("first_word"),
+        F.when(F.col("ok"), F.col("pairs")).otherwise(F.array_distinct(F.flatten(F.transform("copied", lambda w: w["pairs"])))).alias("pairs"),
+    )
+    out = aligned.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
         F.max(F.size("pairs")).cast("long").alias("n_slots"),
         F.max(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("exact"),
         F.min("first_word").cast("long").alias("first_word"),
     )
+    short = _short_items(docs, benchmark)
+    return out if short is None else out.unionByName(short)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -179,6 +179,20 @@ def test_template_decontam(spark, no_docs):
     assert template_decontam.leaks(table, items.limit(0)).count() == 0
 
 
+def test_template_decontam_finds_copies_beside_changes_and_of_dense_and_short_items(spark):
+    plain = " ".join(f"{w}" for w in "a long story about the river and its many old bridges that people cross each day".split())
+    long = f"She paid 7 coins there. {plain} and then she paid 7 coins again to them"
+    dense = "Der Lehrer Hans Maier kauft 12 Hefte und 8 Stifte fuer 20 Euro"
+    items = spark.createDataFrame([(1, long), (2, dense), (3, "who wrote the first book?"), (4, "Paris")], "item_id long, text string")
+    docs = [
+        (1, long.replace("7 coins again", "9 coins again")), (2, "Hier: " + dense + " heute"), (3, dense.replace("12", "13").replace("8", "9")),
+        (4, "Tell me who wrote the first book and when"), (5, "who wrote a first book"), (6, "paris."), (7, "They live in Paris now"),
+    ]
+    found = template_decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (4, 3), (6, 4)]
+    assert all(r["exact"] for r in found)
+
+
 # ------------------------------------------------------------ op7
 
 
