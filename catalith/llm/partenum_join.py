@@ -243,7 +243,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     pairs = cut(pairs.filter("crowd_a is null or crowd_b is null or crowd_a <> crowd_b").select("a", "b"))
     # Sets of the classes to compare, from the texts of one document each.
     wanted = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).union(crowds.select("s1")).distinct().join(classes, "s1")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.join(wanted.select("rep"), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
     sets = map_slices(texts, _set_rows, "s1 long, shingles array<long>").join(wanted.select("s1"), "s1", "left_semi")
     sets = cut(sets.groupBy("s1").agg(F.first("shingles").alias("shingles")))
     checked, crowded = cut(_checked(pairs, sets)), cut(_crowd_links(crowds, classes, sets))
@@ -277,9 +277,12 @@ WITH RECURSIVE d AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
 ), link AS (
   SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), class AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id
+), degree AS (
+  SELECT a, count(DISTINCT cb.k) AS n FROM link JOIN class ca ON ca.doc_id = a JOIN class cb ON cb.doc_id = b WHERE ca.k <> cb.k GROUP BY a
 ), reach AS (
   SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a
 )
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id
-FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, coalesce(any_value(degree.n), 0)::BIGINT AS n_links
+FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN degree ON degree.a = d.doc_id GROUP BY d.doc_id
 """
