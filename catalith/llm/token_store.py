@@ -9,7 +9,7 @@ reads one displacement and one slot, whatever the size of the store.
 Layout under ``root``::
 
     shards/<name>.ids     raw ids, ascending doc_id
-    index/<bucket>.mph    header, displacements, slots (SLOT records)
+    index/<bucket>.mph    header (keys, groups, seed), displacements, slots (SLOT records)
     entries/              Parquet: one row per document, as written
 
 Edge cases: a null or empty text is the end id alone.  A key is the doc_id with the
@@ -19,7 +19,9 @@ a key of its own.  An empty table gives an empty store.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkit import slices, text_bytes
+from .textkit import mix64, slices, text_bytes
 from .wordcache import WordCache
 
 SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("n", "<i8"), ("offset", "<i8")])
@@ -39,16 +41,25 @@ SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("n", "<i8"), ("offse
 BUCKET_KEYS, GROUP_KEYS = 16_384, 2
 #: Bytes of text in a shard.
 SHARD_TEXT_BYTES = 16 << 20
+#: Seeds tried for a bucket before its keys are taken to share both hashes.
+SEEDS = 8
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Words of these characters alone are cut into pieces here: no normal form reaches across them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
 class WordEncoder:
-    """The tokenizers library over the distinct words of a slice.
+    """The tokenizers library over the distinct pieces of words.
 
-    Exact for tokenizers that drop white space and never merge across it.
+    Exact for tokenizers that drop white space and never merge across it; others are
+    refused.  Where the file names the pattern that cuts text before merging, each plain
+    word is cut by that pattern, so words that differ in case or punctuation share the
+    library's work; all other words go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -56,24 +67,64 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids(" one  two\n") != ids("one") + ids("two") or ids(" \t\n"):
+            raise ValueError("only tokenizers that drop white space are supported")
         self.width = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], dtype=self.width).tobytes()
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip)]
         self.mark = min(special, default=None)
-        self.cache = WordCache(self._encode, limit=500_000)
-
-    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
-        """Ids of each word; words go in by the hundred, parted by a special token, which the library never merges."""
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or "(?!)", re.IGNORECASE)
+        self.pattern, self.lower = self._cutter()  # the pattern also finds line ends
+        self.pieces = WordCache(self._encode, limit=600_000)
+        self.cache = WordCache(self._joined, limit=400_000)
+
+    def _cutter(self):
+        """(pattern of the pieces, whether they are lower-cased), or (None, False) for tokenizers of another form."""
+        import regex
+
+        spec = json.loads(self.tokenizer.to_str())
+        listed = lambda part, name: part.get(name, [part]) if part else []
+        normal = [n["type"] for n in listed(spec["normalizer"], "normalizers")]
+        cut = listed(spec["pre_tokenizer"], "pretokenizers")
+        known = set(normal) <= {"NFC", "Replace", "Lowercase"} and cut and cut[0]["type"] == "Split"
+        if self.mark and known and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and "Regex" in cut[0]["pattern"]:
+            pattern = regex.compile(f"(?:{cut[0]['pattern']['Regex']})|\n")
+            if not pattern.groups:
+                return pattern, "Lowercase" in normal
+        return None, False
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, from those of its pieces; the words' pieces are found in one text of a word a line."""
         texts = [w.decode() for w in words]
+        lines = [t if self.pattern and _PLAIN.fullmatch(t) and not self.added.search(t) else None for t in texts]
+        plain = "\n".join([t for t in lines if t is not None])
+        pieces = self.pattern.findall(plain.lower() if self.lower else plain) if plain else []
+        other = [t for t, line in zip(texts, lines, strict=True) if line is None]
+        known = self.pieces.ensure(set(pieces).difference("\n").union(other))
+        ends = np.array([self.mark[0]], dtype=self.width).tobytes() if self.mark else b""
+        ids = b"".join([known[p] if p != "\n" else ends for p in pieces])
+        found = iter(self._parted(ids) if plain else ())
+        return [known[t] if line is None else next(found) for t, line in zip(texts, lines, strict=True)]
+
+    def _parted(self, data: bytes) -> list[bytes]:
+        """Runs of ids between special tokens."""
+        size = np.dtype(self.width).itemsize
+        at = np.flatnonzero(np.frombuffer(data, dtype=self.width) == self.mark[0]) * size
+        begin, end = [0, *(at + size).tolist()], [*at.tolist(), len(data)]
+        return [data[a:b] for a, b in zip(begin, end, strict=True)]
+
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each piece; pieces go in by the hundred, parted by a special token, which the library never merges."""
         size = 500 if self.mark else 1
-        runs = [texts[at : at + size] for at in range(0, len(texts), size)]
-        joined = [self.mark[1].join(run) for run in runs] if self.mark else texts
+        runs = [words[at : at + size] for at in range(0, len(words), size)]
+        joined = [self.mark[1].join(run) for run in runs] if self.mark else words
         for run, encoded in zip(runs, self._batches(joined), strict=True):
-            ids = np.array(encoded.ids, dtype=self.width)
-            cut = np.flatnonzero(ids == self.mark[0]) if self.mark else np.zeros(0, dtype=np.int64)
-            if len(cut) == len(run) - 1:
-                begin, end = np.r_[0, cut + 1], np.r_[cut, len(ids)]
-                yield from (ids[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+            data = np.array(encoded.ids, dtype=self.width).tobytes()
+            parts = self._parted(data) if self.mark else [data]
+            if len(parts) == len(run):
+                yield from parts
             else:  # a word holds the special token itself
                 yield from (np.array(e.ids, dtype=self.width).tobytes() for e in self._batches(run))
 
@@ -81,8 +132,8 @@ class WordEncoder:
         for at in range(0, len(texts), 64):
             yield from self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode().split() for t in texts]
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        cut = [(t or b"").split() for t in texts]
         known = self.cache.ensure(set().union(*cut))
         return [b"".join([known[w] for w in words]) + self.end for words in cut]
 
@@ -125,7 +176,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int) ->
             for part in slices(batch):
                 if out is None:
                     out = fs.open_output_stream(f"{path}/shards/{name}.ids")
-                ids = encoder(tokenizer_path, end_id).encode_all(part.column("text").to_pylist())
+                ids = encoder(tokenizer_path, end_id).encode_all(part.column("text").cast(pa.binary()).to_pylist())
                 size = np.dtype(width).itemsize
                 n = np.array([len(b) // size for b in ids], dtype=np.int64)
                 repeats = []
@@ -158,15 +209,18 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int) ->
         fs, path = open_fs(root)
         bucket = table.column("bucket")[0].as_py()
         slots = np.zeros(table.num_rows, dtype=SLOT)
-        h = table.column("h").to_numpy().view(np.uint64)
-        displacement, at = perfect_hash(h)
+        h, fingerprint = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "print"))
+        seed = next((k for k in range(SEEDS) if len(np.unique(seeded(h, fingerprint, k))) == len(h)), None)
+        if seed is None:
+            raise ValueError("two keys share 128 bits of hash")
+        displacement, at = perfect_hash(seeded(h, fingerprint, seed))
         for name, column in (("shard", "shard"), ("n", "n"), ("offset", "offset")):
             slots[name][at] = table.column(column).to_numpy()
-        slots["fingerprint"][at] = table.column("print").to_numpy().view(np.uint64)
+        slots["fingerprint"][at] = fingerprint
         fs.create_dir(f"{path}/index", recursive=True)
         temporary = f"{path}/index/.{uuid.uuid4().hex}"
         with fs.open_output_stream(temporary) as out:
-            out.write(np.array([len(slots), len(displacement)], dtype="<i8").tobytes() + displacement.tobytes() + slots.tobytes())
+            out.write(np.array([len(slots), len(displacement), seed], dtype="<i8").tobytes() + displacement.tobytes() + slots.tobytes())
         fs.move(temporary, f"{path}/index/{bucket}.mph")
         return pa.table({"bucket": [bucket], "keys": pa.array([len(slots)], pa.int64())})
 
@@ -176,6 +230,11 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int) ->
     return Store(root, buckets, width)
 
 
+def seeded(h: np.ndarray, fingerprint: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of keys for a bucket's seed; seeds over 0 bring in the fingerprints, for buckets where two keys share ``h``."""
+    return h if not seed else mix64(h + mix64(fingerprint ^ np.uint64(seed)))
+
+
 def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(displacements, slot of each key) of a minimal perfect hash of distinct 64-bit keys.
 
@@ -231,12 +290,13 @@ class Bucket:
         fs, path = open_fs(store.root)
         with fs.open_input_file(f"{path}/index/{bucket}.mph") as f:
             data = f.read()
-        n, groups = np.frombuffer(data, dtype="<i8", count=2).tolist()
-        self.displacement = np.frombuffer(data, dtype="<i8", count=groups, offset=16)
-        self.slots = np.frombuffer(data, dtype=SLOT, count=n, offset=16 + 8 * groups)
+        n, groups, self.seed = np.frombuffer(data, dtype="<i8", count=3).tolist()
+        self.displacement = np.frombuffer(data, dtype="<i8", count=groups, offset=24)
+        self.slots = np.frombuffer(data, dtype=SLOT, count=n, offset=24 + 8 * groups)
 
     def find(self, h: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, slot records) of keys; a key that was not stored fails its fingerprint."""
+        h = seeded(h, fingerprint, self.seed)
         d = self.displacement[_group(h, len(self.displacement))]
         to = np.where(d < 0, -1 - d, _slots(h, np.maximum(d, 0).astype(np.uint64), len(self.slots)))
         records = self.slots[to]

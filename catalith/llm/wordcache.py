@@ -1,8 +1,10 @@
 """A bounded per-process memo from words to small encoded values.
 
 Tokenizers whose result for a text is the concatenation of the results for its
-words can skip repeated words.  The memo holds ``limit`` words at most and is
-emptied when full, so a worker's memory stays bounded whatever the corpus.
+words can skip repeated words.  The memo holds ``limit`` words at most, in two
+generations: when the young one is full it becomes the old one, and words of the old
+one that are met again move up, so frequent words stay and a worker's memory is
+bounded whatever the corpus.  One call may go over the limit by its own words.
 """
 
 from __future__ import annotations
@@ -12,14 +14,17 @@ from collections.abc import Callable, Sequence
 
 class WordCache:
     def __init__(self, encode: Callable[[list], Sequence], limit: int = 250_000) -> None:
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.half, self.young, self.old = encode, limit // 2, {}, {}
 
     def ensure(self, words: set) -> dict:
-        """The memo, holding every word of ``words``."""
-        new = [w for w in words if w not in self.known]
+        """The young generation, holding every word of ``words``."""
+        new = [w for w in words if w not in self.young]
+        if new and len(self.young) + len(new) > self.half:
+            self.old, self.young = self.young, {}
+            new = list(words)
         if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known = {}
-                new = list(words)
-            self.known.update(zip(new, self.encode(new), strict=True))
-        return self.known
+            old = self.old
+            self.young.update({w: old[w] for w in new if w in old})
+            fresh = [w for w in new if w not in old]
+            self.young.update(zip(fresh, self.encode(fresh), strict=True))
+        return self.young

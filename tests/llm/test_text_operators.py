@@ -71,6 +71,31 @@ def test_perfect_hash_is_minimal(n):
     assert sorted(slots.tolist()) == list(range(n))
 
 
+def test_buckets_with_equal_hashes_get_a_seed():
+    """Two keys of one 64-bit hash are told apart by their fingerprints; the first seed does not, so another is stored."""
+    h = np.array([5, 5, 9], dtype=np.uint64)
+    fingerprint = np.array([1, 2, 3], dtype=np.uint64)
+    assert len(np.unique(token_store.seeded(h, fingerprint, 0))) == 2
+    again = token_store.seeded(h, fingerprint, 1)
+    assert len(np.unique(again)) == 3 and sorted(token_store.perfect_hash(again)[1].tolist()) == [0, 1, 2]
+
+
+def test_word_encoder_equals_the_library_on_odd_words():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, encoder, r = Tokenizer.from_file(path), token_store.encoder(path, 2), random.Random(2)
+    parts = "a 's ' '' don't STOP'RE É ß İ ſ e\u0301 =\u0338 1 ٣ 12 . ... <|startoftext|> <|EndOfText|> <|endoftext|> <| |> x 漢 😀 \x00 \x1c Ω ÿ ÷ × µ K".split(" ")
+    parts += [" ", "  ", "\n", "\u00a0"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(5000)] + [None]
+    for text, ids in zip(texts, encoder.encode_all([None if t is None else t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, encoder.width).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    with pytest.raises(ValueError, match="white space"):
+        token_store.WordEncoder(P.path("byte_bpe_50k.json"), 2)
+
+
 # ------------------------------------------------------------ op4
 
 
