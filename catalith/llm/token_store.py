@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("n", "<i8"), ("offse
 BUCKET_KEYS, GROUP_KEYS = 16_384, 2
 #: Bytes of text in a shard.
 SHARD_TEXT_BYTES = 16 << 20
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 4 << 20
 #: Seeds tried for a bucket before its keys are taken to share both hashes.
 SEEDS = 8
 
@@ -50,7 +53,7 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: Words of these characters alone are cut into pieces here: no normal form reaches across them.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN, _PLAIN_LINES = re.compile("[!-~À-ÖØ-öø-ÿ]+"), re.compile("[!-~À-ÖØ-öø-ÿ\n]+")
 
 
 class WordEncoder:
@@ -95,18 +98,22 @@ class WordEncoder:
                 return pattern, "Lowercase" in normal
         return None, False
 
-    def _joined(self, words: list[bytes]) -> list[bytes]:
+    def _joined(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from those of its pieces; the words' pieces are found in one text of a word a line."""
-        texts = [w.decode() for w in words]
-        lines = [t if self.pattern and _PLAIN.fullmatch(t) and not self.added.search(t) else None for t in texts]
-        plain = "\n".join([t for t in lines if t is not None])
-        pieces = self.pattern.findall(plain.lower() if self.lower else plain) if plain else []
-        other = [t for t, line in zip(texts, lines, strict=True) if line is None]
-        known = self.pieces.ensure(set(pieces).difference("\n").union(other))
-        ends = np.array([self.mark[0]], dtype=self.width).tobytes() if self.mark else b""
-        ids = b"".join([known[p] if p != "\n" else ends for p in pieces])
-        found = iter(self._parted(ids) if plain else ())
-        return [known[t] if line is None else next(found) for t, line in zip(texts, lines, strict=True)]
+        whole = "\n".join(words)
+        if self.pattern and _PLAIN_LINES.fullmatch(whole) and not self.added.search(whole):
+            return self._from_pieces(whole)
+        plain = [bool(self.pattern and _PLAIN.fullmatch(w) and not self.added.search(w)) for w in words]
+        known = self.pieces.ensure({w for w, p in zip(words, plain, strict=True) if not p})
+        others = [None if p else known[w] for w, p in zip(words, plain, strict=True)]
+        found = iter(self._from_pieces("\n".join(w for w, p in zip(words, plain, strict=True) if p)) if any(plain) else ())
+        return [next(found) if p else ids for ids, p in zip(others, plain, strict=True)]
+
+    def _from_pieces(self, lines: str) -> list[bytes]:
+        pieces = self.pattern.findall(lines.lower() if self.lower else lines)
+        known = self.pieces.ensure(set(pieces) - {"\n"})
+        known["\n"] = np.array([self.mark[0]], dtype=self.width).tobytes()
+        return self._parted(b"".join([known[p] for p in pieces]))
 
     def _parted(self, data: bytes) -> list[bytes]:
         """Runs of ids between special tokens."""
@@ -132,10 +139,25 @@ class WordEncoder:
         for at in range(0, len(texts), 64):
             yield from self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)
 
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [(t or b"").split() for t in texts]
-        known = self.cache.ensure(set().union(*cut))
-        return [b"".join([known[w] for w in words]) + self.end for words in cut]
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with the end id; number of ids of each text)."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        # No word holds a line end, so one text of all words is taken to Python at once.
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_py().split("\n")
+        known = self.cache.ensure(set(words) - {""})
+        parts = [known[w] if w else b"" for w in words] + [self.end]
+        size = np.dtype(self.width).itemsize
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // size
+        begin = np.cumsum(lengths) - lengths
+        # Every text is its words' codes and the code of the end.
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(words))
+        n = lengths[codes]
+        after = np.cumsum(n)
+        gather = np.repeat(begin[codes] - after + n, n) + np.arange(after[-1] if len(after) else 0)
+        counts = np.diff(after[ends + np.arange(len(ends))], prepend=0)
+        return np.frombuffer(b"".join(parts), dtype=self.width)[gather], counts
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -173,18 +195,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int) ->
         name, offset, out = uuid.uuid4().hex, 0, None
         started, last, repeat = False, None, 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=ENCODED_BYTES):
                 if out is None:
                     out = fs.open_output_stream(f"{path}/shards/{name}.ids")
-                ids = encoder(tokenizer_path, end_id).encode_all(part.column("text").cast(pa.binary()).to_pylist())
-                size = np.dtype(width).itemsize
-                n = np.array([len(b) // size for b in ids], dtype=np.int64)
+                ids, n = encoder(tokenizer_path, end_id).encode_all(part.column("text"))
                 repeats = []
                 for doc_id in part.column("doc_id").to_pylist():
                     repeat = repeat + 1 if started and doc_id == last else 0
                     started, last = True, doc_id
                     repeats.append(repeat)
-                out.write(b"".join(ids))
+                out.write(ids.tobytes())
                 begin = offset + np.cumsum(n) - n
                 offset += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
