@@ -3,18 +3,29 @@
 Everything is DataFrame and SQL functions.  One pass over the texts gives the counts
 of each document; four transformed statistics follow, on an integer grid of 1/64, so
 that every sum below is exact and the verdicts do not depend on the order of rows.
-Per language and source the estimates (where there are fewer than ``MIN_GROUP`` usable
-documents, those of all documents of the language, or else of all documents) start from coordinate medians and median
-deviations and are concentrated: the share ``H`` of documents nearest by Mahalanobis
-distance gives the next mean and covariance.  A document is rejected if its distance
-under the last estimates exceeds ``CUTOFF``.
-
-Statistics: log mean word length, log symbol rate, share of repeated lines, share of
-words in repeated windows.  ``FLOORS`` are least standard deviations: most texts have
-no symbols at all, and a covariance of nothing but zeros has no inverse.
-
-Edge cases: a null or empty text has no words and fails the base rules; nulls in lang
-or source are a group of their own; repeated rows each count; an empty table gives an
+Documents with equal statistics are counted together before anything else, so a group
+is as large as its part of the grid, whatever its number of documents.
+
+Per language and source (where there are fewer than ``MIN_GROUP`` usable documents, all
+those of the language, or else all) the minimum covariance determinant is sought from
+three deterministic starts: the documents nearest by coordinate medians and median
+deviations, by plain distance from the medians, and by mean and covariance.  From each,
+concentration steps (the share ``H`` of documents nearest by Mahalanobis distance gives
+the next mean and covariance) run until no determinant falls; the least determinant of
+the three stays, and mean and covariance are taken once more over the documents within
+the 97.5 % ellipsoid.  ``GUARD``, a grid step squared on the diagonal, keeps matrices of
+statistics that are constant in a group regular.
+
+Statistics: log mean word length, and square roots of symbols per word, of the share of
+repeated lines, and of the share of words in repeated windows.  A short text says little
+of its author's rates: a document's distance is taken under the group's covariance plus
+the squared change that chance would make in this document (half a mean word length over
+the root of its words; one symbol, one line, one repeated window), where more than
+``EVIDENCE`` words count as so many.  A document is rejected if its squared distance
+exceeds ``CUTOFF``.
+
+Edge cases: a null or empty text has no words and fails the base rules; a null lang or
+source is a value of its own; repeated rows each count; an empty table gives an
 empty result; input columns other than doc_id, text, lang and source are ignored.
 """
 
@@ -31,15 +42,20 @@ SPACE, GRID = r"[\x20\x09-\x0D]+", 64
 WINDOW = 5
 MIN_GROUP = 50
 #: Share of a group that the estimates keep, and the factor that makes them consistent for
-#: normal data with 4 dimensions: H / P(chi2(6) <= quantile of chi2(4) at H).
+#: normal data with 4 dimensions: H / P(chi2(6) <= quantile of chi2(4) at H); the same at 0.975.
 H, CONSISTENCY = 0.75, 1.485
-#: Least standard deviation of each statistic, and the greatest squared distance of a kept
-#: document (chi2 with 4 degrees of freedom at 1 - 1e-5).
-FLOORS = (0.2, 0.4, 0.15, 0.12)
+WITHIN, WITHIN_CONSISTENCY = 11.143, 1.0645
+GUARD = 1 / GRID**2
+#: The greatest squared distance of a kept document (chi2 with 4 degrees of freedom at 1 - 1e-5).
 CUTOFF = 28.5
-STEPS = 3
-_P = len(FLOORS)
+EVIDENCE, EVIDENCE_LINES = 200, 25
+#: Concentration steps, if determinants still fall.
+MOST_STEPS = 30
+#: Rows of a table of groups up to which it is broadcast (under 300 bytes each); beyond, the join is salted.
+BROADCAST_ROWS, SALTS = 100_000, 64
+_P = 4
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+_Z = [f"z{i}" for i in range(_P)]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -98,98 +114,146 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def _statistics(counts: DataFrame) -> DataFrame:
-    """Adds z0..z3, the transformed statistics on the integer grid."""
+    """Adds z0..z3, the transformed statistics on the integer grid, and the keys of a document's levels."""
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     z = [
         F.log(F.greatest("word_chars", F.lit(1)) / words),
-        F.log1p(100 * F.col("n_symbols") / words),
-        F.col("n_dup_lines") / lines,
-        F.col("n_repeat_words") / words,
+        F.sqrt(F.col("n_symbols") / words),
+        F.sqrt(F.col("n_dup_lines") / lines),
+        F.sqrt(F.col("n_repeat_words") / words),
     ]
-    return counts.withColumns({f"z{i}": F.floor(GRID * x + 0.5).cast("long") for i, x in enumerate(z)})
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    levels = {"s": F.concat(F.lit("s"), part("lang"), F.lit("\x1f"), part("source")), "l": F.concat(F.lit("l"), part("lang"))}
+    return counts.withColumns({f"z{i}": F.floor(GRID * x + 0.5).cast("long") for i, x in enumerate(z)} | levels)
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds g, the finest level (source, language or all) with enough documents for an estimate, and levels, all three."""
-    part = lambda c: F.coalesce(F.col(c), F.lit(""))
-    stats = stats.withColumns({"g2": F.concat_ws("\x1f", part("lang"), part("source")), "g1": part("lang")})
-    usable = stats.filter(~F.col("base_failed"))
-    large = lambda c: usable.groupBy(c).count().filter(F.col("count") >= MIN_GROUP).select(c, F.lit(True).alias(f"ok_{c}"))
-    stats = stats.join(large("g2"), "g2", "left").join(large("g1"), "g1", "left")
-    group = F.when(F.col("ok_g2"), F.concat(F.lit("s"), F.col("g2"))).when(F.col("ok_g1"), F.concat(F.lit("l"), F.col("g1")))
-    levels = F.array(F.concat(F.lit("s"), F.col("g2")), F.concat(F.lit("l"), F.col("g1")), F.lit("*"))
-    return stats.withColumns({"g": F.coalesce(group, F.lit("*")), "levels": levels}).drop("g1", "g2", "ok_g1", "ok_g2")
+def _noise() -> list[Column]:
+    """The change of each statistic that chance would make in a document."""
+    words = F.least(F.greatest("n_words", F.lit(1)), F.lit(EVIDENCE))
+    lines = F.least(F.greatest("n_lines", F.lit(1)), F.lit(EVIDENCE_LINES))
+    return [0.5 / F.sqrt(words), 1 / F.sqrt(words), 1 / F.sqrt(lines), F.sqrt(2 * WINDOW / words)]
 
 
-def _with_factor(estimates: DataFrame, scale: float) -> DataFrame:
-    """Estimates (g, m*, c*_*) with the entries of the inverse Cholesky factor, computed once per group."""
-    low: dict[tuple[int, int], Column] = {}
-    out = estimates
+def _attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join with a table of groups without gathering a group's rows: by broadcast if it is small, else by salted keys."""
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def _factor(matrix: Callable[[int, int], Column], out: DataFrame) -> DataFrame:
+    """Adds l<i>_<j>, the Cholesky factor of a matrix of columns."""
     for i in range(_P):
         for j in range(i + 1):
-            floor = FLOORS[i] ** 2 if i == j else 0.0
-            rest = F.col(f"c{i}_{j}") * scale + floor - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}")
-            out = out.withColumn(f"l{i}_{j}", low[i, j])
-    return out.select("g", *(f"m{i}" for i in range(_P)), *(f"l{i}_{j}" for i, j in _PAIRS))
+            rest = matrix(i, j) - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
+            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
+    return out
 
 
-def _measured(stats: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds d2, the squared distance under the estimates of a document's group."""
-    out = stats.join(estimates, "g", "left")
+def _distance(rows: DataFrame) -> DataFrame:
+    """Adds d2, from z, m and the factor's columns, which go."""
+    keep, out = [c for c in rows.columns if not c.startswith("l") or "_" not in c], rows
     for i in range(_P):
         rest = F.col(f"z{i}") / GRID - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(_P)), F.lit(0.0))
-    return out.select(*stats.columns, d2.alias("d2"))
+    return out.select(*(c for c in keep if c[0] not in "mc" or not c[1:2].isdigit()), d2.alias("d2"))
 
 
-def _start(usable: DataFrame) -> DataFrame:
-    """Medians and median deviations of each coordinate; the grid bounds the values an aggregate holds."""
-    medians = usable.groupBy("g").agg(*(F.percentile(f"z{i}", F.lit(0.5)).alias(f"m{i}") for i in range(_P)))
-    around = usable.join(medians, "g").groupBy("g").agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(_P)),
-        *(F.percentile(F.abs(F.col(f"z{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(_P)),
-    )
-    return around.select(
-        "g",
-        *((F.col(f"m{i}") / GRID).alias(f"m{i}") for i in range(_P)),
-        *((F.pow(1.4826 * F.col(f"s{i}") / GRID, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS),
-    )
+def _regular(i: int, j: int) -> Column:
+    return F.col(f"c{i}_{j}") + (GUARD if i == j else 0.0)
 
 
-def _concentrated(measured: DataFrame) -> DataFrame:
-    """Mean and covariance of the share H of each group with the least distances (ties included)."""
-    binned = measured.withColumn("bin", F.floor(GRID * F.log1p("d2")))
-    limits = binned.groupBy("g").agg(F.percentile("bin", F.lit(H)).alias("limit"))
-    near = binned.join(limits, "g").filter(F.col("bin") <= F.col("limit"))
-    sums = near.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.sum(f"z{i}").alias(f"t{i}") for i in range(_P)),
-        *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS),
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Three estimates (g, start, m*, c*) of each group."""
+    count = F.col("n")
+    medians = vectors.groupBy("g").agg(*(F.percentile(z, F.lit(0.5), count).alias(f"q{i}") for i, z in enumerate(_Z)))
+    around = _attach(vectors, cut(medians), ["g"]).groupBy("g").agg(
+        *(F.first(f"q{i}").alias(f"q{i}") for i in range(_P)),
+        *(F.percentile(F.abs(F.col(z) - F.col(f"q{i}")), F.lit(0.5), count).alias(f"s{i}") for i, z in enumerate(_Z)),
     )
-    mean = lambda i: F.col(f"t{i}") / F.col("n") / GRID
-    return sums.select(
+    center = [(F.col(f"q{i}") / GRID).alias(f"m{i}") for i in range(_P)]
+    diagonal = lambda v: [(v(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS]
+    spread = lambda i: F.pow(1.4826 * F.col(f"s{i}") / GRID, F.lit(2))
+    one = around.select("g", F.lit(0).alias("start"), *center, *diagonal(spread))
+    two = around.select("g", F.lit(1).alias("start"), *center, *diagonal(lambda i: F.lit(1.0)))
+    three = _moments(vectors.withColumn("start", F.lit(2))).drop("logdet")
+    return one.unionByName(two).unionByName(three)
+
+
+def _moments(near: DataFrame) -> DataFrame:
+    """Mean, covariance and log determinant of each (g, start)."""
+    n = F.col("n")
+    sums = near.groupBy("g", "start").agg(
+        F.sum(n).alias("t"),
+        *(F.sum(n * F.col(z)).alias(f"t{i}") for i, z in enumerate(_Z)),
+        *(F.sum(n * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS),
+    )
+    mean = lambda i: F.col(f"t{i}") / F.col("t") / GRID
+    out = sums.select(
         "g",
+        "start",
         *(mean(i).alias(f"m{i}") for i in range(_P)),
-        *((F.col(f"t{i}_{j}") / F.col("n") / GRID**2 - mean(i) * mean(j)).alias(f"c{i}_{j}") for i, j in _PAIRS),
+        *((F.col(f"t{i}_{j}") / F.col("t") / GRID**2 - mean(i) * mean(j)).alias(f"c{i}_{j}") for i, j in _PAIRS),
     )
+    logdet = sum((2 * F.log(f"l{i}_{i}") for i in range(_P)), F.lit(0.0))
+    return _factor(_regular, out).select(*out.columns, logdet.alias("logdet"))
+
+
+def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(g, start, z*, n, d2) of every vector under every estimate of its group."""
+    return _distance(_attach(vectors, _factor(_regular, estimates), ["g"], "inner"))
+
+
+def _concentrated(measured: DataFrame) -> DataFrame:
+    """Moments of the share H of each group with the least distances (ties included)."""
+    place = measured.withColumn("place", F.floor(F.col("d2") * (1 << 20)))
+    limits = place.groupBy("g", "start").agg(F.percentile("place", F.lit(H), F.col("n")).alias("limit"))
+    return _moments(_attach(place, cut(limits), ["g", "start"], "inner").filter("place <= limit"))
+
+
+def estimate(vectors: DataFrame) -> DataFrame:
+    """Robust mean and covariance (m*, c*) per group of weighted vectors (g, z*, n)."""
+    estimates, least = cut(_starts(vectors)), None
+    for _ in range(MOST_STEPS):
+        estimates = cut(_concentrated(_measured(vectors, estimates.drop("logdet"))))
+        total = estimates.agg(F.sum("logdet")).first()[0]
+        if total is None or (least is not None and total > least - 1e-9):
+            break
+        least = total
+    columns = ["start", *(f"m{i}" for i in range(_P)), *(f"c{i}_{j}" for i, j in _PAIRS)]
+    best = estimates.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
+    best = cut(_scaled(best, CONSISTENCY))
+    within = _measured(vectors, best).filter(F.col("d2") <= WITHIN)
+    return _scaled(_moments(within), WITHIN_CONSISTENCY).drop("start")
+
+
+def _scaled(estimates: DataFrame, factor: float) -> DataFrame:
+    moments = [F.col(f"m{i}") for i in range(_P)] + [(F.col(f"c{i}_{j}") * factor).alias(f"c{i}_{j}") for i, j in _PAIRS]
+    return estimates.select("g", "start", *moments)
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document.
 
     The counts are written once to the shared folder; every later step reads those few
-    numbers per document and aggregates them per group with partial aggregation.
+    numbers per document, or counts of equal ones.
     """
-    stats = cut(_grouped(cut(_statistics(base_counts(docs)))))
-    # Each document counts at every level that some document is judged by.
-    usable = stats.filter(~F.col("base_failed")).select(F.explode("levels").alias("g"), *(f"z{i}" for i in range(_P)))
-    usable = cut(usable.join(stats.select("g").distinct(), "g", "left_semi"))
-    estimates = cut(_with_factor(_start(usable), 1.0))
-    for _ in range(STEPS):
-        estimates = cut(_with_factor(_concentrated(_measured(usable, estimates)), CONSISTENCY))
-    out = _measured(stats, estimates)
+    stats = cut(_statistics(base_counts(docs)))
+    vectors = cut(stats.filter(~F.col("base_failed")).groupBy("s", "l", *_Z).agg(F.count(F.lit(1)).alias("n")))
+    level = lambda c: vectors.groupBy(F.col(c).alias("g")).agg(F.sum("n").alias("size")).filter(F.col("size") >= MIN_GROUP).select("g")
+    sources, languages = cut(level("s")), cut(level("l"))
+    every = vectors.select(F.explode(F.array("s", "l", F.lit("*"))).alias("g"), *_Z, "n")
+    judged = cut(sources.union(languages).union(vectors.select(F.lit("*").alias("g")).distinct()))
+    grouped = cut(_attach(every, judged, ["g"], "left_semi").groupBy("g", *_Z).agg(F.sum("n").alias("n")))
+    estimates = cut(estimate(grouped))
+    named = lambda t, c: t.select(F.col("g").alias(c), F.col("g").alias(f"ok_{c}"))
+    stats = _attach(_attach(stats, named(sources, "s"), ["s"]), named(languages, "l"), ["l"])
+    stats = stats.withColumn("g", F.coalesce("ok_s", "ok_l", F.lit("*")))
+    out = _attach(stats, estimates, ["g"]).withColumns({f"u{i}": u for i, u in enumerate(_noise())})
+    out = _distance(_factor(lambda i, j: _regular(i, j) + (F.col(f"u{i}") * F.col(f"u{i}") if i == j else 0.0), out))
     return out.select(
         "doc_id",
         "n_words",

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from catalith.llm import (
@@ -90,8 +91,9 @@ def test_word_encoder_equals_the_library_on_odd_words():
     parts = "a 's ' '' don't STOP'RE É ß İ ſ e\u0301 =\u0338 1 ٣ 12 . ... <|startoftext|> <|EndOfText|> <|endoftext|> <| |> x 漢 😀 \x00 \x1c Ω ÿ ÷ × µ K".split(" ")
     parts += [" ", "  ", "\n", "\u00a0"]
     texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(5000)] + [None]
-    for text, ids in zip(texts, encoder.encode_all([None if t is None else t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, encoder.width).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    ids, counts = encoder.encode_all(pa.array([None, "", "x", *texts]).slice(3))
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
     with pytest.raises(ValueError, match="white space"):
         token_store.WordEncoder(P.path("byte_bpe_50k.json"), 2)
 
@@ -118,30 +120,68 @@ def test_quality_base_counts(edge_docs, edge_rows, no_docs):
     assert quality_mcd.assess(no_docs).count() == 0
 
 
-def test_quality_rejects_symbol_junk_and_matches_numpy(spark):
-    r = np.random.default_rng(5)
-    rows = []
+def mcd(z):
+    """The estimate of one group in numpy: three starts, concentration, least determinant, one reweighting."""
+    grid, guard = quality_mcd.GRID, np.eye(4) * quality_mcd.GUARD
+    moments = lambda x: (x.mean(0), np.cov(x.T, bias=True))
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c + guard), z - m)
+    center = np.quantile(z, 0.5, axis=0)
+    spread = np.diag((1.4826 * np.quantile(np.abs(z - center), 0.5, axis=0)) ** 2)
+    found = []
+    for start in ((center, spread), (center, np.eye(4)), moments(z)):
+        least = np.inf
+        while True:
+            place = np.floor(distance(*start) * (1 << 20))
+            start = moments(z[place <= np.quantile(place, quality_mcd.H)])
+            now = np.linalg.slogdet(start[1] + guard)[1]
+            if now > least - 1e-9:
+                break
+            least = now
+        found.append((now, start))
+    m, c = min(found, key=lambda f: f[0])[1]
+    m, c = moments(z[distance(m, c * quality_mcd.CONSISTENCY) <= quality_mcd.WITHIN])
+    return m, c * quality_mcd.WITHIN_CONSISTENCY, distance(m, c * quality_mcd.WITHIN_CONSISTENCY)
+
+
+def test_mcd_equals_numpy_and_resists_outliers(spark):
+    """Groups of normal data with a tenth of far rows: the estimates are those of the rest, distances near chi-square."""
+    r, rows, groups = np.random.default_rng(5), [], {}
+    for g, shift in (("a", 6.0), ("b", -9.0), ("c", 0.0)):
+        z = r.normal(size=(1500, 4)) @ (r.normal(size=(4, 4)) * 0.4) + 5
+        z[:150] += shift
+        q = np.floor(64 * z + 0.5).astype(int)
+        groups[g] = q / 64
+        rows += [(g, *map(int, x)) for x in [*q, q[0]]] if g == "c" else [(g, *map(int, x)) for x in q]
+        groups[g] = np.r_[groups[g], groups[g][:1]] if g == "c" else groups[g]
+    vectors = spark.createDataFrame(rows, "g string, z0 long, z1 long, z2 long, z3 long").groupBy("g", "z0", "z1", "z2", "z3").count().withColumnRenamed("count", "n")
+    got = {x["g"]: x for x in quality_mcd.estimate(vectors).collect()}
+    for g, z in groups.items():
+        m, c, d = mcd(z)
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], m, atol=1e-9)
+        assert np.allclose([got[g][f"c{i}_{j}"] for i, j in quality_mcd._PAIRS], [c[i, j] for i, j in quality_mcd._PAIRS], atol=1e-9)
+        d = d[150:]
+        assert 3.0 < np.median(d) < 3.7 and 7.0 < np.quantile(d, 0.9) < 8.6
+        assert np.median(mcd(z)[2][:150]) > quality_mcd.CUTOFF or g == "c"
+
+
+def test_quality_rejects_symbol_junk(spark):
+    r, rows = np.random.default_rng(5), []
     for k in range(300):
         w = ["".join(r.choice(list("abcdefgh"), r.integers(3, 8))) for _ in range(int(r.integers(30, 200)))]
-        junk = k % 10 == 0
-        rows.append((k, " ".join(x + "###" * junk for x in w), "en", "s"))
+        rows.append((k, " ".join(x + "###" * (k % 10 == 0) for x in w) + " | $" * (k % 7 == 0), "en", "s"))
+    rows += [(1000, " ".join(["abcde"] * 3 + [f"abcd{i}" for i in range(20)]), None, None), (1001, "too few words", "", "")]
     out = {x["doc_id"]: x for x in quality_mcd.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert [k for k, x in out.items() if not x["kept"]] and all(x["kept"] == (k % 10 != 0) for k, x in out.items())
-    # The same estimates in numpy.
-    grid = quality_mcd.GRID
-    counts = np.array([[x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]] for k, x in sorted(out.items())], float)
-    lines = 1
-    z = np.stack([np.log(counts[:, 1] / counts[:, 0]), np.log1p(100 * counts[:, 2] / counts[:, 0]), counts[:, 3] / lines, counts[:, 4] / counts[:, 0]], 1)
-    z = np.floor(grid * z + 0.5) / grid
-    floor = np.diag(np.square(quality_mcd.FLOORS))
-    center = np.median(z, 0)
-    cov = np.diag((1.4826 * np.median(np.abs(z - center), 0)) ** 2) + floor
-    distance = lambda: np.einsum("ij,jk,ik->i", z - center, np.linalg.inv(cov), z - center)
-    for _ in range(quality_mcd.STEPS):
-        bins = np.floor(grid * np.log1p(distance()))
-        near = z[bins <= np.quantile(bins, quality_mcd.H)]
-        center, cov = near.mean(0), np.cov(near.T, bias=True) * quality_mcd.CONSISTENCY + floor
-    assert np.allclose(distance(), [x["distance2"] for _, x in sorted(out.items())], rtol=1e-6, atol=1e-9)
+    assert sorted(k for k, x in out.items() if not x["kept"]) == [*range(0, 300, 10), 1001]
+
+
+def test_quality_base_counts_equal_their_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    want = duckdb.execute(quality_mcd.BASE_SQL.replace("FROM documents", f"FROM '{path}'")).fetchall()
+    out = quality_mcd.base_counts(spark.read.parquet(path))
+    got = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_quality_small_groups_use_all_documents_of_the_wider_level(spark):
