@@ -18,6 +18,73 @@ def test_parse_page():
     assert html_extract.parse_page("") == ("open", [])
     assert html_extract.parse_page("<div>a</div>b <i>c</i><form>d</form>") == ("open", ["a", "b c"])
     assert html_extract.parse_page("<main role=main><p class='no-sidebar'>a<p hidden>b</main>c") == ("main", ["a"])
+    long = "<p>word" * 20_000 + "<b" * 1000
+    assert html_extract.parse_page(long)[1][:19_999] == ["word"] * 19_999
+
+
+def test_implied_end_tags():
+    parse = html_extract.parse_page
+    assert parse("<article><p class='ad'>buy<p>real text one<p>real two</article>") == ("article", ["real text one", "real two"])
+    assert parse("<ul><li class='share'>x<li>real item</ul><p hidden>h<p>v") == ("open", ["real item", "v"])
+    assert parse("<article><table><tr><td class=ad>a<td>b<tr><td>c</table><dl><dt class=promo>d<dd>e</dl></article>") == ("article", ["b", "c", "e"])
+    assert parse("<article class='ad'>x</article><article class='entry'>y<ul class=social><li>z<ul><li>w</ul></ul></article>") == ("article", ["y"])
+
+
+def host_texts(pages):
+    """Texts of all pages by counting every run of every host in plain Python."""
+    parsed, contents = [], {}
+    for page_id, url, html in pages:
+        host = None if url is None else url.split("/")[2] if "//" in url else ""
+        kind, blocks = html_extract.parse_page(html or "")
+        kind = "open" if kind == "open" else "marked"
+        parsed.append((page_id, (host, kind), blocks))
+        if blocks:
+            contents.setdefault((host, kind), set()).add(tuple(blocks))
+    width = html_extract.RUN
+    runs = lambda words: [(k, tuple(words[k : k + width])) for k in range(max(1, len(words) - width + 1))]
+    boilerplate = {}
+    for key, pages_of in contents.items():
+        held = {}
+        for blocks in pages_of:
+            for run in {r for b in blocks for _, r in runs(b.split())}:
+                held[run] = held.get(run, 0) + 1
+        boilerplate[key] = {r for r, n in held.items() if n >= html_extract.PAGES[key[1]] and n >= html_extract.SHARE[key[1]] * len(pages_of)}
+    out = []
+    for page_id, key, blocks in parsed:
+        kept = []
+        for b in blocks:
+            words = b.split()
+            gone = {k + i for k, r in runs(words) if r in boilerplate[key] for i in range(len(r))}
+            kept.append(" ".join(w for k, w in enumerate(words) if k not in gone))
+        out.append((page_id, "\n".join(k for k in kept if k)))
+    return sorted(out, key=str)
+
+
+def test_extract_equals_brute_force_in_one_group_and_in_many(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice("ab cd ef gh ij kl mn op".split()) + str(r.randint(0, 30)) for _ in range(n))
+    share, notice, rare, phrase = words(12), words(9), words(20), words(4)
+    pages = []
+    for k in range(160):
+        host = r.choice(["a", "a", "a", "b", "c"])
+        url = None if k % 23 == 0 else f"http://{host}.example/{k}"
+        text = f"<p>{words(r.randint(1, 40))} {phrase} {words(3)}<p>{words(r.randint(9, 30))} {rare if k % 9 == 0 else ''}"
+        if k % 3:  # marked, with a share line in nearly every article of one host
+            html = f"<nav>{words(3)}</nav><article>{text}" + (f"<p>{share}" if host == "a" and k % 10 else "") + "</article>"
+        else:
+            html = f"<div>{notice} {words(1) if k % 2 else ''}</div>{text}<div>Home Contact</div>"
+        pages.append((k, url, html))
+    pages += [(200 + k, "http://a.example/copy", pages[1][2]) for k in range(30)] + [(300, "", None), (301, None, ""), (None, "http://b.example/", "<p>x")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = host_texts(pages)
+    read = lambda: sorted(((x["page_id"], x["text"]) for x in html_extract.extract(table).collect()), key=str)
+    assert read() == want
+    left = lambda phrase: sum(phrase in t for _, t in want)
+    assert left(share) < 10 and left(notice) < 10 and left(rare) > 3  # pages without url are too few to tell
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 7)
+    assert read() == want
 
 
 def test_suffix_array_orders_suffixes():
