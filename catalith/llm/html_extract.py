@@ -37,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_mcd import BROADCAST_ROWS, SALTS
-from .textkit import cut, map_slices, mix64, slices, split_words, text_buffer
+from .textkit import attach, cut, map_slices, mix64, slices, split_words, text_buffer
 
 #: Tokens of a run; least contents and share of contents that make it boilerplate, by kind of page.
 RUN = 8
@@ -288,11 +287,8 @@ def _content(blocks: list[str]) -> tuple[int, int]:
 
 
 def _attach(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Pages with a table of hosts: by broadcast if it is small, else by salted keys, since a host may hold a third of all pages."""
-    if hosts.count() <= BROADCAST_ROWS:
-        return pages.join(F.broadcast(hosts), "host", "left")
-    salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left").drop("_salt")
+    """Pages with a table of hosts; a host may hold a third of all pages."""
+    return attach(pages, hosts, ["host"], salt_by=["page_id"])
 
 
 def _group_runs(table: pa.Table) -> pa.Table:

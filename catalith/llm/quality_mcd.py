@@ -36,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import cut
+from .textkit import attach, cut
 
 SPACE, GRID = r"[\x20\x09-\x0D]+", 64
 WINDOW = 5
@@ -51,8 +51,6 @@ CUTOFF = 28.5
 EVIDENCE, EVIDENCE_LINES = 200, 25
 #: Concentration steps, if determinants still fall.
 MOST_STEPS = 30
-#: Rows of a table of groups up to which it is broadcast (under 300 bytes each); beyond, the join is salted.
-BROADCAST_ROWS, SALTS = 100_000, 64
 _P = 4
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 _Z = [f"z{i}" for i in range(_P)]
@@ -134,15 +132,6 @@ def _noise() -> list[Column]:
     return [0.5 / F.sqrt(words), 1 / F.sqrt(words), 1 / F.sqrt(lines), F.sqrt(2 * WINDOW / words)]
 
 
-def _attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join with a table of groups without gathering a group's rows: by broadcast if it is small, else by salted keys."""
-    if small.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
-
-
 def _factor(matrix: Callable[[int, int], Column], out: DataFrame) -> DataFrame:
     """Adds l<i>_<j>, the Cholesky factor of a matrix of columns."""
     for i in range(_P):
@@ -170,7 +159,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
     """Three estimates (g, start, m*, c*) of each group."""
     count = F.col("n")
     medians = vectors.groupBy("g").agg(*(F.percentile(z, F.lit(0.5), count).alias(f"q{i}") for i, z in enumerate(_Z)))
-    around = _attach(vectors, cut(medians), ["g"]).groupBy("g").agg(
+    around = attach(vectors, cut(medians), ["g"]).groupBy("g").agg(
         *(F.first(f"q{i}").alias(f"q{i}") for i in range(_P)),
         *(F.percentile(F.abs(F.col(z) - F.col(f"q{i}")), F.lit(0.5), count).alias(f"s{i}") for i, z in enumerate(_Z)),
     )
@@ -204,14 +193,14 @@ def _moments(near: DataFrame) -> DataFrame:
 
 def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """(g, start, z*, n, d2) of every vector under every estimate of its group."""
-    return _distance(_attach(vectors, _factor(_regular, estimates), ["g"], "inner"))
+    return _distance(attach(vectors, _factor(_regular, estimates), ["g"], "inner"))
 
 
 def _concentrated(measured: DataFrame) -> DataFrame:
     """Moments of the share H of each group with the least distances (ties included)."""
     place = measured.withColumn("place", F.floor(F.col("d2") * (1 << 20)))
     limits = place.groupBy("g", "start").agg(F.percentile("place", F.lit(H), F.col("n")).alias("limit"))
-    return _moments(_attach(place, cut(limits), ["g", "start"], "inner").filter("place <= limit"))
+    return _moments(attach(place, cut(limits), ["g", "start"], "inner").filter("place <= limit"))
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
@@ -247,12 +236,12 @@ def assess(docs: DataFrame) -> DataFrame:
     sources, languages = cut(level("s")), cut(level("l"))
     every = vectors.select(F.explode(F.array("s", "l", F.lit("*"))).alias("g"), *_Z, "n")
     judged = cut(sources.union(languages).union(vectors.select(F.lit("*").alias("g")).distinct()))
-    grouped = cut(_attach(every, judged, ["g"], "left_semi").groupBy("g", *_Z).agg(F.sum("n").alias("n")))
+    grouped = cut(attach(every, judged, ["g"], "left_semi").groupBy("g", *_Z).agg(F.sum("n").alias("n")))
     estimates = cut(estimate(grouped))
     named = lambda t, c: t.select(F.col("g").alias(c), F.col("g").alias(f"ok_{c}"))
-    stats = _attach(_attach(stats, named(sources, "s"), ["s"]), named(languages, "l"), ["l"])
+    stats = attach(attach(stats, named(sources, "s"), ["s"]), named(languages, "l"), ["l"])
     stats = stats.withColumn("g", F.coalesce("ok_s", "ok_l", F.lit("*")))
-    out = _attach(stats, estimates, ["g"]).withColumns({f"u{i}": u for i, u in enumerate(_noise())})
+    out = attach(stats, estimates, ["g"]).withColumns({f"u{i}": u for i, u in enumerate(_noise())})
     out = _distance(_factor(lambda i, j: _regular(i, j) + (F.col(f"u{i}") * F.col(f"u{i}") if i == j else 0.0), out))
     return out.select(
         "doc_id",

@@ -180,6 +180,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of groups up to which it is broadcast (a few hundred bytes each), and salts of its keys beyond.
+BROADCAST_ROWS, SALTS = 100_000, 64
+
+
+def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left", salt_by: list[str] | None = None) -> DataFrame:
+    """Join with a table that has a row per key, without gathering a key's rows in one task.
+
+    The table is counted (it should be written, or cheap): up to ``BROADCAST_ROWS`` it is
+    broadcast, beyond it is repeated under ``SALTS`` salts, over which the rows of a key are dealt.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*(salt_by or rows.columns)), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of text in the table, to size chunks by (one aggregate, no shuffle of rows)."""
     return int(df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from catalith.llm import html_extract, warc
+from catalith.llm import html_extract, textkit, warc
 from catalith.llm.textkit import shared_dir
 
 PAGE = (
@@ -84,6 +84,7 @@ def test_extract_equals_brute_force_in_one_group_and_in_many(spark, monkeypatch)
     left = lambda phrase: sum(phrase in t for _, t in want)
     assert left(share) < 10 and left(notice) < 10 and left(rare) > 3  # pages without url are too few to tell
     monkeypatch.setattr(html_extract, "GROUP_PAGES", 7)
+    monkeypatch.setattr(textkit, "BROADCAST_ROWS", 0)  # salted joins
     assert read() == want
 
 
@@ -136,3 +137,39 @@ def test_warc_without_pages(spark):
     path = shared_dir(spark, "warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_archives_of_other_writers(spark):
+    """Gzip without lengths, one member for all records, plain files; warcinfo, HTTP responses, base 32 digests."""
+    import base64
+    import gzip
+
+    body = b"<p>caf\xc3\xa9</p>" * 200
+    digest = hashlib.sha1(body).digest()
+
+    def record(kind, payload, *headers):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(payload)}", "", ""]
+        return "\r\n".join(lines).encode() + payload + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    parts = [
+        record("warcinfo", b"software: other\r\n", "WARC-Record-ID: <urn:uuid:1>"),
+        record("response", http, "WARC-Target-URI: http://a/x", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + base64.b32encode(digest).decode()),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", "warc-target-uri: http://a/x", "Content-Type: application/http"),
+        record("resource", body, "WARC-Target-URI: http://a/y"),
+    ]
+    path = shared_dir(spark, "foreign")
+    local = path.removeprefix("file://")
+    import os
+
+    os.makedirs(local)
+    for name, data in (("a.warc.gz", b"".join(map(gzip.compress, parts))), ("b.warc.gz", gzip.compress(b"".join(parts))), ("c.warc", b"".join(parts)), ("d.txt", b"x")):
+        with open(f"{local}/{name}", "wb") as f:
+            f.write(data)
+    rows = warc.read_archives(spark, path).collect()
+    assert sorted(r["record_type"] for r in rows) == sorted(["request", "resource", "response", "warcinfo"] * 3)
+    for r in rows:
+        if r["record_type"] in ("response", "resource"):
+            assert (r["payload"], r["payload_bytes"], r["payload_digest"], r["page_id"]) == (body, len(body), digest.hex(), None)
+    headers = warc.read_archives(spark, path, payload=False).filter("record_type = 'response'").collect()
+    assert [(r["url"], r["payload"], r["payload_digest"]) for r in headers] == [("http://a/x", None, digest.hex())] * 3

@@ -17,6 +17,7 @@ from catalith.llm import (
     sentencepiece_bpe,
     substring_dedup,
     template_decontam,
+    textkit,
     token_store,
 )
 from catalith.llm.textkit import shared_dir
@@ -184,8 +185,9 @@ def test_quality_base_counts_equal_their_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_quality_small_groups_use_all_documents_of_the_wider_level(spark):
-    """One junk document that is alone in its source, or in its language, beside large sources."""
+def test_quality_small_groups_use_all_documents_of_the_wider_level(spark, monkeypatch):
+    """One junk document that is alone in its source, or in its language, beside large sources; joins by salted keys."""
+    monkeypatch.setattr(textkit, "BROADCAST_ROWS", 0)
     r = np.random.default_rng(6)
     text = lambda junk=False: " ".join("".join(r.choice(list("abcdefgh"), r.integers(3, 8))) + "###" * junk for _ in range(60))
     rows = [(k, text(), "en" if k % 2 else "de", "big") for k in range(200)]
