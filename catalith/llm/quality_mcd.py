@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import attach, cut
@@ -49,8 +49,8 @@ GUARD = 1 / GRID**2
 #: The greatest squared distance of a kept document (chi2 with 4 degrees of freedom at 1 - 1e-5).
 CUTOFF = 28.5
 EVIDENCE, EVIDENCE_LINES = 200, 25
-#: Concentration steps, if determinants still fall.
-MOST_STEPS = 30
+#: Concentration steps, if determinants still fall; how often that is asked; starts of a group.
+MOST_STEPS, CHECK_STEPS, STARTS = 30, 3, 3
 _P = 4
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 _Z = [f"z{i}" for i in range(_P)]
@@ -191,31 +191,37 @@ def _moments(near: DataFrame) -> DataFrame:
     return _factor(_regular, out).select(*out.columns, logdet.alias("logdet"))
 
 
-def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+def _measured(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
     """(g, start, z*, n, d2) of every vector under every estimate of its group."""
-    return _distance(attach(vectors, _factor(_regular, estimates), ["g"], "inner"))
+    return _distance(attach(vectors, _factor(_regular, estimates), ["g"], "inner", size=STARTS * groups))
 
 
 def _concentrated(measured: DataFrame) -> DataFrame:
-    """Moments of the share H of each group with the least distances (ties included)."""
+    """Moments of the share H of each group with the least distances (ties included).
+
+    The window holds a group's distinct vectors, whose number the grid bounds.
+    """
     place = measured.withColumn("place", F.floor(F.col("d2") * (1 << 20)))
-    limits = place.groupBy("g", "start").agg(F.percentile("place", F.lit(H), F.col("n")).alias("limit"))
-    return _moments(attach(place, cut(limits), ["g", "start"], "inner").filter("place <= limit"))
+    group = Window.partitionBy("g", "start")
+    nearer = F.sum("n").over(group.orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
+    counted = place.withColumns({"nearer": F.coalesce(nearer, F.lit(0)), "total": F.sum("n").over(group)})
+    return _moments(counted.filter(F.col("nearer") < H * F.col("total")))
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
     """Robust mean and covariance (m*, c*) per group of weighted vectors (g, z*, n)."""
     estimates, least = cut(_starts(vectors)), None
-    for _ in range(MOST_STEPS):
-        estimates = cut(_concentrated(_measured(vectors, estimates.drop("logdet"))))
-        total = estimates.agg(F.sum("logdet")).first()[0]
-        if total is None or (least is not None and total > least - 1e-9):
-            break
-        least = total
+    groups = estimates.select("g").distinct().count()
+    for step in range(1, MOST_STEPS + 1):
+        estimates = cut(_concentrated(_measured(vectors, estimates.drop("logdet"), groups)))
+        if step % CHECK_STEPS == 0:
+            total = estimates.agg(F.sum("logdet")).first()[0]
+            if total is None or (least is not None and total > least - 1e-9):
+                break
+            least = total
     columns = ["start", *(f"m{i}" for i in range(_P)), *(f"c{i}_{j}" for i, j in _PAIRS)]
     best = estimates.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
-    best = cut(_scaled(best, CONSISTENCY))
-    within = _measured(vectors, best).filter(F.col("d2") <= WITHIN)
+    within = _measured(vectors, _scaled(best, CONSISTENCY), groups).filter(F.col("d2") <= WITHIN)
     return _scaled(_moments(within), WITHIN_CONSISTENCY).drop("start")
 
 

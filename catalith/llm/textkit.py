@@ -184,13 +184,13 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS, SALTS = 100_000, 64
 
 
-def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left", salt_by: list[str] | None = None) -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left", salt_by: list[str] | None = None, size: int | None = None) -> DataFrame:
     """Join with a table that has a row per key, without gathering a key's rows in one task.
 
-    The table is counted (it should be written, or cheap): up to ``BROADCAST_ROWS`` it is
+    The table is counted (it should be written, or cheap) unless its ``size`` is known: up to ``BROADCAST_ROWS`` it is
     broadcast, beyond it is repeated under ``SALTS`` salts, over which the rows of a key are dealt.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if (small.count() if size is None else size) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(*(salt_by or rows.columns)), F.lit(SALTS)).cast("int")

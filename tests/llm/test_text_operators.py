@@ -133,7 +133,7 @@ def mcd(z):
         least = np.inf
         while True:
             place = np.floor(distance(*start) * (1 << 20))
-            start = moments(z[place <= np.quantile(place, quality_mcd.H)])
+            start = moments(z[place <= np.quantile(place, quality_mcd.H, method="inverted_cdf")])
             now = np.linalg.slogdet(start[1] + guard)[1]
             if now > least - 1e-9:
                 break
