@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Sequence
 
 Span = tuple[str, int, int]
@@ -19,8 +20,21 @@ def digest(spans: list[Span], kinds: Sequence[str]) -> str:
 
 
 def outside(spans: list[Span], others: list[Span]) -> list[Span]:
-    """Those of ``spans`` that touch none of ``others``."""
-    return [s for s in spans if not any(s[1] < b and a < s[2] for _, a, b in others)]
+    """Those of ``spans`` that touch none of ``others``; time grows with their number, but for the sort."""
+    if not others:
+        return spans
+    out, merged = [], []
+    for a, b in sorted((a, b) for _, a, b in others):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    starts = [a for a, _ in merged]
+    for s in spans:
+        k = bisect_left(starts, s[2]) - 1  # the last that begins before the span ends
+        if k < 0 or merged[k][1] <= s[1]:
+            out.append(s)
+    return out
 
 
 def redact(text: str, spans: list[Span]) -> str:

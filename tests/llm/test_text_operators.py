@@ -437,3 +437,118 @@ def test_viterbi_is_exact():
         score = lambda p: model.begin[p[0]] + sum(emit[t, x] for t, x in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, B905, E731
         best = max(score(p) for p in product(range(3), repeat=len(c)))
         assert score(got[first[k] : first[k + 1]].tolist()) == pytest.approx(best)
+
+
+HELD_OUT = """
+Ring me on [0161 496 0423] after lunch.
+His cell is [(212) 555-0156], the desk knows.
+Dial [646-555-0111] for the guard.
+phone: [555-0163]
+Marque [611 222 333] si llega tarde.
+Tel: [04 91 22 33 44] ou au guichet.
+Handy: [0172 5550123]
+Das Fax [0221 987654] ist neu.
+Number [457-55-5462] was on the card.
+ssn [321-54-9876]
+passport: [C4567890B]
+NIF: [23456789D]
+IBAN: [NL91 ABNA 0417 1643 00]
+Pay into [CH93 0076 2011 6238 5295 7] today.
+Bitte [DE12500105170648489890] nutzen.
+Name: [Ruth Keller] and friends
+Nombre: [Pedro Lopez]
+Herr [Otto Lang] ging fort.
+account: [00987654321]
+The play opened on 2018-11-02 with 340 guests.
+Invoice 55021 lists 7 items at $89 each.
+Release 3.4.1 closed 27 issues.
+The Old Bridge near Green Valley fell in 1911.
+Chapters 12-15 and figure 4.5 were cut.
+They won 21-14 in week 9.
+Serial 7781-C was scrapped in 1999.
+La obra de 1605 tiene 52 capítulos.
+Der Band von 1790 kostet 12 Taler.
+"""
+
+
+def test_crf_on_held_out_written_lines():
+    """Lines of other wording, names and numbers than those trained on: spans found and missed."""
+    model, rows = pii_crf.default_model(), pii_crf.labelled_lines(HELD_OUT)
+    texts = [" ".join(words) for words, _ in rows]
+    want = set()
+    for k, (words, labels) in enumerate(rows):
+        at = np.cumsum([0, *(len(w) + 1 for w in words)])
+        begins = [i for i, x in enumerate(labels) if x == "B"]
+        for i in begins:
+            j = i + 1
+            while j < len(labels) and labels[j] == "I":
+                j += 1
+            want.add((k, int(at[i]), int(at[j - 1]) + len(words[j - 1].rstrip(".,;:!?"))))
+    got = {(k, a, b) for k, spans in enumerate(model.spans(texts)) for _, a, b in spans}
+    assert len(want) == 19 and len(want & got) >= 17 and len(got - want) <= 2
+    # A line that begins inside a span begins one of its own; many spans in one text stay cheap.
+    whole = "\n".join(texts)
+    assert len(model.spans([whole])[0]) == len(got)
+    assert len(model.spans(["\n".join(["tel: 555-0147"] * 20_000)])[0]) == 20_000
+
+
+def test_outside_equals_all_pairs():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        make = lambda n: [("x", int(a), int(a + b)) for a, b in zip(r.integers(0, 60, n), r.integers(1, 9, n), strict=True)]
+        spans, others = make(10), make(int(r.integers(0, 10)))
+        assert secret_scan.outside(spans, others) == [s for s in spans if not any(s[1] < b and a < s[2] for _, a, b in others)]
+
+
+def test_token_efficiency_on_keys_and_identifiers():
+    import random
+    import string
+
+    r, model = random.Random(11), secret_scan._model(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    letters = string.ascii_letters + string.digits
+    alphabets = {letters: (16, 20, 32), letters + "+/": (40, 64), string.ascii_uppercase + "234567": (32,), string.ascii_lowercase + string.digits: (24,), string.ascii_letters: (24,)}
+    keys = ["".join(r.choices(a, k=n)) for a, sizes in alphabets.items() for n in sizes for _ in range(100)]
+    parts = "get user name list http request parse config value index table spark window batch stream token reader model layer block".split()
+    other = []
+    for _ in range(400):
+        chosen = r.choices(parts, k=r.randint(3, 6))
+        other += ["_".join(chosen), "".join(map(str.capitalize, chosen)), "/".join(chosen) + str(r.randint(0, 99)), "-".join(chosen) + "-2024", chosen[0] + "".join(map(str.capitalize, chosen[1:])) + "V2"]
+    found = lambda text: bool(secret_scan.random_spans(text, model, 1.8))
+    hits, false = sum(map(found, keys)), sum(map(found, other))
+    assert hits / len(keys) > 0.95 and hits / (hits + false) > 0.98
+
+
+def test_base_spans_equal_plain_scans(edge_rows):
+    """Base kinds by scanning with single patterns and checking every match by hand."""
+    import random
+
+    r = random.Random(8)
+    parts = ["a.b@c.de", "@", ".", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+12", " ", "\n", "é", "password=", "token: ", '"', "abcdef12", "AKIA" + "A1" * 8, "AKIAXY", "0123456789abcdef01234567", "f" * 23, "API-KEY=", "api_key='zzzzzzz'"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(800)] + [row[1] or "" for row in edge_rows]
+
+    def luhn(digits):
+        doubled = [int(c) * 2 if k % 2 else int(c) for k, c in enumerate(digits[::-1])]
+        return sum(sum(map(int, str(d))) for d in doubled) % 10 == 0
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    personal = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(?:\.[0-9]+){3}", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", r"[0-9](?:[ -]?[0-9])+", lambda m: 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: 10 <= len(digits(m[0])) <= 15),
+    ]
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    secret = [
+        ("assign", rf"(?:{word})[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
+    for text in texts:
+        for function, kinds in ((pii_crf.base_spans, personal), (secret_scan.base_spans, secret)):
+            assert sorted(function(text)) == sorted((k, *m.span()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m))
+
+
+def test_scans_of_edge_rows(spark, edge_docs, edge_rows):
+    """Nulls, repeated rows, long texts and clashing columns: one row for every row."""
+    for out in (secret_scan.scan(edge_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), pii_crf.scan(edge_docs)):
+        assert sorted(str(x["doc_id"]) for x in out.select("doc_id").collect()) == sorted(str(r[0]) for r in edge_rows)
