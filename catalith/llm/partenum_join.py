@@ -95,7 +95,8 @@ def set_digests(row: np.ndarray, shingle: np.ndarray, rows: int) -> tuple[np.nda
 def _digest_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     _, row, shingle = shingle_sets(batch)
     size, s1, s2 = set_digests(row, shingle, batch.num_rows)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), signed(s1), signed(s2)], names=["doc_id", "size", "s1", "s2"])
+    columns = [batch.column("doc_id"), batch.column("row"), pa.array(size), signed(s1), signed(s2)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "size", "s1", "s2"])
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,10 +229,10 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.filter(100 * both >= 75 * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, text): n_shingles, component_id and n_links of its class."""
-    docs = docs.select("doc_id", "text")
-    members = cut(map_slices(docs, _digest_rows, "doc_id long, size long, s1 long, s2 long"))
+def _linked(rows: DataFrame) -> DataFrame:
+    """Per row (doc_id, text, row): size, component (a label, null for empty sets), component_id and n_links of its class."""
+    docs = rows.select("doc_id", "text")
+    members = cut(map_slices(rows, _digest_rows, "doc_id long, row long, size long, s1 long, s2 long"))
     classes = cut(members.filter("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")))
     pairs, tied = candidates(map_slices(docs, _signature_rows, "sig long, s1 long, code int"))
     crowds = cut(components(tied).select(F.col("node").alias("s1"), F.col("component").alias("crowd")))
@@ -254,9 +255,14 @@ def link_documents(docs: DataFrame) -> DataFrame:
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     degree = checked.select(F.explode(F.array("a", "b")).alias("s1"), F.lit(1).cast("long").alias("degree")).union(crowded.select("s1", "degree"))
     degree = degree.groupBy("s1").agg(F.sum("degree").alias("n_links"))
-    known = cut(labelled.join(least, "component").join(degree, "s1", "left").select("s1", "s2", "component_id", "n_links"))
-    out = members.join(known, ["s1", "s2"], "left")
-    return out.select(
+    known = labelled.join(least, "component").join(degree, "s1", "left")
+    known = cut(known.select("s1", "s2", "component", "component_id", "n_links"))
+    return members.join(known, ["s1", "s2"], "left")
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """Per document (doc_id, text): n_shingles, component_id and n_links of its class."""
+    return _linked(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row"))).select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -264,6 +270,26 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text and others) without near copies: one row of each component, with the least doc_id.
+
+    Rows are told apart by doc_id and a hash of all they hold; of rows equal in both one
+    stays.  Rows without words link with nothing and stay.
+    """
+    names = docs.columns
+    rows = docs.withColumn("_row", F.xxhash64(*names))
+    linked = cut(_linked(rows.select("doc_id", "text", F.col("_row").alias("row"))))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = linked.filter("component is not null").groupBy("component").agg(F.min_by(F.struct("doc_id", "row"), place).alias("r"))
+    stay = first.select("r.*").union(linked.filter("component is null").select("doc_id", "row").distinct())
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept"))
+    kept = rows.join(stay, F.col("_row").eqNullSafe(F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    again = linked.groupBy("doc_id", "row").count().filter("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_row"])
+    return kept.select(names)
+
+
 #: The same result in SQL, over a table ``documents``.
 SQL = r"""
 WITH RECURSIVE d AS (

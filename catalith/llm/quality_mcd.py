@@ -26,7 +26,8 @@ exceeds ``CUTOFF``.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null lang or
 source is a value of its own; repeated rows each count; an empty table gives an
-empty result; input columns other than doc_id, text, lang and source are ignored.
+empty result; input columns other than doc_id, text, lang and source are ignored; row_hash,
+the last column, tells rows of one doc_id apart.
 """
 
 from __future__ import annotations
@@ -95,13 +96,14 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of the base rules, one pass over whole texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select("doc_id", "lang", "source", text.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    first = docs.select("doc_id", "lang", "source", F.xxhash64("text", "lang", "source").alias("row_hash"), text.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
     second = first.select("*", window_hashes(F.col("words")).alias("hashes"))
     words = F.col("words")
     return second.select(
         "doc_id",
         "lang",
         "source",
+        "row_hash",
         F.size(words).cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -259,9 +261,17 @@ def assess(docs: DataFrame) -> DataFrame:
         "base_failed",
         (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)).alias("kept"),
         F.col("d2").alias("distance2"),
+        "row_hash",
     )
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that are kept; rows are told apart by doc_id and by a hash of what their verdict rests on."""
+    kept = assess(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"], docs["lang"], docs["source"]) == F.col("_row"))
+    return docs.join(kept, same, "left_semi")
+
+
 #: The base columns in SQL, over a table ``documents``.
 BASE_SQL = r"""
 WITH t AS (
