@@ -2,7 +2,8 @@
 
 Every stage is ``function(spark, docs, sf_dir) -> DataFrame``.  Its result is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``.  Filters act on rows, not on ids: where doc_ids repeat or are
+missing, each row has its own verdict.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,26 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from catalith.llm import partenum_join, pii_crf, quality_mcd, registry, sentencepiece_bpe, template_decontam
 from catalith.llm.textkit import shared_dir
 
-#: SQL cannot express the stages' models; tests hold the stages against brute force.
+#: SQL cannot express the stages' models; tests hold each stage against plain Python.
 ORACLE_SQL: str | None = None
 
 
-def _those(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id, null included, is in ``kept``."""
-    ids = kept.select(kept["doc_id"].alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust outlier test reject go."""
-    kept = quality_mcd.assess(docs).filter("kept").select("doc_id").distinct()
-    return _those(docs, kept)
+    return quality_mcd.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, that with the smallest doc_id."""
-    kept = partenum_join.link_documents(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return _those(docs, kept)
+    return partenum_join.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
