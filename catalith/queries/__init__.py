@@ -1,3 +1,3 @@
 """Registered queries, by subject."""
 
-from . import functions, history, prices, products, reading, streams, telemetry  # noqa: F401
+from . import details, functions, history, prices, products, reading, streams, telemetry  # noqa: F401

@@ -157,9 +157,9 @@ def price_texts(spark, d):
     return view(spark, d, "products").select("product_id", P.parse_price(text).alias("price"))
 
 
-@query("xml_escapes", """SELECT page_id, replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml FROM pages""")
+@query("xml_escapes", """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml FROM pages""")
 def xml_escapes(spark, d):
-    return raw(spark, d, "pages").select("page_id", T.xml_escape(F.substring("html", 1, 400)).alias("xml"))
+    return raw(spark, d, "pages").select("page_id", T.xml_escape(F.col("html")).alias("xml"))
 
 
 @query("decoded_entities", """SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages""")

@@ -136,14 +136,14 @@ def sitemap_entries(spark, d):
 
 # ------------------------------------------------------------ change capture
 
-_STATES = """WITH o AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE order_id % 2 = 0 GROUP BY ALL), n AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE order_id % 3 <> 1 GROUP BY ALL),
+_STATES = """WITH o AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE updated < TIMESTAMP '1999-01-01' GROUP BY ALL), n AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE updated >= TIMESTAMP '1997-01-01' GROUP BY ALL),
 j AS (SELECT n.product_id, n.store_id, n.price, CASE WHEN o.product_id IS NULL THEN 'new' WHEN o.price IS NOT DISTINCT FROM n.price THEN 'same' ELSE 'changed' END AS change FROM n LEFT JOIN o ON n.product_id = o.product_id AND n.store_id = o.store_id)"""
 
 
 def _snapshots(spark, d):
     offers = view(spark, d, "offers")
     one = lambda condition: offers.filter(condition).groupBy("product_id", "store_id").agg(F.min("price").alias("price"))
-    return one("order_id % 2 = 0"), one("order_id % 3 <> 1")
+    return one("updated < timestamp '1999-01-01'"), one("updated >= timestamp '1997-01-01'")
 
 
 @query("cdc_change_flags", f"{_STATES} SELECT product_id, store_id, price, change FROM j")
@@ -169,12 +169,13 @@ def cdc_upsert(spark, d):
 
 @query(
     "refresh_priority",
-    """WITH t AS (SELECT DISTINCT product_id FROM favourites WHERE user_id % 50 = 1), f AS (SELECT product_id, count(*) AS n, bool_or(stock IN ('in-stock', 'low-stock')) AS a FROM offers GROUP BY product_id)
+    """WITH t AS (SELECT DISTINCT product_id FROM favourites JOIN users USING (user_id) WHERE segment = 'MACHINERY'), f AS (SELECT product_id, count(*) AS n, bool_or(stock IN ('in-stock', 'low-stock')) AS a FROM offers GROUP BY product_id)
 SELECT products.product_id, CASE WHEN t.product_id IS NOT NULL THEN 'tracked' WHEN NOT coalesce(a, FALSE) THEN 'cold' WHEN n >= 3 THEN 'hot' ELSE 'normal' END AS priority
 FROM products LEFT JOIN f USING (product_id) LEFT JOIN t ON t.product_id = products.product_id""",
 )
 def refresh_priority(spark, d):
-    tracked = view(spark, d, "favourites").filter("user_id % 50 = 1").select("product_id").distinct()
+    chosen = view(spark, d, "users").filter("segment = 'MACHINERY'").select("user_id")
+    tracked = view(spark, d, "favourites").join(chosen, "user_id").select("product_id").distinct()
     return snapshot.refresh_priority(view(spark, d, "products").select("product_id"), view(spark, d, "offers"), tracked)
 
 
@@ -189,20 +190,20 @@ def hot_targets(spark, d):
     return snapshot.hot_targets(latest, as_of, minutes=180, limit=50)
 
 
-@query("normalisation_lookup", "SELECT p_partkey AS product_id, coalesce(upper(o.n), p_name) AS title FROM part LEFT JOIN (SELECT DISTINCT p_name AS raw, reverse(p_name) AS n FROM part WHERE p_partkey % 2 = 0) o ON o.raw = p_name")
+@query("normalisation_lookup", "SELECT p_partkey AS product_id, coalesce(upper(o.n), p_name) AS title FROM part LEFT JOIN (SELECT DISTINCT p_name AS raw, reverse(p_name) AS n FROM part WHERE p_size <= 25) o ON o.raw = p_name")
 def normalisation_lookup(spark, d):
     part = raw(spark, d, "part")
-    known = part.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("raw"), F.reverse("p_name").alias("n")).distinct()
+    known = part.filter("p_size <= 25").select(F.col("p_name").alias("raw"), F.reverse("p_name").alias("n")).distinct()
     joined = part.join(known, F.col("p_name") == F.col("raw"), "left")
     return joined.select(F.col("p_partkey").alias("product_id"), F.coalesce(F.upper("n"), "p_name").alias("title"))
 
 
 @query(
     "profile_upsert",
-    """SELECT user_id, coalesce(nullif(trim(CASE WHEN user_id % 3 = 0 THEN '  ' ELSE user_name END), ''), split_part(concat(lower(segment), '@mail.example'), '@', 1)) AS display_name FROM users""",
+    """SELECT user_id, coalesce(nullif(trim(CASE WHEN segment = 'FURNITURE' THEN '  ' ELSE user_name END), ''), split_part(concat(lower(segment), '@mail.example'), '@', 1)) AS display_name FROM users""",
 )
 def profile_upsert(spark, d):
-    given = F.when(F.col("user_id") % 3 == 0, F.lit("  ")).otherwise(F.col("user_name"))
+    given = F.when(F.col("segment") == "FURNITURE", F.lit("  ")).otherwise(F.col("user_name"))
     email = F.concat(F.lower("segment"), F.lit("@mail.example"))
     name = F.coalesce(F.nullif(F.trim(given), F.lit("")), F.split_part(email, F.lit("@"), F.lit(1)))
     return view(spark, d, "users").select("user_id", name.alias("display_name"))

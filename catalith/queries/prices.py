@@ -92,9 +92,10 @@ def store_name_lookup(spark, d):
     return named.groupBy("store_name").agg(F.sum("n").alias("n"))
 
 
-@query("storeless_products", "SELECT product_id FROM products WHERE product_id NOT IN (SELECT product_id FROM offers WHERE store_id % 3 = 0)")
+@query("storeless_products", "SELECT product_id FROM products WHERE product_id NOT IN (SELECT product_id FROM offers JOIN stores USING (store_id) WHERE is_active AND stock <> 'out-of-stock')")
 def storeless_products(spark, d):
-    priced = view(spark, d, "offers").filter("store_id % 3 = 0").select("product_id")
+    active = view(spark, d, "stores").filter("is_active").select("store_id")
+    priced = view(spark, d, "offers").filter("stock <> 'out-of-stock'").join(active, "store_id").select("product_id")
     return view(spark, d, "products").select("product_id").join(priced, "product_id", "left_anti")
 
 
@@ -132,11 +133,12 @@ def health_counts(spark, d):
 
 @query(
     "store_subset_stats",
-    """WITH best AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE price > 0 AND store_id <= 40 GROUP BY product_id, store_id)
+    """WITH best AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE price > 0 AND store_id IN (SELECT store_id FROM stores WHERE is_active) GROUP BY product_id, store_id)
 SELECT product_id, min(price) AS lowest, count(*) AS n FROM best GROUP BY product_id HAVING min(price) BETWEEN 100000 AND 3000000""",
 )
 def store_subset_stats(spark, d):
-    own = O.cheapest_per_store(view(spark, d, "offers").filter("store_id <= 40"))
+    active = view(spark, d, "stores").filter("is_active").select("store_id")
+    own = O.cheapest_per_store(view(spark, d, "offers").join(active, "store_id", "left_semi"))
     grouped = own.groupBy("product_id").agg(F.min("price").alias("lowest"), F.count(F.lit(1)).alias("n"))
     return grouped.filter("lowest between 100000 and 3000000")
 

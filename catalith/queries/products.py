@@ -53,13 +53,13 @@ def page_descriptions(spark, d):
 
 
 @query("feed_offers", """SELECT concat('feed-', CAST(p_partkey AS STRING)) AS product_id, CAST(floor(p_retailprice) AS BIGINT) AS price,
-  CASE WHEN p_size <= 0 THEN 'out-of-stock' WHEN p_size <= 2 THEN 'low-stock' ELSE 'in-stock' END AS stock, coalesce(p_brand, 'Generica') AS brand FROM part WHERE p_partkey % 4 <> 0 AND p_retailprice >= 1""")
+  CASE WHEN p_size <= 0 THEN 'out-of-stock' WHEN p_size <= 2 THEN 'low-stock' ELSE 'in-stock' END AS stock, coalesce(p_brand, 'Generica') AS brand FROM part WHERE p_size <> 13 AND p_retailprice >= 1""")
 def feed_offers(spark, d):
     """Parts as a JSON feed, parsed and mapped with its dimensions."""
     part = raw(spark, d, "part")
     item = F.struct(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("stock"),
-        (F.col("p_partkey") % 4 != 0).alias("on_sale"), F.col("p_type").alias("subcategory_id"), F.col("p_brand").alias("brand_id"),
+        (F.col("p_size") != 13).alias("on_sale"), F.col("p_type").alias("subcategory_id"), F.col("p_brand").alias("brand_id"),
     )
     items = part.select(F.from_json(F.to_json(item), feeds.ITEM).alias("i")).select("i.*")
     brands = part.select(F.col("p_brand").alias("brand_id"), F.col("p_brand").alias("brand")).distinct()

@@ -267,9 +267,10 @@ def first_of_each(spark, d):
     return view(spark, d, "products").groupBy("name").agg(F.min("product_id").alias("product_id"))
 
 
-@query("tracked_products", "SELECT DISTINCT product_id FROM products WHERE product_id IN (SELECT product_id FROM favourites WHERE user_id % 10 = 1)")
+@query("tracked_products", "SELECT DISTINCT product_id FROM products WHERE product_id IN (SELECT product_id FROM favourites JOIN users USING (user_id) WHERE segment = 'BUILDING')")
 def tracked_products(spark, d):
-    tracked = view(spark, d, "favourites").filter("user_id % 10 = 1").select("product_id")
+    chosen = view(spark, d, "users").filter("segment = 'BUILDING'").select("user_id")
+    tracked = view(spark, d, "favourites").join(chosen, "user_id").select("product_id")
     return view(spark, d, "products").select("product_id").join(tracked, "product_id", "left_semi")
 
 

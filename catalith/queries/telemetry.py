@@ -43,11 +43,15 @@ def last_events(spark, d):
     return view(spark, d, "requests").groupBy("source").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("unseen_sources", f"WITH {_DAY} SELECT user_id AS source, count(event_id) AS requests FROM (SELECT DISTINCT user_id FROM users WHERE user_id <= 300) u LEFT JOIN day ON day.source = user_id GROUP BY ALL")
+@query(
+    "unseen_sources",
+    f"""WITH {_DAY}, h AS (SELECT source, count(*) AS requests FROM day GROUP BY source)
+SELECT coalesce(user_id, source) AS source, coalesce(requests, 0) AS requests FROM (SELECT DISTINCT user_id FROM users) u FULL JOIN h ON h.source = u.user_id""",
+)
 def unseen_sources(spark, d):
     health = _day(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("requests"))
-    configured = view(spark, d, "users").filter("user_id <= 300").select(F.col("user_id").alias("source"))
-    return M.with_unseen(health, configured).filter("source <= 300")
+    configured = view(spark, d, "users").select(F.col("user_id").alias("source"))
+    return M.with_unseen(health, configured)
 
 
 _ALERTS = f"""{_HEALTH}, alerts AS (
@@ -83,13 +87,13 @@ def merged_log(spark, d):
 
 @query(
     "merged_events",
-    """WITH e AS (SELECT event_id, ts, 'kept' AS side FROM requests WHERE event_id % 2 = 0 UNION ALL SELECT event_id, ts, 'preferred' FROM requests WHERE event_id % 3 = 0)
+    """WITH e AS (SELECT event_id, ts, 'kept' AS side FROM requests WHERE status IN ('ok', 'slow') UNION ALL SELECT event_id, ts, 'preferred' FROM requests WHERE status IN ('slow', 'error'))
 SELECT event_id, max(side) AS side FROM e GROUP BY event_id, ts ORDER BY ts DESC, event_id DESC LIMIT 1500""",
 )
 def merged_events(spark, d):
-    events = view(spark, d, "requests").select("event_id", "ts")
-    kept = events.filter("event_id % 2 = 0").withColumn("side", F.lit("kept"))
-    preferred = events.filter("event_id % 3 = 0").withColumn("side", F.lit("preferred"))
+    events = view(spark, d, "requests").select("event_id", "ts", "status")
+    kept = events.filter("status in ('ok', 'slow')").select("event_id", "ts").withColumn("side", F.lit("kept"))
+    preferred = events.filter("status in ('slow', 'error')").select("event_id", "ts").withColumn("side", F.lit("preferred"))
     return M.merge_events(kept, preferred, "event_id", 1500).select("event_id", "side")
 
 
