@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,25 @@ def outlier(price: Column, n: Column, median: Column, lowest: Column) -> Column:
     return F.when(n <= 1, False).when(n == 2, pair).otherwise(is_upper_outlier(price, median) | is_lower_outlier(price, median))
 
 
+def beats(best: Column, p: Column) -> Column:
+    """Whether a later offer of a store takes the place of its best one."""
+    return replaces(best, p) | ((p.price == best.price) & (p.updated > best.updated))
+
+
+def replaces(held: Column, p: Column) -> Column:
+    """Whether a later offer is merged over the held one: it is cheaper, or in stock where that is not."""
+    return (p.price < held.price) | ((held.stock == "out-of-stock") & (p.stock != "out-of-stock"))
+
+
+def replaces_or_newer(held: Column, p: Column) -> Column:
+    return replaces(held, p) | (p.updated > held.updated)
+
+
+def fold(offers: Column, better: Callable[[Column, Column], Column]) -> Column:
+    """The offer left of an array in input order."""
+    return F.aggregate(F.slice(offers, 2, F.size(offers)), offers[0], lambda held, p: F.when(better(held, p), p).otherwise(held))
+
+
 def best_store_prices(prices: Column) -> Column:
     """Best offer per store of an array of offers in input order, cheapest first.
 
@@ -89,12 +110,7 @@ def best_store_prices(prices: Column) -> Column:
 
     def of_store(store: Column, all_prices: Column) -> Column:
         own = F.filter(all_prices, lambda p: F.lower(p.store_id) == store)
-        better = lambda best, p: (
-            (p.price < best.price)
-            | ((best.stock == "out-of-stock") & (p.stock != "out-of-stock"))
-            | ((p.price == best.price) & (p.updated > best.updated))
-        )
-        return F.aggregate(F.slice(own, 2, F.size(own)), own[0], lambda best, p: F.when(better(best, p), p).otherwise(best))
+        return fold(own, beats)
 
     def pick(all_prices: Column) -> Column:
         stores = F.array_distinct(F.transform(all_prices, lambda p: F.lower(p.store_id)))
@@ -143,13 +159,7 @@ def merge_prices(prices: Column, newer_wins: bool) -> Column:
     cheaper, is in stock where the held one is not, or (``newer_wins``) is newer.  Stores keep their case."""
 
     def of_store(store: Column, all_prices: Column) -> Column:
-        own = F.filter(all_prices, lambda p: p.store_id == store)
-
-        def better(held: Column, p: Column) -> Column:
-            out = (p.price < held.price) | ((held.stock == "out-of-stock") & (p.stock != "out-of-stock"))
-            return out | (p.updated > held.updated) if newer_wins else out
-
-        return F.aggregate(F.slice(own, 2, F.size(own)), own[0], lambda held, p: F.when(better(held, p), p).otherwise(held))
+        return fold(F.filter(all_prices, lambda p: p.store_id == store), replaces_or_newer if newer_wins else replaces)
 
     def pick(all_prices: Column) -> Column:
         return F.transform(F.array_distinct(F.transform(all_prices, lambda p: p.store_id)), lambda s: of_store(s, all_prices))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,27 @@ def cheapest_per_store(offers: DataFrame) -> DataFrame:
     return offers.filter("price > 0").groupBy("product_id", "store_id").agg(F.min("price").alias("price"))
 
 
+def fold_per_store(offers: DataFrame, order: list[str], better: Callable[[Column, Column], Column]) -> DataFrame:
+    """The offer (price, stock, updated) that a fold in the given order leaves per product and store.
+
+    The fold depends on the order of a store's offers only, so each is a group of its own,
+    however many stores a product has.
+    """
+    entries = F.sort_array(F.collect_list(F.struct(*order, F.struct("price", "stock", "updated").alias("o"))))
+    left = P.fold(F.transform(entries, lambda e: e.o), better)
+    return offers.groupBy("product_id", "store_id").agg(left.alias("o")).select("product_id", "store_id", "o.*")
+
+
 def mark_outliers(best: DataFrame) -> DataFrame:
-    """Adds n, median, discarded: the outlier rule over each product's prices.
+    """Adds n, median, discarded: the outlier rule over each product's prices, a row per store.
 
-    A group in which every price would go keeps them all.
+    A group in which every price would go keeps them all.  One partitioning by product
+    serves all of it.
     """
-    facts = best.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("price", F.lit(0.5)).alias("median"), F.min("price").alias("least")
-    )
-    marked = best.join(facts, "product_id").withColumn("out", P.outlier(F.col("price"), F.col("n"), F.col("median"), F.col("least")))
     group = Window.partitionBy("product_id")
+    facts = {"n": F.count(F.lit(1)), "median": F.percentile("price", F.lit(0.5)), "least": F.min("price")}
+    marked = best.withColumns({name: f.over(group) for name, f in facts.items()})
+    marked = marked.withColumn("out", P.outlier(F.col("price"), F.col("n"), F.col("median"), F.col("least")))
     return marked.withColumn("discarded", F.col("out") & ~F.min("out").over(group)).drop("out", "least")
 
 
@@ -70,21 +83,22 @@ def baseline(current: DataFrame, history: DataFrame) -> DataFrame:
 
     Rows older than the current one by over ``GUARD_SECONDS`` come first, then the newest.
     ``current``: product_id, store_id, price, updated; ``history``: product_id, store_id, price, recorded.
-    An equi-join on product and store with a range condition; the best row is kept per group.
+    An equi-join on product and store with a range condition; the best row is kept by an
+    aggregate, so no group is sorted.
     """
     past = history.select("product_id", "store_id", F.col("price").alias("base"), "recorded")
     pairs = current.join(past, ["product_id", "store_id"]).filter(F.col("base") > F.col("price"))
     older = (F.unix_micros("recorded") < F.unix_micros("updated") - C.GUARD_SECONDS * 1_000_000).cast("int")
-    order = Window.partitionBy("product_id", "store_id").orderBy(older.desc(), F.col("recorded").desc(), F.col("base").desc())
-    return pairs.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    best = pairs.groupBy(*current.columns).agg(F.max(F.struct(older.alias("older"), "recorded", "base")).alias("b"))
+    return best.select(*current.columns, "b.base", "b.recorded")
 
 
 def drops(found: DataFrame) -> DataFrame:
     """Adds amount and percent, keeps drops that qualify, and the best one of each product."""
     found = found.withColumn("amount", F.col("base") - F.col("price")).withColumn("percent", F.col("amount") / F.col("base"))
     found = found.filter((F.col("amount") >= C.DROP_AMOUNT) | (F.col("percent") >= C.DROP_PERCENT))
-    order = Window.partitionBy("product_id").orderBy(F.col("percent").desc(), F.col("amount").desc(), "store_id")
-    return found.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    best = found.groupBy("product_id").agg(F.max_by(F.struct(*found.columns), F.struct("percent", "amount", -F.col("store_id"))).alias("b"))
+    return best.select("b.*")
 
 
 def full_compare(a: DataFrame, b: DataFrame) -> DataFrame:

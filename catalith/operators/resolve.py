@@ -29,7 +29,7 @@ def group_exact(products: DataFrame, newer_wins: bool) -> DataFrame:
     ``products``: canonical_key, seq, product_id, name, hw_category, image, prices, created, updated.
     Offers are folded in the order of products, then of offers.
     """
-    ordered = products.withColumn("_p", F.transform("prices", lambda p: p.withField("seq", F.col("seq") * 100_000 + p.seq)))
+    ordered = products.withColumn("_p", F.transform("prices", lambda p: p.withField("seq", F.struct(F.col("seq").alias("product"), p.seq.alias("offer")))))
     first = lambda c: F.min_by(c, "seq").alias(c)
     grouped = ordered.groupBy("canonical_key").agg(
         first("product_id"),

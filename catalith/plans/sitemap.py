@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import xml_escape
+from ..storage import materialise
 
 
 def entry(location: Column) -> Column:
@@ -16,10 +17,11 @@ def entry(location: Column) -> Column:
 def paged(table: DataFrame, key: str, size: int = C.SITEMAP_PAGE) -> DataFrame:
     """Adds page, counted over the rows in order of ``key``.
 
-    Rows are ranged by key and numbered within their range; only one count per range
-    goes through a single task, so the numbering is global without a global sort in one.
+    Rows are ranged by key and written with their range, so that both sides below see the
+    same ranges, and numbered within; only one count per range goes through a single task,
+    so the numbering is global without a global sort in one.
     """
-    ranged = table.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(table.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     numbered = ranged.withColumn("_n", within)
     counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))

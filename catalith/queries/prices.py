@@ -160,24 +160,27 @@ _LAST = "SELECT product_id, store_id, price::DOUBLE AS price, stock FROM fold QU
 _CHEAPER = "s.price < f.price OR (f.stock = 'out-of-stock' AND s.stock <> 'out-of-stock')"
 
 
-def _folded(spark, d, pick):
-    offers = nested(spark, d).select("product_id", F.explode(pick(F.col("prices"))).alias("o"))
-    return offers.select("product_id", F.col("o.store_id").cast("long").alias("store_id"), "o.price", "o.stock")
+_ORDER = ["updated", "order_id", "line", "store_id", "price", "original"]
+
+
+def _folded(spark, d, better):
+    offers = view(spark, d, "offers").filter("price > 0")
+    return O.fold_per_store(offers.withColumn("price", F.col("price").cast("double")), _ORDER, better).select("product_id", "store_id", "price", "stock")
 
 
 @query("best_price_fold", f"WITH RECURSIVE {_SEQ}{_FOLD.format(_CHEAPER + ' OR (s.price = f.price AND s.updated > f.updated)')} {_LAST}")
 def best_price_fold(spark, d):
-    return _folded(spark, d, P.best_store_prices)
+    return _folded(spark, d, P.beats)
 
 
 @query("merge_prices_search", f"WITH RECURSIVE {_SEQ}{_FOLD.format(_CHEAPER)} {_LAST}")
 def merge_prices_search(spark, d):
-    return _folded(spark, d, lambda p: P.merge_prices(p, newer_wins=False))
+    return _folded(spark, d, P.replaces)
 
 
 @query("merge_prices_catalogue", f"WITH RECURSIVE {_SEQ}{_FOLD.format(_CHEAPER + ' OR s.updated > f.updated')} {_LAST}")
 def merge_prices_catalogue(spark, d):
-    return _folded(spark, d, lambda p: P.merge_prices(p, newer_wins=True))
+    return _folded(spark, d, P.replaces_or_newer)
 
 
 @query(
@@ -187,8 +190,8 @@ SELECT product_id, CAST(min(price) AS BIGINT) AS lowest, CAST(max(price) AS BIGI
 FROM marked WHERE NOT discarded GROUP BY product_id""",
 )
 def fold_stats(spark, d):
-    found = nested(spark, d).select("product_id", P.comparable_stats(P.best_store_prices(F.col("prices"))).alias("s"))
-    return found.select("product_id", "s.lowest", "s.highest", "s.average")
+    found = O.comparable_stats(_folded(spark, d, P.beats))
+    return found.select("product_id", F.col("lowest").cast("long").alias("lowest"), F.col("highest").cast("long").alias("highest"), "average")
 
 
 @query(
