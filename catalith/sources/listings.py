@@ -7,6 +7,7 @@ parser, so rows stream through tasks and nothing is fetched.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -25,17 +26,36 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 @dataclass(frozen=True)
 class ListingRule:
-    """Class names that mark a card and its parts on a shop's listing pages."""
+    """What marks a card and its parts on a shop's listing pages: ``.name`` a class, ``name`` a tag, the first found counts."""
 
     store_id: str
     card: str
-    title: str
-    price: str
-    stock: str = "stock"
+    title: tuple[str, ...]
+    price: tuple[str, ...]
+    stock: tuple[str, ...] = (".stock",)
     sold_out: tuple[str, ...] = ("sin stock", "agotado", "out of stock")
+    low_stock: tuple[str, ...] = ()  # words of a title
+    link: str = ""  # what a card's link must match
     max_price: int = 0
 
 
+#: Fixed rules of the shops' listing pages.
+RULES = {
+    rule.store_id: rule
+    for rule in (
+        ListingRule("mexx", ".card-ecommerce", (".card-title", "h4"), ("b", "strong"), link=r"(?i)\.html([?#].*)?$"),
+        ListingRule("venex", ".product-box", ("h3",), (".current-price", ".price"), low_stock=("outlet",)),
+        ListingRule("fullh4rd", ".item", ("h3", "h2"), (".price",)),
+        ListingRule("gamingcity", ".product", ("h4",), (".price",), stock=(".leyendaConStock", ".stock"), link="--det--"),
+        ListingRule("gezatek", ".w-box", ("h2",), (".precio_web", ".price"), stock=(".stock_generico",)),
+        ListingRule("compugarden", ".product", ("h4",), (".price",), max_price=10_000_000),
+        ListingRule("logg", ".product-card", (".card-text",), (".logg-price", ".card-price")),
+        ListingRule("xtpc", ".product-list", ("h3",), (".price",), link="/prod/"),
+    )
+}
+_NO_CARDS = ListingRule("", ".\0", (), ())
+
+
 @dataclass
 class _Card:
     parts: dict[str, list[str]] = field(default_factory=lambda: {"title": [], "price": [], "stock": []})
@@ -56,11 +76,13 @@ class _Listing(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         classes = a.get("class", "").split()
         role = ""
-        if self.rule.card in classes and self.card is None:
+        marks = {tag, *("." + c for c in classes)}
+        if self.rule.card in marks and self.card is None:
             self.card, role = _Card(), "card"
             self.cards.append(self.card)
         elif self.card is not None:
-            role = next((part for part in ("title", "price", "stock") if getattr(self.rule, part) in classes), "")
+            free = (p for p in ("title", "price", "stock") if not any(t.strip() for t in self.card.parts[p]))
+            role = next((part for part in free if marks.intersection(getattr(self.rule, part))), "")
         if tag == "a" and a.get("href"):
             self.links.append((a["href"], a.get("rel", "")))
             if self.card is not None and not self.card.link:
@@ -95,14 +117,15 @@ class _Listing(HTMLParser):
 _CARD = "page_id long, url string, position int, store_id string, raw_title string, raw_price string, raw_stock string, link string, image string"
 
 
-def cards(pages: DataFrame, rule: ListingRule) -> DataFrame:
-    """Cards of listing pages (page_id, url, html), as texts."""
+def cards(pages: DataFrame, rules: dict[str, ListingRule]) -> DataFrame:
+    """Cards of listing pages (page_id, url, html, shop), as texts; pages of shops without a rule have none."""
     names = [f.split()[0] for f in _CARD.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            for page_id, url, html, shop in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "shop")), strict=True):
+                rule = rules.get(shop, _NO_CARDS)
                 parser = _Listing(rule)
                 parser.feed(html or "")
                 for k, card in enumerate(parser.cards):
@@ -113,23 +136,26 @@ def cards(pages: DataFrame, rule: ListingRule) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, _CARD)
+    return pages.select("page_id", "url", "html", "shop").mapInArrow(run, _CARD)
 
 
-def offers(pages: DataFrame, rule: ListingRule) -> DataFrame:
-    """Offers of listing pages: cards with a title and a positive, plausible price, each link once (the first)."""
-    found = cards(pages, rule).withColumns({"name": collapse(F.regexp_replace("raw_title", r"\$.*$", "")), "price": parse_price(F.col("raw_price"))})
+def offers(pages: DataFrame, rules: dict[str, ListingRule] = RULES) -> DataFrame:
+    """Offers of listing pages: cards with a title, a fitting link and a positive, plausible price, each link once (the first)."""
+    found = cards(pages, rules).withColumns({"name": collapse(F.regexp_replace("raw_title", r"\$.*$", "")), "price": parse_price(F.col("raw_price"))})
     usable = found.filter((F.col("name") != "") & (F.col("price") > 0))
-    if rule.max_price:
-        usable = usable.filter(F.col("price") <= rule.max_price)
-    sold_out = F.lower("raw_stock").rlike("|".join(rule.sold_out))
+    of = lambda value, kind: F.coalesce(*(F.when(F.col("store_id") == k, value(r)) for k, r in rules.items() if kind(r)), F.lit(None).cast("boolean"))
+    fits = of(lambda r: F.col("link").rlike(r.link), lambda r: r.link)
+    plausible = of(lambda r: F.col("price") <= r.max_price, lambda r: r.max_price)
+    usable = usable.filter(F.coalesce(fits, F.lit(True)) & F.coalesce(plausible, F.lit(True)))
+    sold_out = of(lambda r: F.lower("raw_stock").rlike("|".join(r.sold_out)), lambda r: r.sold_out)
+    scarce = of(lambda r: F.lower("name").rlike("|".join(r.low_stock)), lambda r: r.low_stock)
     first = usable.groupBy(F.coalesce("link", F.concat_ws("#", "url", "position")).alias("link")).agg(
         F.min_by(F.struct("page_id", "position", "store_id", "name", "price", "raw_stock", "image"), F.struct("page_id", "position")).alias("o")
     )
     usable = first.select("link", "o.*")
     return usable.select(
         "page_id", "store_id", "name", infer_category(F.col("name")).alias("category"), "price",
-        F.when(sold_out, "out-of-stock").otherwise("in-stock").alias("stock"), "link", "image",
+        F.when(sold_out, "out-of-stock").when(scarce, "low-stock").otherwise("in-stock").alias("stock"), "link", "image",
     )
 
 
@@ -145,29 +171,29 @@ def find_product(value) -> dict | None:
     return None
 
 
-def describe(html: str, limit: int = 700) -> str:
-    """Description of a product page: JSON-LD first, then its meta description."""
-    parser = _Listing(ListingRule("", "\0", "\0", "\0"))
+def _parsed(html: str) -> _Listing:
+    parser = _Listing(_NO_CARDS)
     parser.feed(html or "")
-    for script in parser.scripts:
+    return parser
+
+
+def describe(page: _Listing, limit: int = 700) -> str:
+    """Description of a product page: JSON-LD first, then its meta description."""
+    for script in page.scripts:
         try:
             product = find_product(json.loads(script))
         except ValueError:
             continue
         if product and product.get("description"):
             return " ".join(str(product["description"]).split())[:limit]
-    return " ".join((parser.meta.get("description") or parser.meta.get("og:description") or "").split())[:limit]
+    return " ".join((page.meta.get("description") or page.meta.get("og:description") or "").split())[:limit]
 
 
-def next_page(html: str, url: str, current: int) -> str | None:
+def next_page(page: _Listing, url: str, current: int) -> str | None:
     """The link with the smallest page number above the current one, else one marked as next."""
-    import re
-
-    parser = _Listing(ListingRule("", "\0", "\0", "\0"))
-    parser.feed(html or "")
-    numbered = [(int(m[1]), href) for href, _ in parser.links if (m := re.search(r"[?&](?:page|p|pagina)=(\d+)|/page/(\d+)", href)) and m[1]]
+    numbered = [(int(m[1]), href) for href, _ in page.links if (m := re.search(r"[?&](?:page|p|pagina)=(\d+)|/page/(\d+)", href)) and m[1]]
     above = sorted((n, href) for n, href in numbered if n > current)
-    following = above[0][1] if above else next((href for href, rel in parser.links if "next" in rel.split()), None)
+    following = above[0][1] if above else next((href for href, rel in page.links if "next" in rel.split()), None)
     return urljoin(url, following) if following else None
 
 
@@ -181,9 +207,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                parser = _Listing(ListingRule("", "\0", "\0", "\0"))
-                parser.feed(html or "")
-                rows.append((page_id, describe(html or ""), next_page(html or "", url or "", 1), len(parser.links)))
+                page = _parsed(html)
+                rows.append((page_id, describe(page), next_page(page, url or "", 1), len(page.links)))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _PAGE.split(", ")])

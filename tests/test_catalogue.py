@@ -152,8 +152,8 @@ LISTING = """<html><body><div class="card"><h2 class="title">Mouse Logitech &amp
 
 
 def test_listing_pages(spark):
-    rule = listings.ListingRule("shop", "card", "title", "price", max_price=10_000_000)
-    pages = spark.createDataFrame([(1, "http://s/c?page=1", LISTING), (2, "http://s/c?page=2", LISTING), (3, None, None), (4, "http://s", "<p>no cards")], "page_id long, url string, html string")
+    rule = {"shop": listings.ListingRule("shop", ".card", (".title",), (".price",), max_price=10_000_000)}
+    pages = spark.createDataFrame([(1, "http://s/c?page=1", LISTING), (2, "http://s/c?page=2", LISTING), (3, None, None), (4, "http://s", "<p>no cards")], "page_id long, url string, html string").withColumn("shop", F.lit("shop"))
     got = sorted((r["name"], r["price"], r["stock"], r["link"], r["page_id"]) for r in listings.offers(pages, rule).collect())
     assert got == [("Mouse Logitech & G502", 48999, "in-stock", "http://s/p/1", 1), ("Teclado", 30000, "out-of-stock", "http://s/p/2", 1)]
     facts = {r["page_id"]: r for r in listings.page_facts(pages).collect()}
