@@ -226,8 +226,7 @@ def _sql_words(table: str, key: str) -> str:
 
 def _sql_windows(source: str, key: str) -> str:
     return f"""
-  SELECT {key}, pos, CASE WHEN len(list_filter(c, lambda x: x[1] = '<')) > {WIDTH - LITERAL} THEN list_concat(['bare'], b) ELSE c END AS g,
-         list_transform(list_filter(list_zip(c, b), lambda z: z[1][1] = '<'), lambda z: z[2]) AS slots
+  SELECT {key}, pos, CASE WHEN len(list_filter(c, lambda x: x[1] = '<')) > {WIDTH - LITERAL} THEN list_concat(['bare'], b) ELSE c END AS g, c, b
   FROM (SELECT {key}, i - 1 AS pos, list_slice(canon, i, i + {WIDTH - 1}) AS c, list_slice(bare, i, i + {WIDTH - 1}) AS b
         FROM (SELECT {key}, bare, canon, unnest(generate_series(1, len(canon) - {WIDTH - 1})) AS i FROM {source}))"""
 
@@ -239,13 +238,15 @@ WITH RECURSIVE dw AS ({_sql_words("documents", "doc_id")}
 ), d AS ({_sql_windows("dw", "doc_id")}
 ), b AS ({_sql_windows("bw", "item_id")}
 ), met AS (
-  SELECT doc_id, item_id, d.pos, b.pos AS item_pos, d.pos - b.pos AS shift, list_zip(b.slots, d.slots) AS pairs, b.slots = d.slots AS same FROM d JOIN b USING (g)
+  SELECT doc_id, item_id, d.pos, b.pos AS item_pos, d.pos - b.pos AS shift,
+         list_transform(list_filter(list_zip(b.c, b.b, d.b), lambda z: z[1][1] = '<'), lambda z: row(z[2], z[3])) AS pairs
+  FROM d JOIN b USING (g)
 ), aligned AS (
   SELECT doc_id, item_id, shift, list_distinct(flatten(list(pairs))) AS pairs FROM met GROUP BY ALL
 ), judged AS (
   SELECT doc_id, item_id, shift, len(list_distinct(list_transform(pairs, lambda p: p[1]))) = len(pairs) AS ok FROM aligned
 ), copied AS (
-  SELECT DISTINCT doc_id, item_id, shift, item_pos, len(pairs) = 0 AS plain FROM met JOIN judged USING (doc_id, item_id, shift) WHERE NOT ok AND same
+  SELECT DISTINCT doc_id, item_id, shift, item_pos, len(pairs) = 0 AS plain FROM met JOIN judged USING (doc_id, item_id, shift) WHERE NOT ok AND len(list_filter(pairs, lambda p: p[1] <> p[2])) = 0
 ), stepped AS (
   SELECT *, CASE WHEN item_pos - lag(item_pos) OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_pos) <= {WIDTH} THEN 0 ELSE 1 END AS new FROM copied
 ), runs AS (
@@ -255,7 +256,7 @@ WITH RECURSIVE dw AS ({_sql_words("documents", "doc_id")}
   QUALIFY bool_or(plain) OVER (PARTITION BY doc_id, item_id, shift, run) OR max(item_pos) OVER (PARTITION BY doc_id, item_id, shift, run) - min(item_pos) OVER (PARTITION BY doc_id, item_id, shift, run) >= {WIDTH}
 ), counted AS (
   SELECT met.* FROM met JOIN judged USING (doc_id, item_id, shift) WHERE ok
-  UNION ALL SELECT met.* FROM met JOIN evidence USING (doc_id, item_id, shift, item_pos) WHERE same
+  UNION ALL SELECT met.* FROM met JOIN evidence USING (doc_id, item_id, shift, item_pos) WHERE len(list_filter(pairs, lambda p: p[1] <> p[2])) = 0
 ), per_shift AS (
   SELECT doc_id, item_id, shift, list_distinct(flatten(list(pairs))) AS pairs, list(DISTINCT item_pos) AS places, min(pos) AS first_word FROM counted GROUP BY ALL
 ), short AS (

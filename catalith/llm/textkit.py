@@ -158,21 +158,39 @@ def signed(h: np.ndarray) -> pa.Array:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in tests, a local folder is made and set.
+    Only where the setting is missing, as in tests, a local folder is made.
     """
     return f"{checkpoint_root(spark)}/{name}-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
 
 
+#: Local folders of sessions without a shared one, by application.
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
+    if root is None:  # the setting cannot be changed in a running session
         import tempfile
 
-        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_ROOTS:
+            _OWN_ROOTS[application] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        root = _OWN_ROOTS[application]
     return root.rstrip("/")
 
 
+def release(spark: SparkSession) -> int:
+    """Removes what this application wrote under the shared folder; for when its results have been stored.  The number of folders."""
+    import pyarrow.fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(checkpoint_root(spark))
+    mine = f"-{spark.sparkContext.applicationId}-"
+    found = [i.path for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if mine in i.base_name]
+    for path in found:
+        fs.delete_dir(path)
+    return len(found)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, computed once."""
     path = shared_dir(df.sparkSession, "table")

@@ -260,6 +260,40 @@ def test_template_decontam_finds_copies_beside_changes_and_of_dense_and_short_it
     assert all(r["exact"] for r in found)
 
 
+def test_template_decontam_equals_its_sql_on_edge_rows(spark, edge_docs, edge_rows):
+    """Dense, short, changed and plain items against long, empty, null and marked texts with clashing columns."""
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    words = "He paid 12 euros to Anna Berg, and (maybe) 5 kg of $3.50 tea! Was 7kg 8 min 40% far? --- * $ x. Then Otto 1,000 km".split()
+    items = [" ".join(r.choices(words, k=k)) for k in (3, 5, 7, 8, 9, 14, 30) for _ in range(4)] + ["Compute 12 plus 7 minus 4 times 9 over 3 equals 25", "alone", None, "", edge_rows[7][1]]
+    texts = [f"{' '.join(r.choices(words, k=5))} {t or ''} {' '.join(r.choices(words, k=5))}" for t in items] + items
+    texts += [(t or "").replace("12", "13").replace("Anna", "Ida") for t in items]
+    docs = [(1000 + k, t) for k, t in enumerate(texts)] + [(d[0], d[1]) for d in edge_rows[:-2]]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    connection.executemany("INSERT INTO benchmark VALUES (?, ?)", list(enumerate(items)))
+    cursor = connection.execute(template_decontam.SQL)
+    names = [c[0] for c in cursor.description]
+    want = sorted(cursor.fetchall())
+    table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as h", "2 as at", "'x' as item_id")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").selectExpr("*", "'y' as doc_id")
+    got = sorted(tuple(x[c] for c in names) for x in template_decontam.leaks(table, benchmark).collect())
+    assert got == want and len(want) > 60
+    rest = template_decontam.decontaminate(table, benchmark)
+    assert rest.columns == table.columns and {x["doc_id"] for x in rest.collect()} == {d[0] for d in docs} - {w[names.index("doc_id")] for w in want}
+
+
+def test_release_removes_this_applications_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textkit, "checkpoint_root", lambda _: f"file://{tmp_path}")
+    textkit.cut(spark.range(3).toDF("x"))
+    assert textkit.release(spark) == 1 and textkit.release(spark) == 0
+
+
 # ------------------------------------------------------------ op7
 
 
