@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import attach, cut
@@ -50,8 +50,8 @@ GUARD = 1 / GRID**2
 #: The greatest squared distance of a kept document (chi2 with 4 degrees of freedom at 1 - 1e-5).
 CUTOFF = 28.5
 EVIDENCE, EVIDENCE_LINES = 200, 25
-#: Rounds of concentration, if determinants still fall; steps of a round; starts of a group.
-MOST_ROUNDS, ROUND_STEPS, STARTS = 10, 3, 3
+#: Concentration steps, if determinants still fall; starts of a group.
+MOST_STEPS, STARTS = 30, 3
 _P = 4
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 _Z = [f"z{i}" for i in range(_P)]
@@ -145,7 +145,7 @@ def _factor(matrix: Callable[[int, int], Column], out: DataFrame) -> DataFrame:
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, from z, m and the factor's columns, which go."""
-    keep, out = [c for c in rows.columns if c[0] != "l" or not c[1:2].isdigit()], rows
+    keep, out = [c for c in rows.columns if not c.startswith("l") or "_" not in c], rows
     for i in range(_P):
         rest = F.col(f"z{i}") / GRID - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
@@ -174,19 +174,6 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return one.unionByName(two).unionByName(three)
 
 
-def _means() -> list[Column]:
-    return [(F.col(f"t{i}") / F.col("t") / GRID).alias(f"m{i}") for i in range(_P)]
-
-
-def _covariances() -> list[Column]:
-    mean = lambda i: F.col(f"t{i}") / F.col("t") / GRID
-    return [(F.col(f"t{i}_{j}") / F.col("t") / GRID**2 - mean(i) * mean(j)).alias(f"c{i}_{j}") for i, j in _PAIRS]
-
-
-def _logdet() -> Column:
-    return sum((2 * F.log(f"l{i}_{i}") for i in range(_P)), F.lit(0.0))
-
-
 def _moments(near: DataFrame) -> DataFrame:
     """Mean, covariance and log determinant of each (g, start)."""
     n = F.col("n")
@@ -195,8 +182,15 @@ def _moments(near: DataFrame) -> DataFrame:
         *(F.sum(n * F.col(z)).alias(f"t{i}") for i, z in enumerate(_Z)),
         *(F.sum(n * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS),
     )
-    out = sums.select("g", "start", *_means(), *_covariances())
-    return _factor(_regular, out).select(*out.columns, _logdet().alias("logdet"))
+    mean = lambda i: F.col(f"t{i}") / F.col("t") / GRID
+    out = sums.select(
+        "g",
+        "start",
+        *(mean(i).alias(f"m{i}") for i in range(_P)),
+        *((F.col(f"t{i}_{j}") / F.col("t") / GRID**2 - mean(i) * mean(j)).alias(f"c{i}_{j}") for i, j in _PAIRS),
+    )
+    logdet = sum((2 * F.log(f"l{i}_{i}") for i in range(_P)), F.lit(0.0))
+    return _factor(_regular, out).select(*out.columns, logdet.alias("logdet"))
 
 
 def _measured(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
@@ -204,46 +198,27 @@ def _measured(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFram
     return _distance(attach(vectors, _factor(_regular, estimates), ["g"], "inner", size=STARTS * groups))
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """Replaces near: whether a vector is among the share H of its group with the least d2 (ties included), which goes."""
-    group = Window.partitionBy("g", "start")
-    place = rows.withColumn("place", F.floor(F.col("d2") * (1 << 20)))
-    nearer = F.coalesce(F.sum("n").over(group.orderBy("place").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return place.withColumn("near", nearer < H * F.sum("n").over(group)).drop("place", "d2")
-
-
-def _concentrated(rows: DataFrame) -> DataFrame:
-    """One step: the near vectors of each (g, start) give mean and covariance, and those the next near vectors.
-
-    Sums, distances and order are windows over one partitioning, so steps follow each other
-    without a shuffle; a partition holds a group's distinct vectors, whose number the grid bounds.
-    """
-    group = Window.partitionBy("g", "start")
-    n = F.when(F.col("near"), F.col("n")).otherwise(0)
-    sums = {"t": n} | {f"t{i}": n * F.col(z) for i, z in enumerate(_Z)} | {f"t{i}_{j}": n * F.col(f"z{i}") * F.col(f"z{j}") for i, j in _PAIRS}
-    summed = rows.withColumns({name: F.sum(value).over(group) for name, value in sums.items()})
-    measured = _factor(_regular, summed.select("g", "start", *_Z, "n", F.col("logdet").alias("before"), *_means(), *_covariances()))
-    measured = measured.withColumn("logdet", _logdet())
-    return _nearest(_distance(measured))
+def _concentrated(measured: DataFrame, groups: int) -> DataFrame:
+    """Moments of the share H of each group with the least distances (ties included)."""
+    place = measured.withColumn("place", F.floor(F.col("d2") * (1 << 20)))
+    limits = place.groupBy("g", "start").agg(F.percentile("place", F.lit(H), F.col("n")).alias("limit"))
+    return _moments(attach(place, limits, ["g", "start"], "inner", size=STARTS * groups).filter("place <= limit"))
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
     """Robust mean and covariance (m*, c*) per group of weighted vectors (g, z*, n)."""
-    starts = cut(_starts(vectors))
-    groups = -(-starts.count() // STARTS)
-    rows = _nearest(_measured(vectors, starts, groups)).withColumn("logdet", F.lit(float("inf")))
-    for _ in range(MOST_ROUNDS):
-        for _ in range(ROUND_STEPS):
-            rows = _concentrated(rows)
-        rows = cut(rows)
-        falls = rows.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        if falls is None or falls <= 1e-9:
+    estimates, least = cut(_starts(vectors)), None
+    groups = -(-estimates.count() // STARTS)
+    for _ in range(MOST_STEPS):
+        estimates = cut(_concentrated(_measured(vectors, estimates.drop("logdet"), groups), groups))
+        total = estimates.agg(F.sum("logdet")).first()[0]
+        if total is None or (least is not None and total > least - 1e-9):
             break
-        rows = rows.drop("before")
-    ended = _moments(rows.filter("near"))
+        least = total
     columns = ["start", *(f"m{i}" for i in range(_P)), *(f"c{i}_{j}" for i, j in _PAIRS)]
-    best = ended.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
-    within = _measured(vectors, cut(_scaled(best, CONSISTENCY)), groups).filter(F.col("d2") <= WITHIN)
+    best = estimates.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
+    best = cut(_scaled(best, CONSISTENCY))
+    within = _measured(vectors, best, groups).filter(F.col("d2") <= WITHIN)
     return _scaled(_moments(within), WITHIN_CONSISTENCY).drop("start")
 
 
