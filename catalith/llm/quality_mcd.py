@@ -50,8 +50,8 @@ GUARD = 1 / GRID**2
 #: The greatest squared distance of a kept document (chi2 with 4 degrees of freedom at 1 - 1e-5).
 CUTOFF = 28.5
 EVIDENCE, EVIDENCE_LINES = 200, 25
-#: Concentration steps, if determinants still fall; starts of a group.
-MOST_STEPS, STARTS = 30, 3
+#: Concentration steps, if determinants still fall; how often that is asked; starts of a group.
+MOST_STEPS, CHECK_STEPS, STARTS = 30, 2, 3
 _P = 4
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 _Z = [f"z{i}" for i in range(_P)]
@@ -206,11 +206,27 @@ def _concentrated(measured: DataFrame, groups: int) -> DataFrame:
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
-    """Robust mean and covariance (m*, c*) per group of weighted vectors (g, z*, n)."""
+    """Robust mean and covariance (m*, c*) per group of weighted vectors (g, z*, n).
+
+    Its many small jobs run without generated code, which would cost the driver more memory
+    and time to compile than it saves; the setting is put back.
+    """
+    conf, name = vectors.sparkSession.conf, "spark.sql.codegen.wholeStage"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(_estimated(vectors))
+    finally:
+        conf.set(name, before)
+
+
+def _estimated(vectors: DataFrame) -> DataFrame:
     estimates, least = cut(_starts(vectors)), None
     groups = -(-estimates.count() // STARTS)
-    for _ in range(MOST_STEPS):
+    for step in range(1, MOST_STEPS + 1):
         estimates = cut(_concentrated(_measured(vectors, estimates.drop("logdet"), groups), groups))
+        if step % CHECK_STEPS:
+            continue
         total = estimates.agg(F.sum("logdet")).first()[0]
         if total is None or (least is not None and total > least - 1e-9):
             break
@@ -240,7 +256,7 @@ def assess(docs: DataFrame) -> DataFrame:
     every = vectors.select(F.explode(F.array("s", "l", F.lit("*"))).alias("g"), *_Z, "n")
     judged = cut(sources.union(languages).union(vectors.select(F.lit("*").alias("g")).distinct()))
     grouped = cut(attach(every, judged, ["g"], "left_semi").groupBy("g", *_Z).agg(F.sum("n").alias("n")))
-    estimates = cut(estimate(grouped))
+    estimates = estimate(grouped)
     named = lambda t, c: t.select(F.col("g").alias(c), F.col("g").alias(f"ok_{c}"))
     stats = attach(attach(stats, named(sources, "s"), ["s"]), named(languages, "l"), ["l"])
     stats = stats.withColumn("g", F.coalesce("ok_s", "ok_l", F.lit("*")))
