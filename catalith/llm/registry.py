@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store, warc
+from . import centroids, hard_negatives, html_extract, license_scan, partenum_join, pii_crf, quality_mcd, secret_scan, sentencepiece_bpe, substring_dedup, template_decontam, token_store, warc
 from .textkit import shared_dir
 
 
@@ -67,6 +67,18 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_warc": op2_warc,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_partenum_join": op8_partenum_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_crf": op10_pii_crf,
+    "op11_centroids": op11_centroids,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +100,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op6_template_decontam": template_decontam.SQL,
     "op8_partenum_join": partenum_join.SQL,
+    "op11_centroids": centroids.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_license_scan": license_scan.SQL,
 }

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return connection
 
