@@ -1,16 +1,15 @@
-"""Entity resolution, feeds and listing pages."""
+"""Entity resolution and feeds."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import price as P
 from ..operators import offers as O
 from ..operators import resolve
 from ..plans import search
 from ..registry import query
-from ..sources import feeds, listings
+from ..sources import feeds
 from ..sources.tables import raw, view
 from ..storage import materialise
 
@@ -48,11 +47,6 @@ def search_results(spark, d):
     return found.select("product_id", "name", "lowest", "highest", "average")
 
 
-@query("page_descriptions", "SELECT page_id, CAST((length(html) - length(replace(html, '<a href=', ''))) / 8 AS BIGINT) AS n_links FROM pages")
-def page_descriptions(spark, d):
-    return listings.page_facts(raw(spark, d, "pages")).select("page_id", "n_links")
-
-
 @query("feed_offers", """SELECT concat('feed-', CAST(p_partkey AS STRING)) AS product_id, CAST(floor(p_retailprice) AS BIGINT) AS price,
   CASE WHEN p_size <= 0 THEN 'out-of-stock' WHEN p_size <= 2 THEN 'low-stock' ELSE 'in-stock' END AS stock, coalesce(p_brand, 'Generica') AS brand FROM part WHERE p_size <> 13 AND p_retailprice >= 1""")
 def feed_offers(spark, d):
@@ -66,37 +60,3 @@ def feed_offers(spark, d):
     brands = part.select(F.col("p_brand").alias("brand_id"), F.col("p_brand").alias("brand")).distinct()
     kinds = part.select(F.col("p_type").alias("subcategory_id"), F.lower("p_type").alias("category")).distinct()
     return feeds.map_items(items, kinds, brands, "feed").select("product_id", "price", "stock", "brand")
-
-
-_SHOPS = sorted(listings.RULES)
-_SHOP = "CASE store_id % 8 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SHOPS)) + " END"
-
-
-@query(
-    "listing_offers",
-    f"""WITH b AS (SELECT product_id, store_id, min(price) AS price FROM offers WHERE price > 0 GROUP BY ALL), s AS (SELECT *, {_SHOP} AS shop FROM b)
-SELECT shop, concat('https://', shop, '.example/prod/', CAST(store_id AS VARCHAR), '--det--', CAST(product_id AS VARCHAR), '.html') AS link, title AS name, price,
-  CASE WHEN price > 200000 THEN 'out-of-stock' ELSE 'in-stock' END AS stock FROM s JOIN products USING (product_id) WHERE shop <> 'compugarden' OR price <= 10000000""",
-)
-def listing_offers(spark, d):
-    """Offers written as cards of each shop's listing pages, a page per product and shop, and read back by the shops' rules."""
-    shop = F.element_at(F.array(*map(F.lit, _SHOPS)), (F.col("store_id") % 8 + 1).cast("int"))
-    best = O.cheapest_per_store(view(spark, d, "offers")).withColumn("shop", shop).join(view(spark, d, "products").select("product_id", "title"), "product_id")
-
-    def part(rule, name, text):
-        mark = getattr(rule, name)[0]
-        tag, kind = ("span", f' class="{mark[1:]}"') if mark.startswith(".") else (mark, "")
-        return F.concat(F.lit(f"<{tag}{kind}>"), text, F.lit(f"</{tag}>"))
-
-    href = F.concat(F.lit("/prod/"), F.col("store_id").cast("string"), F.lit("--det--"), F.col("product_id").cast("string"), F.lit(".html"))
-    stock = F.when(F.col("price") > 200_000, "Sin stock").otherwise("Disponible")
-
-    def card(rule):
-        body = [part(rule, "title", F.col("title")), part(rule, "price", P.format_price(F.col("price"))), part(rule, "stock", stock)]
-        return F.concat(F.lit(f'<div class="{rule.card[1:]}"><a href="'), href, F.lit('"><img src="/i.png"></a>'), *body, F.lit("</div>"))
-
-    html = F.coalesce(*(F.when(F.col("shop") == name, card(rule)) for name, rule in listings.RULES.items()))
-    pages = best.withColumn("card", html).groupBy("product_id", "shop").agg(F.array_join(F.sort_array(F.collect_list("card")), "").alias("html"))
-    url = F.concat(F.lit("https://"), F.col("shop"), F.lit(".example/list?page=1"))
-    found = listings.offers(pages.select(F.col("product_id").alias("page_id"), url.alias("url"), "html", "shop"))
-    return found.select(F.col("store_id").alias("shop"), "link", "name", "price", "stock")

@@ -1,216 +1,279 @@
-"""HTML listing pages as offers: cards by class names, JSON-LD products, next pages, descriptions.
+"""Shops' pages as offers: listing cards, product pages, descriptions, links to further pages.
 
-Pages are a table; a narrow Arrow map parses each page with the standard library's
-parser, so rows stream through tasks and nothing is fetched.
+Pages are a table; a narrow Arrow map parses each page once and returns the texts that the
+shop's rule names, and everything that is told from those texts (prices, stock, links,
+JSON-LD) is DataFrame functions.  Nothing is fetched.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
-from urllib.parse import urljoin
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import parse_qs, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.price import parse_price
+from ..functions.price import digits_only, parse_price
 from ..functions.text import collapse, infer_category
+from .markup import Page, first_of, pick
+from .shops import DESCRIPTIONS, DETAILS, LISTINGS, NEXT_LABELS, NEXT_LINKS, PAGE_PARAMETERS, DetailRule, ListingRule
+
+_KEY = ["page_id", "url", "html", "shop"]
+
+
+def absolute(base: str, href: str) -> str:
+    """A link as an address: as it is, with a scheme, or behind the shop's own."""
+    if not href or href.startswith("http"):
+        return href
+    if href.startswith("//"):
+        return f"https:{href}"
+    return f"{base}{'' if href.startswith('/') else '/'}{href}"
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-@dataclass(frozen=True)
-class ListingRule:
-    """What marks a card and its parts on a shop's listing pages: ``.name`` a class, ``name`` a tag, the first found counts."""
-
-    store_id: str
-    card: str
-    title: tuple[str, ...]
-    price: tuple[str, ...]
-    stock: tuple[str, ...] = (".stock",)
-    sold_out: tuple[str, ...] = ("sin stock", "agotado", "out of stock")
-    low_stock: tuple[str, ...] = ()  # words of a title
-    link: str = ""  # what a card's link must match
-    max_price: int = 0
-
-
-#: Fixed rules of the shops' listing pages.
-RULES = {
-    rule.store_id: rule
-    for rule in (
-        ListingRule("mexx", ".card-ecommerce", (".card-title", "h4"), ("b", "strong"), link=r"(?i)\.html([?#].*)?$"),
-        ListingRule("venex", ".product-box", ("h3",), (".current-price", ".price"), low_stock=("outlet",)),
-        ListingRule("fullh4rd", ".item", ("h3", "h2"), (".price",)),
-        ListingRule("gamingcity", ".product", ("h4",), (".price",), stock=(".leyendaConStock", ".stock"), link="--det--"),
-        ListingRule("gezatek", ".w-box", ("h2",), (".precio_web", ".price"), stock=(".stock_generico",)),
-        ListingRule("compugarden", ".product", ("h4",), (".price",), max_price=10_000_000),
-        ListingRule("logg", ".product-card", (".card-text",), (".logg-price", ".card-price")),
-        ListingRule("xtpc", ".product-list", ("h3",), (".price",), link="/prod/"),
-    )
-}
-_NO_CARDS = ListingRule("", ".\0", (), ())
-
-
-@dataclass
-class _Card:
-    parts: dict[str, list[str]] = field(default_factory=lambda: {"title": [], "price": [], "stock": []})
-    link: str = ""
-    image: str = ""
-
-
-class _Listing(HTMLParser):
-    """Collects cards, links and JSON-LD blocks of a page."""
-
-    def __init__(self, rule: ListingRule) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rule, self.cards, self.links, self.scripts, self.meta = rule, [], [], [], {}
-        self.stack: list[tuple[str, str]] = []
-        self.card: _Card | None = None
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        classes = a.get("class", "").split()
-        role = ""
-        marks = {tag, *("." + c for c in classes)}
-        if self.rule.card in marks and self.card is None:
-            self.card, role = _Card(), "card"
-            self.cards.append(self.card)
-        elif self.card is not None:
-            free = (p for p in ("title", "price", "stock") if not any(t.strip() for t in self.card.parts[p]))
-            role = next((part for part in free if marks.intersection(getattr(self.rule, part))), "")
-        if tag == "a" and a.get("href"):
-            self.links.append((a["href"], a.get("rel", "")))
-            if self.card is not None and not self.card.link:
-                self.card.link = a["href"]
-        if tag == "img" and self.card is not None and not self.card.image:
-            self.card.image = a.get("data-src") or a.get("src") or a.get("srcset", "").split(",")[0].split(" ")[0]
-        if tag == "meta" and (a.get("name") or a.get("property")):
-            self.meta.setdefault(a.get("name") or a.get("property"), a.get("content", ""))
-        if tag == "script" and a.get("type") == "application/ld+json":
-            role = "ld"
-            self.scripts.append("")
-        if tag not in _VOID:
-            self.stack.append((tag, role))
-
-    def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
-            while self.stack:
-                t, role = self.stack.pop()
-                if role == "card":
-                    self.card = None
-                if t == tag:
-                    break
-
-    def handle_data(self, data):
-        role = next((r for _, r in reversed(self.stack) if r), "")
-        if role == "ld":
-            self.scripts[-1] += data
-        elif self.card is not None and role in self.card.parts:
-            self.card.parts[role].append(data)
-
-
-_CARD = "page_id long, url string, position int, store_id string, raw_title string, raw_price string, raw_stock string, link string, image string"
-
-
-def cards(pages: DataFrame, rules: dict[str, ListingRule]) -> DataFrame:
-    """Cards of listing pages (page_id, url, html, shop), as texts; pages of shops without a rule have none."""
-    names = [f.split()[0] for f in _CARD.split(", ")]
+
+def base_of(url: str) -> str:
+    parts = urlsplit(url)
+    return f"{parts.scheme}://{parts.netloc}"
+
+
+def _rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``function`` gives the result rows of one page; a page at a time, in Arrow batches."""
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, url, html, shop in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "shop")), strict=True):
-                rule = rules.get(shop, _NO_CARDS)
-                parser = _Listing(rule)
-                parser.feed(html or "")
-                for k, card in enumerate(parser.cards):
-                    text = {p: " ".join("".join(v).split()) for p, v in card.parts.items()}
-                    link = urljoin(url or "", card.link) if card.link else None
-                    rows.append((page_id, url, k, rule.store_id, text["title"], text["price"], text["stock"], link, card.image or C.DEFAULT_IMAGE))
-            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 6]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return pages.select("page_id", "url", "html", "shop").mapInArrow(run, _CARD)
-
-
-def offers(pages: DataFrame, rules: dict[str, ListingRule] = RULES) -> DataFrame:
-    """Offers of listing pages: cards with a title, a fitting link and a positive, plausible price, each link once (the first)."""
-    found = cards(pages, rules).withColumns({"name": collapse(F.regexp_replace("raw_title", r"\$.*$", "")), "price": parse_price(F.col("raw_price"))})
-    usable = found.filter((F.col("name") != "") & (F.col("price") > 0))
-    of = lambda value, kind: F.coalesce(*(F.when(F.col("store_id") == k, value(r)) for k, r in rules.items() if kind(r)), F.lit(None).cast("boolean"))
-    fits = of(lambda r: F.col("link").rlike(r.link), lambda r: r.link)
-    plausible = of(lambda r: F.col("price") <= r.max_price, lambda r: r.max_price)
-    usable = usable.filter(F.coalesce(fits, F.lit(True)) & F.coalesce(plausible, F.lit(True)))
-    sold_out = of(lambda r: F.lower("raw_stock").rlike("|".join(r.sold_out)), lambda r: r.sold_out)
-    scarce = of(lambda r: F.lower("name").rlike("|".join(r.low_stock)), lambda r: r.low_stock)
-    first = usable.groupBy(F.coalesce("link", F.concat_ws("#", "url", "position")).alias("link")).agg(
-        F.min_by(F.struct("page_id", "position", "store_id", "name", "price", "raw_stock", "image"), F.struct("page_id", "position")).alias("o")
+            rows = [row for values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in function(*values)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    return df.mapInArrow(run, schema)
+
+
+_CARD = "page_id long, url string, shop string, position int, raw_name string, raw_link string, raw_price string, raw_list string, raw_stock string, variants string, brand string, image string"
+
+
+def cards(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS) -> DataFrame:
+    """Cards of listing pages (page_id, url, html, shop), as texts; pages of shops without a rule have none."""
+
+    def read(page_id, url, html, shop):
+        rule = rules.get(shop)
+        if rule is None or not html:
+            return
+        page, seen = Page(html), -1
+        for card in page.find(rule.card):
+            if card.at <= seen:  # a card inside a card is part of it
+                continue
+            seen = card.last
+            part = lambda where: first_of(page, card, where)  # noqa: B023, E731
+            stock = " ".join(pick(page, card, w) for w in rule.stock)
+            image = part(rule.image).split(",")[0].split(" ")[0]
+            link, base = part(rule.link), base_of(url or "")
+            yield (
+                page_id, url, shop, seen, part(rule.name), absolute(base, link), part(rule.price), part(rule.list_price), stock, part(rule.variants),
+                part(rule.brand) or None, absolute(base, image) or C.DEFAULT_IMAGE,
+            )
+
+    return _rows(pages.select(*_KEY), read, _CARD)
+
+
+def stock_of_variants(variants: Column) -> Column:
+    """Stock of the first of a JSON list of variants; up to three is low."""
+    first = F.element_at(F.from_json(variants, "array<struct<available boolean, stock double>>"), 1)
+    return (
+        F.when((first["available"] == F.lit(False)) | (first["stock"] == 0), "out-of-stock")
+        .when((first["stock"] > 0) & (first["stock"] <= 3), "low-stock")
+        .when(first["available"] | (first["stock"] > 0), "in-stock")
+        .otherwise("unknown")
     )
-    usable = first.select("link", "o.*")
-    return usable.select(
-        "page_id", "store_id", "name", infer_category(F.col("name")).alias("category"), "price",
-        F.when(sold_out, "out-of-stock").when(scarce, "low-stock").otherwise("in-stock").alias("stock"), "link", "image",
+
+
+def _has(text: Column, words: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(text, F.lit(w))
+    return hit
+
+
+def _stock(rule: ListingRule | DetailRule) -> Column:
+    """The stock that a rule tells from raw_stock, variants and name."""
+    text, name = F.lower("raw_stock"), F.lower("raw_name")
+    there = getattr(rule, "there", ())
+    told = F.when(_has(text, rule.sold_out), "out-of-stock").when(_has(text, rule.low), "low-stock")
+    if rule.variants:
+        return told.otherwise(stock_of_variants(F.col("variants")))
+    if there:
+        return told.when(F.trim(text) == "", rule.silent).when(_has(text, there), "in-stock").otherwise("unknown")
+    told = told.when(F.trim(text) == "", rule.silent) if rule.stock else told
+    if isinstance(rule, ListingRule):
+        told = told.when(_has(name, rule.sold_out_name), "out-of-stock").when(_has(name, rule.low_name), "low-stock")
+    return told.otherwise("in-stock")
+
+
+def _read_price(text: Column, reading: str) -> Column:
+    if reading == "whole":
+        return digits_only(F.split_part(text, F.lit(","), F.lit(1)))
+    if reading == "amount":
+        return digits_only(F.split_part(F.regexp_extract(text, r"\$?([\d.]+)(,\d+)?", 0), F.lit(","), F.lit(1)))
+    return parse_price(text)
+
+
+def by_shop(rules: dict, value: Callable) -> Column:
+    """The value that the row's shop's rule gives."""
+    out = None
+    for shop, rule in rules.items():
+        out = F.when(F.col("shop") == shop, value(rule)) if out is None else out.when(F.col("shop") == shop, value(rule))
+    return out
+
+
+def offers(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS) -> DataFrame:
+    """Offers of listing pages: cards with a name, a fitting link and a positive, plausible price, each link once (the first)."""
+    found = cards(pages, rules)
+    name = by_shop(rules, lambda r: collapse(F.split_part("raw_name", F.lit(r.name_until), F.lit(1)) if r.name_until else F.col("raw_name")))
+    found = found.withColumns({
+        "name": name,
+        "price": by_shop(rules, lambda r: _read_price(F.col("raw_price"), r.reading)),
+        "list_price": parse_price(F.col("raw_list")),
+        "stock": by_shop(rules, _stock),
+    })
+    fits = by_shop(rules, lambda r: F.col("raw_link").rlike(r.needs) if r.needs else F.lit(True))
+    plausible = by_shop(rules, lambda r: F.col("price") <= r.most if r.most else F.lit(True))
+    usable = found.filter((F.col("name") != "") & (F.col("raw_link") != "") & (F.col("price") > 0) & fits & plausible)
+    first = usable.groupBy(F.col("raw_link").alias("link")).agg(
+        F.min_by(F.struct("page_id", "position", "shop", "name", "price", "list_price", "stock", "brand", "image"), F.struct("page_id", "position")).alias("o")
+    )
+    return first.select(
+        "o.page_id", F.col("o.shop").alias("store_id"), "o.name", infer_category(F.col("o.name")).alias("category"), "o.price",
+        F.when(F.col("o.list_price") > F.col("o.price"), F.col("o.list_price")).alias("original_price"), "o.stock", "o.brand", "link", "o.image",
     )
 
 
-def find_product(value) -> dict | None:
-    """The first Product in a JSON-LD value, in lists and graphs too."""
-    if isinstance(value, list):
-        return next((p for p in map(find_product, value) if p), None)
-    if isinstance(value, dict):
-        kind = value.get("@type")
-        if kind == "Product" or (isinstance(kind, list) and "Product" in kind):
-            return value
-        return find_product(value.get("@graph"))
-    return None
+_DETAIL = "page_id long, url string, shop string, raw_name string, raw_link string, raw_price string, raw_stock string, variants string, raw_image string, raw_description string, scripts array<string>"
+
+
+def _product_of(scripts: Column) -> Column:
+    """The first JSON-LD object of type product, at the top of a block or in its list, as a variant."""
+    parsed = F.transform(scripts, F.try_parse_json)
+    lists = F.transform(parsed, lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v)))
+    kind = lambda v: F.lower(F.try_variant_get(v, "$['@type']", "string"))
+    return F.get(F.filter(F.flatten(F.array_compact(lists)), lambda v: kind(v) == "product"), F.lit(0))
+
+
+def _stock_of_offer(offer: Column) -> Column:
+    """Stock by the offer's availability and inventory; up to three is low."""
+    said = F.lower(F.coalesce(F.try_variant_get(offer, "$.availability", "string"), F.lit("")))
+    level = F.try_variant_get(offer, "$.inventoryLevel.value", "string").try_cast("double")
+    return (
+        F.when(said.contains("outofstock") | (level <= 0), "out-of-stock")
+        .when(level <= 3, "low-stock")
+        .when(level.isNotNull() | said.contains("instock"), "in-stock")
+    )
 
 
-def _parsed(html: str) -> _Listing:
-    parser = _Listing(_NO_CARDS)
-    parser.feed(html or "")
-    return parser
+def details(pages: DataFrame, rules: dict[str, DetailRule] = DETAILS) -> DataFrame:
+    """Product pages (page_id, url, html, shop) as one offer each; pages without a name or a positive price have none."""
+
+    def read(page_id, url, html, shop):
+        rule = rules.get(shop)
+        if rule is None or not html:
+            return
+        page, base = Page(html), base_of(url or "")
+        part = lambda where: first_of(page, None, where)
+        stock = " ".join(pick(page, None, w) for w in rule.stock)
+        scripts = [page.text(e) for e in page.find('script[type="application/ld+json"]')] if rule.json_ld else []
+        link = absolute(base, part(rule.link)) or url
+        yield page_id, url, shop, part(rule.name), link, part(rule.price), stock, part(rule.variants), absolute(base, part(rule.image)), part(rule.description), scripts
+
+    product = _product_of(F.col("scripts"))
+    found = _rows(pages.select(*_KEY), read, _DETAIL).withColumn("ld", product)
+    offer = F.try_variant_get("ld", "$.offers", "variant")
+    offer = F.coalesce(F.try_variant_get(offer, "$[0]", "variant"), offer)
+    found = found.withColumn("offer", offer)
+    of = lambda path: F.try_variant_get("ld", path, "string")
+    text = lambda path, other: F.coalesce(F.nullif(collapse(of(path)), F.lit("")), F.nullif(other, F.lit("")))
+    price = F.coalesce(F.nullif(F.try_variant_get("offer", "$.price", "string"), F.lit("")), F.col("raw_price"))
+    plain = price.rlike(r"^\d+(\.\d+)?$")
+    found = found.withColumns({
+        "name": text("$.name", F.col("raw_name")),
+        "price": F.when(plain, F.floor(price.try_cast("double") + 0.5).cast("long")).otherwise(parse_price(price)),
+        "stock": F.coalesce(_stock_of_offer(F.col("offer")), by_shop(rules, _stock)),
+        "image": F.coalesce(of("$.image[0]"), F.try_variant_get("ld", "$.image", "string"), F.nullif("raw_image", F.lit(""))),
+    })
+    usable = found.filter(F.col("name").isNotNull() & (F.col("price") > 0))
+    return usable.select(
+        "page_id", F.col("shop").alias("store_id"), "name", "price", "stock", F.col("raw_link").alias("link"), F.coalesce("image", F.lit(C.DEFAULT_IMAGE)).alias("image"),
+        F.coalesce(text("$.description", F.col("raw_description")), "name").alias("description"),
+    )
 
 
-def describe(page: _Listing, limit: int = 700) -> str:
-    """Description of a product page: JSON-LD first, then its meta description."""
-    for script in page.scripts:
+def described(value, whole: bool = True) -> str:
+    """The first description of a product in a JSON-LD value, in lists, graphs and members too."""
+    if isinstance(value, list):
+        return next((d for d in map(described, value) if d), "")
+    if not isinstance(value, dict):
+        return ""
+    kind, own = str(value.get("@type") or "").lower(), value.get("description")
+    if isinstance(own, str) and own and (not kind or "product" in kind):
+        return own
+    return described(value.get("@graph")) or next((d for d in map(described, value.values()) if d), "")
+
+
+def shortened(text: str, limit: int = 700) -> str:
+    """At most ``limit`` characters, ending with a sentence or a word where one ends behind the first 120."""
+    if len(text) <= limit:
+        return text
+    cut = text[:limit]
+    if (stop := cut.rfind(".")) > 120:
+        return cut[: stop + 1].strip()
+    return cut[:space].strip() if (space := cut.rfind(" ")) > 120 else cut.strip()
+
+
+def describe(page: Page, least: int = 24) -> str:
+    """Description of a product page: JSON-LD first, then its meta descriptions; texts under ``least`` letters say nothing."""
+    useful = lambda text: len(re.sub(r"[^a-z0-9 ]", "", text.lower()).strip()) >= least
+    for script in page.find('script[type="application/ld+json"]'):
         try:
-            product = find_product(json.loads(script))
-        except ValueError:
+            text = " ".join(described(json.loads(page.text(script))).split())
+        except (ValueError, RecursionError):
             continue
-        if product and product.get("description"):
-            return " ".join(str(product["description"]).split())[:limit]
-    return " ".join((page.meta.get("description") or page.meta.get("og:description") or "").split())[:limit]
+        if useful(text):
+            return shortened(text)
+    return next((shortened(t) for where in DESCRIPTIONS if useful(t := pick(page, None, where))), "")
+
 
+def numbered(url: str) -> int | None:
+    """The number of a listing page in its address, by parameter or as ``/page/N``."""
+    parts = urlsplit(url)
+    values = parse_qs(parts.query)
+    said = next((values[p][0] for p in PAGE_PARAMETERS if p in values), "")
+    if re.fullmatch(r"\s*\d+(\.\d+)?\s*", said) and float(said) >= 1:
+        return int(float(said))
+    m = re.search(r"/page/(\d+)/?$", parts.path, re.IGNORECASE)
+    return int(m[1]) if m and int(m[1]) >= 1 else None
 
-def next_page(page: _Listing, url: str, current: int) -> str | None:
-    """The link with the smallest page number above the current one, else one marked as next."""
-    numbered = [(int(m[1]), href) for href, _ in page.links if (m := re.search(r"[?&](?:page|p|pagina)=(\d+)|/page/(\d+)", href)) and m[1]]
-    above = sorted((n, href) for n, href in numbered if n > current)
-    following = above[0][1] if above else next((href for href, rel in page.links if "next" in rel.split()), None)
-    return urljoin(url, following) if following else None
+
+def next_page(page: Page, url: str) -> str | None:
+    """The linked page of the smallest number above this one's, else a link labelled as next."""
+    base, current = base_of(url), numbered(url) or 1
+    links = [(absolute(base, e.attrs.get("href", "").strip()), e) for where in NEXT_LINKS for e in page.find(where)]
+    above = [(n, link) for link, _ in links if link and link != url and (n := numbered(link)) is not None and n > current]
+    if above:
+        least = min(n for n, _ in above)
+        return next(link for n, link in above if n == least)
+    return next((link for link, e in links if link and link != url and " ".join(page.text(e).split()).lower() in NEXT_LABELS), None)
 
 
 _PAGE = "page_id long, description string, next_url string, n_links long"
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Description, next page and number of links of each page."""
+    """Description, next page and number of links of each page (page_id, url, html)."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                page = _parsed(html)
-                rows.append((page_id, describe(page), next_page(page, url or "", 1), len(page.links)))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _PAGE.split(", ")])
-
-    return pages.select("page_id", "url", "html").mapInArrow(run, _PAGE)
+    def read(page_id, url, html):
+        page = Page(html or "")
+        yield page_id, describe(page), next_page(page, url or ""), sum(1 for _ in page.find("a[href]"))
+
+    return _rows(pages.select("page_id", "url", "html"), read, _PAGE)

@@ -13,7 +13,7 @@ from catalith.operators import offers as O
 from catalith.operators import reading as R
 from catalith.operators import resolve
 from catalith.plans import search, snapshot
-from catalith.sources import feeds, listings
+from catalith.sources import feeds
 from catalith.sources.tables import with_views
 from catalith.streaming import limits
 
@@ -145,21 +145,6 @@ def test_near_duplicates_merge_greedily(spark):
     assert got[2] == 1 and got[3] == 1 and got[4] == 4 and got[5] == 5
 
 
-LISTING = """<html><body><div class="card"><h2 class="title">Mouse Logitech &amp; G502 $ 5</h2><img src="/a.png"><span class="price">$ 48.999</span><a href="/p/1">v</a></div>
-<div class="card"><h2 class="title">No price</h2><span class="price">$ 0</span></div>
-<div class="card"><h2 class="title">Teclado</h2><span class="price">$ 30.000</span><b class="stock">Sin stock</b><a href="/p/2">v</a></div>
-<a href="?page=3">3</a><a href="?page=2">2</a><script type="application/ld+json">{"@graph":[{"@type":"Product","description":"Long  text"}]}</script></body></html>"""
-
-
-def test_listing_pages(spark):
-    rule = {"shop": listings.ListingRule("shop", ".card", (".title",), (".price",), max_price=10_000_000)}
-    pages = spark.createDataFrame([(1, "http://s/c?page=1", LISTING), (2, "http://s/c?page=2", LISTING), (3, None, None), (4, "http://s", "<p>no cards")], "page_id long, url string, html string").withColumn("shop", F.lit("shop"))
-    got = sorted((r["name"], r["price"], r["stock"], r["link"], r["page_id"]) for r in listings.offers(pages, rule).collect())
-    assert got == [("Mouse Logitech & G502", 48999, "in-stock", "http://s/p/1", 1), ("Teclado", 30000, "out-of-stock", "http://s/p/2", 1)]
-    facts = {r["page_id"]: r for r in listings.page_facts(pages).collect()}
-    assert facts[1]["next_url"] == "http://s/c?page=2" and facts[1]["description"] == "Long text" and facts[3]["n_links"] == 0
-
-
 def test_feeds(spark):
     payload = '{"d": "{\\"data\\": {\\"items\\": [{\\"item_id\\": \\"7\\", \\"item_desc\\": \\"SSD\\", \\"prli_price\\": \\"1200.5\\"}]}}"}'
     got = feeds.decode_rpc(spark.createDataFrame([(payload,), (None,), ("{}",)], "payload string")).collect()
