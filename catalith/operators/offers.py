@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +14,6 @@ def cheapest_per_store(offers: DataFrame) -> DataFrame:
     return offers.filter("price > 0").groupBy("product_id", "store_id").agg(F.min("price").alias("price"))
 
 
-def fold_per_store(offers: DataFrame, order: list[str], better: Callable[[Column, Column], Column]) -> DataFrame:
-    """The offer (price, stock, updated) that a fold in the given order leaves per product and store.
-
-    The fold depends on the order of a store's offers only, so each is a group of its own,
-    however many stores a product has.
-    """
-    entries = F.sort_array(F.collect_list(F.struct(*order, F.struct("price", "stock", "updated").alias("o"))))
-    left = P.fold(F.transform(entries, lambda e: e.o), better)
-    return offers.groupBy("product_id", "store_id").agg(left.alias("o")).select("product_id", "store_id", "o.*")
-
-
 def mark_outliers(best: DataFrame) -> DataFrame:
     """Adds n, median, discarded: the outlier rule over each product's prices, a row per store.
 

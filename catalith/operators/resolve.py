@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -11,6 +10,8 @@ from ..functions import identity as I
 from ..functions import price as P
 from ..functions import text as T
 from ..storage import materialise
+from . import runs
+from .components import components
 
 
 def with_keys(products: DataFrame, title: str = "title") -> DataFrame:
@@ -23,130 +24,159 @@ def with_keys(products: DataFrame, title: str = "title") -> DataFrame:
     return products.withColumns(keys).drop("_source")
 
 
-def group_exact(products: DataFrame, newer_wins: bool) -> DataFrame:
-    """One row per canonical key: first name and id by seq, merged offers, first real image, widest times.
+def group_exact(products: DataFrame, offers: DataFrame, newer_wins: bool) -> tuple[DataFrame, DataFrame]:
+    """(groups, offers): one row per canonical key, and the comparable offers of each.
 
-    ``products``: canonical_key, seq, product_id, name, hw_category, image, prices, created, updated.
-    Offers are folded in the order of products, then of offers.
+    ``products``: canonical_key, seq, product_id, name, hw_category, image, created, updated; ``offers``: seq, place,
+    store_id, price, stock, updated.  A group has its first product's name and id, the first real image and the widest
+    times; offers are merged product by product in order (see ``runs``).
     """
-    ordered = products.withColumn("_p", F.transform("prices", lambda p: p.withField("seq", F.struct(F.col("seq").alias("product"), p.seq.alias("offer")))))
     first = lambda c: F.min_by(c, "seq").alias(c)
-    grouped = ordered.groupBy("canonical_key").agg(
-        first("product_id"),
-        first("name"),
-        first("hw_category"),
-        F.coalesce(F.min_by("image", F.when(F.col("image") != C.DEFAULT_IMAGE, F.col("seq"))), F.min_by("image", "seq")).alias("image"),
-        F.min("created").alias("created"),
-        F.max("updated").alias("updated"),
-        F.min("seq").alias("seq"),
-        F.flatten(F.collect_list("_p")).alias("_all"),
-    )
-    stats = P.comparable_stats(P.best_store_prices(P.merge_prices(F.col("_all"), newer_wins)))
-    grouped = grouped.withColumn("_s", stats)
-    return grouped.select(*[c for c in grouped.columns if not c.startswith("_")], "_s.prices", "_s.lowest", "_s.highest", "_s.average")
+    grouped = products.groupBy("canonical_key").agg(
+        first("product_id"), first("name"), first("hw_category"), _image().alias("image"),
+        F.min("created").alias("created"), F.max("updated").alias("updated"), F.min("seq").alias("seq"),
+    )
+    keyed = offers.join(products.select("seq", "canonical_key"), "seq")
+    kept = materialise(runs.fold_products(keyed, ["canonical_key"], newer_wins, compare_first=not newer_wins))
+    return with_stats(grouped, kept, ["canonical_key"]), kept
+
+
+def _image() -> Column:
+    """The first real image by seq, or the first one."""
+    return F.coalesce(F.min_by("image", F.when(F.col("image") != C.DEFAULT_IMAGE, F.col("seq"))), F.min_by("image", "seq"))
+
+
+def with_stats(rows: DataFrame, offers: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds n_offers, lowest, highest and rounded average of each key's offers; zeros where there are none."""
+    stats = offers.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_offers"), F.min("price").cast("long").alias("lowest"), F.max("price").cast("long").alias("highest"),
+        P.half_up(F.sum("price") / F.count(F.lit(1))).alias("average"),
+    )
+    return rows.join(stats, keys, "left").na.fill(0, ["n_offers", "lowest", "highest", "average"])
 
 
 def near_duplicate_facts(products: DataFrame, name: str = "name") -> DataFrame:
-    """Adds what the near-duplicate test compares: model, fingerprint, tokens, store-price pairs."""
-    text = T.identity_text(F.col(name))
-    products = products.withColumns({
-        "_model": I.exact_model(F.col("hw_category"), F.col(name)),
-        "_print": I.fingerprint(text),
-        "_tokens": T.dedupe_tokens(F.col(name)),
-    })
-    return products.withColumn("_offers", F.transform("prices", lambda p: F.concat_ws("@", p.store_id, p.price)))
-
-
-def _blocks(products: DataFrame) -> DataFrame:
-    """Adds block: products that can merge, directly or through others, share one.
-
-    Two products merge only with an equal model, or an equal chip and a shared offer; the
-    least product of each such key, carried over both keys until nothing changes, names
-    the block.  Keys are aggregated, never paired.
+    """seq, hw_category and what the near-duplicate test compares: model, brand, chip, memory, tokens."""
+    mark = I.fingerprint(T.identity_text(F.col(name)))
+    facts = products.select("seq", "hw_category", I.exact_model(F.col("hw_category"), F.col(name)).alias("model"), mark.alias("_f"), T.dedupe_tokens(F.col(name)).alias("tokens"))
+    return facts.select("seq", "hw_category", "model", "_f.brand", "_f.chip", "_f.memory", "tokens")
+
+
+def _blocks(facts: DataFrame, offers: DataFrame) -> DataFrame:
+    """Facts with block and whether it is mixed.
+
+    Products can meet in a cluster only over an equal model, or over an offer (store and price) that both have in one
+    category.  The least product of each such key is tied to the others, so a key of n products makes n - 1 links, and
+    the components of the links are the blocks.  A block in which every product has the one model is a cluster as it is.
     """
-    keys = products.select(
-        "hw_category",
-        "seq",
-        F.array_compact(
-            F.concat(
-                F.array(F.concat(F.lit("m:"), F.col("_model"))),
-                F.when(F.col("_print.chip").isNotNull(), F.transform("_offers", lambda o: F.concat_ws("|", F.lit("o"), "_print.chip", o))).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            )
-        ).alias("keys"),
-    )
-    links = materialise(keys.select("hw_category", "seq", F.explode("keys").alias("key")).distinct())
-    label = materialise(links.select("hw_category", "seq", F.col("seq").alias("block")).distinct())
-    moved = 1
-    while moved:
-        at_key = links.join(label, ["hw_category", "seq"]).groupBy("hw_category", "key").agg(F.min("block").alias("block"))
-        new = links.join(at_key, ["hw_category", "key"]).groupBy("hw_category", "seq").agg(F.min("block").alias("least"))
-        label = materialise(label.join(new, ["hw_category", "seq"]).withColumn("moved", F.col("least") < F.col("block")))
-        moved = label.filter("moved").count()
-        label = label.select("hw_category", "seq", F.col("least").alias("block"))
-    label = products.select("hw_category", "seq").join(label, ["hw_category", "seq"], "left").withColumn("block", F.coalesce("block", "seq"))
-    return products.join(label, ["hw_category", "seq"])
-
-
-def cluster_near_duplicates(products: DataFrame) -> DataFrame:
-    """(seq, cluster): the greedy merge, cluster being the seq of the product that absorbed the row.
-
-    The merge depends on the order of products, so it is a fold; it runs per block, a few
-    products each, not per category.
+    models = facts.filter("model IS NOT NULL").select("hw_category", F.concat(F.lit("m:"), "model").alias("key"), "seq", F.col("chip").isNotNull().alias("chip"))
+    shown = offers.join(facts.select("seq", "hw_category", "chip"), "seq")
+    prices = shown.select("hw_category", F.concat_ws("@", F.lit("o:"), "store_id", "price").alias("key"), "seq", F.col("chip").isNotNull().alias("chip"))
+    keys = models.unionByName(prices)
+    least = keys.groupBy("hw_category", "key").agg(F.min("seq").alias("b"), F.max("seq").alias("top"), F.max("chip").alias("chip"))
+    # Without a chip no offer ties products together.
+    least = least.filter("b < top AND (chip OR key LIKE 'm:%')").drop("top", "chip")
+    links = keys.drop("chip").join(least, ["hw_category", "key"]).filter("seq > b").select(F.col("seq").alias("a"), "b")
+    found = components(links)
+    placed = facts.join(found.select(F.col("node").alias("seq"), F.col("component").alias("block")), "seq", "left").withColumn("block", F.coalesce("block", "seq"))
+    kinds = placed.groupBy("block").agg((F.count("model") < F.count(F.lit(1))).alias("some"), (F.min("model") < F.max("model")).alias("several"), F.count(F.lit(1)).alias("size"))
+    kinds = kinds.select("block", (F.col("size") > 1).alias("shared"), (F.coalesce("several", F.lit(True)) | F.col("some")).alias("mixed"))
+    return placed.join(kinds, "block").withColumn("mixed", F.col("shared") & F.col("mixed")).drop("shared")
+
+
+def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False) -> DataFrame:
+    """(seq, cluster): the greedy merge in order of seq, cluster being the first product of the cluster.
+
+    A product joins the first cluster with its model, or with its chip, a shared offer, no other brand or memory and
+    tokens that contain or are contained.  The longer name stands for a cluster from then on, and its offers are merged
+    and compared anew, so what comes later depends on all before.  Blocks of one model need no order: an aggregate tells
+    them.  Only mixed blocks are chains of decisions; each is streamed, with its clusters as state and an index over
+    their models and offers.
+
+    ``products``: seq, hw_category, name; ``offers``: seq, place, store_id, price, stock, updated.
     """
-    facts = _blocks(materialise(near_duplicate_facts(products)))
-    rows = facts.select(
-        "hw_category", "block", "seq", F.col("_model").alias("model"), F.col("_print.brand").alias("brand"), F.col("_print.chip").alias("chip"),
-        F.col("_print.memory").alias("memory"), F.col("_tokens").alias("tokens"), F.col("_offers").alias("offers"),
-    )
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        held: list[dict] = []
-        out = []
-        for row in frame.sort_values("seq").to_dict("records"):
-            row["tokens"], row["offers"] = list(row["tokens"]), set(row["offers"])
-            for other in held:
-                if _mergeable(other, row):
-                    # The name with more tokens stands for the cluster from now on.
-                    if len(row["tokens"]) > len(other["tokens"]):
-                        other |= {k: row[k] for k in ("model", "brand", "chip", "memory", "tokens")}
-                    other["offers"] = _merged_offers(other["offers"], row["offers"])
-                    out.append((row["seq"], other["seq"]))
-                    break
-            else:
-                held.append(row)
-                out.append((row["seq"], row["seq"]))
-        return pd.DataFrame(out, columns=["seq", "cluster"])
-
-    return rows.groupBy("hw_category", "block").applyInPandas(merge, "seq long, cluster long")
-
-
-def _merged_offers(held: set[str], more: set[str]) -> set[str]:
-    """The cheaper offer of each store."""
-    best: dict[str, float] = {}
-    for offer in sorted(held) + sorted(more):
-        store, value = offer.rsplit("@", 1)
-        best[store] = min(best.get(store, float("inf")), float(value))
-    return {f"{s}@{v}" for s, v in best.items()}
+    facts = materialise(_blocks(materialise(near_duplicate_facts(products)), offers))
+    plain = facts.filter("NOT mixed").select("seq", F.col("block").alias("cluster"))
+    rows = facts.filter("mixed").join(offers, "seq", "left")
+    rows = rows.withColumns({"store_id": F.col("store_id").cast("string"), "price": F.col("price").cast("double"), "tokens": F.array_join("tokens", " ")})
+
+    def step(state, seq, model, brand, chip, memory, tokens, store_id, price, stock, updated):
+        if state["row"] is None or state["row"]["seq"] != seq:
+            _decide(state, newer_wins)
+            state["row"] = {"seq": seq, "model": model, "brand": brand, "chip": chip, "memory": memory, "tokens": tokens.split(), "offers": []}
+        if store_id is not None:
+            state["row"]["offers"].append((store_id, price, stock, updated))
+        return state
+
+    def end(key, state):
+        _decide(state, newer_wins)
+        return state["out"]
+
+    columns = "seq model brand chip memory tokens store_id price stock updated".split()
+    start = lambda key: {"row": None, "clusters": [], "index": {}, "out": []}
+    mixed = runs.stream(rows, ["block"], ["seq", "place"], columns, start, step, end, "seq long, cluster long")
+    return plain.unionByName(mixed)
+
+
+def _decide(state: dict, newer_wins: bool) -> None:
+    """Where the product that has ended goes: into the first cluster that takes it, or into one of its own."""
+    row, clusters, index = state["row"], state["clusters"], state["index"]
+    if row is None:
+        return
+    tried = sorted(set().union(*(index.get(k, ()) for k in _index_keys(row))))
+    at = next((k for k in tried if _mergeable(clusters[k], row)), None)
+    if at is None:
+        at = len(clusters)
+        clusters.append({**row, "first": row["seq"]})
+    else:
+        held = clusters[at]
+        if len(row["tokens"]) > len(held["tokens"]):
+            held |= {k: row[k] for k in ("model", "brand", "chip", "memory", "tokens")}
+        held["offers"] = runs.merged(held["offers"], row["offers"], newer_wins)
+    for key in _index_keys(clusters[at]):
+        index.setdefault(key, set()).add(at)  # what no longer holds is tested when it is met
+    state["out"].append((row["seq"], clusters[at]["first"]))
+
+
+def _index_keys(row: dict) -> list[tuple]:
+    return [("m", row["model"])] * bool(row["model"]) + [(o[0], o[1]) for o in row["offers"]]
 
 
 def _mergeable(a: dict, b: dict) -> bool:
     if a["model"] and a["model"] == b["model"]:
         return True
-    if not (a["offers"] & b["offers"]) or not a["chip"] or a["chip"] != b["chip"]:
+    if not a["chip"] or a["chip"] != b["chip"] or any(a[k] and b[k] and a[k] != b[k] for k in ("brand", "memory")):
         return False
-    if any(a[k] and b[k] and a[k] != b[k] for k in ("brand", "memory")):
+    if {o[:2] for o in a["offers"]}.isdisjoint(o[:2] for o in b["offers"]):
         return False
     x, y = set(a["tokens"]), set(b["tokens"])
     return bool(x and y) and (x <= y or y <= x)
 
 
+def merge_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(products, offers) after the near-duplicate merge: one row per cluster, and its comparable offers.
+
+    The name, brand and model of the most tokens stand (of equal ones the first); where ``newer_wins`` the model is the
+    name and the first image stays, else the first real image is taken.  A product that nothing joined keeps its offers
+    as they compare.
+    """
+    clusters = materialise(cluster_near_duplicates(products, offers, newer_wins))
+    rows = products.join(clusters, "seq").withColumn("_n", F.struct(F.size(T.dedupe_tokens(F.col("name"))).alias("n"), (-F.col("seq")).alias("s")))
+    longest = lambda c: F.max_by(c, "_n")
+    merged = rows.groupBy("cluster").agg(
+        F.min_by("product_id", "seq").alias("product_id"), longest("name").alias("name"), longest("brand").alias("brand"),
+        longest("name" if newer_wins else "model").alias("model"), (F.min_by("image", "seq") if newer_wins else _image()).alias("image"),
+        F.min("created").alias("created"), F.max("updated").alias("updated"), F.count(F.lit(1)).alias("n_products"),
+    )
+    kept = materialise(runs.fold_products(offers.join(clusters, "seq"), ["cluster"], newer_wins))
+    return with_stats(merged, kept, ["cluster"]), kept
+
+
 def winners(products: DataFrame, updated: str = "updated") -> DataFrame:
-    """One product per canonical key (or id, where the key is blank), the newest, then the smallest id."""
+    """One product per canonical key (or id, where the key is blank), the newest, then the smallest id; aggregated before the shuffle."""
     key = F.coalesce(F.nullif(F.trim("canonical_key"), F.lit("")), F.col("product_id").cast("string"))
-    order = Window.partitionBy(key).orderBy(F.col(updated).desc(), "product_id")
-    return products.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    best = products.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*products.columns), F.struct(F.col(updated), -F.col("product_id"))).alias("b"))
+    return best.select("b.*")
 
 
 def content_signature(columns: list[Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import price as P
+from ..operators import offers as O
 from ..operators import reading as R
 from ..operators import resolve
 
@@ -56,22 +57,22 @@ def cache_key(params: SearchParams) -> str:
     return "|".join(map(str, (params.query.lower(), params.category or "", ",".join(params.stores), params.lowest, params.highest, params.sort, params.limit)))
 
 
-def catalogue_search(products: DataFrame, params: SearchParams) -> DataFrame:
-    """Keyed products with nested offers → text filter → exact groups → component, store and price filters → sort.
+def catalogue_search(products: DataFrame, offers: DataFrame, params: SearchParams) -> DataFrame:
+    """Keyed products and their offers → text filter → exact groups → component, store and price filters → sort.
 
-    Price filters come after grouping, as they are on regrouped prices.
+    Price filters come after grouping, as they are on regrouped prices; stores are chosen among a group's comparable
+    offers, which are then compared anew.
     """
     if params.category:
         products = products.filter(F.col("hw_category") == params.category)
     if params.query:
         products = R.any_word_filter(products, params.query, ["name", "normalized_title", "family_key", "variant_key", "canonical_key"])
-    found = resolve.group_exact(products, newer_wins=True)
+    found, kept = resolve.group_exact(products, offers, newer_wins=True)
     found = found.filter(R.is_standalone(F.col("name"), F.col("hw_category")) & (F.col("lowest") > 0))
     if params.stores:
-        own = F.filter("prices", lambda p: F.lower(p.store_id).isin(*params.stores))
-        stats = P.comparable_stats(P.best_store_prices(own))
-        found = found.filter(F.size(own) > 0).withColumn("_s", stats)
-        found = found.withColumns({c: F.col(f"_s.{c}") for c in ("prices", "lowest", "highest", "average")}).drop("_s")
+        own = kept.filter(F.lower("store_id").isin(*params.stores)).withColumnRenamed("canonical_key", "product_id")
+        own = O.mark_outliers(own).filter("NOT discarded").withColumnRenamed("product_id", "canonical_key")
+        found = resolve.with_stats(found.drop("n_offers", "lowest", "highest", "average"), own, ["canonical_key"]).filter("n_offers > 0")
     found = R.by_category_and_price(found, None, params.lowest, params.highest)
     orders = {
         "price-asc": [F.col("lowest"), F.col("seq")],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import price as P
 from ..operators import offers as O
+from ..operators import runs
 from ..registry import query
 from ..sources.tables import view
 
@@ -164,23 +165,23 @@ _ORDER = ["updated", "order_id", "line", "store_id", "price", "original"]
 
 
 def _folded(spark, d, better):
-    offers = view(spark, d, "offers").filter("price > 0")
-    return O.fold_per_store(offers.withColumn("price", F.col("price").cast("double")), _ORDER, better).select("product_id", "store_id", "price", "stock")
+    offers = view(spark, d, "offers").filter("price > 0").withColumn("price", F.col("price").cast("double"))
+    return runs.fold_offers(offers, ["product_id", "store_id"], _ORDER, better).select("product_id", "store_id", "price", "stock")
 
 
 @query("best_price_fold", f"WITH RECURSIVE {_SEQ}{_FOLD.format(_CHEAPER + ' OR (s.price = f.price AND s.updated > f.updated)')} {_LAST}")
 def best_price_fold(spark, d):
-    return _folded(spark, d, P.beats)
+    return _folded(spark, d, runs.beats)
 
 
 @query("merge_prices_search", f"WITH RECURSIVE {_SEQ}{_FOLD.format(_CHEAPER)} {_LAST}")
 def merge_prices_search(spark, d):
-    return _folded(spark, d, P.replaces)
+    return _folded(spark, d, runs.replaces)
 
 
 @query("merge_prices_catalogue", f"WITH RECURSIVE {_SEQ}{_FOLD.format(_CHEAPER + ' OR s.updated > f.updated')} {_LAST}")
 def merge_prices_catalogue(spark, d):
-    return _folded(spark, d, P.replaces_or_newer)
+    return _folded(spark, d, runs.replaces_or_newer)
 
 
 @query(
@@ -190,7 +191,7 @@ SELECT product_id, CAST(min(price) AS BIGINT) AS lowest, CAST(max(price) AS BIGI
 FROM marked WHERE NOT discarded GROUP BY product_id""",
 )
 def fold_stats(spark, d):
-    found = O.comparable_stats(_folded(spark, d, P.beats))
+    found = O.comparable_stats(_folded(spark, d, runs.beats))
     return found.select("product_id", F.col("lowest").cast("long").alias("lowest"), F.col("highest").cast("long").alias("highest"), "average")
 
 

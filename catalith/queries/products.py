@@ -14,39 +14,128 @@ from ..sources.tables import raw, view
 from ..storage import materialise
 
 
+#: The latest offer of each product and store, as one price per store is stored.
+_PRICES = """SELECT product_id, store_id, price, stock, updated FROM offers WHERE price > 0
+  QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY updated DESC, order_id DESC, line DESC, price DESC, stock DESC) = 1"""
+_CATALOGUE = f"""o AS MATERIALIZED ({_PRICES}),
+c AS MATERIALIZED (SELECT product_id AS seq, product_id, title AS name, hw_category, CASE WHEN product_id % 2 = 0 THEN '{C.DEFAULT_IMAGE}' ELSE concat('/', CAST(product_id AS VARCHAR), '.png') END AS image,
+  (SELECT min(updated) FROM o WHERE o.product_id = products.product_id) AS created, (SELECT max(updated) FROM o WHERE o.product_id = products.product_id) AS updated FROM products WHERE product_id IN (SELECT product_id FROM o))"""
+#: A product's offers as a list, cheapest first.
+_LIST = "SELECT product_id AS seq, list({'s': store_id, 'p': price, 'k': stock, 'u': updated} ORDER BY price, store_id) AS own FROM o GROUP BY product_id"
+
+
+def _comparable(x: str) -> str:
+    """SQL: the offers of a list that compare, by the outlier rule."""
+    v = f"list_sort(list_transform({x}, lambda e: e.p))"
+    return f"""(SELECT CASE WHEN len(w.x) < 2 THEN w.x
+  WHEN len(w.x) = 2 THEN CASE WHEN w.v[2] / greatest(w.v[1], 1) >= {C.PAIR_RATIO} AND w.v[2] - w.v[1] >= {C.PAIR_MIN_DELTA} THEN list_filter(w.x, lambda e: e.p = w.v[1]) ELSE w.x END
+  ELSE CASE WHEN len(w.y) = 0 THEN w.x ELSE w.y END END
+  FROM (SELECT q.x, q.v, list_filter(q.x, lambda e: NOT ((e.p / q.m >= {C.UPPER_RATIO} AND e.p - q.m >= q.l) OR (e.p / q.m <= {C.LOWER_RATIO} AND q.m - e.p >= q.l))) AS y
+    FROM (SELECT r.*, greatest({C.MIN_DELTA}, floor(r.m * {C.RELATIVE_DELTA} + 0.5)) AS l FROM (SELECT {x} AS x, {v} AS v, list_aggregate({x}.list_transform(lambda e: CAST(e.p AS DOUBLE)), 'median') AS m) r) q) w)"""
+
+
+def _merged(a: str, b: str, newer: bool) -> str:
+    """SQL: one list of offers merged over another, store by store."""
+    better = "nw.p < ol.p OR (ol.k = 'out-of-stock' AND nw.k <> 'out-of-stock')" + (" OR nw.u > ol.u" if newer else "")
+    takes = f"list_filter({b}, lambda nw: nw.s = ol.s AND ({better}))"
+    return f"list_concat(list_transform({a}, lambda ol: coalesce({takes}[1], ol)), list_filter({b}, lambda nw: NOT list_contains(list_transform({a}, lambda ol: ol.s), nw.s)))"
+
+
 def catalogue(spark, d):
-    """Products with nested offers, as the resolver takes them."""
-    nested = O.nested(view(spark, d, "offers"), ["updated", "order_id", "line", "store_id", "price", "original"])
-    products = view(spark, d, "products").join(nested, "product_id")
-    times = F.transform("prices", lambda p: p.updated)
-    return products.select(
-        "product_id", F.col("product_id").alias("seq"), F.col("title").alias("name"), F.col("title").alias("title"), "hw_category", "brand",
-        F.lit("").alias("model"), F.when(F.col("product_id") % 2 == 0, C.DEFAULT_IMAGE).otherwise("/i.png").alias("image"), "prices",
-        F.array_min(times).alias("created"), F.array_max(times).alias("updated"),
-    )
+    """(products, offers) as the resolver takes them."""
+    offers = view(spark, d, "offers").filter("price > 0")
+    best = F.max(F.struct("updated", "order_id", "line", "price", "stock")).alias("b")
+    offers = materialise(offers.groupBy("product_id", "store_id").agg(best).select(F.col("product_id").alias("seq"), F.col("store_id").alias("place"), "store_id", "b.price", "b.stock", "b.updated"))
+    times = offers.groupBy(F.col("seq").alias("product_id")).agg(F.min("updated").alias("created"), F.max("updated").alias("updated"))
+    products = view(spark, d, "products").join(times, "product_id")
+    image = F.when(F.col("product_id") % 2 == 0, C.DEFAULT_IMAGE).otherwise(F.concat(F.lit("/"), F.col("product_id").cast("string"), F.lit(".png")))
+    none = F.lit("")
+    return products.select("product_id", F.col("product_id").alias("seq"), F.col("title").alias("name"), "title", "hw_category", none.alias("brand"), none.alias("model"), image.alias("image"), "created", "updated"), offers
 
 
-@query("entity_groups")
-def entity_groups(spark, d):
-    """Products grouped by canonical key with folded offers."""
-    keyed = materialise(resolve.with_keys(catalogue(spark, d).withColumn("brand", F.lit(""))))
-    grouped = resolve.group_exact(keyed, newer_wins=True)
-    return grouped.select("canonical_key", "product_id", "name", "image", F.size("prices").cast("long").alias("n_offers"), "lowest", "highest", "average")
+def _keyed(spark, d):
+    products, offers = catalogue(spark, d)
+    return materialise(resolve.with_keys(products)), offers
 
 
-@query("near_duplicates_merged")
-def near_duplicates_merged(spark, d):
-    return resolve.cluster_near_duplicates(catalogue(spark, d))
+def _groups(where: str) -> str:
+    """SQL: groups of products that have one title, which these titles' keys tell apart exactly."""
+    return f"""WITH RECURSIVE {_CATALOGUE}, l AS MATERIALIZED ({_LIST}),
+k AS MATERIALIZED (SELECT c.*, l.own, concat(hw_category, '|', name) AS key, row_number() OVER (PARTITION BY hw_category, name ORDER BY c.seq) AS n FROM c JOIN l USING (seq) WHERE {where}),
+f AS (SELECT key, n, own AS held FROM k WHERE n = 1
+  UNION ALL SELECT g.key, g.n, {_comparable("g.m")} FROM (SELECT k.key, k.n, {_merged("f.held", "k.own", True)} AS m FROM f JOIN k ON k.key = f.key AND k.n = f.n + 1) g),
+z AS (SELECT key, {_comparable("held")} AS kept FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1),
+groups AS (SELECT min(seq) AS seq, arg_min(product_id, seq) AS product_id, arg_min(name, seq) AS name, coalesce(arg_min(image, seq) FILTER (image <> '{C.DEFAULT_IMAGE}'), arg_min(image, seq)) AS image, min(created) AS created, max(updated) AS updated,
+  any_value(len(kept)) AS n_offers, any_value(list_min(list_transform(kept, lambda e: e.p))) AS lowest, any_value(list_max(list_transform(kept, lambda e: e.p))) AS highest,
+  CAST(floor(any_value(list_sum(list_transform(kept, lambda e: e.p))) / any_value(len(kept)) + 0.5) AS BIGINT) AS average FROM k JOIN z USING (key) GROUP BY key)"""
 
 
-@query("search_results")
+@query("entity_groups", f"{_groups('TRUE')} SELECT * EXCLUDE (seq) FROM groups")
+def entity_groups(spark, d):
+    """Products grouped by canonical key with folded offers."""
+    grouped, _ = resolve.group_exact(*_keyed(spark, d), newer_wins=True)
+    return grouped.select("product_id", "name", "image", "created", "updated", "n_offers", "lowest", "highest", "average")
+
+
+@query(
+    "search_results",
+    f"""{_groups("name LIKE '%RTX%' OR name LIKE '%3060%'")}
+SELECT product_id, name, lowest, highest, average FROM groups WHERE name NOT LIKE 'Combo%' AND lowest >= 50000 ORDER BY lowest, seq LIMIT 48""",
+)
 def search_results(spark, d):
     """The catalogue search: text filter, grouping, component and price filters, sort, page."""
-    keyed = materialise(resolve.with_keys(catalogue(spark, d).withColumn("brand", F.lit(""))))
-    found = search.catalogue_search(keyed, search.SearchParams(query="rtx 3060", lowest=50_000, sort="price-asc", limit=48))
+    found = search.catalogue_search(*_keyed(spark, d), search.SearchParams(query="rtx 3060", lowest=50_000, sort="price-asc", limit=48))
     return found.select("product_id", "name", "lowest", "highest", "average")
 
 
+#: Names that differ a little, and prices in steps, so that products of a chip share offers.
+_STEP = 50_000
+_NEAR_NAME = """CASE WHEN hw_category <> 'tarjetas-graficas' THEN title WHEN brand LIKE '%1' THEN regexp_replace(title, '(MSI|ASUS|Zotac) ', '') WHEN brand LIKE '%2' THEN concat(title, ' OC') ELSE title END"""
+_HIT = """(z.m = me.m OR (z.h = me.h AND coalesce(z.b = me.b, TRUE) AND coalesce(z.g = me.g, TRUE) AND (list_has_all(z.t, me.t) OR list_has_all(me.t, z.t))
+  AND list_has_any(list_transform(z.o, lambda e: {'s': e.s, 'p': e.p}), list_transform(me.o, lambda e: {'s': e.s, 'p': e.p}))))"""
+_NEAR = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT product_id, store_id, (price // {_STEP} + 1) * {_STEP} AS price, stock, updated FROM ({_PRICES})), l AS MATERIALIZED ({_LIST}),
+c AS MATERIALIZED (SELECT product_id AS seq, {_NEAR_NAME} AS name, hw_category AS cat FROM products),
+t AS MATERIALIZED (SELECT c.*, own, replace(lower(name), 'ó', 'o') AS text FROM c JOIN l USING (seq)),
+f AS MATERIALIZED (SELECT cat, seq, name, {{'i': seq, 'm': CASE WHEN name NOT LIKE '%+%' THEN
+    CASE WHEN cat = 'tarjetas-graficas' THEN concat(regexp_extract(text, 'rtx [0-9]+( ti)?'), regexp_extract(text, 'msi|asus|zotac'), CASE WHEN text LIKE '%shadow%' THEN 'shadow' ELSE 'dual' END) ELSE text END END,
+  'b': nullif(regexp_extract(text, '(asus|gigabyte|msi|zotac|amd)'), ''), 'h': nullif(replace(regexp_extract(text, 'rtx [0-9]+( ti)?|ryzen [0-9] [0-9]+x?'), ' ', ''), ''), 'g': nullif(regexp_extract(text, '[0-9]+gb'), ''),
+  't': list_filter(string_split(text, ' '), lambda x: len(x) > 1 AND x NOT IN ('de', 'placa', 'video', 'micro', 'gamer')), 'o': own}} AS me, row_number() OVER (PARTITION BY cat ORDER BY seq) AS n FROM t),
+g(cat, n, cl, asg) USING KEY (cat) AS (SELECT cat, n, [me], [{{'seq': seq, 'cluster': seq}}] FROM f WHERE n = 1
+  UNION SELECT y.cat, y.n, CASE WHEN y.hit IS NULL THEN list_append(y.cl, y.me) ELSE list_transform(y.cl, lambda z: CASE WHEN z.i <> y.hit.i THEN z WHEN len(y.me.t) > len(z.t)
+      THEN {{'i': z.i, 'm': y.me.m, 'b': y.me.b, 'h': y.me.h, 'g': y.me.g, 't': y.me.t, 'o': y.mo}} ELSE {{'i': z.i, 'm': z.m, 'b': z.b, 'h': z.h, 'g': z.g, 't': z.t, 'o': y.mo}} END) END,
+    list_append(y.asg, {{'seq': y.me.i, 'cluster': coalesce(y.hit.i, y.me.i)}})
+  FROM (SELECT x.*, CASE WHEN x.hit IS NOT NULL THEN {_comparable("x.raw")} END AS mo FROM (SELECT w.*, {_merged("w.hit.o", "w.me.o", False)} AS raw
+    FROM (SELECT g.cat, f.n, g.cl, g.asg, f.me AS me, list_filter(g.cl, lambda z: {_HIT.replace("me.", "f.me.")})[1] AS hit FROM g JOIN f ON f.cat = g.cat AND f.n = g.n + 1) w) x) y),
+a AS MATERIALIZED (SELECT u.seq, u.cluster FROM (SELECT unnest(asg) AS u FROM g))"""
+
+
+def _near(spark, d):
+    products, offers = catalogue(spark, d)
+    brands = view(spark, d, "products").select("product_id", F.col("brand").alias("b"))
+    gpu, name = F.col("hw_category") == "tarjetas-graficas", F.col("name")
+    varied = F.when(gpu & F.endswith("b", F.lit("1")), F.regexp_replace(name, "(MSI|ASUS|Zotac) ", "")).when(gpu & F.endswith("b", F.lit("2")), F.concat(name, F.lit(" OC"))).otherwise(name)
+    stepped = offers.withColumn("price", (F.expr(f"price div {_STEP}") + 1) * _STEP)
+    return materialise(products.join(brands, "product_id").withColumn("name", varied).drop("b")), materialise(stepped)
+
+
+@query("near_duplicates_merged", f"{_NEAR} SELECT seq, cluster FROM a")
+def near_duplicates_merged(spark, d):
+    return resolve.cluster_near_duplicates(*_near(spark, d))
+
+
+@query(
+    "merged_products",
+    f"""{_NEAR}, last AS (SELECT z.i AS cluster, {_comparable("z.o")} AS kept FROM (SELECT unnest(cl) AS z FROM g)),
+named AS (SELECT a.cluster, arg_min(name, seq) FILTER (k = 1) AS name, count(*) AS n_products FROM (SELECT a.*, f.name, rank() OVER (PARTITION BY a.cluster ORDER BY len(f.me.t) DESC) AS k FROM a JOIN f USING (seq)) a GROUP BY a.cluster)
+SELECT cluster, name, n_products, len(kept) AS n_offers, list_min(list_transform(kept, lambda e: e.p)) AS lowest, list_max(list_transform(kept, lambda e: e.p)) AS highest,
+  CAST(floor(list_sum(list_transform(kept, lambda e: e.p)) / len(kept) + 0.5) AS BIGINT) AS average FROM named JOIN last USING (cluster)""",
+)
+def merged_products(spark, d):
+    """The product that each cluster of near duplicates becomes."""
+    merged, _ = resolve.merge_near_duplicates(*_near(spark, d))
+    return merged.select("cluster", "name", "n_products", "n_offers", "lowest", "highest", "average")
+
+
 @query("feed_offers", """SELECT concat('feed-', CAST(p_partkey AS STRING)) AS product_id, CAST(floor(p_retailprice) AS BIGINT) AS price,
   CASE WHEN p_size <= 0 THEN 'out-of-stock' WHEN p_size <= 2 THEN 'low-stock' ELSE 'in-stock' END AS stock, coalesce(p_brand, 'Generica') AS brand FROM part WHERE p_size <> 13 AND p_retailprice >= 1""")
 def feed_offers(spark, d):

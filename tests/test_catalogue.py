@@ -132,19 +132,6 @@ def test_change_capture(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, table.collect()))
 
 
-def test_near_duplicates_merge_greedily(spark):
-    rows = [
-        (1, "tarjetas-graficas", "MSI RTX 4060 Ventus 8GB", [("s1", 10.0)]),
-        (2, "tarjetas-graficas", "Placa RTX 4060 MSI Ventus 2X 8GB", [("s2", 10.0)]),
-        (3, "tarjetas-graficas", "RTX 4060", [("s1", 10.0)]),
-        (4, "tarjetas-graficas", "Asus RTX 4060 8GB", [("s1", 10.0)]),
-        (5, "procesadores", "MSI RTX 4060 Ventus 8GB", [("s1", 10.0)]),
-    ]
-    products = spark.createDataFrame(rows, "seq long, hw_category string, name string, prices array<struct<store_id:string,price:double>>")
-    got = {r["seq"]: r["cluster"] for r in resolve.cluster_near_duplicates(products).collect()}
-    assert got[2] == 1 and got[3] == 1 and got[4] == 4 and got[5] == 5
-
-
 def test_feeds(spark):
     payload = '{"d": "{\\"data\\": {\\"items\\": [{\\"item_id\\": \\"7\\", \\"item_desc\\": \\"SSD\\", \\"prli_price\\": \\"1200.5\\"}]}}"}'
     got = feeds.decode_rpc(spark.createDataFrame([(payload,), (None,), ("{}",)], "payload string")).collect()
