@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources.tables import raw, view
 from ..streaming import limits
+from ..streaming.jobs import run_available
 
 
-@query(
-    "rate_limit_anchored",
-    """WITH RECURSIVE w AS (SELECT source, min(ts) AS start FROM requests GROUP BY source
-  UNION ALL SELECT w.source, (SELECT min(r.ts) FROM requests r WHERE r.source = w.source AND r.ts >= w.start + INTERVAL 6 HOUR) FROM w WHERE w.start IS NOT NULL)
-SELECT source, start AS window_start FROM w WHERE start IS NOT NULL""",
-)
+_WINDOWS = """WITH RECURSIVE w AS (SELECT source, min(ts) AS start FROM requests GROUP BY source
+  UNION ALL SELECT w.source, (SELECT min(r.ts) FROM requests r WHERE r.source = w.source AND r.ts >= w.start + INTERVAL 6 HOUR) FROM w WHERE w.start IS NOT NULL),
+p AS (SELECT r.source, r.event_id, w.start AS window_start, row_number() OVER (PARTITION BY r.source, w.start ORDER BY r.ts, r.event_id) AS place
+  FROM requests r ASOF JOIN (SELECT * FROM w WHERE start IS NOT NULL) w ON r.source = w.source AND r.ts >= w.start)"""
+
+
+@query("rate_limit_anchored", f"{_WINDOWS} SELECT source, event_id, window_start, place AS n, place <= 3 AS allowed FROM p")
 def rate_limit_anchored(spark, d):
-    return limits.anchored_windows(view(spark, d, "requests"), 6 * 3600).select("source", "window_start").distinct()
+    """Every request's window of six hours, its number there and whether it passes; denied requests count."""
+    return limits.anchored_windows(view(spark, d, "requests"), 6 * 3600, limit=3).drop("ts")
 
 
-@query("rate_limit_denied")
+@query("rate_limit_denied", f"{_WINDOWS} SELECT source, event_id, least(place, 4) AS n FROM p WHERE place > 3")
 def rate_limit_denied(spark, d):
-    """Requests over three in an anchored window of six hours."""
-    return limits.anchored_windows(view(spark, d, "requests"), 6 * 3600, limit=3).filter("not allowed").select("source", "event_id", "n")
+    """Requests over three in a window, where denied requests do not count."""
+    return limits.anchored_windows(view(spark, d, "requests"), 6 * 3600, limit=3, count_denied=False).filter("not allowed").select("source", "event_id", "n")
 
 
 @query(
@@ -40,16 +43,28 @@ def hourly_counts(spark, d):
     return limits.hourly_counts(view(spark, d, "requests"))
 
 
+def _event_stream(spark, d):
+    """The events' file as a stream."""
+    schema = raw(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("stream_event_totals", "SELECT event_type AS endpoint, count(*) AS n FROM events GROUP BY event_type")
 def stream_event_totals(spark, d):
     """Totals per endpoint from a stream over the events' file, run until nothing is left."""
-    import uuid
-
-    source = raw(spark, d, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    name = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
-    events = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"))
-    job = events.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.schema("event_id long, ts timestamp, endpoint string").parquet(f"{name}/out").groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
+    events = _event_stream(spark, d).select("event_id", "ts", F.col("event_type").alias("endpoint"))
+    return run_available(events).groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "event_log",
+    """WITH RECURSIVE e AS (SELECT concat(CAST(source AS VARCHAR), ':', endpoint) AS key, event_id, ts FROM requests),
+w AS (SELECT key, min(ts) AS ts FROM e GROUP BY key
+  UNION ALL SELECT w.key, (SELECT min(e.ts) FROM e WHERE e.key = w.key AND e.ts >= w.ts + INTERVAL 48 HOUR) FROM w WHERE w.ts IS NOT NULL)
+SELECT key, min(event_id) AS event_id, ts, ts + INTERVAL 48 HOUR AS expires FROM w JOIN e USING (key, ts) GROUP BY key, ts""",
+)
+def event_log(spark, d):
+    """The first event of each source and endpoint, and again once it has run out, from a replayed stream."""
+    events = _event_stream(spark, d).select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", "ts")
+    return run_available(limits.event_log(events))
