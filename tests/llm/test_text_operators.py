@@ -1,7 +1,9 @@
 """The text operators against plain Python and the public libraries, on rows that hurt."""
 
 import hashlib
+import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -586,3 +588,24 @@ def test_scans_of_edge_rows(spark, edge_docs, edge_rows):
     """Nulls, repeated rows, long texts and clashing columns: one row for every row."""
     for out in (secret_scan.scan(edge_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), pii_crf.scan(edge_docs)):
         assert sorted(str(x["doc_id"]) for x in out.select("doc_id").collect()) == sorted(str(r[0]) for r in edge_rows)
+
+
+def test_personal_patterns_equal_their_regular_expressions():
+    import re
+
+    email, address = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    r = random.Random(12)
+    for alphabet in ("a@.", "a_@.-é", "1.", "12.9@ ", "0.a"):
+        for _ in range(3000):
+            text = "".join(r.choices(alphabet, k=r.randint(1, 24)))
+            want = [("email", *m.span()) for m in re.finditer(email, text)]
+            want += [("ip", *m.span()) for m in re.finditer(address, text) if all(int(p) <= 255 for p in m[0].split("."))]
+            assert [s for s in pii_crf.base_spans(text) if s[0] in ("email", "ip")] == want, text
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6, "a@" * 500_000, "1." * 500_000, "0" * 5_000 + ".1.2.3", "+" * 10**6, "+1(" * 300_000, "1 " * 500_000, "a." * 400_000 + "@b.c", "1-" * 500_000], ids=range(10))
+def test_personal_patterns_take_linear_time(text):
+    began = time.perf_counter()
+    spans = pii_crf.base_spans(text)
+    assert time.perf_counter() - began < 3
+    assert ("ip", 0, 5_006) in spans if text.endswith(".1.2.3") else True
