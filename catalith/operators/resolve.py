@@ -33,7 +33,7 @@ def group_exact(products: DataFrame, offers: DataFrame, newer_wins: bool) -> tup
     """
     first = lambda c: F.min_by(c, "seq").alias(c)
     grouped = products.groupBy("canonical_key").agg(
-        first("product_id"), first("name"), first("hw_category"), _image().alias("image"),
+        first("product_id"), first("name"), first("hw_category"), first_image().alias("image"),
         F.min("created").alias("created"), F.max("updated").alias("updated"), F.min("seq").alias("seq"),
     )
     keyed = offers.join(products.select("seq", "canonical_key"), "seq")
@@ -41,7 +41,7 @@ def group_exact(products: DataFrame, offers: DataFrame, newer_wins: bool) -> tup
     return with_stats(grouped, kept, ["canonical_key"]), kept
 
 
-def _image() -> Column:
+def first_image() -> Column:
     """The first real image by seq, or the first one."""
     return F.coalesce(F.min_by("image", F.when(F.col("image") != C.DEFAULT_IMAGE, F.col("seq"))), F.min_by("image", "seq"))
 
@@ -55,10 +55,13 @@ def with_stats(rows: DataFrame, offers: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(stats, keys, "left").na.fill(0, ["n_offers", "lowest", "highest", "average"])
 
 
-def near_duplicate_facts(products: DataFrame, name: str = "name") -> DataFrame:
-    """seq, hw_category and what the near-duplicate test compares: model, brand, chip, memory, tokens."""
+def near_duplicate_facts(products: DataFrame, name: str = "name", scope: str | None = None) -> DataFrame:
+    """seq, hw_category (with the scope before it) and what the near-duplicate test compares: model, brand, chip, memory, tokens."""
     mark = I.fingerprint(T.identity_text(F.col(name)))
-    facts = products.select("seq", "hw_category", I.exact_model(F.col("hw_category"), F.col(name)).alias("model"), mark.alias("_f"), T.dedupe_tokens(F.col(name)).alias("tokens"))
+    scopes = [F.col(scope).cast("string").alias("_scope")] if scope else []
+    facts = products.select("seq", "hw_category", *scopes, I.exact_model(F.col("hw_category"), F.col(name)).alias("model"), mark.alias("_f"), T.dedupe_tokens(F.col(name)).alias("tokens"))
+    if scope:  # in a step of its own: a lambda above would take the new column for the old one
+        facts = facts.withColumn("hw_category", F.concat_ws("|", "_scope", "hw_category"))
     return facts.select("seq", "hw_category", "model", "_f.brand", "_f.chip", "_f.memory", "tokens")
 
 
@@ -84,7 +87,7 @@ def _blocks(facts: DataFrame, offers: DataFrame) -> DataFrame:
     return placed.join(kinds, "block").withColumn("mixed", F.col("shared") & F.col("mixed")).drop("shared")
 
 
-def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False) -> DataFrame:
+def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False, scope: str | None = None) -> DataFrame:
     """(seq, cluster): the greedy merge in order of seq, cluster being the first product of the cluster.
 
     A product joins the first cluster with its model, or with its chip, a shared offer, no other brand or memory and
@@ -93,9 +96,10 @@ def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins:
     them.  Only mixed blocks are chains of decisions; each is streamed, with its clusters as state and an index over
     their models and offers.
 
-    ``products``: seq, hw_category, name; ``offers``: seq, place, store_id, price, stock, updated.
+    ``products``: seq, hw_category, name, and ``scope``, a column within whose values products merge; ``offers``: seq,
+    place, store_id, price, stock, updated.
     """
-    facts = materialise(_blocks(materialise(near_duplicate_facts(products)), offers))
+    facts = materialise(_blocks(materialise(near_duplicate_facts(products, scope=scope)), offers))
     plain = facts.filter("NOT mixed").select("seq", F.col("block").alias("cluster"))
     rows = facts.filter("mixed").join(offers, "seq", "left")
     rows = rows.withColumns({"store_id": F.col("store_id").cast("string"), "price": F.col("price").cast("double"), "tokens": F.array_join("tokens", " ")})
@@ -153,22 +157,21 @@ def _mergeable(a: dict, b: dict) -> bool:
     return bool(x and y) and (x <= y or y <= x)
 
 
-def merge_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False) -> tuple[DataFrame, DataFrame]:
+def merge_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(products, offers) after the near-duplicate merge: one row per cluster, and its comparable offers.
 
     The name, brand and model of the most tokens stand (of equal ones the first); where ``newer_wins`` the model is the
-    name and the first image stays, else the first real image is taken.  A product that nothing joined keeps its offers
-    as they compare.
+    name and the first image stays, else the first real image is taken.  A product that nothing joined keeps its offers.
     """
-    clusters = materialise(cluster_near_duplicates(products, offers, newer_wins))
+    clusters = materialise(cluster_near_duplicates(products, offers, newer_wins, scope))
     rows = products.join(clusters, "seq").withColumn("_n", F.struct(F.size(T.dedupe_tokens(F.col("name"))).alias("n"), (-F.col("seq")).alias("s")))
     longest = lambda c: F.max_by(c, "_n")
     merged = rows.groupBy("cluster").agg(
         F.min_by("product_id", "seq").alias("product_id"), longest("name").alias("name"), longest("brand").alias("brand"),
-        longest("name" if newer_wins else "model").alias("model"), (F.min_by("image", "seq") if newer_wins else _image()).alias("image"),
+        longest("name" if newer_wins else "model").alias("model"), (F.min_by("image", "seq") if newer_wins else first_image()).alias("image"),
         F.min("created").alias("created"), F.max("updated").alias("updated"), F.count(F.lit(1)).alias("n_products"),
     )
-    kept = materialise(runs.fold_products(offers.join(clusters, "seq"), ["cluster"], newer_wins))
+    kept = materialise(runs.fold_products(offers.join(clusters, "seq"), ["cluster"], newer_wins, compare_single=False))
     return with_stats(merged, kept, ["cluster"]), kept
 
 

@@ -117,12 +117,13 @@ def merged(held: list[tuple], new: list[tuple], newer_wins: bool) -> list[tuple]
     return comparable(by_store.values())
 
 
-def fold_products(offers: DataFrame, keys: list[str], newer_wins: bool, compare_first: bool = False) -> DataFrame:
+def fold_products(offers: DataFrame, keys: list[str], newer_wins: bool, compare_first: bool = False, compare_single: bool = True) -> DataFrame:
     """Offers of each key after its products are merged one by one: keys, store_id, price, stock, updated.
 
-    ``offers``: keys, seq (the product's place), place (the offer's), store_id, price, stock, updated.  With
-    ``compare_first`` the first product's outliers go before anything is merged over it, else they stand until then; a
-    single product keeps its comparable offers either way.  A key's state is one offer per store.
+    ``offers``: keys, seq (the product's place), place (the offer's), store_id, price, stock, updated.  Each merge
+    compares what it leaves.  With ``compare_first`` the first product's outliers go before anything is merged over it,
+    else they stand until then; a product that stays alone is compared unless ``compare_single`` is off, for offers that
+    have been compared before.  A key's state is one offer per store.
     """
     kinds = dict(offers.dtypes)
     schema = ", ".join([*(f"{k} {'long' if kinds[k] == 'bigint' else kinds[k]}" for k in keys), "store_id string, price double, stock string, updated timestamp"])
@@ -137,16 +138,18 @@ def fold_products(offers: DataFrame, keys: list[str], newer_wins: bool, compare_
 
     def end(key, state):
         _close(state, newer_wins, compare_first)
-        return [(*key, *offer) for offer in comparable(state["held"] or ())]
+        alone = comparable if state["alone"] and compare_single and not compare_first else list
+        return [(*key, *offer) for offer in alone(state["held"] or ())]
 
     columns = ["seq", "store_id", "price", "stock", "updated"]
     typed = offers.withColumns({"store_id": offers["store_id"].cast("string"), "price": offers["price"].cast("double")})
-    return stream(typed, keys, ["seq", "place"], columns, lambda key: {"seq": None, "held": None, "new": []}, step, end, schema)
+    return stream(typed, keys, ["seq", "place"], columns, lambda key: {"seq": None, "held": None, "new": [], "alone": True}, step, end, schema)
 
 
 def _close(state: dict, newer_wins: bool, compare_first: bool) -> None:
     """Merge the offers of the product that has ended."""
     if state["seq"] is not None:
         first = comparable if compare_first else list
-        state["held"] = first(state["new"]) if state["held"] is None else merged(state["held"], state["new"], newer_wins)
+        state["alone"] = state["held"] is None
+        state["held"] = first(state["new"]) if state["alone"] else merged(state["held"], state["new"], newer_wins)
     state["new"] = []

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import offers as O
 from ..operators import resolve
-from ..plans import search
+from ..plans import live, search
 from ..registry import query
 from ..sources import feeds
 from ..sources.tables import raw, view
 from ..storage import materialise
-
+from .reading import normal
 
 #: The latest offer of each product and store, as one price per store is stored.
 _PRICES = """SELECT product_id, store_id, price, stock, updated FROM offers WHERE price > 0
@@ -64,7 +64,7 @@ def _groups(where: str) -> str:
 k AS MATERIALIZED (SELECT c.*, l.own, concat(hw_category, '|', name) AS key, row_number() OVER (PARTITION BY hw_category, name ORDER BY c.seq) AS n FROM c JOIN l USING (seq) WHERE {where}),
 f AS (SELECT key, n, own AS held FROM k WHERE n = 1
   UNION ALL SELECT g.key, g.n, {_comparable("g.m")} FROM (SELECT k.key, k.n, {_merged("f.held", "k.own", True)} AS m FROM f JOIN k ON k.key = f.key AND k.n = f.n + 1) g),
-z AS (SELECT key, {_comparable("held")} AS kept FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1),
+z AS (SELECT key, CASE WHEN n = 1 THEN {_comparable("held")} ELSE held END AS kept FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1),
 groups AS (SELECT min(seq) AS seq, arg_min(product_id, seq) AS product_id, arg_min(name, seq) AS name, coalesce(arg_min(image, seq) FILTER (image <> '{C.DEFAULT_IMAGE}'), arg_min(image, seq)) AS image, min(created) AS created, max(updated) AS updated,
   any_value(len(kept)) AS n_offers, any_value(list_min(list_transform(kept, lambda e: e.p))) AS lowest, any_value(list_max(list_transform(kept, lambda e: e.p))) AS highest,
   CAST(floor(any_value(list_sum(list_transform(kept, lambda e: e.p))) / any_value(len(kept)) + 0.5) AS BIGINT) AS average FROM k JOIN z USING (key) GROUP BY key)"""
@@ -125,7 +125,7 @@ def near_duplicates_merged(spark, d):
 
 @query(
     "merged_products",
-    f"""{_NEAR}, last AS (SELECT z.i AS cluster, {_comparable("z.o")} AS kept FROM (SELECT unnest(cl) AS z FROM g)),
+    f"""{_NEAR}, last AS (SELECT z.i AS cluster, z.o AS kept FROM (SELECT unnest(cl) AS z FROM g)),
 named AS (SELECT a.cluster, arg_min(name, seq) FILTER (k = 1) AS name, count(*) AS n_products FROM (SELECT a.*, f.name, rank() OVER (PARTITION BY a.cluster ORDER BY len(f.me.t) DESC) AS k FROM a JOIN f USING (seq)) a GROUP BY a.cluster)
 SELECT cluster, name, n_products, len(kept) AS n_offers, list_min(list_transform(kept, lambda e: e.p)) AS lowest, list_max(list_transform(kept, lambda e: e.p)) AS highest,
   CAST(floor(list_sum(list_transform(kept, lambda e: e.p)) / len(kept) + 0.5) AS BIGINT) AS average FROM named JOIN last USING (cluster)""",
@@ -136,6 +136,48 @@ def merged_products(spark, d):
     return merged.select("cluster", "name", "n_products", "n_offers", "lowest", "highest", "average")
 
 
+_SORTS = ("price-asc", "price-desc", "newest", "relevance")
+_QUERY = "'^(Placa de Video|Micro|Motherboard|Mouse|Memoria RAM) '"
+_S = "s.words, lambda w: contains(p.text, w)"
+_LIVE = f"""WITH RECURSIVE {_CATALOGUE}, l AS MATERIALIZED ({_LIST}),
+q AS (SELECT regexp_replace(title, {_QUERY}, '') AS query, min(product_id) AS search_id, min(hw_category) AS kind FROM products WHERE product_id IN (SELECT seq FROM c) GROUP BY 1),
+s AS MATERIALIZED (SELECT search_id, CASE WHEN length(query) % 2 = 0 THEN kind END AS category, CASE WHEN length(query) % 3 = 0 THEN 100000 ELSE 0 END AS lowest, CASE WHEN length(query) % 5 = 0 THEN 250000 ELSE 1000000000 END AS highest,
+  ['price-asc', 'price-desc', 'newest', 'relevance'][CAST(length(query) % 4 AS INT) + 1] AS sort, {normal("query")} AS text, list_filter(string_split({normal("query")}, ' '), lambda x: len(x) > 1) AS words FROM q),
+p AS MATERIALIZED (SELECT x.*, list_min(list_transform(x.cmp, lambda e: e.p)) AS least FROM (SELECT c.*, l.own, {_comparable("l.own")} AS cmp, {normal("c.name")} AS text FROM c JOIN l USING (seq)) x),
+k AS MATERIALIZED (SELECT s.search_id, p.seq, p.product_id, p.name, p.updated, p.cmp AS first, p.own, concat(p.hw_category, '|', p.name) AS key,
+    len(list_filter({_S})) * {C.SCORE_WORD} + CASE WHEN len(list_filter({_S})) = len(s.words) THEN {C.SCORE_ALL} ELSE 0 END + CASE WHEN contains(p.text, s.text) THEN {C.SCORE_PHRASE} ELSE 0 END
+      + CASE WHEN s.category = p.hw_category THEN {C.SCORE_CATEGORY} ELSE 0 END + CASE WHEN p.name LIKE 'Combo%' AND s.text NOT LIKE '%combo%' THEN {C.SCORE_BUNDLE} ELSE 0 END AS score,
+    row_number() OVER (PARTITION BY s.search_id, p.hw_category, p.name ORDER BY p.seq) AS n
+  FROM s JOIN p ON coalesce(s.category = p.hw_category, TRUE) AND p.least BETWEEN s.lowest AND s.highest
+    AND len(list_filter({_S})) >= CASE WHEN len(s.words) <= 2 THEN len(s.words) ELSE CAST(ceil(len(s.words) * 0.7) AS INT) END
+    AND len(list_filter(s.words, lambda w: w IN ('dual', 'shadow', 'aorus', 'ds3h', 'hero') AND NOT list_contains(string_split(p.text, ' '), w))) = 0),
+f AS (SELECT search_id, key, n, first AS held FROM k WHERE n = 1
+  UNION ALL SELECT g.search_id, g.key, g.n, {_comparable("g.m")} FROM (SELECT k.search_id, k.key, k.n, {_merged("f.held", "k.own", False)} AS m FROM f JOIN k ON k.search_id = f.search_id AND k.key = f.key AND k.n = f.n + 1) g),
+z AS (SELECT search_id, key, list_transform(held, lambda e: e.p) AS v FROM f QUALIFY row_number() OVER (PARTITION BY search_id, key ORDER BY n DESC) = 1),
+r AS (SELECT search_id, key, min(seq) AS seq, arg_min(product_id, seq) AS product_id, any_value(name) AS name, max(updated) AS updated, any_value(score) AS score FROM k GROUP BY ALL),
+e AS (SELECT r.*, s.sort, len(v) AS n_offers, list_min(v) AS lowest, list_max(v) AS highest, CAST(floor(list_sum(v) / len(v) + 0.5) AS BIGINT) AS average FROM r JOIN z USING (search_id, key) JOIN s USING (search_id))
+SELECT search_id, CAST(row_number() OVER (PARTITION BY search_id ORDER BY CASE sort WHEN 'price-asc' THEN lowest WHEN 'price-desc' THEN -lowest WHEN 'newest' THEN -epoch_us(updated) ELSE CAST(name LIKE 'Combo%' AS BIGINT) END,
+    CASE WHEN sort = 'relevance' THEN -(score + greatest(0, {C.SCORE_PRICE} - floor(lowest / {C.PRICE_STEP}))) END, CASE WHEN sort = 'relevance' THEN lowest END, seq) AS INTEGER) AS rank,
+  count(*) OVER (PARTITION BY search_id) AS total, product_id, name, lowest, highest, average, n_offers FROM e"""
+
+
+@query("live_search", _LIVE)
+def live_search(spark, d):
+    """A search for every title that products have, with filters and sorts of their own, all in one job."""
+    products, offers = _keyed(spark, d)
+    own = O.mark_outliers(offers.select(F.col("seq").alias("product_id"), "store_id", "price")).filter("NOT discarded")
+    products = products.join(own.groupBy("product_id").agg(F.min("price").alias("lowest")), "product_id")
+    text = F.regexp_replace("name", _QUERY.strip("'"), "")
+    asked = products.groupBy(text.alias("query")).agg(F.min("product_id").alias("search_id"), F.min("hw_category").alias("kind"))
+    n = F.length("query")
+    sort = F.element_at(F.array(*map(F.lit, _SORTS)), (n % 4 + 1).cast("int"))
+    searches = asked.select(
+        "search_id", "query", F.when(n % 2 == 0, F.col("kind")).alias("category"), F.when(n % 3 == 0, 100_000).cast("long").alias("lowest"),
+        F.when(n % 5 == 0, 250_000).cast("long").alias("highest"), sort.alias("sort"),
+    )
+    return live.live_search(searches, products, offers)
+
+
 @query("feed_offers", """SELECT concat('feed-', CAST(p_partkey AS STRING)) AS product_id, CAST(floor(p_retailprice) AS BIGINT) AS price,
   CASE WHEN p_size <= 0 THEN 'out-of-stock' WHEN p_size <= 2 THEN 'low-stock' ELSE 'in-stock' END AS stock, coalesce(p_brand, 'Generica') AS brand FROM part WHERE p_size <> 13 AND p_retailprice >= 1""")
 def feed_offers(spark, d):

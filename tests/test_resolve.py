@@ -2,11 +2,14 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
+from catalith import constants as C
 from catalith.operators import resolve, runs
 from catalith.operators.components import components
+from catalith.plans import live
 
 DAY = dt.datetime(2026, 3, 1)
 STOCKS = ["in-stock", "out-of-stock", "low-stock"]
@@ -50,11 +53,14 @@ def test_product_folds(spark, newer):
         for seq in sorted({x[0] for x in rows if x[6] == key}):
             own = [x[2:6] for x in sorted(rows, key=lambda x: x[1]) if x[0] == seq]
             held = (own if newer else runs.comparable(own)) if held is None else runs.merged(held, own, newer)
-        want[key] = sorted(runs.comparable(held))
+        want[key] = sorted(held)
     got = {}
     for x in found.collect():
         got.setdefault(x["key"], []).append((x["store_id"], x["price"], x["stock"], x["updated"]))
     assert {k: sorted(v) for k, v in got.items()} == want
+    lone = [offer(r, 1, k, (100_000, 110_000, 900_000)) for k in range(9)]
+    alone = {c: sorted(x["price"] for x in runs.fold_products(spark.createDataFrame(lone, OFFERS), ["key"], newer, compare_single=c).collect()) for c in (True, False)}
+    assert alone == {True: [o[1] for o in runs.comparable(x[2:6] for x in lone)], False: sorted(x[3] for x in lone)}
 
 
 def test_components(spark):
@@ -115,7 +121,7 @@ def test_near_duplicates_against_a_loop(spark, newer, seed):
     found = {}
     for x in kept.collect():
         found.setdefault(x["cluster"], []).append((x["store_id"], x["price"], x["stock"], x["updated"]))
-    assert {k: sorted(v) for k, v in found.items()} == {c["all"][0]: sorted(runs.comparable(c["offers"])) for c in want if runs.comparable(c["offers"])}
+    assert {k: sorted(v) for k, v in found.items()} == {c["all"][0]: sorted(c["offers"]) for c in want if c["offers"]}
     by = {p["seq"]: p for p in products}
     for x in merged.collect():
         own = next(c for c in want if c["all"][0] == x["cluster"])
@@ -123,6 +129,91 @@ def test_near_duplicates_against_a_loop(spark, newer, seed):
         image = by[own["all"][0]]["image"] if newer or not real else real[0]
         assert (x["name"], x["image"], x["product_id"], x["n_products"]) == (own["name"], image, by[x["cluster"]]["product_id"], len(own["all"]))
         assert x["updated"] == max(by[s]["updated"] for s in own["all"]) and (x["model"] == x["name"] if newer else x["model"].startswith("m"))
-        cheapest = [o[1] for o in runs.comparable(own["offers"])]
+        cheapest = [o[1] for o in own["offers"]]
         assert (x["n_offers"], x["lowest"]) == (len(cheapest), min(cheapest, default=0))
     assert resolve.cluster_near_duplicates(rows.limit(0), prices).count() == 0
+
+
+def plain_live(search, products, offers, keys, facts):
+    """One search as it reads: groups with a name that has enough words, filters, merges in order, near duplicates, tests of the names, sort."""
+    from catalith.functions.text import plain_identity
+    from catalith.operators.reading import single_variants, strict_variants
+
+    query = search["query"] or ""
+    text, words = plain_identity(query), [w for w in plain_identity(query).split() if len(w) > 1]
+
+    def score(name, category, lowest):
+        n = plain_identity(name)
+        hit = sum(w in n for w in words)
+        bundle = lambda t: "+" in t or any(f" {b} " in f" {t} " for b in C.BUNDLE_TERMS)
+        out = hit * 25 + (120 if words and hit == len(words) else 0) + (120 if text and text in n else 0) + (30 if search["category"] and category == search["category"] else 0)
+        return out - (120 if bundle(n) and not bundle(text) else 0) + (max(0, 20 - int(lowest // 200_000)) if lowest > 0 else 0)
+
+    def fits(name):
+        n = plain_identity(name)
+        models = [w for w in words if re.search("[a-z]", w) and re.search(r"\d", w) or re.fullmatch(r"\d{3,5}", w)]
+        need = len(words) if len(words) <= 2 else -(-7 * len(words) // 10)
+        single = all(any(m + v in n or re.search(rf"\b{m}\s+{v}\b", n) for m in models) for v in single_variants(query)) if models else True
+        return sum(w in n for w in words) >= need and single and all(re.search(rf"\b{v}\b", n) for v in strict_variants(query))
+
+    need = len(words) if len(words) <= 2 else -(-7 * len(words) // 10)
+    named = {keys[p["seq"]] for p in products if sum(w in plain_identity(p["name"]) for w in words) >= need and (words or p["hw_category"] == search["category"])}
+    groups = {}
+    for p in sorted(products, key=lambda x: x["seq"]):
+        if keys[p["seq"]] not in named:
+            continue
+        own = [o[2:6] for o in sorted(offers, key=lambda x: x[1]) if o[0] == p["seq"]]
+        least = p["lowest"]
+        if (search["category"] and p["hw_category"] != search["category"]) or least < (search["lowest"] or 0) or (search["highest"] is not None and least > search["highest"]):
+            continue
+        g = groups.get(keys[p["seq"]])
+        if g is None:
+            groups[keys[p["seq"]]] = {"shown": p, "first": p, "offers": runs.comparable(own), "updated": p["updated"]}
+            continue
+        if score(p["name"], p["hw_category"], least) > score(g["shown"]["name"], g["shown"]["hw_category"], g["offers"][0][1] if g["offers"] else 0):
+            g["shown"] = p
+        g["offers"], g["updated"] = runs.merged(g["offers"], own, False), max(g["updated"], p["updated"])
+    held = []
+    for g in groups.values():
+        row = {**facts[g["shown"]["seq"]], "name": g["shown"]["name"], "first": g["first"], "offers": g["offers"], "updated": g["updated"], "hw_category": g["first"]["hw_category"]}
+        at = next((c for c in held if c["hw_category"] == row["hw_category"] and resolve._mergeable(c, row)), None)
+        if at is None:
+            held.append(row)
+            continue
+        if len(row["tokens"]) > len(at["tokens"]):
+            at |= {k: row[k] for k in ("model", "brand", "chip", "memory", "tokens", "name")}
+        at["offers"], at["updated"] = runs.merged(at["offers"], row["offers"], False), max(at["updated"], row["updated"])
+    kept = [c for c in held if not words or fits(c["name"])]
+    low = lambda c: min((o[1] for o in c["offers"]), default=0)
+    bundle = lambda c: "+" in c["name"] or any(f" {b} " in f" {plain_identity(c['name'])} " for b in C.BUNDLE_TERMS)
+    order = {"price-asc": lambda c: low(c), "price-desc": lambda c: -low(c), "newest": lambda c: -c["updated"].timestamp(), "name": lambda c: c["name"]}
+    kept.sort(key=order.get(search["sort"], lambda c: (bundle(c), -score(c["name"], c["hw_category"], low(c)), low(c))))
+    return [(search["search_id"], k + 1, len(kept), c["first"]["product_id"], c["name"], low(c), len(c["offers"])) for k, c in enumerate(kept)]
+
+
+def test_live_search_against_a_loop(spark):
+    r = random.Random(9)
+    parts = [["MSI", "ASUS", ""], ["RTX 4060", "RTX 4060 Ti", "rtx4060ti"], ["Ventus", "Dual", "", "Shadow"], ["8GB", "", "12GB"], ["OC", ""]]
+    names = [" ".join(w for w in map(r.choice, parts) if w) for _ in range(60)] + ["Mouse Logitech G502 X", "Mouse Logitech G502X Plus", "Mouse Logitech G502 Hero", "Combo PC RTX 4060 + fuente"]
+    offers = [offer(r, k % 62, k, (100_000, 110_000, 500_000)) for k in range(260)]
+    least = lambda k: min((o[1] for o in runs.comparable(x[2:6] for x in offers if x[0] == k)), default=0)
+    kinds = ["tarjetas-graficas"] * 60 + ["perifericos"] * 3 + ["tarjetas-graficas"]
+    products = [
+        {"seq": k, "product_id": 900 - k, "hw_category": kinds[k], "name": n, "brand": None, "model": None, "image": "/i.png", "created": DAY, "updated": DAY + dt.timedelta(minutes=k), "lowest": int(least(k))}
+        for k, n in enumerate(names)
+    ]
+    rows = spark.createDataFrame([tuple(p.values()) for p in products], PRODUCTS + ", lowest long")
+    keyed = resolve.with_keys(rows, "name").select(*rows.columns, "canonical_key")
+    keys, facts = {x["seq"]: x["canonical_key"] for x in keyed.collect()}, {x["seq"]: x.asDict() for x in resolve.near_duplicate_facts(rows).collect()}
+    texts = ["rtx 4060", "msi rtx 4060 ti dual 8gb", "Shadow 4060", "logitech g502 x", "logitech g502 hero", "combo rtx 4060", "ti", "zzz 4060", "ásus RTX-4060 oc", "", None, "x"]
+    sorts = ["relevance", "price-asc", "price-desc", "newest", "name", None]
+    searches = [
+        {"search_id": 3 * k, "query": t, "category": [None, "tarjetas-graficas", "perifericos"][k % 3] if t else "tarjetas-graficas", "lowest": [None, 100_000][k % 2], "highest": [None, 110_000][k % 4 == 3], "sort": sorts[k % 6]}
+        for k, t in enumerate(texts + texts[:6])
+    ]
+    table = spark.createDataFrame([tuple(s.values()) for s in searches], "search_id long, query string, category string, lowest long, highest long, sort string")
+    found = live.live_search(table, keyed, spark.createDataFrame(offers, OFFERS).drop("key"))
+    got = sorted((x["search_id"], x["rank"], x["total"], x["product_id"], x["name"], x["lowest"], x["n_offers"]) for x in found.collect())
+    want = sorted(row for s in searches for row in plain_live({**s, "sort": s["sort"] or "relevance"}, products, offers, keys, facts))
+    assert [g for g in got if g not in want] == [] and got == want and len({w[0] for w in want}) > 8
+    assert live.live_search(table.limit(0), keyed, spark.createDataFrame(offers, OFFERS)).count() == 0
