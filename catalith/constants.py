@@ -19,6 +19,8 @@ DROP_PERCENT, DROP_AMOUNT, GUARD_SECONDS = 0.05, 10_000, 1
 # Retention, change capture, staleness.
 RAW_DAYS, HOURLY_DAYS, DAILY_DAYS = 14, 90, 365
 HEARTBEAT_HOURS, STALE_MINUTES, HOT_PRICES = 12, 20, 3
+#: Products that a refresh request looks at, at least.
+LEAST_LOOKED_AT = 50
 
 # Telemetry and alerts.
 SLOW_MS, BLOCKED_ALERT, ERROR_ALERT, EMPTY_ALERT, SUCCESS_ALERT, P95_ALERT_MS, MIN_REQUESTS = 8000, 3, 3, 5, 80, 12_000, 5

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import storage
 from ..functions import price as P
 from ..operators import offers as O
 from ..operators import resolve
-from ..plans import home, retention, sitemap, snapshot
+from ..plans import home, refresh, retention, sitemap, snapshot, stored
 from ..registry import query
 from ..sources.tables import raw, view
 
@@ -237,3 +238,90 @@ def related_products(spark, d):
 def estimate_total(spark, d):
     priced = F.coalesce(F.nullif("retail", F.lit(0)), F.lit(1000))
     return view(spark, d, "products").groupBy("hw_category").agg(F.sum(priced).alias("total"), P.half_up(F.sum("retail") / F.count(F.lit(1))).alias("mean"))
+
+
+_REFRESH = f"""WITH u AS (SELECT product_id, max(updated) AS updated, count(*) AS n, bool_or(stock IN ('in-stock', 'low-stock')) AS a FROM offers GROUP BY product_id),
+t AS (SELECT DISTINCT product_id FROM favourites JOIN users USING (user_id) WHERE segment = 'MACHINERY'),
+p AS (SELECT product_id, title AS name, hw_category AS category, updated, t.product_id IS NOT NULL AS tracked, t.product_id IS NOT NULL OR (coalesce(a, FALSE) AND n >= 3) AS hot
+  FROM products LEFT JOIN u USING (product_id) LEFT JOIN t USING (product_id)),
+top AS (SELECT 'tracked' AS mode, name, category, NULL AS updated, row_number() OVER (ORDER BY product_id) AS rank FROM p WHERE tracked
+  UNION ALL SELECT 'hot', name, category, updated, row_number() OVER (ORDER BY updated, product_id) FROM p WHERE hot),
+r AS (SELECT c_custkey AS request_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'full' WHEN 'BUILDING' THEN 'custom' WHEN 'FURNITURE' THEN 'tracked' WHEN 'HOUSEHOLD' THEN 'hot' ELSE 'cleanup-history' END AS mode,
+  CASE WHEN c_nationkey < 12 THEN c_name ELSE '  ' END AS query, CASE c_nationkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['procesadores', 'gabinetes', 'procesadores'] ELSE ['nada', 'motherboards'] END AS cats,
+  1 + c_nationkey AS budget, (SELECT max(updated) FROM offers) - to_minutes(CAST(180 + 1440 * 400 * (c_nationkey % 4) AS INT)) AS cutoff, CASE WHEN c_acctbal < 0 THEN 'service_client_unavailable' END AS reason FROM customer),
+l AS (SELECT request_id, budget, rank, name, category, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS k FROM r JOIN top USING (mode)
+  WHERE reason IS NULL AND rank <= greatest(2 * budget, {C.LEAST_LOOKED_AT}) AND (mode <> 'hot' OR updated < cutoff)),
+d AS (SELECT request_id, CAST(min(k) - 1 AS INT) AS place, 'query' AS kind, arg_min(name, k) AS value, arg_min(category, k) AS category FROM l WHERE k <= budget GROUP BY request_id, category, lower(name)),
+c AS (SELECT request_id, unnest(CASE WHEN len(own) > 0 THEN own ELSE {list(C.CATEGORIES)} END) AS value, unnest(range(CASE WHEN len(own) > 0 THEN len(own) ELSE {len(C.CATEGORIES)} END)) AS place
+  FROM (SELECT *, list_filter([cats[1], cats[2]], lambda x: list_contains({list(C.CATEGORIES)}, x)) AS own FROM r) WHERE mode = 'full' OR (mode = 'custom' AND trim(query) = '') OR (mode IN ('tracked', 'hot') AND reason IS NOT NULL))"""
+
+
+def _refresh(spark, d):
+    offers = view(spark, d, "offers")
+    chosen = view(spark, d, "users").filter("segment = 'MACHINERY'").select("user_id")
+    tracked = view(spark, d, "favourites").join(chosen, "user_id").select("product_id").distinct()
+    products = view(spark, d, "products").select("product_id", F.col("title").alias("name"), F.col("hw_category").alias("category"))
+    kinds = snapshot.refresh_priority(products.select("product_id"), offers, tracked).filter("priority IN ('hot', 'tracked')").select("product_id")
+    updated = offers.groupBy("product_id").agg(F.max("updated").alias("updated"))
+    hot = products.join(kinds, "product_id").join(updated, "product_id", "left")
+    as_of = offers.agg(F.max("updated")).first()[0]
+    segment, nation = F.col("c_mktsegment"), F.col("c_nationkey")
+    mode = F.when(segment == "AUTOMOBILE", "full").when(segment == "BUILDING", "custom").when(segment == "FURNITURE", "tracked").when(segment == "HOUSEHOLD", "hot").otherwise("cleanup-history")
+    some = F.when(nation % 3 == 0, F.array().cast("array<string>")).when(nation % 3 == 1, F.array(F.lit("procesadores"), F.lit("gabinetes"), F.lit("procesadores"))).otherwise(F.array(F.lit("nada"), F.lit("motherboards")))
+    requests = raw(spark, d, "customer").select(
+        F.col("c_custkey").alias("request_id"), mode.alias("mode"), F.when(nation < 12, F.col("c_name")).otherwise("  ").alias("query"), some.alias("categories"), (nation + 1).alias("max_queries"),
+        (180 + 1440 * 400 * (nation % 4)).alias("stale_minutes"), F.when(F.col("c_acctbal") < 0, "service_client_unavailable").alias("reason"),
+    )
+    return refresh.refresh_plan(requests, products.join(tracked, "product_id"), hot, F.lit(as_of))
+
+
+@query(
+    "refresh_plans",
+    f"""{_REFRESH}, n AS (SELECT request_id, count(*) AS n FROM (SELECT request_id FROM d UNION ALL SELECT request_id FROM c) GROUP BY request_id)
+SELECT request_id, CASE WHEN mode = 'cleanup-history' THEN mode WHEN mode = 'full' THEN 'full-categories' WHEN mode = 'custom' THEN CASE WHEN trim(query) <> '' THEN 'custom-query' ELSE 'custom-categories' END
+    WHEN reason IS NOT NULL THEN concat(mode, '-fallback-categories') WHEN n.n IS NULL THEN concat(mode, '-idle') ELSE concat(mode, '-db') END AS source,
+  mode IN ('tracked', 'hot') AND reason IS NOT NULL AS fallback_applied, CASE WHEN mode IN ('tracked', 'hot') THEN reason END AS fallback_reason,
+  CASE WHEN mode = 'custom' AND trim(query) <> '' THEN 1 ELSE coalesce(n.n, 0) END AS n_targets FROM r LEFT JOIN n USING (request_id)""",
+)
+def refresh_plans(spark, d):
+    """A refresh request per customer: modes by segment, budgets and staleness by nation, some without a source."""
+    return _refresh(spark, d)[0]
+
+
+@query(
+    "refresh_targets",
+    f"""{_REFRESH} SELECT request_id, place, kind, value, category FROM d UNION ALL SELECT request_id, CAST(place AS INT), 'category', value, value FROM c
+UNION ALL SELECT request_id, 0, 'query', query, cats[1] FROM r WHERE mode = 'custom' AND trim(query) <> ''""",
+)
+def refresh_targets(spark, d):
+    return _refresh(spark, d)[1]
+
+
+@query(
+    "stored_upsert",
+    f"{_STATES} SELECT product_id, store_id, price, 0 AS again FROM n UNION ALL SELECT product_id, store_id, price, 0 FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.product_id = o.product_id AND n.store_id = o.store_id)",
+)
+def stored_upsert(spark, d):
+    """A stored table after an upsert, and how many rows the same upsert changes a second time."""
+    old, new = _snapshots(spark, d)
+    path = storage.folder(spark, "stored")
+    stored.create(old, path, ["product_id", "store_id"])
+    stored.upsert(spark, path, new, ["product_id", "store_id"])
+    again = stored.upsert(spark, path, new, ["product_id", "store_id"])
+    return stored.read(spark, path).withColumn("again", F.lit(again))
+
+
+@query(
+    "stored_profiles",
+    """SELECT user_id, CASE WHEN segment = 'FURNITURE' THEN 'old name' WHEN segment = 'MACHINERY' THEN user_name ELSE coalesce(nullif(user_name, ''), 'old name') END AS display_name FROM users
+UNION ALL SELECT s_suppkey + 1000000000, 'old name' FROM supplier""",
+)
+def stored_profiles(spark, d):
+    """Profiles kept in place: a blank name leaves the stored one, unknown users are added, others stay."""
+    users = view(spark, d, "users")
+    path, name = storage.folder(spark, "profiles"), F.lit("old name").alias("display_name")
+    known = users.filter("segment <> 'MACHINERY'").select("user_id", name).unionByName(raw(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("user_id"), name))
+    stored.create(known, path, ["user_id"])
+    given = users.select("user_id", F.when(F.col("segment") == "FURNITURE", "  ").otherwise(F.col("user_name")).alias("display_name"))
+    stored.upsert(spark, path, given, ["user_id"], combine={"display_name": lambda new, old: F.coalesce(F.nullif(F.trim(new), F.lit("")), old)})
+    return stored.read(spark, path)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder (``spark.checkpoint.dir``), computed once.
-
-    Only where no folder is named, as in tests, the warehouse is used.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one (``spark.checkpoint.dir``); only where none is named, as in tests, in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, computed once."""
+    spark, path = df.sparkSession, folder(df.sparkSession, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

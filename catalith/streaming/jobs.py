@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
+from ..storage import folder
+
 #: Timers and several states per key need a state store with column families.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
@@ -14,9 +14,7 @@ _SETTING = "spark.sql.streaming.stateStore.providerClass"
 def run_available(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Runs a stream until its source has nothing left; its rows as a Parquet table."""
     spark = stream.sparkSession
-    if path is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = path or folder(spark, "stream")
     before = spark.conf.get(_SETTING, None)
     spark.conf.set(_SETTING, STORE)
     try:
