@@ -146,3 +146,16 @@ AVAILABILITY = {
 OTHER_AVAILABILITY = "https://schema.org/LimitedAvailability"
 SHORT_TITLE, META_TEXT = 46, 160
 CARD_DROP_PERCENT = 5
+#: Terms by which a feed's component is of a category.
+COMPONENT_TERMS = {
+    "procesadores": ("procesador",), "tarjetas-graficas": ("placa de video",), "motherboards": ("placa madre", "motherboard", "mother"), "memoria-ram": ("ram", "memoria"),
+    "almacenamiento": ("ssd", "disco", "almacenamiento"), "fuentes-alimentacion": ("fuente", "psu"), "gabinetes": ("gabinete", "case"), "refrigeracion": ("refrigeracion", "cooler"),
+    "perifericos": ("monitor", "mouse", "teclado", "auricular", "microfono", "parlante", "mousepad"),
+}
+#: Fixed public pages: path, how often they change, priority.
+PUBLIC_PAGES = (
+    ("/", "hourly", 1.0), ("/acerca", "monthly", 0.3), ("/about", "monthly", 0.2), ("/contacto", "monthly", 0.3), ("/privacidad", "monthly", 0.2), ("/terminos", "monthly", 0.2),
+    ("/comparativa", "daily", 0.9), ("/guia", "daily", 0.9),
+)
+#: Rows that the fallback search looks at.
+FALLBACK_LIMIT = 250

@@ -1,3 +1,3 @@
 """Registered queries, by subject."""
 
-from . import details, functions, history, prices, products, reading, shop_pages, streams, telemetry  # noqa: F401
+from . import details, functions, history, prices, products, reading, records, shop_pages, streams, telemetry  # noqa: F401

@@ -137,7 +137,17 @@ def relevance_scores(spark, d):
     return view(spark, d, "products").select("product_id", score.alias("score"))
 
 
-@query("relevance_ranking")
+_R = normal("title")
+_BUNDLES = f"(contains({_R}, '+') OR " + " OR ".join(f"contains(concat(' ', {_R}, ' '), ' {t} ')" for t in C.BUNDLE_TERMS) + ")"
+_HITS = " + ".join(f"({_R} LIKE '%{w}%')::INT" for w in ("rtx", "3060", "shadow"))
+
+
+@query(
+    "relevance_ranking",
+    f"""WITH s AS (SELECT product_id, retail, {_BUNDLES} AS bundle, {_HITS} AS n, {_R} LIKE '%rtx 3060 shadow%' AS whole FROM products)
+SELECT product_id, CAST(n * {C.SCORE_WORD} + (n = 3)::INT * {C.SCORE_ALL} + whole::INT * {C.SCORE_PHRASE} + bundle::INT * {C.SCORE_BUNDLE} + CASE WHEN retail > 0 THEN greatest(0, {C.SCORE_PRICE} - floor(retail / {C.PRICE_STEP})) ELSE 0 END AS BIGINT) AS score, bundle
+FROM s ORDER BY bundle, score DESC, retail, product_id LIMIT {C.READ_LIMIT}""",
+)
 def relevance_ranking(spark, d):
     """Products in order of relevance: bundles last, then score, then price."""
     scored = view(spark, d, "products").withColumns({
