@@ -19,8 +19,15 @@ def url_key(url: Column) -> Column:
 
 
 def page_number(url: Column) -> Column:
-    found = F.regexp_extract(url, r"[?&](?:page|p|pagina)=(\d+)", 1)
-    return F.coalesce(F.nullif(found, F.lit("")).try_cast("int"), F.lit(1))
+    """The number of a listing page: its parameter (page, paged, pagina), else ``/page/N`` at the end of its path, else 1."""
+    plain = F.regexp_replace(url, "#.*$", "")
+    given = F.regexp_extract(plain, r"\?(.*)$", 1)
+    asked = [F.nullif(F.regexp_extract(given, rf"(?:^|&){p}=([^&]*)", 1), F.lit("")) for p in ("page", "paged", "pagina")]
+    said = F.coalesce(*asked)
+    number = F.when(said.rlike(r"^\s*\d{1,9}(\.\d+)?\s*$"), F.floor(F.trim(said).try_cast("double")).cast("int"))
+    path = F.regexp_extract(F.regexp_replace(plain, r"\?.*$", ""), r"(?i)/page/(\d{1,9})/?$", 1).try_cast("int")
+    good = lambda n: F.when(n >= 1, n)
+    return F.coalesce(good(number), good(path), F.lit(1))
 
 
 def normal_id(value: Column) -> Column:

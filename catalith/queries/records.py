@@ -211,8 +211,8 @@ def catalogue_read(spark, d):
 _PAGE = "seq IN (SELECT seq FROM c ORDER BY updated DESC, product_id LIMIT 48 OFFSET 48)"
 
 
-@query("catalogue_page", f"{_groups(_PAGE)} SELECT product_id, name, lowest, n_offers, (SELECT count(*) FROM c) AS total, CAST(ceil((SELECT count(*) FROM c) / 48.0) AS BIGINT) AS total_pages, CAST(2 AS BIGINT) AS page FROM groups")
-def catalogue_page(spark, d):
+@query("catalogue_page_groups", f"{_groups(_PAGE)} SELECT product_id, name, lowest, n_offers, (SELECT count(*) FROM c) AS total, CAST(ceil((SELECT count(*) FROM c) / 48.0) AS BIGINT) AS total_pages, CAST(2 AS BIGINT) AS page FROM groups")
+def catalogue_page_groups(spark, d):
     """The second page of 48 rows: its groups are fewer, its total counts rows."""
     return search.catalogue_page(*_keyed(spark, d), 2, 48)
 

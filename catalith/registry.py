@@ -16,6 +16,8 @@ def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is over the domain views."""
 
     def add(function):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = function
         if sql is not None:
             ORACLE_SQL[name] = with_views(sql)

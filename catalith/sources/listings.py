@@ -20,7 +20,7 @@ from .. import constants as C
 from ..functions.price import digits_only, parse_price
 from ..functions.text import collapse, infer_category
 from .markup import Page, first_of, pick
-from .shops import DESCRIPTIONS, DETAILS, LISTINGS, NEXT_LABELS, NEXT_LINKS, PAGE_PARAMETERS, DetailRule, ListingRule
+from .shops import DESCRIPTIONS, DETAILS, LISTINGS, META_DESCRIPTIONS, NEXT_LABELS, NEXT_LINKS, PAGE_PARAMETERS, DetailRule, ListingRule
 
 _KEY = ["page_id", "url", "html", "shop"]
 
@@ -231,9 +231,15 @@ def shortened(text: str, limit: int = 700) -> str:
     return cut[:space].strip() if (space := cut.rfind(" ")) > 120 else cut.strip()
 
 
-def describe(page: Page, least: int = 24) -> str:
-    """Description of a product page: JSON-LD first, then its meta descriptions; texts under ``least`` letters say nothing."""
-    useful = lambda text: len(re.sub(r"[^a-z0-9 ]", "", text.lower()).strip()) >= least
+def describe(page: Page, name: str = "", least: int = 24) -> str:
+    """Description of a product page: its own parts first, then JSON-LD, then its meta descriptions.
+
+    Texts under ``least`` letters, and the product's name again, say nothing.
+    """
+    bare = lambda text: re.sub(r"[^\w\s]|_", "", " ".join(text.split()).lower())
+    useful = lambda text: len(bare(text)) >= least and (not name or bare(text) != bare(name))
+    if found := next((t for where in DESCRIPTIONS if useful(t := pick(page, None, where))), ""):
+        return shortened(found)
     for script in page.find('script[type="application/ld+json"]'):
         try:
             text = " ".join(described(json.loads(page.text(script))).split())
@@ -241,7 +247,7 @@ def describe(page: Page, least: int = 24) -> str:
             continue
         if useful(text):
             return shortened(text)
-    return next((shortened(t) for where in DESCRIPTIONS if useful(t := pick(page, None, where))), "")
+    return next((shortened(t) for where in META_DESCRIPTIONS if useful(t := pick(page, None, where))), "")
 
 
 def numbered(url: str) -> int | None:

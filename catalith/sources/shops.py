@@ -146,5 +146,9 @@ NEXT_LINKS = (
 )
 NEXT_LABELS = (">", ">>", "siguiente", "sig", "next", "›", "»")
 PAGE_PARAMETERS = ("page", "paged", "pagina")
-#: Where a product page describes the product, before JSON-LD and meta descriptions.
-DESCRIPTIONS = ('meta[property="og:description"]@content', 'meta[name="description"]@content', 'meta[name="twitter:description"]@content')
+#: Where a product page describes the product: its own parts before JSON-LD, its meta descriptions after.
+DESCRIPTIONS = (
+    ".woocommerce-product-details__short-description", '[itemprop="description"]', ".product-short-description", ".short-description", "#tab-description", "#description",
+    ".product-description", ".descripcion", ".descripcion-producto", ".detalle-producto .descripcion", ".summary p", ".product-detail p",
+)
+META_DESCRIPTIONS = ('meta[property="og:description"]@content', 'meta[name="description"]@content', 'meta[name="twitter:description"]@content')

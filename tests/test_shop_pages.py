@@ -69,6 +69,15 @@ def test_next_page(html, url, want):
     assert listings.next_page(Page(html), url) == want
 
 
+def test_descriptions_come_from_the_page_first():
+    own, ld, meta = "A long text of the page about it.", "A long text of the block about it.", "A long text for cards about it."
+    block, tag = f'<script type="application/ld+json">{{"@type":"Product","description":"{ld}"}}</script>', f'<meta property="og:description" content="{meta}">'
+    of = lambda *parts, name="": listings.describe(Page("".join(parts)), name)
+    assert of(f'<p class="descripcion">{own}</p>', block, tag) == own and of('<div id="description">short</div>', block, tag) == ld
+    assert of(tag) == meta and of(tag, name="A LONG text, for cards about it") == "" and of("<p>none</p>") == ""
+    assert of(f'<p class="short-description">{"word " * 300}</p>').endswith("word") and len(of(f'<p class="short-description">{"A sentence of words. " * 60}</p>')) <= 700
+
+
 def test_product_pages(spark):
     woo = """<html><head><link rel="canonical" href="/producto/rtx-5070-ti/"/><meta property="og:description" content=" GPU premium "/></head><body>
 <h1 class="product_title">Placa de video ASUS RTX 5070 Ti</h1><p class="price"><span class="woocommerce-Price-amount"><bdi>$ 1.249.999,00</bdi></span></p>
