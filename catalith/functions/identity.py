@@ -25,8 +25,10 @@ def _or(value: Column, default: str) -> Column:
 
 
 def pick_variant(text: Column, variants: list[str]) -> Column:
-    """The first variant of the list, not of the text, that stands as a word."""
-    return F.coalesce(*(F.when(text.rlike(rf"\b{v.replace(' ', r'\s+')}\b"), F.lit(v.replace(" ", ""))) for v in variants))
+    """The first variant of the list, not of the text, that stands as a word: one pass finds all, the list's order picks."""
+    found = F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(v.replace(' ', r'\s+') for v in variants)})\b"), F.lit(1))
+    bare = F.transform(found, lambda v: F.regexp_replace(v, r"\s+", ""))
+    return F.get(F.array_intersect(F.array(*(F.lit(v.replace(" ", "")) for v in variants)), bare), F.lit(0))
 
 
 def family_token(text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import offers as O
 from ..operators import reading as R
+from ..operators import resolve
 from ..registry import query
 from ..sources.tables import raw, view
 from .prices import _STATS, best, stats
@@ -284,14 +285,15 @@ def unhealthy_products(spark, d):
 @query(
     "indexable_products",
     """WITH n AS (SELECT product_id, count(DISTINCT store_id) AS stores FROM offers WHERE price > 0 GROUP BY product_id),
-w AS (SELECT product_id FROM products JOIN n USING (product_id) QUALIFY row_number() OVER (PARTITION BY hw_category, brand ORDER BY stores DESC, product_id) = 1)
+w AS (SELECT product_id FROM products JOIN n USING (product_id) QUALIFY row_number() OVER (PARTITION BY hw_category, title ORDER BY stores DESC, product_id) = 1)
 SELECT product_id, stores >= 2 AND product_id IN (SELECT product_id FROM w) AS is_indexable FROM n""",
 )
 def indexable_products(spark, d):
-    """A product is indexed if it stands for its group and two stores or more offer it."""
+    """A product is indexed if it stands for its canonical key and two stores or more offer it."""
     stores = view(spark, d, "offers").filter("price > 0").groupBy("product_id").agg(F.count_distinct("store_id").alias("stores"))
-    grouped = view(spark, d, "products").select("product_id", "hw_category", "brand").join(stores, "product_id")
-    winners = grouped.groupBy("hw_category", "brand").agg(F.max_by("product_id", F.struct("stores", -F.col("product_id"))).alias("product_id"))
+    named = view(spark, d, "products").select("product_id", "title", "hw_category", F.lit("").alias("brand"), F.lit("").alias("model"), F.col("title").alias("name"))
+    grouped = resolve.with_keys(named).select("product_id", "canonical_key").join(stores, "product_id")
+    winners = grouped.groupBy("canonical_key").agg(F.max_by("product_id", F.struct("stores", -F.col("product_id"))).alias("product_id"))
     flagged = stores.join(winners.select("product_id", F.lit(True).alias("first")), "product_id", "left")
     return flagged.select("product_id", ((F.col("stores") >= 2) & F.coalesce("first", F.lit(False))).alias("is_indexable"))
 

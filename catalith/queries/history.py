@@ -9,7 +9,7 @@ from .. import constants as C
 from .. import storage
 from ..functions import price as P
 from ..operators import offers as O
-from ..operators import resolve
+from ..operators import ordered, resolve
 from ..plans import home, refresh, retention, sitemap, snapshot, stored
 from ..registry import query
 from ..sources.tables import raw, view
@@ -111,18 +111,16 @@ def fallback_products(spark, d):
     return home.fallback(_facts(spark, d)).select("product_id")
 
 
-_KEYED = "SELECT product_id, concat(hw_category, '::', lower(brand)) AS canonical_key, updated FROM products JOIN (SELECT product_id, max(updated) AS updated FROM offers GROUP BY product_id HAVING count(DISTINCT store_id) >= 2) USING (product_id)"
+_SEEN = "products JOIN (SELECT product_id, max(updated) AS updated FROM offers GROUP BY product_id HAVING count(DISTINCT store_id) >= 2) USING (product_id)"
 
 
-def _keyed(spark, d):
-    seen = view(spark, d, "offers").groupBy("product_id").agg(F.max("updated").alias("updated"), F.count_distinct("store_id").alias("n")).filter("n >= 2")
-    joined = view(spark, d, "products").join(seen, "product_id")
-    return joined.select("product_id", F.concat("hw_category", F.lit("::"), F.lower("brand")).alias("canonical_key"), "updated")
-
-
-@query("sitemap_winners", f"SELECT product_id, canonical_key FROM ({_KEYED}) QUALIFY row_number() OVER (PARTITION BY canonical_key ORDER BY updated DESC, product_id) = 1")
+@query("sitemap_winners", f"SELECT product_id FROM {_SEEN} QUALIFY row_number() OVER (PARTITION BY hw_category, title ORDER BY updated DESC, product_id) = 1")
 def sitemap_winners(spark, d):
-    return resolve.winners(_keyed(spark, d)).select("product_id", "canonical_key")
+    """One product per canonical key, the newest; these titles have a key each."""
+    seen = view(spark, d, "offers").groupBy("product_id").agg(F.max("updated").alias("updated"), F.count_distinct("store_id").alias("n")).filter("n >= 2")
+    named = view(spark, d, "products").select("product_id", "title", "hw_category", F.lit("").alias("brand"), F.lit("").alias("model"), F.col("title").alias("name"))
+    keyed = resolve.with_keys(named.join(seen, "product_id")).select("product_id", "canonical_key", "updated")
+    return resolve.winners(keyed).select("product_id")
 
 
 @query("sitemap_pages", "SELECT product_id, CAST(floor((row_number() OVER (ORDER BY product_id) - 1) / 500) AS BIGINT) AS page FROM products")
@@ -230,8 +228,9 @@ SELECT product_id, related FROM r WHERE related IS NOT NULL""",
 )
 def related_products(spark, d):
     """The next dearer product of the same brand and category."""
-    group = Window.partitionBy("brand", "hw_category").orderBy("retail", "product_id")
-    return view(spark, d, "products").select("product_id", F.lead("product_id").over(group).alias("related")).filter("related is not null")
+    products = view(spark, d, "products").select("brand", "hw_category", "retail", "product_id")
+    following = ordered.with_next(products, ["brand", "hw_category"], ["retail", "product_id"], "product_id", "related")
+    return following.select("product_id", "related").filter("related IS NOT NULL")
 
 
 @query("estimate_total", "SELECT hw_category, CAST(sum(coalesce(nullif(retail, 0), 1000)) AS BIGINT) AS total, CAST(floor(sum(retail) / count(*) + 0.5) AS BIGINT) AS mean FROM products GROUP BY hw_category")

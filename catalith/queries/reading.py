@@ -30,10 +30,15 @@ def point_lookup(spark, d):
 
 @query(
     "representative_by_key",
-    "SELECT name, product_id FROM products QUALIFY row_number() OVER (PARTITION BY name ORDER BY retail DESC, product_id) = 1",
+    "SELECT product_id, retail FROM products QUALIFY row_number() OVER (PARTITION BY hw_category, title ORDER BY retail DESC, product_id) = 1",
 )
 def representative_by_key(spark, d):
-    return R.first_by(view(spark, d, "products"), ["name"], [F.col("retail").desc(), F.col("product_id")]).select("name", "product_id")
+    """The dearest product of each canonical key; these titles have a key each."""
+    from ..operators import resolve
+
+    named = view(spark, d, "products").withColumns({"brand": F.lit(""), "model": F.lit(""), "name": F.col("title")})
+    keyed = resolve.with_keys(named).select("product_id", "retail", "canonical_key")
+    return R.first_by(keyed, ["canonical_key"], [F.col("retail").desc(), F.col("product_id")]).select("product_id", "retail")
 
 
 @query("catalogue_page", "SELECT product_id, retail FROM products ORDER BY retail DESC, product_id LIMIT 12 OFFSET 24")
