@@ -30,6 +30,7 @@ import hashlib
 import html as entities
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,6 +54,7 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
+_START = re.compile(r"<[a-z]+(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.IGNORECASE)
 _ATTR = re.compile(r"([a-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 #: Fixed lists of HTML element names.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +72,11 @@ _MARKS = set(
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _HEADER_MARKS = {"header", "masthead", "topbar"}
+#: What may stand beside a mark in a name inside the text, where a mark alone may be a word of the subject ("social-studies").
+_PARTS = set(
+    "area articles bar block body box btn button buttons card cards container content count group icon icons inner item items label line link links list main "
+    "message nav outer overlay panel post posts section site slot stories strip text title top bottom left right unit wrap wrapper zone top1 js u c l o is".split()
+)
 #: Marks of articles that are not the page's own.
 _TEASER_MARKS = set("ad ads advert adverts advertisement advertising promo related sponsor sponsored teaser".split())
 #: Elements whose start closes others that are open, and what an open one must not lie behind.
@@ -107,7 +114,9 @@ def _marked(tag: str, attrs: str, in_text: bool) -> bool:
                 parts = set(re.split(r"[-_]+", word))
                 if word.startswith(("no-", "has-", "with-", "without-")):
                     continue
-                if parts & _MARKS or (not in_text and parts & _HEADER_MARKS):
+                if parts & _MARKS and (not in_text or all(p in _MARKS or p in _PARTS or not p.isalpha() for p in parts)):
+                    return True
+                if not in_text and parts & _HEADER_MARKS:
                     return True
     return False
 
@@ -118,11 +127,19 @@ def _container(tag: str, attrs: str) -> str:
     return "main" if tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", attrs, re.IGNORECASE) else ""
 
 
+def _unended(m: re.Match) -> bool:
+    """Whether a comment or an element that holds text alone runs to the end of the page."""
+    if m["raw"]:
+        return not re.search(rf"</{m['raw']}\s*>\Z", m[0][_START.match(m[0]).end() :], re.IGNORECASE)
+    return m[0].startswith("<!--") and not m[0].endswith("-->")
+
+
 def parse_page(page: str) -> tuple[str, list[str]]:
     """("article" | "main" | "open", blocks in page order) of a page."""
     blocks: dict[str, list[str]] = {"article": [], "main": [], "open": []}
     seen: set[str] = set()
     stack: list[tuple[str, bool, str]] = []  # (tag, chrome, container)
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack
     chrome, inside = 0, {"article": 0, "main": 0}
     pieces: list[str] = []
 
@@ -137,25 +154,29 @@ def parse_page(page: str) -> tuple[str, list[str]]:
 
     def pop() -> None:
         nonlocal chrome
-        _, was_chrome, kind = stack.pop()
+        tag, was_chrome, kind = stack.pop()
+        places[tag].pop()
         chrome -= was_chrome
         if kind:
             inside[kind] -= 1
 
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def close(tags: set[str], barriers: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in barriers:
-                return
+        k = last(tags)
+        if k > last(barriers):
+            while len(stack) > k:
+                pop()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    # Behind the last ">" nothing but an open comment can begin, so no tag is sought there.
+    at, end = 0, page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, end):
         if not chrome and m.start() > at:
             pieces.append(page[at : m.start()])
         at = m.end()
+        if at == end and _unended(m):
+            at = len(page)
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
@@ -164,7 +185,7 @@ def parse_page(page: str) -> tuple[str, list[str]]:
         elif tag in _SPACING:
             pieces.append(" ")
         if m["end"] or m["end2"]:
-            if any(s[0] == tag for s in stack):
+            if places.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -180,13 +201,14 @@ def parse_page(page: str) -> tuple[str, list[str]]:
             attrs = m["attrs"] or ""
             is_chrome = _marked(tag, attrs, bool(inside["article"] or inside["main"]))
             kind = "" if chrome or is_chrome else _container(tag, attrs)
+            places[tag].append(len(stack))
             stack.append((tag, is_chrome, kind))
             chrome += is_chrome
             if kind:
                 inside[kind] += 1
                 seen.add(kind)
     if not chrome:
-        pieces.append(page[at:])
+        pieces.append(page[at:].split("<!--")[0])
     flush()
     kind = "article" if "article" in seen else "main" if "main" in seen else "open"
     return kind, blocks[kind]

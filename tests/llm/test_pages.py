@@ -1,6 +1,9 @@
 """HTML extraction and WARC archives."""
 
 import hashlib
+import time
+
+import pytest
 
 from catalith.llm import html_extract, textkit, warc
 from catalith.llm.textkit import shared_dir
@@ -173,3 +176,21 @@ def test_archives_of_other_writers(spark):
             assert (r["payload"], r["payload_bytes"], r["payload_digest"], r["page_id"]) == (body, len(body), digest.hex(), None)
     headers = warc.read_archives(spark, path, payload=False).filter("record_type = 'response'").collect()
     assert [(r["url"], r["payload"], r["payload_digest"]) for r in headers] == [("http://a/x", None, digest.hex())] * 3
+
+
+@pytest.mark.parametrize("page", ["<title " * 150_000, "<div>" * 150_000, "<p><table>" + "<div>" * 100_000, '<a "' * 200_000, "<!--" * 200_000, "</p>" * 200_000, "<li>" * 100_000, "<x" * 300_000, "<div></span>" * 80_000], ids=range(9))
+def test_long_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    html_extract.parse_page(page)
+    assert time.perf_counter() - began < 4
+
+
+def test_marks_inside_an_article_are_whole_words():
+    page = '<article><p class="social-studies">A</p><section id="related-work">B</section><div class="share-buttons">C</div><div class="newsletter">D</div><p>E</p></article>'
+    assert html_extract.parse_page(page) == ("article", ["A", "B", "E"])
+
+
+def test_text_behind_the_last_tag():
+    assert html_extract.parse_page("<p>a</p> b < c <!-- d") == ("open", ["a", "b < c"])
+    assert html_extract.parse_page("<p>a<!-- b > c") == ("open", ["a"]) and html_extract.parse_page("a<title>b<i>c") == ("open", ["a"])
+    assert html_extract.parse_page("<title</title>b") == ("open", []) and html_extract.parse_page("<p>a<script>b</script>c") == ("open", ["ac"])
