@@ -135,22 +135,30 @@ def _noise() -> list[Column]:
 
 
 def _factor(matrix: Callable[[int, int], Column], out: DataFrame) -> DataFrame:
-    """Adds l<i>_<j>, the Cholesky factor of a matrix of columns."""
-    for i in range(_P):
-        for j in range(i + 1):
-            rest = matrix(i, j) - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return out
+    """Adds l<i>_<j>, the Cholesky factor of a matrix of columns; each entry is computed once, as those after it name it often."""
+
+    def entries(left: list, known: dict) -> Column:
+        if not left:
+            return F.struct(*(known[i, j].alias(f"l{i}_{j}") for i, j in _PAIRS))
+        i, j = left[0]
+        rest = matrix(i, j) - sum((known[i, k] * known[j, k] for k in range(j)), F.lit(0.0))
+        value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / known[j, j]
+        return let(value, lambda v: entries(left[1:], known | {(i, j): v}))
+
+    return out.withColumn("_l", entries(_PAIRS, {})).select(*out.columns, "_l.*")
 
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, from z, m and the factor's columns, which go."""
-    keep, out = [c for c in rows.columns if not c.startswith("l") or "_" not in c], rows
-    for i in range(_P):
-        rest = F.col(f"z{i}") / GRID - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
-    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(_P)), F.lit(0.0))
-    return out.select(*(c for c in keep if c[0] not in "mc" or not c[1:2].isdigit()), d2.alias("d2"))
+
+    def total(i: int, solved: list[Column]) -> Column:
+        if i == _P:
+            return sum((y * y for y in solved), F.lit(0.0))
+        rest = F.col(f"z{i}") / GRID - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * solved[k] for k in range(i)), F.lit(0.0))
+        return let(rest / F.col(f"l{i}_{i}"), lambda y: total(i + 1, [*solved, y]))
+
+    keep = [c for c in rows.columns if c[0] not in "mcl" or not c[1:2].isdigit()]
+    return rows.withColumn("d2", total(0, [])).select(*keep, "d2")
 
 
 def _regular(i: int, j: int) -> Column:
