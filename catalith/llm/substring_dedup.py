@@ -11,7 +11,7 @@ run of ``WIDTH - PERIOD + 1`` words that starts at a cover position in both, and
 those runs, the anchors, are hashed and shuffled.  Anchors found in two documents or
 more mark the few windows around them, which are then compared whole.
 
-Documents are dealt to chunks of about ``CHUNK_BYTES`` of text by a hash of doc_id.
+Documents are dealt to chunks of about ``CHUNK_BYTES`` of text by a hash of doc_id and text.
 A chunk sends each distinct hash once, so a passage held by a third of all documents
 makes a row per chunk, not per document.  Three passes over the chunks share one
 shuffle of the texts: anchors, candidate windows (with the least doc_id in the chunk),
@@ -30,7 +30,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import signed, split_words, text_buffer, text_bytes
@@ -137,14 +137,18 @@ def _chunk_removal(table: pa.Table, repeated: pa.Table) -> pa.Table:
     })
 
 
+def chunk_of(chunks: int) -> Column:
+    """The chunk of a row, by its id and text, so that rows of one id, or without one, do not meet in one chunk."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): n_words, n_removed and the digest of the kept words."""
     spark = docs.sparkSession
     size = text_bytes(docs)
     chunks = max(1, -(-size // CHUNK_BYTES))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 * CHUNK_BYTES)))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks).cast("long"))
-    dealt = docs.select("doc_id", "text", chunk.alias("chunk")).repartition(parts, "chunk")
+    dealt = docs.select("doc_id", "text", chunk_of(chunks).alias("chunk")).repartition(parts, "chunk")
     found = dealt.groupBy("chunk").applyInArrow(_chunk_anchors, "h long, code long")
     same = Window.partitionBy("h")
     shared = (

@@ -609,3 +609,29 @@ def test_personal_patterns_take_linear_time(text):
     spans = pii_crf.base_spans(text)
     assert time.perf_counter() - began < 3
     assert ("ip", 0, 5_006) in spans if text.endswith(".1.2.3") else True
+
+
+def test_rows_without_an_id_lie_in_many_chunks(spark, monkeypatch):
+    r = random.Random(14)
+    word = lambda: r.choice("abcdefgh") + str(r.randint(0, 9))
+    passage = [word() for _ in range(30)]
+    rows = [(None if k % 2 else 5, " ".join([*(word() for _ in range(20)), *(passage if k % 3 == 0 else [])])) for k in range(90)] + [(1, " ".join(passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.select(substring_dedup.chunk_of(8).alias("c")).distinct().count() == 8
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 1000)
+    found = substring_dedup.remove_repeats(docs).collect()
+    order = lambda k: -1 if k is None else k  # noqa: E731  a missing id sorts before all others
+    least: dict[tuple, int] = {}
+    for k, text in rows:
+        words = text.split()
+        for i in range(len(words) - 12):
+            w = tuple(words[i : i + 13])
+            least[w] = min(order(k), least.get(w, order(k)))
+    want = []
+    for k, text in rows:
+        words, gone = text.split(), set()
+        for i in range(len(words) - 12):
+            if least[tuple(words[i : i + 13])] < order(k):
+                gone |= set(range(i, i + 13))
+        want.append((k, len(words), len(gone)))
+    assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["n_words"], x["n_removed"])) for x in found) and sum(w[2] for w in want) > 400
