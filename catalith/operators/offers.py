@@ -69,15 +69,17 @@ def baseline(current: DataFrame, history: DataFrame) -> DataFrame:
     """For each current price the dearer history row it is measured against.
 
     Rows older than the current one by over ``GUARD_SECONDS`` come first, then the newest.
-    ``current``: product_id, store_id, price, updated; ``history``: product_id, store_id, price, recorded.
-    An equi-join on product and store with a range condition; the best row is kept by an
-    aggregate, so no group is sorted.
+    ``current``: product_id, store_id, price, updated, one row per product and store; ``history``: product_id, store_id,
+    price, recorded.  Current and past rows meet in one partitioning by product and store, which the window and the
+    aggregate share.
     """
-    past = history.select("product_id", "store_id", F.col("price").alias("base"), "recorded")
-    pairs = current.join(past, ["product_id", "store_id"]).filter(F.col("base") > F.col("price"))
-    older = (F.unix_micros("recorded") < F.unix_micros("updated") - C.GUARD_SECONDS * 1_000_000).cast("int")
-    best = pairs.groupBy(*current.columns).agg(F.max(F.struct(older.alias("older"), "recorded", "base")).alias("b"))
-    return best.select(*current.columns, "b.base", "b.recorded")
+    keys = ["product_id", "store_id"]
+    now = current.select(*keys, F.struct(F.col("price"), F.col("updated")).alias("now"), F.lit(None).cast(history.schema["price"].dataType).alias("base"), F.lit(None).cast("timestamp").alias("recorded"))
+    past = history.select(*keys, F.lit(None).cast(now.schema["now"].dataType).alias("now"), F.col("price").alias("base"), "recorded")
+    held = now.unionByName(past).withColumn("now", F.max("now").over(Window.partitionBy(*keys))).filter(F.col("base") > F.col("now.price"))
+    older = (F.unix_micros("recorded") < F.unix_micros("now.updated") - C.GUARD_SECONDS * 1_000_000).cast("int")
+    best = held.groupBy(*keys).agg(F.first("now").alias("now"), F.max(F.struct(older.alias("older"), "recorded", "base")).alias("b"))
+    return best.select(*keys, "now.price", "now.updated", "b.base", "b.recorded")
 
 
 def drops(found: DataFrame) -> DataFrame:

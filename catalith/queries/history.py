@@ -48,9 +48,11 @@ dropped AS (SELECT product_id, store_id, price, base, base - price AS amount, (b
 
 
 def _current(spark, d):
-    order = Window.partitionBy("product_id", "store_id").orderBy("price", F.col("updated").desc(), "order_id", "line", "original")
-    ranked = view(spark, d, "offers").withColumn("k", F.row_number().over(order)).filter("k = 1")
-    return ranked.select("product_id", "store_id", "price", "updated")
+    """The cheapest offer per product and store, of equal ones the newest; aggregated before the shuffle."""
+    offers = view(spark, d, "offers")
+    order = F.struct("price", -F.unix_micros("updated"), "order_id", "line", "original")
+    best = offers.groupBy("product_id", "store_id").agg(F.min_by(F.struct("price", "updated"), order).alias("b"))
+    return best.select("product_id", "store_id", "b.price", "b.updated")
 
 
 def _based(spark, d):
