@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,20 @@ from .components import components
 
 
 def with_keys(products: DataFrame, title: str = "title") -> DataFrame:
-    """Adds normalized_title, canonical_key, family_key and variant_key (hw_category, brand, model, name)."""
+    """Adds normalized_title, canonical_key, family_key and variant_key (hw_category, brand, model, name).
+
+    Keys are computed once per distinct title and joined back, as many products and shops share one.
+    """
+    inputs = list(dict.fromkeys([title, "hw_category", "brand", "model", "name"]))
+    distinct = products.select(*inputs).distinct()
     normal = I.model_spacing(I.heuristic_title(F.col(title)))
     source = I.identity_source(normal, I.identity_fallback(F.col("brand"), F.col("model"), F.col("name")))
-    products = products.withColumn("normalized_title", normal).withColumn("_source", source)
+    distinct = distinct.withColumn("normalized_title", normal).withColumn("_source", source)
     c, s = F.col("hw_category"), F.col("_source")
     keys = {"canonical_key": I.canonical_key(c, s), "family_key": I.family_key(c, s), "variant_key": I.variant_key(c, s)}
-    return products.withColumns(keys).drop("_source")
+    keyed = distinct.withColumns(keys).drop("_source").withColumnsRenamed({k: f"_k_{k}" for k in inputs})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in inputs))
+    return products.join(keyed, same).drop(*(f"_k_{k}" for k in inputs))
 
 
 def group_exact(products: DataFrame, offers: DataFrame, newer_wins: bool) -> tuple[DataFrame, DataFrame]:

@@ -121,8 +121,8 @@ def sitemap_winners(spark, d):
     """One product per canonical key, the newest; these titles have a key each."""
     seen = view(spark, d, "offers").groupBy("product_id").agg(F.max("updated").alias("updated"), F.count_distinct("store_id").alias("n")).filter("n >= 2")
     named = view(spark, d, "products").select("product_id", "title", "hw_category", F.lit("").alias("brand"), F.lit("").alias("model"), F.col("title").alias("name"))
-    keyed = resolve.with_keys(named.join(seen, "product_id")).select("product_id", "canonical_key", "updated")
-    return resolve.winners(keyed).select("product_id")
+    keyed = resolve.with_keys(named).select("product_id", "canonical_key").join(seen, "product_id")
+    return resolve.winners(keyed.select("product_id", "canonical_key", "updated")).select("product_id")
 
 
 @query("sitemap_pages", "SELECT product_id, CAST(floor((row_number() OVER (ORDER BY product_id) - 1) / 500) AS BIGINT) AS page FROM products")

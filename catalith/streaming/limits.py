@@ -1,11 +1,12 @@
-"""Rate limits with anchored windows: in batch and as a stateful stream."""
+"""Rate limits with anchored windows in batch and as a stateful stream, the event log, the breaker."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +15,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from .. import constants as C
 from ..storage import materialise
 
+#: Requests of a source up to which one task reads them in order; results do not depend on it.
+STREAMED = 2_000_000
 _OUT = "source long, event_id long, ts timestamp, window_start timestamp, n long, allowed boolean"
 
 
@@ -91,11 +94,40 @@ def anchored_windows(events: DataFrame, seconds: int, limit: int = C.SEARCH_LIMI
     """Requests (source, event_id, ts) with their window, their number in it and whether they pass.
 
     A window starts at the first request after the last one ended, not on the clock.  Where denied requests are not
-    counted, numbers stop behind the limit.  Nothing is partitioned by source alone but one row per bucket.
+    counted, numbers stop behind the limit.  Sources of up to ``STREAMED`` requests are read in order, a task holding the
+    current window only; the others, which would wait for one task, are dealt over all tasks (see ``_spread``).
     """
+    events = events.select("source", "event_id", "ts")
+    hot = events.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > STREAMED).select("source")
+    if not hot.limit(1).count():
+        return _in_order(events, seconds, limit, count_denied)
+    hot = materialise(hot)
+    cold = _in_order(events.join(hot, "source", "left_anti"), seconds, limit, count_denied)
+    return cold.unionByName(_spread(events.join(hot, "source", "left_semi"), seconds, limit, count_denied))
+
+
+def _in_order(events: DataFrame, seconds: int, limit: int, count_denied: bool) -> DataFrame:
+    """Windows and numbers by reading each source's requests as a stream."""
+    window, names = seconds * 1_000_000, [f.split()[0] for f in _OUT.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (None, 0, 0)
+        for batch in batches:
+            keys, ids, ts = (batch.column(c) for c in ("source", "event_id", "ts"))
+            out = []
+            for key, event_id, at in zip(keys.to_pylist(), ids.to_pylist(), ts.cast(pa.int64()).to_pylist(), strict=True):
+                row, state = _place(key, event_id, at, state, window, limit, count_denied)
+                out.append(row)
+            starts, counts, allowed = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([keys, ids, ts, pa.array(starts, pa.int64()).cast(ts.type), pa.array(counts, pa.int64()), pa.array(allowed, pa.bool_())], names=names)
+
+    return events.repartition("source").sortWithinPartitions("source", "ts", "event_id").mapInArrow(run, _OUT)
+
+
+def _spread(events: DataFrame, seconds: int, limit: int, count_denied: bool) -> DataFrame:
+    """The same with nothing partitioned by source alone but one row per bucket."""
     window = seconds * 1_000_000
-    timed = events.select("source", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    timed = timed.withColumn("bucket", _bucket("us", window))
+    timed = events.withColumn("us", F.unix_micros("ts")).withColumn("bucket", _bucket("us", window))
     starts = window_starts(materialise(timed.select("source", "us", "bucket").distinct()), window)
     marked = starts.select("source", "us", _bucket("us", window).alias("bucket"), F.col("us").alias("start"))
     # The start at or before a request is in its bucket, or else the last one of the buckets before.

@@ -33,8 +33,9 @@ def plain_windows(rows, seconds, limit, count_denied):
     return out
 
 
-@pytest.mark.parametrize("seconds, count_denied", [(60, True), (60, False), (3600, True), (1, True), (86_400, False)])
-def test_anchored_windows_against_a_loop(spark, seconds, count_denied):
+@pytest.mark.parametrize("streamed, seconds, count_denied", [(0, 60, True), (100, 60, False), (0, 3600, True), (0, 1, True), (10**6, 60, True), (10**6, 86_400, False)])
+def test_anchored_windows_against_a_loop(spark, monkeypatch, streamed, seconds, count_denied):
+    monkeypatch.setattr(limits, "STREAMED", streamed)  # above it a source's windows are found by doubling
     rows = requests(3, 500, [0, 0, 0, 1, 2, 3], 20_000)
     found = limits.anchored_windows(spark.createDataFrame(rows, "event_id long, source long, ts timestamp, status string"), seconds, 4, count_denied)
     assert set(map(tuple, found.collect())) == plain_windows(rows, seconds, 4, count_denied) and found.count() == len(rows)
