@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,46 +128,80 @@ def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins:
         return state["out"]
 
     columns = "seq model brand chip memory tokens store_id price stock updated".split()
-    start = lambda key: {"row": None, "clusters": [], "index": {}, "out": []}
+    start = lambda key: {"row": None, "clusters": [], "models": {}, "shown": {}, "out": []}
     mixed = runs.stream(rows, ["block"], ["seq", "place"], columns, start, step, end, "seq long, cluster long")
     return plain.unionByName(mixed)
 
 
 def _decide(state: dict, newer_wins: bool) -> None:
-    """Where the product that has ended goes: into the first cluster that takes it, or into one of its own."""
-    row, clusters, index = state["row"], state["clusters"], state["index"]
+    """Where the product that has ended goes: into the first cluster that takes it, or into one of its own.
+
+    The indexes name the clusters with a model, and those of a chip that show an offer now; each is kept by what changes.
+    """
+    row, clusters, models, shown = state["row"], state["clusters"], state["models"], state["shown"]
     if row is None:
         return
-    tried = sorted(set().union(*(index.get(k, ()) for k in _index_keys(row))))
-    at = next((k for k in tried if _mergeable(clusters[k], row)), None)
+    row["words"] = frozenset(row["tokens"])
+    same = models.get(row["model"], [])
+    while same and clusters[same[0]]["model"] != row["model"]:  # it has another model by now
+        heappop(same)
+    sharing = sorted({k for o in row["offers"] for k in shown.get((row["chip"], *o[:2]), ())}) if row["chip"] else ()
+    alike = (k for k in sharing if _alike(clusters[k], row))
+    at = min((*same[:1], *islice(alike, 1)), default=None)
     if at is None:
         at = len(clusters)
         clusters.append({**row, "first": row["seq"]})
+        _show(shown, at, clusters[at])
+        model = None
     else:
         held = clusters[at]
-        if len(row["tokens"]) > len(held["tokens"]):
-            held |= {k: row[k] for k in ("model", "brand", "chip", "memory", "tokens")}
-        held["offers"] = runs.merged(held["offers"], row["offers"], newer_wins)
-    for key in _index_keys(clusters[at]):
-        index.setdefault(key, set()).add(at)  # what no longer holds is tested when it is met
+        chip, model = held["chip"], held["model"]
+        longer = len(row["tokens"]) > len(held["tokens"])
+        anew = not isinstance(held["offers"], runs.Held) or (longer and row["chip"] != chip)
+        if anew:
+            _show(shown, at, held, False)
+        if longer:
+            held |= {k: row[k] for k in ("model", "brand", "chip", "memory", "tokens", "words")}
+        held["offers"] = runs.merged_over(held["offers"], row["offers"], newer_wins)
+        if anew:
+            _show(shown, at, held)
+        else:
+            for come, offer in held["offers"].changes:
+                _mark(shown, (held["chip"], *offer[:2]), at, come)
+    if clusters[at]["model"] and clusters[at]["model"] != model:
+        heappush(models.setdefault(clusters[at]["model"], []), at)
     state["out"].append((row["seq"], clusters[at]["first"]))
 
 
-def _index_keys(row: dict) -> list[tuple]:
-    return [("m", row["model"])] * bool(row["model"]) + [(o[0], o[1]) for o in row["offers"]]
+def _show(shown: dict, at: int, cluster: dict, come: bool = True) -> None:
+    for offer in cluster["offers"]:
+        _mark(shown, (cluster["chip"], *offer[:2]), at, come)
 
 
-def _mergeable(a: dict, b: dict) -> bool:
-    if a["model"] and a["model"] == b["model"]:
-        return True
+def _mark(shown: dict, key: tuple, at: int, come: bool) -> None:
+    """Note that a cluster shows an offer, or no longer does; without a chip no offer ties products together."""
+    if key[0] and come:
+        shown.setdefault(key, set()).add(at)
+    elif key[0] and at in shown.get(key, ()):
+        shown[key].discard(at)
+        if not shown[key]:
+            del shown[key]
+
+
+def _alike(a: dict, b: dict) -> bool:
+    """Whether names of one chip say the same: no other brand or memory, and words that contain or are contained."""
     if not a["chip"] or a["chip"] != b["chip"] or any(a[k] and b[k] and a[k] != b[k] for k in ("brand", "memory")):
         return False
-    if {o[:2] for o in a["offers"]}.isdisjoint(o[:2] for o in b["offers"]):
-        return False
-    x, y = set(a["tokens"]), set(b["tokens"])
+    x, y = (r["words"] if "words" in r else frozenset(r["tokens"]) for r in (a, b))
     return bool(x and y) and (x <= y or y <= x)
 
 
+def _mergeable(a: dict, b: dict) -> bool:
+    if a["model"] and a["model"] == b["model"]:
+        return True
+    return _alike(a, b) and not {o[:2] for o in a["offers"]}.isdisjoint(o[:2] for o in b["offers"])
+
+
 def merge_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(products, offers) after the near-duplicate merge: one row per cluster, and its comparable offers.
 

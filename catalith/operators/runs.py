@@ -6,10 +6,13 @@ state of the current key only, never a key's rows.  A run may cross Arrow batche
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from math import floor
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .. import constants as C
@@ -20,9 +23,9 @@ Offer = tuple  # price, stock, updated
 def stream(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
     """``start(key)`` a state, ``step(state, *columns)`` for each row, ``end(key, state)`` the result rows of a key.
 
-    ``start`` gives a mutable state, or ``step`` returns the next one.
+    ``start`` gives a mutable state, or ``step`` returns the next one.  Times among ``columns`` come as microseconds.
     """
-    rows = df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = _sorted(df, keys, order, columns)
     width = len(schema.split(", "))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +34,7 @@ def stream(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
         for batch in batches:
             out = []
             ids = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
-            values = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            values = zip(*(_plain(batch.column(c)).to_pylist() for c in columns), strict=True)
             for key, row in zip(ids, values, strict=True):
                 if key != held:
                     if held is not None:
@@ -48,6 +51,16 @@ def stream(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
     return rows.mapInArrow(run, schema)
 
 
+def _sorted(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Keys and columns, a key's rows together and in order."""
+    rows = df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.select(*dict.fromkeys([*keys, *columns]))
+
+
+def _plain(column: pa.Array) -> pa.Array:
+    return column.cast(pa.int64()) if pa.types.is_timestamp(column.type) else column
+
+
 def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "timestamp": pa.timestamp("us", tz="UTC"), "boolean": pa.bool_()}
     return [(f.rsplit(" ", 1)[0], kinds[f.rsplit(" ", 1)[1]]) for f in schema.split(", ")]
@@ -59,30 +72,79 @@ def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]], width: int)
 
 
 def replaces(held: Offer, new: Offer) -> bool:
-    """A later offer is merged over the held one: it is cheaper, or in stock where that is not."""
-    return new[0] < held[0] or (held[1] == "out-of-stock" and new[1] != "out-of-stock")
+    """A later offer is merged over the held one: it is cheaper, or in stock where that is not.
+
+    This and the next two take offers, or columns of them.
+    """
+    return (new[0] < held[0]) | ((held[1] == "out-of-stock") & (new[1] != "out-of-stock"))
 
 
 def replaces_or_newer(held: Offer, new: Offer) -> bool:
-    return replaces(held, new) or new[2] > held[2]
+    return replaces(held, new) | (new[2] > held[2])
 
 
 def beats(held: Offer, new: Offer) -> bool:
     """A later offer of a store takes the place of its best one."""
-    return replaces(held, new) or (new[0] == held[0] and new[2] > held[2])
+    return replaces(held, new) | ((new[0] == held[0]) & (new[2] > held[2]))
 
 
 def fold_offers(offers: DataFrame, keys: list[str], order: list[str], better: Callable[[Offer, Offer], bool]) -> DataFrame:
-    """The offer (price, stock, updated) that a fold in the given order leaves per key."""
-    kinds = dict(offers.dtypes)
-    names = {"bigint": "long"}
-    schema = ", ".join(f"{c} {names.get(kinds[c], kinds[c])}" for c in [*keys, "price", "stock", "updated"])
+    """The offer (price, stock, updated) that a fold in the given order leaves per key.
 
-    def step(held, price, stock, updated):
-        new = (price, stock, updated)
-        return new if held is None or better(held, new) else held
+    An offer that does not beat the one before it does not beat what is held by then either, be that the one before or one
+    which that did not beat.  So such offers go, whole columns at a time, until each beats the one before: then all are
+    taken, and the last one stays.  ``better`` must be such a rule, and work on columns.
+    """
+    columns = ["price", "stock", "updated"]
+    schema = ", ".join(f"{c} {kind}" for c in [*keys, *columns] for kind in [dict(offers.dtypes)[c]])
 
-    return stream(offers, keys, order, ["price", "stock", "updated"], lambda key: None, step, lambda key, held: [(*key, *held)], schema)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            place = _run_numbers([rows.column(k) for k in keys])
+            at = _standing(place, [_plain(rows.column(c)).to_numpy() for c in columns], better)
+            ends = at[np.append(np.diff(place[at]) > 0, True)]
+            if len(ends) > 1:
+                yield from rows.take(pa.array(ends[:-1])).combine_chunks().to_batches()
+            held = rows.slice(ends[-1], 1).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield held
+
+    return _sorted(offers, keys, order, columns).mapInArrow(run, schema)
+
+
+def _run_numbers(keys: list[pa.ChunkedArray]) -> np.ndarray:
+    """Per row the number of its run of equal keys; null is a key."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for key in keys:
+        a, b = key.slice(0, len(key) - 1), key.slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= other.to_numpy()
+    return np.cumsum(new)
+
+
+def _standing(place: np.ndarray, columns: list[np.ndarray], better: Callable) -> np.ndarray:
+    """Rows that a fold takes, run by run; where few go in a round, the rest is told row by row."""
+    at, ordered = np.arange(len(place)), not any(c.dtype.kind == "f" and np.isnan(c).any() for c in columns)
+    while len(at) > 1:
+        before, after = at[:-1], at[1:]
+        if not ordered:
+            break
+        keep = (place[before] != place[after]) | better([c[before] for c in columns], [c[after] for c in columns]).astype(bool)
+        gone = len(keep) - np.count_nonzero(keep)
+        if not gone:
+            return at
+        at = at[np.append(True, keep)]
+        ordered = gone * 16 > len(keep)
+    taken, held, run = [], None, None
+    for k, p, *new in zip(at.tolist(), place[at].tolist(), *(c[at].tolist() for c in columns), strict=True):
+        if p != run or better(held, new):
+            run, held = p, new
+            taken.append(k)
+    return np.array(taken, dtype=np.int64)
 
 
 def comparable(offers: Iterable[tuple]) -> list[tuple]:
@@ -117,6 +179,131 @@ def merged(held: list[tuple], new: list[tuple], newer_wins: bool) -> list[tuple]
     return comparable(by_store.values())
 
 
+class Sorted:
+    """Distinct values in order, in blocks of bounded size, so that a change moves the values of one block only."""
+
+    SIZE = 1_000
+
+    def __init__(self, values: Iterable) -> None:
+        values = sorted(values)
+        self.blocks = [values[k : k + self.SIZE] for k in range(0, len(values), self.SIZE)]
+        self.tops = [b[-1] for b in self.blocks]
+
+    def add(self, value) -> None:
+        if not self.blocks:
+            self.blocks, self.tops = [[value]], [value]
+            return
+        k = min(bisect_left(self.tops, value), len(self.tops) - 1)
+        block = self.blocks[k]
+        insort(block, value)
+        if len(block) > 2 * self.SIZE:
+            self.blocks[k : k + 1] = block[: self.SIZE], block[self.SIZE :]
+            self.tops[k : k + 1] = block[self.SIZE - 1], block[-1]
+        else:
+            self.tops[k] = block[-1]
+
+    def remove(self, value) -> None:
+        k = bisect_left(self.tops, value)
+        block = self.blocks[k]
+        del block[bisect_left(block, value)]
+        if block:
+            self.tops[k] = block[-1]
+        else:
+            del self.blocks[k], self.tops[k]
+
+    def __getitem__(self, place: int):
+        for block in self.blocks:
+            if place < len(block):
+                return block[place]
+            place -= len(block)
+        raise IndexError(place)
+
+    def first(self):
+        return self.blocks[0][0]
+
+    def last(self):
+        return self.tops[-1]
+
+
+class Held:
+    """Comparable offers of a key that more products are merged over, as ``merged`` does.
+
+    A merge costs what the new offers do, however many are held: prices stand in order, the median is looked up among
+    them, and outliers are at their ends.  ``changes`` are the offers that the last merge took in (True) or out (False),
+    in that order.
+    """
+
+    def __init__(self, offers: list[tuple]) -> None:
+        self.by_store = {o[0].lower(): o for o in offers}
+        self.prices = Sorted((o[1], s) for s, o in self.by_store.items())
+        self.changes: list[tuple[bool, tuple]] = []
+
+    def __len__(self) -> int:
+        return len(self.by_store)
+
+    def __iter__(self) -> Iterator[tuple]:
+        return (self.by_store[s] for block in self.prices.blocks for _, s in block)
+
+    def least(self) -> float:
+        return self.prices.first()[0]
+
+    def _put(self, store: str, offer: tuple | None) -> None:
+        before = self.by_store.pop(store, None)
+        if before is not None:
+            self.prices.remove((before[1], store))
+            self.changes.append((False, before))
+        if offer is not None:
+            self.by_store[store] = offer
+            self.prices.add((offer[1], store))
+            self.changes.append((True, offer))
+
+    def merge(self, new: Iterable[tuple], newer_wins: bool) -> None:
+        better = replaces_or_newer if newer_wins else replaces
+        self.changes, own = [], {}
+        for offer in new:
+            held = own.get(offer[0]) or self.by_store.get((offer[0] or "").lower())
+            if held is None or held[0] != offer[0] or better(held[1:], offer[1:]):
+                own[offer[0]] = offer
+        stores: dict[str, list[tuple]] = {}
+        for name, offer in own.items():
+            stores.setdefault((name or "").lower(), []).append(offer)
+        for store, offers in stores.items():
+            before = self.by_store.get(store)
+            if before is not None:  # a name in other letters is the same store, and comes after the name that is held
+                offers = [own.get(before[0], before), *(o for o in offers if o[0] != before[0])]
+            best = None
+            for offer in offers:
+                if store and offer[1] > 0 and (best is None or beats(best[1:], offer[1:])):
+                    best = offer
+            if best is not before:
+                self._put(store, best)
+        self._compare()
+
+    def _compare(self) -> None:
+        """Take out what does not compare; an upper middle price is under twice the median, so some offer stays."""
+        n, prices = len(self), self.prices
+        if n == 2:
+            low, high = prices.first()[0], prices.last()[0]
+            if high / max(low, 1) >= C.PAIR_RATIO and high - low >= C.PAIR_MIN_DELTA:
+                self._put(prices.last()[1], None)
+        if n <= 2:
+            return
+        median = prices[n // 2][0] if n % 2 else (prices[n // 2 - 1][0] + prices[n // 2][0]) / 2
+        least = max(C.MIN_DELTA, floor(median * C.RELATIVE_DELTA + 0.5))
+        while (p := prices.last()[0]) / median >= C.UPPER_RATIO and p - median >= least:
+            self._put(prices.last()[1], None)
+        while (p := prices.first()[0]) / median <= C.LOWER_RATIO and median - p >= least:
+            self._put(prices.first()[1], None)
+
+
+def merged_over(held: list[tuple] | Held, new: list[tuple], newer_wins: bool) -> Held:
+    """``merged``, with what is held kept in order for further merges."""
+    if isinstance(held, Held):
+        held.merge(new, newer_wins)
+        return held
+    return Held(merged(held, new, newer_wins))
+
+
 def fold_products(offers: DataFrame, keys: list[str], newer_wins: bool, compare_first: bool = False, compare_single: bool = True) -> DataFrame:
     """Offers of each key after its products are merged one by one: keys, store_id, price, stock, updated.
 
@@ -151,5 +338,5 @@ def _close(state: dict, newer_wins: bool, compare_first: bool) -> None:
     if state["seq"] is not None:
         first = comparable if compare_first else list
         state["alone"] = state["held"] is None
-        state["held"] = first(state["new"]) if state["alone"] else merged(state["held"], state["new"], newer_wins)
+        state["held"] = first(state["new"]) if state["alone"] else merged_over(state["held"], state["new"], newer_wins)
     state["new"] = []

@@ -96,12 +96,12 @@ def _grouped(rows: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
         if new is None:
             return state
         if state["held"] is None:
-            state |= {"held": runs.comparable(new["offers"]), "shown": new, "first": new["seq"]}
+            state |= {"held": runs.Held(runs.comparable(new["offers"])), "shown": new, "first": new["seq"]}
         else:
-            least = state["held"][0][1] if state["held"] else 0
+            least = state["held"].least() if state["held"] else 0
             if new["score"] + _cheap(new["lowest"]) > state["shown"]["score"] + _cheap(least):
                 state["shown"] = new
-            state["held"] = runs.merged(state["held"], new["offers"], newer_wins=False)
+            state["held"].merge(new["offers"], newer_wins=False)
         state["new"] = None
         return state
 

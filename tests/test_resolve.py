@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 
@@ -217,3 +218,85 @@ def test_live_search_against_a_loop(spark):
     want = sorted(row for s in searches for row in plain_live({**s, "sort": s["sort"] or "relevance"}, products, offers, keys, facts))
     assert [g for g in got if g not in want] == [] and got == want and len({w[0] for w in want}) > 8
     assert live.live_search(table.limit(0), keyed, spark.createDataFrame(offers, OFFERS)).count() == 0
+
+
+@pytest.mark.parametrize("newer", [True, False])
+def test_held_offers_are_those_of_plain_merges(newer):
+    """Stores in either case, without a name, without a price, and prices that come and go as outliers."""
+    r = random.Random(11)
+    for _ in range(60):
+        one = lambda: (r.choice(["a", "A", "b", "B", "c", "d", "e", "", None]), float(r.choice([0, -1, 30_000, 100_000, 110_000, 120_000, 260_000, 900_000])), r.choice(STOCKS), r.randint(0, 5))
+        plain = [one() for _ in range(r.randint(0, 4))]
+        held, shown = plain, None
+        for _ in range(40):
+            new = [one() for _ in range(r.randint(0, 4))]
+            plain, held = runs.merged(plain, new, newer), runs.merged_over(held, new, newer)
+            assert sorted(held) == sorted(plain) and [o[1] for o in held] == [o[1] for o in plain]
+            if shown is not None:
+                for come, o in held.changes:
+                    (shown.add if come else shown.discard)(o[:2])
+            shown = {o[:2] for o in held} if shown is None else shown
+            assert shown == {o[:2] for o in held}
+
+
+def test_sorted_blocks(monkeypatch):
+    monkeypatch.setattr(runs.Sorted, "SIZE", 4)
+    r, want = random.Random(12), []
+    held = runs.Sorted([])
+    for k in range(600):
+        if want and r.random() < (0.3 if k < 300 else 0.7):
+            held.remove(want.pop(r.randrange(len(want))))
+        else:
+            value = (r.randint(0, 50), k)
+            held.add(value)
+            want.append(value)
+            want.sort()
+        assert [held[i] for i in range(len(want))] == want and all(len(b) <= 8 for b in held.blocks)
+        assert not want or (held.first(), held.last()) == (want[0], want[-1])
+
+
+def _took(function):
+    began = time.perf_counter()
+    function()
+    return time.perf_counter() - began
+
+
+def test_merges_cost_what_is_new():
+    """Products of ten thousand stores under one key: work by product, not by what is held."""
+
+    def merges(n):
+        held = [("s0", 1000.0, "in-stock", 0)]
+        for k in range(n):
+            held = runs.merged_over(held, [(f"s{k * 7 % n}", 1000.0 + k % 97, "in-stock", k)], True)
+        assert len(held) == n
+
+    assert _took(lambda: merges(20_000)) < 4
+
+
+def test_near_duplicates_cost_what_is_new():
+    """Bundles of one chip, each tied to the first over one of its many stores."""
+
+    def decisions(n):
+        state = {"row": None, "clusters": [], "models": {}, "shown": {}, "out": []}
+        for k in range(n):
+            offers = [(f"s{j}", 1000.0, "in-stock", k) for j in (k, k + 1)]
+            state["row"] = {"seq": k, "model": None, "brand": None, "chip": "rtx3060", "memory": None, "tokens": ["combo", "rtx"], "offers": offers}
+            resolve._decide(state, False)
+        assert {c for _, c in state["out"]} == {0} and len(state["out"]) == n
+
+    assert _took(lambda: decisions(20_000)) < 4
+
+
+@pytest.mark.parametrize("better", [runs.beats, runs.replaces, runs.replaces_or_newer])
+def test_long_runs_of_offers(spark, better):
+    """Runs over several batches, falling behind a cheap first offer, which column rounds alone would take one by one."""
+    day = int(DAY.replace(tzinfo=dt.UTC).timestamp())
+    stock = "CASE WHEN id % 7 = 0 THEN 'out-of-stock' ELSE 'in-stock' END"
+    made = f"SELECT IF(id < 30000, 'long', IF(id % 3 = 0, NULL, 'x')) AS key, CAST(id % 2 AS STRING) AS store_id, id AS seq, CAST(IF(id < 2, 5, 50000 - id) AS DOUBLE) AS price, {stock} AS stock, timestamp_seconds({day} + id) AS updated FROM range(40000)"
+    rows = spark.sql(made)
+    want = {}
+    for x in sorted(rows.collect(), key=lambda x: x["seq"]):
+        held, new = want.get((x["key"], x["store_id"])), (x["price"], x["stock"], x["updated"])
+        want[x["key"], x["store_id"]] = new if held is None or better(held, new) else held
+    found = runs.fold_offers(rows, ["key", "store_id"], ["seq"], better).collect()
+    assert len(found) == len(want) and {(x["key"], x["store_id"]): (x["price"], x["stock"], x["updated"]) for x in found} == want
