@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from heapq import heappop, heappush
 from itertools import islice
@@ -18,21 +19,28 @@ from . import runs
 from .components import components
 
 
-def with_keys(products: DataFrame, title: str = "title") -> DataFrame:
-    """Adds normalized_title, canonical_key, family_key and variant_key (hw_category, brand, model, name).
+def per_distinct(rows: DataFrame, inputs: list[str], add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the columns that ``add`` gives the distinct values of ``inputs``, as many products and shops share a title.
 
-    Keys are computed once per distinct title and joined back, as many products and shops share one.
+    The distinct values are dealt over all tasks, whatever few files or bytes they come in.
     """
-    inputs = list(dict.fromkeys([title, "hw_category", "brand", "model", "name"]))
-    distinct = products.select(*inputs).distinct()
-    normal = I.model_spacing(I.heuristic_title(F.col(title)))
-    source = I.identity_source(normal, I.identity_fallback(F.col("brand"), F.col("model"), F.col("name")))
-    distinct = distinct.withColumn("normalized_title", normal).withColumn("_source", source)
-    c, s = F.col("hw_category"), F.col("_source")
-    keys = {"canonical_key": I.canonical_key(c, s), "family_key": I.family_key(c, s), "variant_key": I.variant_key(c, s)}
-    keyed = distinct.withColumns(keys).drop("_source").withColumnsRenamed({k: f"_k_{k}" for k in inputs})
+    distinct = rows.select(*inputs).distinct()
+    added = add(distinct.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *inputs)).withColumnsRenamed({k: f"_k_{k}" for k in inputs})
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in inputs))
-    return products.join(keyed, same).drop(*(f"_k_{k}" for k in inputs))
+    return rows.join(materialise(added), same).drop(*(f"_k_{k}" for k in inputs))
+
+
+def with_keys(products: DataFrame, title: str = "title") -> DataFrame:
+    """Adds normalized_title, canonical_key, family_key and variant_key (hw_category, brand, model, name)."""
+
+    def keyed(distinct: DataFrame) -> DataFrame:
+        normal = I.model_spacing(I.heuristic_title(F.col(title)))
+        source = I.identity_source(normal, I.identity_fallback(F.col("brand"), F.col("model"), F.col("name")))
+        distinct = distinct.withColumn("normalized_title", normal).withColumn("_source", source)
+        c, s = F.col("hw_category"), F.col("_source")
+        return distinct.withColumns({"canonical_key": I.canonical_key(c, s), "family_key": I.family_key(c, s), "variant_key": I.variant_key(c, s)}).drop("_source")
+
+    return per_distinct(products, list(dict.fromkeys([title, "hw_category", "brand", "model", "name"])), keyed)
 
 
 def group_exact(products: DataFrame, offers: DataFrame, newer_wins: bool) -> tuple[DataFrame, DataFrame]:
@@ -68,12 +76,17 @@ def with_stats(rows: DataFrame, offers: DataFrame, keys: list[str]) -> DataFrame
 
 def near_duplicate_facts(products: DataFrame, name: str = "name", scope: str | None = None) -> DataFrame:
     """seq, hw_category (with the scope before it) and what the near-duplicate test compares: model, brand, chip, memory, tokens."""
-    mark = I.fingerprint(T.identity_text(F.col(name)))
-    scopes = [F.col(scope).cast("string").alias("_scope")] if scope else []
-    facts = products.select("seq", "hw_category", *scopes, I.exact_model(F.col("hw_category"), F.col(name)).alias("model"), mark.alias("_f"), T.dedupe_tokens(F.col(name)).alias("tokens"))
-    if scope:  # in a step of its own: a lambda above would take the new column for the old one
-        facts = facts.withColumn("hw_category", F.concat_ws("|", "_scope", "hw_category"))
-    return facts.select("seq", "hw_category", "model", "_f.brand", "_f.chip", "_f.memory", "tokens")
+
+    def told(distinct: DataFrame) -> DataFrame:
+        mark = I.fingerprint(T.identity_text(F.col(name))).alias("_f")
+        facts = distinct.select("hw_category", name, I.exact_model(F.col("hw_category"), F.col(name)).alias("_model"), mark, T.dedupe_tokens(F.col(name)).alias("tokens"))
+        return facts.select("hw_category", name, F.col("_model").alias("model"), "_f.brand", "_f.chip", "_f.memory", "tokens")
+
+    rows = products.select("seq", "hw_category", name, *([scope] if scope else []))
+    facts = per_distinct(rows, ["hw_category", name], told)
+    if scope:
+        facts = facts.withColumn("hw_category", F.concat_ws("|", F.col(scope).cast("string"), "hw_category"))
+    return facts.select("seq", "hw_category", "model", "brand", "chip", "memory", "tokens")
 
 
 def _blocks(facts: DataFrame, offers: DataFrame) -> DataFrame:

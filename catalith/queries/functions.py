@@ -9,6 +9,7 @@ from ..functions import identity as I
 from ..functions import price as P
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.resolve import per_distinct
 from ..registry import query
 from ..sources.tables import raw, view
 from .reading import normal
@@ -117,13 +118,17 @@ SELECT product_id, canonical_key, family_key, CASE WHEN title LIKE 'Combo%' THEN
 )
 def canonical_keys(spark, d):
     """Canonical, family and variant keys and the grouped id of every title."""
-    products = view(spark, d, "products").withColumn("s", I.identity_source(F.col("title"), F.lit(None).cast("string")))
-    c, s = F.col("hw_category"), F.col("s")
-    products = products.withColumn("canonical_key", I.canonical_key(c, s))
-    return products.select(
-        "product_id", "canonical_key", I.family_key(c, s).alias("family_key"), I.variant_key(c, s).alias("variant_key"),
-        I.grouped_id(c, F.col("title"), F.col("canonical_key")).alias("grouped_id"), I.heuristic_title(F.col("title")).alias("heuristic_title"),
-    )
+
+    def keyed(titles):
+        titles = titles.withColumn("s", I.identity_source(F.col("title"), F.lit(None).cast("string")))
+        c, s = F.col("hw_category"), F.col("s")
+        return titles.withColumn("canonical_key", I.canonical_key(c, s)).select(
+            "title", "hw_category", "canonical_key", I.family_key(c, s).alias("family_key"), I.variant_key(c, s).alias("variant_key"),
+            I.grouped_id(c, F.col("title"), F.col("canonical_key")).alias("grouped_id"), I.heuristic_title(F.col("title")).alias("heuristic_title"),
+        )
+
+    products = view(spark, d, "products").select("product_id", "title", "hw_category")
+    return per_distinct(products, ["title", "hw_category"], keyed).drop("title", "hw_category")
 
 
 @query("bundle_titles", f"SELECT product_id FROM products WHERE contains({normal('title')}, '+') OR " + " OR ".join(f"contains(concat(' ', {normal('title')}, ' '), ' {t} ')" for t in C.BUNDLE_TERMS))

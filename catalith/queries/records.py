@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions import records as R
 from ..operators import offers as O
 from ..plans import content, search, snapshot
+from ..operators.resolve import per_distinct
 from ..registry import query
 from ..sources.tables import raw, view
 from .products import _groups, _keyed
@@ -102,9 +103,10 @@ _IN = " UNION ALL ".join(
 @query("category_terms", _IN)
 def category_terms(spark, d):
     """The categories whose terms a product's title has."""
-    products = view(spark, d, "products")
+    products = view(spark, d, "products").select("product_id", "title")
     hits = F.array(*(F.when(R.in_category(F.col("title"), F.lit(None).cast("string"), c), F.lit(c)) for c in C.COMPONENT_TERMS))
-    return products.select("product_id", F.explode(F.array_compact(hits)).alias("category"))
+    told = per_distinct(products, ["title"], lambda titles: titles.withColumn("hits", F.array_compact(hits)))
+    return told.select("product_id", F.explode("hits").alias("category"))
 
 
 @query("touched_rows", "SELECT store_id, store_name, TIMESTAMP '2026-01-01 00:00:00' AS updated_at FROM stores WHERE is_active")

@@ -300,3 +300,17 @@ def test_long_runs_of_offers(spark, better):
         want[x["key"], x["store_id"]] = new if held is None or better(held, new) else held
     found = runs.fold_offers(rows, ["key", "store_id"], ["seq"], better).collect()
     assert len(found) == len(want) and {(x["key"], x["store_id"]): (x["price"], x["stock"], x["updated"]) for x in found} == want
+
+
+def test_per_distinct(spark):
+    """Each distinct value is worked on once, dealt over all tasks, whatever partitions the rows come in; nulls are values."""
+    rows = spark.createDataFrame([(k, ["a", "b", None][k % 3], "x" if k % 2 else None) for k in range(60)], "id long, t string, u string").coalesce(1)
+    seen = []
+
+    def add(distinct):
+        seen.append((distinct.count(), distinct.rdd.getNumPartitions()))
+        return distinct.selectExpr("t", "u", "concat_ws('-', t, u) AS both")
+
+    found = resolve.per_distinct(rows, ["t", "u"], add)
+    assert seen == [(6, 4 * spark.sparkContext.defaultParallelism)] and found.columns == ["id", "t", "u", "both"]
+    assert {r["id"]: r["both"] for r in found.collect()} == {k: "-".join(x for x in (["a", "b", None][k % 3], "x" if k % 2 else None) if x) for k in range(60)}
