@@ -53,6 +53,11 @@ def _rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: a plan that runs projections together would do so at each use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 _CARD = "page_id long, url string, shop string, position int, raw_name string, raw_link string, raw_price string, raw_list string, raw_stock string, variants string, brand string, image string"
 
 
@@ -121,27 +126,28 @@ def _read_price(text: Column, reading: str) -> Column:
     return parse_price(text)
 
 
-def by_shop(rules: dict, value: Callable) -> Column:
-    """The value that the row's shop's rule gives."""
-    out = None
+def by_shop(rules: dict, value: Callable, by: str | None = None) -> Column:
+    """The value that the row's shop's rule gives; shops with the same ``by`` in their rules share one expression."""
+    shared: dict = {}
     for shop, rule in rules.items():
-        out = F.when(F.col("shop") == shop, value(rule)) if out is None else out.when(F.col("shop") == shop, value(rule))
-    return out
+        shared.setdefault(shop if by is None else getattr(rule, by), []).append((shop, rule))
+    return F.coalesce(*(F.when(F.col("shop").isin(*(s for s, _ in same)), value(same[0][1])) for same in shared.values()))
 
 
 def offers(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS) -> DataFrame:
     """Offers of listing pages: cards with a name, a fitting link and a positive, plausible price, each link once (the first)."""
     found = cards(pages, rules)
-    name = by_shop(rules, lambda r: collapse(F.split_part("raw_name", F.lit(r.name_until), F.lit(1)) if r.name_until else F.col("raw_name")))
-    found = found.withColumns({
-        "name": name,
-        "price": by_shop(rules, lambda r: _read_price(F.col("raw_price"), r.reading)),
-        "list_price": parse_price(F.col("raw_list")),
-        "stock": by_shop(rules, _stock),
-    })
+    until = lambda r: collapse(F.split_part("raw_name", F.lit(r.name_until), F.lit(1)) if r.name_until else F.col("raw_name"))
+    found = _once(
+        found.filter(F.col("raw_link") != ""),
+        name=by_shop(rules, until, "name_until"),
+        price=by_shop(rules, lambda r: _read_price(F.col("raw_price"), r.reading), "reading"),
+        list_price=F.when(F.col("raw_list") != "", parse_price(F.col("raw_list"))).otherwise(0),
+        stock=by_shop(rules, _stock),
+    )
     fits = by_shop(rules, lambda r: F.col("raw_link").rlike(r.needs) if r.needs else F.lit(True))
     plausible = by_shop(rules, lambda r: F.col("price") <= r.most if r.most else F.lit(True))
-    usable = found.filter((F.col("name") != "") & (F.col("raw_link") != "") & (F.col("price") > 0) & fits & plausible)
+    usable = found.filter((F.col("name") != "") & (F.col("price") > 0) & fits & plausible)
     first = usable.groupBy(F.col("raw_link").alias("link")).agg(
         F.min_by(F.struct("page_id", "position", "shop", "name", "price", "list_price", "stock", "brand", "image"), F.struct("page_id", "position")).alias("o")
     )
@@ -187,21 +193,22 @@ def details(pages: DataFrame, rules: dict[str, DetailRule] = DETAILS) -> DataFra
         link = absolute(base, part(rule.link)) or url
         yield page_id, url, shop, part(rule.name), link, part(rule.price), stock, part(rule.variants), absolute(base, part(rule.image)), part(rule.description), scripts
 
-    product = _product_of(F.col("scripts"))
-    found = _rows(pages.select(*_KEY), read, _DETAIL).withColumn("ld", product)
+    found = _once(_rows(pages.select(*_KEY), read, _DETAIL), ld=_product_of(F.col("scripts")))
     offer = F.try_variant_get("ld", "$.offers", "variant")
     offer = F.coalesce(F.try_variant_get(offer, "$[0]", "variant"), offer)
-    found = found.withColumn("offer", offer)
+    found = _once(found, offer=offer)
     of = lambda path: F.try_variant_get("ld", path, "string")
     text = lambda path, other: F.coalesce(F.nullif(collapse(of(path)), F.lit("")), F.nullif(other, F.lit("")))
     price = F.coalesce(F.nullif(F.try_variant_get("offer", "$.price", "string"), F.lit("")), F.col("raw_price"))
-    plain = price.rlike(r"^\d+(\.\d+)?$")
-    found = found.withColumns({
-        "name": text("$.name", F.col("raw_name")),
-        "price": F.when(plain, F.floor(price.try_cast("double") + 0.5).cast("long")).otherwise(parse_price(price)),
-        "stock": F.coalesce(_stock_of_offer(F.col("offer")), by_shop(rules, _stock)),
-        "image": F.coalesce(of("$.image[0]"), F.try_variant_get("ld", "$.image", "string"), F.nullif("raw_image", F.lit(""))),
-    })
+    found = _once(found, said=price)
+    plain = F.col("said").rlike(r"^\d+(\.\d+)?$")
+    found = _once(
+        found,
+        name=text("$.name", F.col("raw_name")),
+        price=F.when(plain, F.floor(F.col("said").try_cast("double") + 0.5).cast("long")).otherwise(parse_price(F.col("said"))),
+        stock=F.coalesce(_stock_of_offer(F.col("offer")), by_shop(rules, _stock)),
+        image=F.coalesce(of("$.image[0]"), F.try_variant_get("ld", "$.image", "string"), F.nullif("raw_image", F.lit(""))),
+    )
     usable = found.filter(F.col("name").isNotNull() & (F.col("price") > 0))
     return usable.select(
         "page_id", F.col("shop").alias("store_id"), "name", "price", "stock", F.col("raw_link").alias("link"), F.coalesce("image", F.lit(C.DEFAULT_IMAGE)).alias("image"),

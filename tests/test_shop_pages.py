@@ -130,3 +130,39 @@ def test_chains_against_a_loop(spark, numbering):
     empty, none = chains.follow(spark.createDataFrame([], "chain string, url string, budget int"), table, items)
     assert empty.count() == 0 and none.count() == 0
     assert found.filter(F.col("number") > 9).count() == 0
+
+
+def shape(page):
+    return [(e.tag, e.attrs, e.classes, e.parent.at if e.parent else None, e.last, page.text(e), page.first_text(e)) for e in page.elements], "".join(page.texts)
+
+
+def test_plain_pages_read_as_the_parser_reads_them(monkeypatch):
+    plain = [
+        "<p class='a b' DATA-K=\"x&quot;y\" hidden>one &amp; two<br>three &lt three</p>tail &copy", "<div/><b>x</b></i></div>", "<UL><li>a<li class=\"\" class='c'>b</UL >",
+        '<script type="application/ld+json">{"a":"&amp;"}</script><p>x', "<script></script>", "", "just & text", '<img alt="a &#39; b"/>', LISTING.replace("@graph", "@g"),
+    ]
+    other = ["<!-- <p> -->x", "<a href=x>y</a>", "<style>p > a</style>", "a < b <p>c", "<script>if (a < b) {}</script>z", "<title>a<b></title>", '<a href="?a=1&copy=2">x</a>', "<p", "<!doctype html><p>x"]
+    fast = [Page(h) for h in plain + other]
+    assert [p._read_plain(h) for p, h in zip([Page("") for _ in plain + other], plain + other, strict=True)] == [True] * len(plain) + [False] * len(other)
+    monkeypatch.setattr(Page, "_read_plain", lambda self, html: False)
+    assert [shape(p) for p in fast] == [shape(Page(h)) for h in plain + other]
+
+
+def test_selectors_on_long_pages_find_what_going_through_all_finds(monkeypatch):
+    from catalith.sources import markup
+
+    html = "".join(f'<div class="c{k % 5} card" id="i{k}"><p><a href="/p/{k}">{k}</a></p><b class="x" data-k="{k % 3}">z</b></div>' for k in range(100))
+    selectors = ["*", ".c1 a", "#i7 b, #i3 p", "div > b", "p, .x", "[data-k=1], .c2", ":not(.x)", "a:not([href$=\"3\"])", ".none, b", ".none", ".c3 > p > a[href*=\"8\"]", "div"]
+    found = lambda: [[e.at for e in Page(html).find(s)] for s in selectors]
+    by_places = found()
+    monkeypatch.setattr(markup, "_FEW", 10**9)
+    assert by_places == found() and all(by_places[k] for k in range(len(selectors)) if selectors[k] != ".none")
+
+
+def test_chains_of_many_selectors_are_quick():
+    """Page facts of a long listing page: selectors whose classes a page does not have cost nothing."""
+    html = "<ul>" + '<li class="type-product"><h2>P</h2><a href="/producto/1/">ver</a><span class="amount">$ 10.000</span></li>' * 4_000 + "</ul>"
+    page, began = Page(html), time.perf_counter()
+    for _ in range(100):
+        assert listings.describe(page) == ""
+    assert time.perf_counter() - began < 0.5
