@@ -174,53 +174,78 @@ def distinct_events(events: DataFrame, late: str = "48 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
-_LOG = "key string, event_id long, ts timestamp, expires timestamp"
+_LOG = "key string, event_id long, ts long, expires long"
+#: Rows of a slot that are looked at as Python numbers at a time.
+_PIECE = 65_536
 
 
 class _Log(StatefulProcessor):
-    """Per key the end of its latest entry, kept until a timer finds it run out."""
+    """Per slot of keys the ends of their latest entries, in one value that is read and written once a batch."""
 
     def __init__(self, micros: int) -> None:
         self.micros = micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "until long")
+        self.live = handle.getValueState("live", "keys array<string>, until array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        until = self.until.get()[0] if self.until.exists() else None
-        out = []
-        for event_id, at in zip(frame["event_id"].tolist(), frame["ts"].to_numpy().astype("datetime64[us]").astype(np.int64).tolist(), strict=True):
-            if until is None or at >= until:
-                until = at + self.micros
-                out.append((key[0], event_id, pd.Timestamp(at, unit="us"), pd.Timestamp(until, unit="us")))
-        if out:
-            self.until.update((until,))
-            self.handle.registerTimer(until // 1000 + 1)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in _LOG.split(", ")])
+        held = self.live.get()
+        keys, until = (list(held[0]), list(held[1])) if held else ([], [])
+        timer = max(until, default=None)
+        place = {k: n for n, k in enumerate(keys)}
+        codes, ids, times = [], [], []
+        for frame in rows:
+            codes.append(np.array([place.setdefault(k, len(place)) for k in frame["key"].tolist()], np.int64))
+            ids.append(frame["event_id"].to_numpy())
+            times.append(frame["us"].to_numpy())
+        keys, until = list(place), until + [None] * (len(place) - len(until))
+        codes, ids, times = (np.concatenate(c) for c in (codes, ids, times))
+        order = np.lexsort((ids, times, codes))
+        for start in range(0, len(order), _PIECE):
+            piece = order[start : start + _PIECE]
+            taken = []
+            for row, code, at in zip(piece.tolist(), codes[piece].tolist(), times[piece].tolist(), strict=True):
+                if until[code] is None or at >= until[code]:
+                    until[code] = at + self.micros
+                    taken.append(row)
+            if taken:
+                yield pd.DataFrame({"key": [keys[c] for c in codes[taken].tolist()], "event_id": ids[taken], "ts": times[taken], "expires": times[taken] + self.micros})
+        # What the watermark has passed is taken anew with its end or without.
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        left = [n for n, end in enumerate(until) if end > passed]
+        self.live.update(([keys[n] for n in left], [until[n] for n in left]))
+        if timer != max(until):
+            if timer is not None:
+                self.handle.deleteTimer(timer // 1000 + 1)
+            self.handle.registerTimer(max(until) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The latest entry's own timer clears it; earlier ones find it still running.
-        if self.until.exists() and self.until.get()[0] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.until.clear()
-        yield pd.DataFrame([], columns=[f.split()[0] for f in _LOG.split(", ")])
+        # The latest end's own timer clears the slot; an earlier one finds it still running.
+        held = self.live.get()
+        if held and all(end // 1000 < expiredTimerInfo.getExpiryTimeInMs() for end in held[1]):
+            self.live.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def event_log(events: DataFrame, hours: int = 48, late: str = "48 hours") -> DataFrame:
+def event_log(events: DataFrame, hours: int = 48, late: str = "48 hours", slots: int = 4096) -> DataFrame:
     """A stream of events (key, event_id, ts) as a log in which a key counts once until its entry runs out.
 
     The first event of a key is taken, with when it expires; repeats until then are dropped, and the next one after is
-    taken anew.  State is one number per live key, in the state store, cleared by a timer once the watermark has passed
-    it; events later than the watermark are dropped.
+    taken anew.  State is one number per live key, in the state store: keys are held in slots by hash, so that a batch
+    asks the store once per slot, not per key.  Ends that the watermark has passed go with a slot's next events, or by a
+    timer once its last one has been passed; events later than the watermark are dropped.  A slot's events of a batch are
+    put in order in one task, at some 30 bytes each.  ``slots`` belongs to a stream's state and stays for its life.
     """
-    timed = events.select("key", "event_id", "ts").withWatermark("ts", late)
-    return timed.groupBy("key").transformWithStateInPandas(
+    slot = F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
+    timed = events.select(slot.alias("slot"), "key", "event_id", F.unix_micros("ts").alias("us"), "ts").filter("ts IS NOT NULL").withWatermark("ts", late)
+    log = timed.groupBy("slot").transformWithStateInPandas(
         statefulProcessor=_Log(hours * 3_600_000_000), outputStructType=_LOG, outputMode="Append", timeMode="EventTime"
     )
+    return log.select("key", "event_id", *(F.timestamp_micros(c).alias(c) for c in ("ts", "expires")))
 
 
 def breaker_open(events: DataFrame, minutes: int = 30) -> DataFrame:

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from catalith.streaming import limits
+from catalith.streaming import jobs, limits
 from catalith.streaming.jobs import run_available
 
 START = dt.datetime(2026, 1, 1)
@@ -88,3 +90,79 @@ def test_event_log_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema("key string, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
     found = run_available(limits.event_log(stream, hours=48, late="96 hours"), str(tmp_path / "log"))
     assert sorted(r["event_id"] for r in found.select(F.col("event_id")).collect()) == [1, 2, 4, 6, 8]
+
+
+@pytest.mark.parametrize("slots", [1, 16])
+def test_event_log_asks_the_store_once_per_slot(spark, tmp_path, slots):
+    """However many keys a batch has, its state is one value and one timer per slot; keys of a slot don't mix."""
+    r = random.Random(9)
+    rows = [(f"k{r.randint(0, 2_000)}", k, START + dt.timedelta(minutes=r.randint(0, 6_000))) for k in range(8_000)]
+    rows += [(None, k, START + dt.timedelta(hours=k - 8_000)) for k in range(8_000, 8_100)] + [("k1", 9_000, None), ("never", 9_001, None)]
+    table = spark.createDataFrame(rows, "key string, event_id long, ts timestamp")
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    log = limits.event_log(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), hours=48, slots=slots)
+    sink = log.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STORE)
+    try:
+        job = sink.trigger(availableNow=True).start()
+        job.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    found = list(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert len(found) == len(set(found)) and set(found) == plain_log([x for x in rows if x[2] is not None], 48)
+    first = job.recentProgress[0]["stateOperators"][0]
+    assert 0 < first["numRowsUpdated"] <= 3 * slots
+
+
+def test_event_log_slots_forget_what_has_run_out(spark, tmp_path):
+    """Ends behind the watermark leave a slot with its next events; an idle slot is cleared by its timer."""
+    days = [[("a", 1, 0), ("b", 2, 1), ("c", 3, 2)], [("b", 4, 400)], [("b", 5, 401), ("a", 6, 402)], [("a", 7, 420), ("c", 8, 452)], [("c", 9, 1000)]]
+    for k, day in enumerate(days):
+        rows = [(key, e, START + dt.timedelta(hours=h)) for key, e, h in day]
+        spark.createDataFrame(rows, "key string, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    for slots in (1, 64):  # all keys in one slot, each in its own
+        stream = spark.readStream.schema("key string, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        found = run_available(limits.event_log(stream, hours=48, late="96 hours", slots=slots), str(tmp_path / f"log{slots}"))
+        assert set(map(tuple, found.collect())) == plain_log([(key, e, START + dt.timedelta(hours=h)) for day in days for key, e, h in day], 48)
+
+
+class Held:
+    """One slot's state and timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_event_log_slot_keeps_live_keys_and_one_timer():
+    hour, handle = 3_600_000_000, Held()
+    log = limits._Log(48 * hour)
+    log.init(handle)
+
+    def batch(rows, watermark):
+        frame = pd.DataFrame(rows, columns=["key", "event_id", "us"])
+        return [e for out in log.handleInputRows((0,), iter([frame]), TimerValues(-1, watermark * 3_600_000)) for e in out["event_id"]]
+
+    assert sorted(batch([("a", 2, 120 * hour), ("a", 1, 100 * hour), ("b", 3, 110 * hour), ("a", 4, 148 * hour)], 0)) == [1, 3, 4]
+    assert dict(zip(*handle.value, strict=True)) == {"a": 196 * hour, "b": 158 * hour} and handle.timers == {196 * 3_600_000 + 1}
+    assert batch([("a", 5, 190 * hour), ("c", 6, 170 * hour)], 160) == [6]
+    assert dict(zip(*handle.value, strict=True)) == {"a": 196 * hour, "c": 218 * hour} and handle.timers == {218 * 3_600_000 + 1}
+    assert not list(log.handleExpiredTimer((0,), None, ExpiredTimerInfo(196 * 3_600_000 + 1))) and handle.value
+    assert not list(log.handleExpiredTimer((0,), None, ExpiredTimerInfo(218 * 3_600_000 + 1))) and handle.value is None
