@@ -238,7 +238,7 @@ def event_log(events: DataFrame, hours: int = 48, late: str = "48 hours", slots:
     taken anew.  State is one number per live key, in the state store: keys are held in slots by hash, so that a batch
     asks the store once per slot, not per key.  Ends that the watermark has passed go with a slot's next events, or by a
     timer once its last one has been passed; events later than the watermark are dropped.  A slot's events of a batch are
-    put in order in one task, at some 30 bytes each.  ``slots`` belongs to a stream's state and stays for its life.
+    put in order in one task, as plain numbers.  ``slots`` belongs to a stream's state and stays for its life.
     """
     slot = F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
     timed = events.select(slot.alias("slot"), "key", "event_id", F.unix_micros("ts").alias("us"), "ts").filter("ts IS NOT NULL").withWatermark("ts", late)
