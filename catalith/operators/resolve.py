@@ -89,26 +89,44 @@ def near_duplicate_facts(products: DataFrame, name: str = "name", scope: str | N
     return facts.select("seq", "hw_category", "model", "brand", "chip", "memory", "tokens")
 
 
+def _lines(facts: DataFrame) -> DataFrame:
+    """Facts with ``unit``, the first product of the same model, and ``line``, the chips that models tie to the product's own.
+
+    Products of one model that name several chips tie these; a product that names none has its model's.
+    """
+    same = ["hw_category", "model"]
+    models = facts.filter("model IS NOT NULL").groupBy(*same).agg(F.min("seq").alias("unit"), F.min("chip").alias("least"), F.max("chip").alias("most"))
+    facts = facts.join(models, same, "left").withColumn("unit", F.coalesce("unit", "seq"))
+    line = lambda chip: F.xxhash64("hw_category", chip)
+    tied = facts.filter("least < most AND chip > least").select(line("chip").alias("x"), line("least").alias("y")).filter("x <> y").distinct()
+    links = materialise(tied.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+    facts = facts.withColumn("chip_of", F.coalesce("chip", "least")).withColumn("line", F.when(F.col("chip_of").isNotNull(), line("chip_of"))).drop("least", "most", "chip_of")
+    if links.isEmpty():
+        return facts
+    found = components(links).withColumnRenamed("node", "line")
+    return facts.join(found, "line", "left").withColumn("line", F.coalesce("component", "line")).drop("component")
+
+
 def _blocks(facts: DataFrame, offers: DataFrame) -> DataFrame:
-    """Facts with block and whether it is mixed.
+    """Facts with block, its first product of the category, and whether it is mixed.
 
     Products can meet in a cluster only over an equal model, or over an offer (store and price) that both have in one
-    category.  The least product of each such key is tied to the others, so a key of n products makes n - 1 links, and
-    the components of the links are the blocks.  A block in which every product has the one model is a cluster as it is.
+    category and line: a cluster's chip is that of one of its products, and all of them are of one line.  A model is one
+    node, the least node of each offer is tied to the others, and the components are the blocks.  A line or a block in
+    which every product has the one model is a cluster as it is, so the offers of such lines are not looked at.  Keys are
+    hashes: two that are equal by chance make a larger block, with the same clusters in it.
     """
-    models = facts.filter("model IS NOT NULL").select("hw_category", F.concat(F.lit("m:"), "model").alias("key"), "seq", F.col("chip").isNotNull().alias("chip"))
-    shown = offers.join(facts.select("seq", "hw_category", "chip"), "seq")
-    prices = shown.select("hw_category", F.concat_ws("@", F.lit("o:"), "store_id", "price").alias("key"), "seq", F.col("chip").isNotNull().alias("chip"))
-    keys = models.unionByName(prices)
-    least = keys.groupBy("hw_category", "key").agg(F.min("seq").alias("b"), F.max("seq").alias("top"), F.max("chip").alias("chip"))
-    # Without a chip no offer ties products together.
-    least = least.filter("b < top AND (chip OR key LIKE 'm:%')").drop("top", "chip")
-    links = keys.drop("chip").join(least, ["hw_category", "key"]).filter("seq > b").select(F.col("seq").alias("a"), "b")
-    found = components(links)
-    placed = facts.join(found.select(F.col("node").alias("seq"), F.col("component").alias("block")), "seq", "left").withColumn("block", F.coalesce("block", "seq"))
-    kinds = placed.groupBy("block").agg((F.count("model") < F.count(F.lit(1))).alias("some"), (F.min("model") < F.max("model")).alias("several"), F.count(F.lit(1)).alias("size"))
-    kinds = kinds.select("block", (F.col("size") > 1).alias("shared"), (F.coalesce("several", F.lit(True)) | F.col("some")).alias("mixed"))
-    return placed.join(kinds, "block").withColumn("mixed", F.col("shared") & F.col("mixed")).drop("shared")
+    facts = materialise(_lines(facts))
+    several = (F.count("model") < F.count(F.lit(1))) | F.coalesce(F.min("model") < F.max("model"), F.lit(True))
+    lines = facts.filter("line IS NOT NULL").groupBy("hw_category", "line").agg((several & (F.count(F.lit(1)) > 1)).alias("open")).filter("open").drop("open")
+    asked = facts.join(lines, ["hw_category", "line"]).select("seq", "unit", "hw_category", "line")
+    shown = offers.filter("store_id IS NOT NULL").select("seq", F.col("store_id").cast("string").alias("store_id"), F.col("price").cast("double").alias("price")).join(asked, "seq")
+    keys = materialise(shown.select(F.xxhash64("hw_category", "line", "store_id", "price").alias("key"), "unit"))
+    least = keys.groupBy("key").agg(F.min("unit").alias("b"), F.max("unit").alias("top")).filter("b < top").drop("top")
+    found = components(keys.join(least, "key").filter("unit > b").select(F.col("unit").alias("a"), "b"))
+    placed = facts.join(found.select(F.col("node").alias("unit"), F.col("component").alias("block")), "unit", "left").withColumn("block", F.coalesce("block", "unit"))
+    kinds = placed.groupBy("hw_category", "block").agg(F.min("seq").alias("first"), (several & (F.count(F.lit(1)) > 1)).alias("mixed"))
+    return placed.drop("unit", "line").join(kinds, ["hw_category", "block"])
 
 
 def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins: bool = False, scope: str | None = None) -> DataFrame:
@@ -124,7 +142,7 @@ def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins:
     place, store_id, price, stock, updated.
     """
     facts = materialise(_blocks(materialise(near_duplicate_facts(products, scope=scope)), offers))
-    plain = facts.filter("NOT mixed").select("seq", F.col("block").alias("cluster"))
+    plain = facts.filter("NOT mixed").select("seq", F.col("first").alias("cluster"))
     rows = facts.filter("mixed").join(offers, "seq", "left")
     rows = rows.withColumns({"store_id": F.col("store_id").cast("string"), "price": F.col("price").cast("double"), "tokens": F.array_join("tokens", " ")})
 
@@ -133,7 +151,8 @@ def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins:
             _decide(state, newer_wins)
             state["row"] = {"seq": seq, "model": model, "brand": brand, "chip": chip, "memory": memory, "tokens": tokens.split(), "offers": []}
         if store_id is not None:
-            state["row"]["offers"].append((store_id, price, stock, updated))
+            once = state["once"].setdefault
+            state["row"]["offers"].append((once(store_id, store_id), price, once(stock, stock), updated))
         return state
 
     def end(key, state):
@@ -141,15 +160,16 @@ def cluster_near_duplicates(products: DataFrame, offers: DataFrame, newer_wins:
         return state["out"]
 
     columns = "seq model brand chip memory tokens store_id price stock updated".split()
-    start = lambda key: {"row": None, "clusters": [], "models": {}, "shown": {}, "out": []}
-    mixed = runs.stream(rows, ["block"], ["seq", "place"], columns, start, step, end, "seq long, cluster long")
+    start = lambda key: {"row": None, "clusters": [], "models": {}, "shown": {}, "once": {}, "out": []}
+    mixed = runs.stream(rows, ["hw_category", "block"], ["seq", "place"], columns, start, step, end, "seq long, cluster long")
     return plain.unionByName(mixed)
 
 
 def _decide(state: dict, newer_wins: bool) -> None:
     """Where the product that has ended goes: into the first cluster that takes it, or into one of its own.
 
-    The indexes name the clusters with a model, and those of a chip that show an offer now; each is kept by what changes.
+    The indexes name the clusters with a model, and per chip those that show an offer now (one as it is, several as a
+    set); each is kept by what changes, and what stands for an offer there is what its cluster holds it by.
     """
     row, clusters, models, shown = state["row"], state["clusters"], state["models"], state["shown"]
     if row is None:
@@ -158,7 +178,7 @@ def _decide(state: dict, newer_wins: bool) -> None:
     same = models.get(row["model"], [])
     while same and clusters[same[0]]["model"] != row["model"]:  # it has another model by now
         heappop(same)
-    sharing = sorted({k for o in row["offers"] for k in shown.get((row["chip"], *o[:2]), ())}) if row["chip"] else ()
+    sharing = _sharing(shown.get(row["chip"]), row["offers"]) if row["chip"] else ()
     alike = (k for k in sharing if _alike(clusters[k], row))
     at = min((*same[:1], *islice(alike, 1)), default=None)
     if at is None:
@@ -179,26 +199,50 @@ def _decide(state: dict, newer_wins: bool) -> None:
         if anew:
             _show(shown, at, held)
         else:
-            for come, offer in held["offers"].changes:
-                _mark(shown, (held["chip"], *offer[:2]), at, come)
+            for (come, offer), place in zip(held["offers"].changes, held["offers"].places, strict=True):
+                _mark(shown, held["chip"], offer, at, come, place)
     if clusters[at]["model"] and clusters[at]["model"] != model:
         heappush(models.setdefault(clusters[at]["model"], []), at)
     state["out"].append((row["seq"], clusters[at]["first"]))
 
 
+def _sharing(shown: dict | None, offers: list[tuple]) -> list[int]:
+    """The clusters that show one of the offers, in order."""
+    found: set[int] = set()
+    for offer in offers if shown else ():
+        at = shown.get((offer[1], offer[0]))
+        if at.__class__ is set:
+            found |= at
+        elif at is not None:
+            found.add(at)
+    return sorted(found)
+
+
 def _show(shown: dict, at: int, cluster: dict, come: bool = True) -> None:
     for offer in cluster["offers"]:
-        _mark(shown, (cluster["chip"], *offer[:2]), at, come)
+        _mark(shown, cluster["chip"], offer, at, come)
 
 
-def _mark(shown: dict, key: tuple, at: int, come: bool) -> None:
+def _mark(shown: dict, chip: str | None, offer: tuple, at: int, come: bool, place: tuple | None = None) -> None:
     """Note that a cluster shows an offer, or no longer does; without a chip no offer ties products together."""
-    if key[0] and come:
-        shown.setdefault(key, set()).add(at)
-    elif key[0] and at in shown.get(key, ()):
-        shown[key].discard(at)
-        if not shown[key]:
-            del shown[key]
+    if not chip:
+        return
+    of_chip = shown.setdefault(chip, {})
+    key = place if place is not None and place[1] == offer[0] else (offer[1], offer[0])
+    held = of_chip.get(key)
+    if come:
+        if held is None:
+            of_chip[key] = at
+        elif held.__class__ is set:
+            held.add(at)
+        elif held != at:
+            of_chip[key] = {held, at}
+    elif held.__class__ is set:
+        held.discard(at)
+        if len(held) == 1:
+            of_chip[key] = held.pop()
+    elif held == at:
+        del of_chip[key]
 
 
 def _alike(a: dict, b: dict) -> bool:

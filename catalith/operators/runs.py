@@ -225,18 +225,27 @@ class Sorted:
         return self.tops[-1]
 
 
+def _lower(store: str | None) -> str:
+    """The store's name in small letters, as the same text where it is that."""
+    low = (store or "").lower()
+    return store if low == store else low
+
+
 class Held:
     """Comparable offers of a key that more products are merged over, as ``merged`` does.
 
     A merge costs what the new offers do, however many are held: prices stand in order, the median is looked up among
     them, and outliers are at their ends.  ``changes`` are the offers that the last merge took in (True) or out (False),
-    in that order.
+    in that order, and ``places`` their prices and stores as they stand in order.
     """
 
+    __slots__ = ("by_store", "prices", "changes", "places")
+
     def __init__(self, offers: list[tuple]) -> None:
-        self.by_store = {o[0].lower(): o for o in offers}
+        self.by_store = {_lower(o[0]): o for o in offers}
         self.prices = Sorted((o[1], s) for s, o in self.by_store.items())
         self.changes: list[tuple[bool, tuple]] = []
+        self.places: list[tuple] = []
 
     def __len__(self) -> int:
         return len(self.by_store)
@@ -250,16 +259,41 @@ class Held:
     def _put(self, store: str, offer: tuple | None) -> None:
         before = self.by_store.pop(store, None)
         if before is not None:
-            self.prices.remove((before[1], store))
+            place = (before[1], store)
+            self.prices.remove(place)
             self.changes.append((False, before))
+            self.places.append(place)
         if offer is not None:
+            place = (offer[1], store)
             self.by_store[store] = offer
-            self.prices.add((offer[1], store))
+            self.prices.add(place)
             self.changes.append((True, offer))
+            self.places.append(place)
+
+    def merge(self, new: list[tuple], newer_wins: bool) -> None:
+        self.changes, self.places = [], []
+        stores = [_lower(o[0]) for o in new]
+        if len(set(stores)) < len(stores):
+            self._merge_several(new, replaces_or_newer if newer_wins else replaces)
+        else:
+            self._merge_singles(stores, new, newer_wins)
+        self._compare()
 
-    def merge(self, new: Iterable[tuple], newer_wins: bool) -> None:
-        better = replaces_or_newer if newer_wins else replaces
-        self.changes, own = [], {}
+    def _merge_singles(self, stores: list[str], new: list[tuple], newer_wins: bool) -> None:
+        """Offers of which each store has one, as products mostly have."""
+        for store, offer in zip(stores, new, strict=True):
+            before = self.by_store.get(store)
+            if before is None:
+                if store and offer[1] > 0:
+                    self._put(store, offer)
+            elif before[0] != offer[0]:
+                if offer[1] > 0 and beats(before[1:], offer[1:]):
+                    self._put(store, offer)
+            elif offer[1] < before[1] or (before[2] == "out-of-stock" != offer[2]) or (newer_wins and offer[3] > before[3]):
+                self._put(store, offer if offer[1] > 0 else None)
+
+    def _merge_several(self, new: list[tuple], better: Callable) -> None:
+        own: dict = {}
         for offer in new:
             held = own.get(offer[0]) or self.by_store.get((offer[0] or "").lower())
             if held is None or held[0] != offer[0] or better(held[1:], offer[1:]):
@@ -277,7 +311,6 @@ class Held:
                     best = offer
             if best is not before:
                 self._put(store, best)
-        self._compare()
 
     def _compare(self) -> None:
         """Take out what does not compare; an upper middle price is under twice the median, so some offer stays."""

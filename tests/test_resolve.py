@@ -314,3 +314,30 @@ def test_per_distinct(spark):
     found = resolve.per_distinct(rows, ["t", "u"], add)
     assert seen == [(6, 4 * spark.sparkContext.defaultParallelism)] and found.columns == ["id", "t", "u", "both"]
     assert {r["id"]: r["both"] for r in found.collect()} == {k: "-".join(x for x in (["a", "b", None][k % 3], "x" if k % 2 else None) if x) for k in range(60)}
+
+
+def test_blocks_are_of_one_line_of_chips(spark):
+    """An offer ties products of one chip only, chips of one model are one line, and a line of one model asks for no offers."""
+    chips = {1: "a", 2: "a", 3: "b", 4: "b", 5: "c", 6: "d", 7: None, 8: "e", 9: "e", 10: None, 11: "c"}
+    models = {5: "m", 6: "m", 7: "m", 8: "n", 9: "n"}
+    facts = [(k, "x", models.get(k), None, chip, None, ["t"]) for k, chip in chips.items()]
+    facts = spark.createDataFrame(facts, "seq long, hw_category string, model string, brand string, chip string, memory string, tokens array<string>")
+    offers = spark.createDataFrame([(k, k, "s", 5.0, "in-stock", DAY) for k in chips], "seq long, place long, store_id string, price double, stock string, updated timestamp")
+    found = {x["seq"]: (x["first"], x["mixed"]) for x in resolve._blocks(facts, offers).collect()}
+    assert found == {1: (1, True), 2: (1, True), 3: (3, True), 4: (3, True), **{k: (5, True) for k in (5, 6, 7, 11)}, 8: (8, False), 9: (8, False), 10: (10, False)}
+
+
+def test_a_held_offer_takes_little_memory():
+    """A cluster's offers of many stores, as a block of a large table holds them."""
+    import tracemalloc
+
+    n, state = 20_000, {"row": None, "clusters": [], "models": {}, "shown": {}, "out": []}
+    rows = [[(f"s{j}", 1000.0 + j % 97, "in-stock", j) for j in range(k, k + 20)] for k in range(0, n, 20)]
+    facts = {"model": "m", "brand": None, "chip": "rtx3060", "memory": None, "tokens": ["rtx"]}
+    tracemalloc.start()
+    for k, offers in enumerate(rows):
+        state["row"] = {**facts, "seq": k, "offers": offers}
+        resolve._decide(state, False)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(state["clusters"][0]["offers"]) == n and taken / n < 260
