@@ -353,7 +353,7 @@ def fold_products(offers: DataFrame, keys: list[str], newer_wins: bool, compare_
             _close(state, newer_wins, compare_first)
             state["seq"] = seq
         if store_id is not None and price is not None:
-            state["new"].append((store_id, price, stock, updated))
+            state["new"].append((store_id, price, state["once"].setdefault(stock, stock), updated))
         return state
 
     def end(key, state):
@@ -363,7 +363,7 @@ def fold_products(offers: DataFrame, keys: list[str], newer_wins: bool, compare_
 
     columns = ["seq", "store_id", "price", "stock", "updated"]
     typed = offers.withColumns({"store_id": offers["store_id"].cast("string"), "price": offers["price"].cast("double")})
-    return stream(typed, keys, ["seq", "place"], columns, lambda key: {"seq": None, "held": None, "new": [], "alone": True}, step, end, schema)
+    return stream(typed, keys, ["seq", "place"], columns, lambda key: {"seq": None, "held": None, "new": [], "alone": True, "once": {}}, step, end, schema)
 
 
 def _close(state: dict, newer_wins: bool, compare_first: bool) -> None:
