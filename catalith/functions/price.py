@@ -21,8 +21,10 @@ def parse_price(text: Column) -> Column:
 
     Of several amounts: the last behind words of a former or present price, the smallest
     of at least ``INSTALMENT_CUTOFF`` beside words of instalments, else the greatest.
+    A text that is one amount without decimals, as most are, is told by its digits.
     """
     text = F.coalesce(text, F.lit(""))
+    alone = text.rlike(r"^[$ ]*(?:\d{1,3}(?:\.\d{3}){1,4}|\d{1,15})\z")
     kept = F.regexp_replace(text, r"[^\d.,$-]", " ")
     found = F.regexp_extract_all(kept, F.lit(r"(\d+(?:[.,]\d{3})*(?:[.,]\d{1,2})?)"), F.lit(1))
 
@@ -51,7 +53,7 @@ def parse_price(text: Column) -> Column:
         )
         return F.when(F.size(v) > 0, half_up(value)).otherwise(F.lit(0).cast("long"))
 
-    return let(amounts, pick)
+    return F.when(alone, F.translate(text, "$. ", "").cast("long")).otherwise(let(amounts, pick))
 
 
 def digits_only(text: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import parse_qs, urlsplit
 
 import pyarrow as pa
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.price import digits_only, parse_price
 from ..functions.text import collapse, infer_category
+from .forms import Forms
 from .markup import Page, first_of, pick
 from .shops import DESCRIPTIONS, DETAILS, LISTINGS, META_DESCRIPTIONS, NEXT_LABELS, NEXT_LINKS, PAGE_PARAMETERS, DetailRule, ListingRule
 
 _KEY = ["page_id", "url", "html", "shop"]
+#: Pages that are Python objects at a time, and result rows from which on a batch is handed over.
+_SLICE, _MOST_ROWS = 64, 8_192
 
 
 def absolute(base: str, href: str) -> str:
@@ -40,15 +44,24 @@ def base_of(url: str) -> str:
 
 
 def _rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``function`` gives the result rows of one page; a page at a time, in Arrow batches."""
+    """``function`` gives the result rows of one page; a page at a time, in Arrow batches of bounded size."""
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = [row for values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in function(*values)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+            for begin in range(0, batch.num_rows, _SLICE):
+                for values in zip(*(c.to_pylist() for c in batch.slice(begin, _SLICE).columns), strict=True):
+                    rows += function(*values)
+                    if len(rows) >= _MOST_ROWS:
+                        yield packed(rows)
+                        rows = []
+        yield packed(rows)
 
     return df.mapInArrow(run, schema)
 
@@ -68,23 +81,36 @@ def cards(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS) -> DataFra
         rule = rules.get(shop)
         if rule is None or not html:
             return
-        page, seen = Page(html), -1
-        for card in page.find(rule.card):
-            if card.at <= seen:  # a card inside a card is part of it
-                continue
-            seen = card.last
-            part = lambda where: first_of(page, card, where)  # noqa: B023, E731
-            stock = " ".join(pick(page, card, w) for w in rule.stock)
-            image = part(rule.image).split(",")[0].split(" ")[0]
-            link, base = part(rule.link), base_of(url or "")
+        base = base_of(url or "")
+        for (name, link, price, list_price, variants, brand, image), (stock,), seen in _card_forms(rule).cards(html) or _cards(html, rule):
+            image = image.split(",")[0].split(" ")[0]
             yield (
-                page_id, url, shop, seen, part(rule.name), absolute(base, link), part(rule.price), part(rule.list_price), stock, part(rule.variants),
-                part(rule.brand) or None, absolute(base, image) or C.DEFAULT_IMAGE,
+                page_id, url, shop, seen, name, absolute(base, link), price, list_price, stock, variants,
+                brand or None, absolute(base, image) or C.DEFAULT_IMAGE,
             )
 
     return _rows(pages.select(*_KEY), read, _CARD)
 
 
+def _card_parts(rule: ListingRule) -> list[tuple[str, ...]]:
+    return [rule.name, rule.link, rule.price, rule.list_price, rule.variants, rule.brand, rule.image]
+
+
+@lru_cache(maxsize=64)
+def _card_forms(rule: ListingRule) -> Forms:
+    return Forms(_card_parts(rule), [rule.stock], card=rule.card)
+
+
+def _cards(html: str, rule: ListingRule) -> Iterator[tuple]:
+    """What ``Forms.cards`` gives, of any page."""
+    page, seen = Page(html), -1
+    for card in page.find(rule.card):
+        if card.at <= seen:  # a card inside a card is part of it
+            continue
+        seen = card.last
+        yield [first_of(page, card, where) for where in _card_parts(rule)], [" ".join(pick(page, card, w) for w in rule.stock)], seen
+
+
 def stock_of_variants(variants: Column) -> Column:
     """Stock of the first of a JSON list of variants; up to three is low."""
     first = F.element_at(F.from_json(variants, "array<struct<available boolean, stock double>>"), 1)
@@ -134,8 +160,14 @@ def by_shop(rules: dict, value: Callable, by: str | None = None) -> Column:
     return F.coalesce(*(F.when(F.col("shop").isin(*(s for s, _ in same)), value(same[0][1])) for same in shared.values()))
 
 
-def offers(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS) -> DataFrame:
-    """Offers of listing pages: cards with a name, a fitting link and a positive, plausible price, each link once (the first)."""
+_OFFER = ("page_id", "position", "shop", "name", "price", "list_price", "stock", "brand", "image")
+
+
+def offers(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS, wanted: tuple[str, ...] = _OFFER) -> DataFrame:
+    """Offers of listing pages: cards with a name, a fitting link and a positive, plausible price, each link once (the first).
+
+    Where not all of an offer is ``wanted``, the rest is not dealt by link either, and null.
+    """
     found = cards(pages, rules)
     until = lambda r: collapse(F.split_part("raw_name", F.lit(r.name_until), F.lit(1)) if r.name_until else F.col("raw_name"))
     found = _once(
@@ -149,8 +181,10 @@ def offers(pages: DataFrame, rules: dict[str, ListingRule] = LISTINGS) -> DataFr
     plausible = by_shop(rules, lambda r: F.col("price") <= r.most if r.most else F.lit(True))
     usable = found.filter((F.col("name") != "") & (F.col("price") > 0) & fits & plausible)
     first = usable.groupBy(F.col("raw_link").alias("link")).agg(
-        F.min_by(F.struct("page_id", "position", "shop", "name", "price", "list_price", "stock", "brand", "image"), F.struct("page_id", "position")).alias("o")
+        F.min_by(F.struct(*(c for c in _OFFER if c in wanted)), F.struct("page_id", "position")).alias("o")
     )
+    kinds = {"page_id": "long", "position": "int", "price": "long", "list_price": "long"}
+    first = first.select("link", F.struct(*((F.col(f"o.{c}") if c in wanted else F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in _OFFER)).alias("o"))
     return first.select(
         "o.page_id", F.col("o.shop").alias("store_id"), "o.name", infer_category(F.col("o.name")).alias("category"), "o.price",
         F.when(F.col("o.list_price") > F.col("o.price"), F.col("o.list_price")).alias("original_price"), "o.stock", "o.brand", "link", "o.image",
@@ -186,12 +220,9 @@ def details(pages: DataFrame, rules: dict[str, DetailRule] = DETAILS) -> DataFra
         rule = rules.get(shop)
         if rule is None or not html:
             return
-        page, base = Page(html), base_of(url or "")
-        part = lambda where: first_of(page, None, where)
-        stock = " ".join(pick(page, None, w) for w in rule.stock)
-        scripts = [page.text(e) for e in page.find('script[type="application/ld+json"]')] if rule.json_ld else []
-        link = absolute(base, part(rule.link)) or url
-        yield page_id, url, shop, part(rule.name), link, part(rule.price), stock, part(rule.variants), absolute(base, part(rule.image)), part(rule.description), scripts
+        base, found = base_of(url or ""), _page_forms(rule).read(html)
+        (name, link, price, variants, image, description), (stock,), scripts = found[:3] if found else _parts(html, rule)
+        yield page_id, url, shop, name, absolute(base, link) or url, price, stock, variants, absolute(base, image), description, scripts
 
     found = _once(_rows(pages.select(*_KEY), read, _DETAIL), ld=_product_of(F.col("scripts")))
     offer = F.try_variant_get("ld", "$.offers", "variant")
@@ -216,6 +247,25 @@ def details(pages: DataFrame, rules: dict[str, DetailRule] = DETAILS) -> DataFra
     )
 
 
+_LD_JSON = 'script[type="application/ld+json"]'
+
+
+def _page_parts(rule: DetailRule) -> list[tuple[str, ...]]:
+    return [rule.name, rule.link, rule.price, rule.variants, rule.image, rule.description]
+
+
+@lru_cache(maxsize=64)
+def _page_forms(rule: DetailRule) -> Forms:
+    return Forms(_page_parts(rule), [rule.stock], _LD_JSON if rule.json_ld else "")
+
+
+def _parts(html: str, rule: DetailRule) -> tuple[list[str], list[str], list[str]]:
+    """What ``Forms.read`` gives first, of any page."""
+    page = Page(html)
+    scripts = [page.text(e) for e in page.find(_LD_JSON)] if rule.json_ld else []
+    return [first_of(page, None, where) for where in _page_parts(rule)], [" ".join(pick(page, None, w) for w in rule.stock)], scripts
+
+
 def described(value, whole: bool = True) -> str:
     """The first description of a product in a JSON-LD value, in lists, graphs and members too."""
     if isinstance(value, list):
@@ -247,7 +297,7 @@ def describe(page: Page, name: str = "", least: int = 24) -> str:
     useful = lambda text: len(bare(text)) >= least and (not name or bare(text) != bare(name))
     if found := next((t for where in DESCRIPTIONS if useful(t := pick(page, None, where))), ""):
         return shortened(found)
-    for script in page.find('script[type="application/ld+json"]'):
+    for script in page.find(_LD_JSON):
         try:
             text = " ".join(described(json.loads(page.text(script))).split())
         except (ValueError, RecursionError):

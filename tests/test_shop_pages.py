@@ -166,3 +166,74 @@ def test_chains_of_many_selectors_are_quick():
     for _ in range(100):
         assert listings.describe(page) == ""
     assert time.perf_counter() - began < 0.5
+
+
+def _shop_card(shop, form, name, n, price, said):
+    from catalith.queries.shop_pages import CARDS
+
+    parts = {"href": CARDS[shop][0].replace("{id}", str(n)), "price": price, "n": str(n), "said": said, "name": name}
+    card = CARDS[shop][1 + form]
+    for place, value in parts.items():
+        card = card.replace(f"{{{place}}}", value)
+    return card
+
+
+ODD_PIECES = [
+    "<!-- x -->", "<div class='x'>", '<a href="?a=1&copy=2">y</a>', "</p>", "text & <b>more</b>", '<div class="product item type-product"', "<script>var a = 1</script>",
+    '<div class="product-list"><div class="product-list"><h3>in</h3></div></div>', "<A HREF=\"/one\" href=\"/two\">z</A>", "<i title=' src=\"x\"' src=\"x\">i</i>", "",
+]
+
+
+@pytest.mark.parametrize("shop", sorted(LISTINGS))
+def test_cards_of_known_forms_are_those_of_whole_pages(shop):
+    """Cards told by their form, among odd pieces, in either order and at the page's end, against the page's tree."""
+    import random
+
+    from catalith.queries.shop_pages import CARDS
+
+    r, rule, told = random.Random(shop), LISTINGS[shop], 0
+    names, prices = ["Mouse", "A &amp; B", "", "  two  spaces ", "5 > 4", "#", "x&copy"], ["$ 1.234", "", "$ 5,50 $ 6"]
+    for trial in range(80):
+        cards = [_shop_card(shop, r.randint(0, 1), r.choice(names) + str(k), k, r.choice(prices), r.choice([*CARDS[shop][3], "z"])) for k in range(r.randint(0, 5))]
+        if trial % 2:
+            cards.insert(r.randint(0, len(cards)), r.choice([*ODD_PIECES, *(c[: len(c) // 2] for c in cards), *(c.replace('"', "'") for c in cards), *(c.replace("</", "<x></", 1) for c in cards)]))
+        html = f"<html><body><header><a href='/'>i</a></header><main>{r.choice(['', ' ']).join(cards)}</main></body></html>"[: r.choice([10**6, -1, -20])]
+        found, want = listings._card_forms(rule).cards(html), [(a, b, place) for a, b, place in listings._cards(html, rule)]
+        assert found is None or [(list(a), list(b), place) for a, b, place in found] == want
+        told += bool(found)
+    assert told > 4
+
+
+def test_rules_are_worked_out_once_a_form(monkeypatch):
+    """Reading many cards of one form builds the tree of a few pieces only."""
+    cards = [_shop_card("woocommerce", k % 2, f"Mouse {k}", k, f"$ {k + 1}.000", "outofstock" if k % 3 else "") for k in range(3_000)]
+    forms, read, seen = listings.Forms(listings._card_parts(LISTINGS["woocommerce"]), [LISTINGS["woocommerce"].stock], card=LISTINGS["woocommerce"].card), Page._read_plain, []
+    monkeypatch.setattr(Page, "_read_plain", lambda self, html: seen.append(len(html)) or read(self, html))
+    assert len(forms.cards(f"<ul>{''.join(cards)}</ul>")) == 3_000 and sum(seen) < 20_000
+
+
+def test_pages_come_in_batches_of_bounded_size(spark):
+    """Ten pages of a thousand cards each are not one batch of ten thousand rows and more."""
+    import pyarrow as pa
+
+    table = spark.range(10).selectExpr("id AS page_id", "repeat('<a>x</a>', 1000 * CAST(1 + id AS INT)) AS html").coalesce(1)
+    found = listings._rows(table, lambda page_id, html: [(page_id, k) for k in range(html.count("<a>"))], "page_id long, n int")
+    sizes = found.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+    assert found.groupBy("page_id").count().agg(F.sum("count")).first()[0] == 55_000 and max(r["n"] for r in sizes.collect()) < 20_000
+
+
+def test_unwanted_parts_of_offers_are_null(spark):
+    rule = {"shop": ListingRule(".card", (".title",), ("a@href",), (".price",), stock=(".stock",), name_until="$", most=10_000_000)}
+    table = pages(spark, [(1, "http://s/c?page=1", LISTING, "shop", "x", 1)])
+    whole, part = listings.offers(table, rule), listings.offers(table, rule, wanted=("name", "price"))
+    assert whole.dtypes == part.dtypes and sorted(whole.select("link", "name", "price").collect()) == sorted(part.select("link", "name", "price").collect())
+    assert part.filter("stock IS NOT NULL OR image IS NOT NULL OR page_id IS NOT NULL").count() == 0 and whole.filter("image IS NULL").count() == 0
+
+
+def test_one_plain_amount_is_read_as_any_other(spark):
+    from catalith.functions import price
+
+    texts = ["$ 1.234.567", "1.234", "  $12", "0", "000", "$ 1.234,50", "1.23", "12.345.6", "$ 5 $ 6", "12 cuotas", "999999999999999", "1234567890123456", "1.000\n", "", "$", "1.234 ", "$ 0.000"]
+    rows = spark.createDataFrame([(t, f"{t} ;") for t in texts], "a string, b string")
+    found = rows.select("a", price.parse_price(F.col("a")).alias("x"), price.parse_price(F.col("b")).alias("y")).collect()
+    assert [(r["a"], r["x"]) for r in found if r["x"] != r["y"]] == []
