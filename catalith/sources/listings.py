@@ -38,7 +38,12 @@ def absolute(base: str, href: str) -> str:
     return f"{base}{'' if href.startswith('/') else '/'}{href}"
 
 
+_PLAIN_BASE = re.compile(r"https?://[a-z0-9.-]+(?=[/?#]|\Z)")
+
+
 def base_of(url: str) -> str:
+    if plain := _PLAIN_BASE.match(url):
+        return plain[0]
     parts = urlsplit(url)
     return f"{parts.scheme}://{parts.netloc}"
 
@@ -202,10 +207,8 @@ def _product_of(scripts: Column) -> Column:
     return F.get(F.filter(F.flatten(F.array_compact(lists)), lambda v: kind(v) == "product"), F.lit(0))
 
 
-def _stock_of_offer(offer: Column) -> Column:
-    """Stock by the offer's availability and inventory; up to three is low."""
-    said = F.lower(F.coalesce(F.try_variant_get(offer, "$.availability", "string"), F.lit("")))
-    level = F.try_variant_get(offer, "$.inventoryLevel.value", "string").try_cast("double")
+def _stock_of_offer(said: Column, level: Column) -> Column:
+    """Stock by the offer's availability, in small letters, and inventory; up to three is low."""
     return (
         F.when(said.contains("outofstock") | (level <= 0), "out-of-stock")
         .when(level <= 3, "low-stock")
@@ -231,13 +234,14 @@ def details(pages: DataFrame, rules: dict[str, DetailRule] = DETAILS) -> DataFra
     of = lambda path: F.try_variant_get("ld", path, "string")
     text = lambda path, other: F.coalesce(F.nullif(collapse(of(path)), F.lit("")), F.nullif(other, F.lit("")))
     price = F.coalesce(F.nullif(F.try_variant_get("offer", "$.price", "string"), F.lit("")), F.col("raw_price"))
-    found = _once(found, said=price)
+    said = F.lower(F.coalesce(F.try_variant_get("offer", "$.availability", "string"), F.lit("")))
+    found = _once(found, said=price, available=said, level=F.try_variant_get("offer", "$.inventoryLevel.value", "string").try_cast("double"))
     plain = F.col("said").rlike(r"^\d+(\.\d+)?$")
     found = _once(
         found,
         name=text("$.name", F.col("raw_name")),
         price=F.when(plain, F.floor(F.col("said").try_cast("double") + 0.5).cast("long")).otherwise(parse_price(F.col("said"))),
-        stock=F.coalesce(_stock_of_offer(F.col("offer")), by_shop(rules, _stock)),
+        stock=F.coalesce(_stock_of_offer(F.col("available"), F.col("level")), by_shop(rules, _stock)),
         image=F.coalesce(of("$.image[0]"), F.try_variant_get("ld", "$.image", "string"), F.nullif("raw_image", F.lit(""))),
     )
     usable = found.filter(F.col("name").isNotNull() & (F.col("price") > 0))

@@ -237,3 +237,29 @@ def test_one_plain_amount_is_read_as_any_other(spark):
     rows = spark.createDataFrame([(t, f"{t} ;") for t in texts], "a string, b string")
     found = rows.select("a", price.parse_price(F.col("a")).alias("x"), price.parse_price(F.col("b")).alias("y")).collect()
     assert [(r["a"], r["x"]) for r in found if r["x"] != r["y"]] == []
+
+
+@pytest.mark.parametrize("shop", ["tiendanube", "woocommerce", "foxtienda", "xtpc", "portaltech"])
+def test_product_pages_of_known_forms_are_those_of_whole_pages(shop, monkeypatch):
+    from catalith.sources.shops import DETAILS
+
+    rule = DETAILS[shop]
+    bodies = [
+        '<html><head><link rel="canonical" href="{h}"><meta property="og:title" content="{t}"><meta name="description" content="{d}"></head><body><h1 class="product_title">{t}</h1><p class="price"><b>{p}</b>$ 5</p><img src="{h}"><p class="stock">{s}</p></body></html>',
+        '<link rel="canonical" href="{h}"><script type="application/ld+json">{{"name":"{t}"}}</script><script>var x</script><h1>{t}</h1><h2 class="descripcion-producto">{t}<i>!</i></h2><span class="price">{p}</span><div class="js-product-container" data-variants="{s}"></div>',
+        "{t}<h1>{t}</h1>", "<h1 title='{t}' title=\"{h}\">{t}</h1><div itemprop='description'>{d}</div>",
+    ]
+    pages = [b.format(h=f"/p/{k}", t=t, d=d, p=f"$ {k}.000", s=s) for b in bodies for k, t in enumerate(["A", "B &amp; C", " x  y ", "5 &gt", "z"]) for d in ("", "long text") for s in ("", "Agotado", "[{&quot;stock&quot;:2}]")]
+    known = [listings._page_forms(rule).read(p) for p in pages]
+    assert [tuple(map(list, f[:3])) for f in known if f] == [tuple(map(list, listings._parts(p, rule))) for p, f in zip(pages, known, strict=True) if f] and sum(map(bool, known)) > 40
+    read, seen = Page._read_plain, []
+    monkeypatch.setattr(Page, "_read_plain", lambda self, html: seen.append(html) or read(self, html))
+    assert all(listings._page_forms(rule).read(bodies[0].format(h=f"/q/{k}", t=f"T{k}", d="d", p=f"$ {k}", s="x")) for k in range(500)) and len(seen) < 9
+
+
+@pytest.mark.parametrize("url", ["https://a.b/c?x#y", "http://a", "http://a?b", "https://a:80/x", "https://u@h/x", "HTTPS://A/x", " https://a/x", "https:///x", "//a/b", "", "https://a.b\\c/x", "https://a\tb/c"])
+def test_base_of_an_address(url):
+    from urllib.parse import urlsplit
+
+    parts = urlsplit(url)
+    assert listings.base_of(url) == f"{parts.scheme}://{parts.netloc}"
