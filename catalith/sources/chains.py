@@ -8,6 +8,8 @@ seen, and costs what the frontier does; the number of rounds is the budget at mo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,24 @@ def follow(starts: DataFrame, pages: DataFrame, items: DataFrame, numbering: boo
     With ``numbering`` addresses from the second on get their number, and a page without a next link is followed
     by the start's next number, as shops do that number their pages.
     """
+    return _follow(starts, lambda frontier: (pages, items), numbering)
+
+
+def follow_reading(starts: DataFrame, stored: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame]], numbering: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``follow`` over pages that are read when chains come to them: ``read`` gives the pages and items of rows of ``stored`` (with url)."""
+
+    def reached(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return read(materialise(stored.join(frontier.select("url").distinct(), "url", "left_semi").select(*stored.columns)))
+
+    return _follow(starts, reached, numbering)
+
+
+def _follow(starts: DataFrame, reached: Callable[[DataFrame], tuple[DataFrame, DataFrame]], numbering: bool) -> tuple[DataFrame, DataFrame]:
     start = starts.select("chain", "budget", F.col("url").alias("start"))
     frontier = materialise(start.withColumns({"number": F.lit(1), "url": F.col("start")}).filter("budget >= 1"))
     visits, found = None, None
     while frontier.limit(1).count():
+        pages, items = reached(frontier)
         shown = frontier.join(items, "url").groupBy("chain", "number", "url", "item").agg(F.min("place").alias("place"))
         if found is not None:
             shown = shown.join(found.select("chain", "item"), ["chain", "item"], "left_anti")

@@ -263,3 +263,22 @@ def test_base_of_an_address(url):
 
     parts = urlsplit(url)
     assert listings.base_of(url) == f"{parts.scheme}://{parts.netloc}"
+
+
+def test_chains_read_the_pages_they_come_to(spark):
+    """Pages are read a round at a time, and those that no chain reaches are not; visits are those over tables of all pages."""
+    links = {"a": "a?page=2", "a?page=2": "a?page=3", "a?page=3": None, "b": None, "far": "a", "b?page=2": None}
+    shown = {"a": [1, 2], "a?page=2": [2, 3], "a?page=3": [4], "b": [1], "b?page=2": [1], "far": [7]}
+    stored = spark.createDataFrame([(*x, shown[x[0]]) for x in links.items()], "url string, next_url string, own array<long>")
+    items = lambda rows: rows.selectExpr("url", "posexplode(own) AS (place, item)")
+    starts = spark.createDataFrame([("x", "a", 3), ("y", "b", 9), ("z", "gone", 2)], "chain string, url string, budget int")
+    seen = []
+
+    def read(rows):
+        seen.append(sorted(r["url"] for r in rows.collect()))
+        return rows.select("url", "next_url"), items(rows)
+
+    visits, found = chains.follow_reading(starts, stored, read)
+    want, all_found = chains.follow(starts, stored.select("url", "next_url"), items(stored))
+    assert sorted(visits.collect()) == sorted(want.collect()) and sorted(found.collect()) == sorted(all_found.collect())
+    assert seen == [["a", "b"], ["a?page=2", "b?page=2"], ["a?page=3"]]
