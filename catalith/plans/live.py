@@ -125,6 +125,19 @@ def _grouped(rows: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, out.filter("store_id IS NOT NULL").select(*keys, "store_id", "price", "stock", "updated")
 
 
+def _led(pairs: DataFrame, asked: DataFrame, named: DataFrame) -> DataFrame:
+    """(search_id, canonical_key) with ``lead``, the first search that sees the same of the group.
+
+    Which products a search sees of a group is told by its category and prices; where all have one normalised name and
+    category they score alike, so which is shown does not depend on the search.  Other groups are each search's own.
+    """
+    name = F.struct("name_text", "hw_category")
+    alike = named.groupBy("canonical_key").agg(F.min(name).eqNullSafe(F.max(name)).alias("alike"))
+    rows = pairs.join(alike, "canonical_key").join(asked.select("search_id", "category", "lowest", "highest"), "search_id")
+    first = F.min("search_id").over(Window.partitionBy("canonical_key", "category", "lowest", "highest"))
+    return rows.withColumn("lead", F.when(F.col("alike"), first).otherwise(F.col("search_id"))).select("search_id", "canonical_key", "lead")
+
+
 def live_search(searches: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
     """Ranked results of all searches: search_id, rank, total, product_id, name, lowest, highest, average, n_offers.
 
@@ -141,7 +154,9 @@ def live_search(searches: DataFrame, products: DataFrame, offers: DataFrame) ->
     by_category = browsed.join(named.select("hw_category", "canonical_key").distinct(), "hw_category").select("search_id", "canonical_key")
     within = (F.col("category").isNull() | (F.col("hw_category") == F.col("category"))) & (F.col("lowest_price") >= F.coalesce(F.col("lowest"), F.lit(0)))
     within = within & (F.col("highest").isNull() | (F.col("lowest_price") <= F.col("highest")))
-    rows = by_text.unionByName(by_category).join(named.withColumnRenamed("lowest", "lowest_price"), "canonical_key").join(asked, "search_id").filter(within)
+    # A group is folded once for all searches that see the same of it.
+    pairs = materialise(_led(by_text.unionByName(by_category), asked, named))
+    rows = pairs.filter("lead = search_id").drop("lead").join(named.withColumnRenamed("lowest", "lowest_price"), "canonical_key").join(asked, "search_id").filter(within)
     scored = rows.withColumn("score", _score(F.col("name_text"), T.is_bundle(F.col("name"))))
     groups, kept = _grouped(materialise(scored.select("search_id", "canonical_key", "seq", "score", F.col("lowest_price").alias("lowest"))), offers)
     # The first product of a group lends its id, the best scored one its name; near duplicates merge within a search,
@@ -152,8 +167,11 @@ def live_search(searches: DataFrame, products: DataFrame, offers: DataFrame) ->
     )
     shown = named.select(F.col("seq").alias("shown"), "name", "brand", "model")
     place = (F.col("search_id") * _PLACES + F.col("first")).alias("seq")
-    entries = materialise(groups.join(shown, "shown").join(own, ["search_id", "canonical_key"]).select(place, "search_id", "canonical_key", "product_id", "name", "hw_category", "brand", "model", "image", "created", "updated"))
-    prices = materialise(kept.join(entries.select("search_id", "canonical_key", "seq"), ["search_id", "canonical_key"]).select("seq", F.dense_rank().over(Window.partitionBy("seq").orderBy("price", "store_id")).alias("place"), "store_id", "price", "stock", "updated"))
+    led = groups.join(shown, "shown").join(own, ["search_id", "canonical_key"]).withColumnRenamed("search_id", "lead").join(pairs, ["lead", "canonical_key"])
+    entries = materialise(led.select(place, "search_id", "lead", "canonical_key", "product_id", "name", "hw_category", "brand", "model", "image", "created", "updated"))
+    ranked = F.dense_rank().over(Window.partitionBy("search_id", "canonical_key").orderBy("price", "store_id")).alias("place")
+    prices = kept.select(F.col("search_id").alias("lead"), "canonical_key", ranked, "store_id", "price", "stock", "updated")
+    prices = materialise(prices.join(entries.select("lead", "canonical_key", "seq"), ["lead", "canonical_key"]).select("seq", "place", "store_id", "price", "stock", "updated"))
     merged, _ = resolve.merge_near_duplicates(entries, prices, scope="search_id")
     found = merged.join(entries.select(F.col("seq").alias("cluster"), "search_id", "hw_category"), "cluster").join(asked.drop("lowest", "highest"), "search_id")
     found = found.withColumn("name_text", T.identity_text(F.col("name"))).filter((F.size("words") == 0) | fits_intent(F.col("name_text")))

@@ -341,3 +341,14 @@ def test_a_held_offer_takes_little_memory():
     taken = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert len(state["clusters"][0]["offers"]) == n and taken / n < 260
+
+
+def test_searches_that_see_the_same_of_a_group_share_a_lead(spark):
+    """By category and prices, null or not; a group of several names is each search's own."""
+    names = [("k1", "rtx 4060", "g"), ("k1", "rtx 4060", "g"), ("k2", "rtx 4060", "g"), ("k2", "rtx 4060 oc", "g"), ("k3", "x", None)]
+    named = spark.createDataFrame(names, "canonical_key string, name_text string, hw_category string")
+    asked = spark.createDataFrame([(1, None, 0, None), (2, None, 0, None), (3, "g", 0, None), (4, None, 5, None), (5, "g", 0, None), (6, None, 0, 9)], "search_id long, category string, lowest long, highest long")
+    pairs = spark.createDataFrame([(s, k) for s in range(1, 7) for k in ("k1", "k2", "k3")], "search_id long, canonical_key string")
+    found = {(r["search_id"], r["canonical_key"]): r["lead"] for r in live._led(pairs, asked, named).collect()}
+    lead = {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6}
+    assert found == {(s, k): s if k == "k2" else lead[s] for s in range(1, 7) for k in ("k1", "k2", "k3")}
